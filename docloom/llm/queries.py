@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.llm import mixing
+from docloom.llm import mixing, pieces
 
 QUERIES = {
+    "op2_sentencepiece": pieces.query,
     "op9_source_mixing": mixing.query,
 }
 ORACLES = {

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.llm import mixing, pieces
+from docloom.llm import media, mixing, pieces
 
 QUERIES = {
     "op2_sentencepiece": pieces.query,
+    "op7_matroska": media.query,
     "op9_source_mixing": mixing.query,
 }
 ORACLES = {

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from docloom.llm import media, mixing, pieces
+from docloom.llm import licenses, media, mixing, pieces
 
 QUERIES = {
     "op2_sentencepiece": pieces.query,
+    "op6_license_scan": licenses.query,
     "op7_matroska": media.query,
     "op9_source_mixing": mixing.query,
 }
 ORACLES = {
+    "op6_license_scan": licenses.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.llm import licenses, media, mixing, pieces
+from docloom.llm import licenses, media, mixing, pieces, secrets
 
 QUERIES = {
     "op2_sentencepiece": pieces.query,
+    "op3_secret_scan": secrets.query,
     "op6_license_scan": licenses.query,
     "op7_matroska": media.query,
     "op9_source_mixing": mixing.query,

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from docloom.llm import licenses, media, mixing, pieces, secrets
+from docloom.llm import licenses, media, mixing, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op2_sentencepiece": pieces.query,
     "op3_secret_scan": secrets.query,
     "op6_license_scan": licenses.query,
     "op7_matroska": media.query,
+    "op8_toxicity": toxicity.query,
     "op9_source_mixing": mixing.query,
+    "op10_quality": quality.query,
 }
 ORACLES = {
     "op6_license_scan": licenses.ORACLE,

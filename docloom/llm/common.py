@@ -48,37 +48,27 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node in ``edges(a, b)``; component is the smallest node.
-
-    Alternating large-star and small-star steps: each is one grouping and one
-    join on the node, halving the depth of every tree. Rounds end when no edge
-    changes. A node's neighbours never meet in one row: the smallest one comes
-    from an aggregate that is partly summed before the shuffle, and a join
-    brings it back, so a hub with many neighbours is split by skew handling.
+def connected_components(edges: DataFrame, rounds: int = 80) -> DataFrame:
+    """(node, component) for every node in ``edges(a, b)``; component is the smallest node reached.
+
+    Each round gives a node the smallest label among its neighbours, then the
+    label of its label, so that paths halve; rounds end when no label falls.
+    Both steps join tables that were just written, with partly summed minima:
+    a node with very many neighbours is split by skew handling and is never one
+    row or one task's group. Labels stay in tables; the driver sees one count.
     """
-    def lowest(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m"))
-
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now = materialize(now, "edges")
-    seen = None
+    pairs = edges.where("a <> b").select("a", "b")
+    links = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = materialize(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = lowest(both).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        mins = lowest(large)
-        small = large.join(mins, "u").select(
-            F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.u", "e.v").where("u <> v").distinct()
-        after = materialize(small, "edges")
-        n, total = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1000003), F.lit(0))).first()
-        drop_table(now)
-        now = after
-        if seen == (n, total):
-            break
-        seen = (n, total)
-    else:
-        raise RuntimeError("components did not settle")
-    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        lowest = links.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("n_")).agg(F.min("label").alias("m"))
+        lower = materialize(labels.join(lowest, F.col("node") == F.col("n_"), "left").select("node", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("fell")), "labels")
+        fell = lower.where("fell").limit(1).count()
+        drop_table(labels)
+        labels = lower.drop("fell")
+        if not fell:
+            return labels.withColumnRenamed("label", "component")
+        jump = labels.select(F.col("node").alias("n_"), F.col("label").alias("l_"))
+        labels = materialize(labels.join(jump, F.col("label") == F.col("n_")).select("node", F.col("l_").alias("label")), "labels")
+        drop_table(lower)
+    raise RuntimeError("components did not settle")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +73,41 @@ def connected_components(edges: DataFrame, rounds: int = 80) -> DataFrame:
         labels = materialize(labels.join(jump, F.col("label") == F.col("n_")).select("node", F.col("l_").alias("label")), "labels")
         drop_table(lower)
     raise RuntimeError("components did not settle")
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index that each index reaches through pairs."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def link_classes(reps: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes of equal items with their links and components, as a written table.
+
+    ``reps`` has (key, first_id, copies, some), a row a class; ``found`` (a, b,
+    links): linked items of class ``a`` that one task counted, and a class ``b``
+    that is reachable from it. Adds n_links (copies of the own class included),
+    component_id (the component's smallest id, null ids last) and first_key (the
+    class of that id). Classes that are not ``some`` have neither.
+    """
+    links = found.groupBy("a").agg(F.sum("links").alias("links"))
+    component = connected_components(found.select("a", "b"))
+    known = reps.join(links, F.col("key") == F.col("a"), "left").join(component, F.col("key") == F.col("node"), "left")
+    known = materialize(known.select("key", "first_id", "copies", "some", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "key").alias("component")), "known")
+    first = known.groupBy(F.col("component").alias("c_")).agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("f"))
+    first = materialize(first.select("c_", F.col("f.first_id").alias("component_id"), F.col("f.key").alias("first_key")), "first")
+    out = materialize(known.join(first, F.col("component") == F.col("c_")).select(
+        "key", "first_id", "copies", F.when(F.col("some"), F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
+        F.when(F.col("some"), F.col("component_id")).alias("component_id"), "first_key", "some",
+    ), "classes")
+    drop_table(known)
+    drop_table(first)
+    return out

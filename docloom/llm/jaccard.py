@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.arrow import add_columns
-from docloom.llm.common import connected_components, drop_table, materialize, text_of
+from docloom.llm.common import connected_components, drop_table, link_classes, materialize, roots, text_of
 
 WORDS = re.compile(r"\w+").findall
 GRAM, THRESHOLD = 5, 0.8
@@ -147,20 +147,6 @@ def similar_pairs(sig: np.ndarray, flat: np.ndarray, count: np.ndarray, left: np
     return i[ok], j[ok]
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index that each index reaches through pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def link_blocks(keys: list[bytes], block: np.ndarray, weight: np.ndarray, texts: list[str], n: int, threshold: float) -> tuple[list[bytes], list[bytes], list[int]]:
     """(key, root key, linked documents) of the classes in one pair of blocks that have a link."""
     at = {}
@@ -180,7 +166,7 @@ def link_blocks(keys: list[bytes], block: np.ndarray, weight: np.ndarray, texts:
     right = np.flatnonzero((block == sides[1]) & (count > 0)) if len(sides) > 1 else None
     i, j = similar_pairs(sig, flat, count, left, right, threshold)
     links = np.bincount(i, weights=weight[j], minlength=len(pick)) + np.bincount(j, weights=weight[i], minlength=len(pick))
-    root = _roots(len(pick), i, j)
+    root = roots(len(pick), i, j)
     some = np.flatnonzero(links)
     return [keys[x] for x in some], [keys[root[x]] for x in some], links[some].astype(np.int64).tolist()
 
@@ -248,19 +234,9 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = G
     dealt = paired.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     found = materialize(dealt.mapInArrow(lambda batches: _linked(batches, n, threshold), "a binary, b binary, links long"), "found")
 
-    links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    component = connected_components(found.select("a", "b"))
     ids = reps.select("key", "first_id", "copies", (F.size("bands") > 0).alias("some"))
-    known = ids.join(links, F.col("key") == F.col("a"), "left").join(component, F.col("key") == F.col("node"), "left")
-    known = materialize(known.select("key", "first_id", "copies", "some", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "key").alias("component")), "known")
-    first = known.groupBy(F.col("component").alias("c_")).agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("f"))
-    first = materialize(first.select("c_", F.col("f.first_id").alias("component_id"), F.col("f.key").alias("first_key")), "first")
-    classes = known.join(first, F.col("component") == F.col("c_")).select(
-        "key", "first_id", "copies", F.when(F.col("some"), F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
-        F.when(F.col("some"), F.col("component_id")).alias("component_id"), "first_key", "some",
-    )
-    out = materialize(classes, "classes")
-    for used in (reps, shared, sized, members, load, found, known, first):
+    out = link_classes(ids, found)
+    for used in (reps, shared, sized, members, load, found):
         drop_table(used)
     return out, rows.select("id", "key")
 

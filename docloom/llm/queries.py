@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.llm import jaccard, licenses, media, mixing, pieces, quality, secrets, toxicity
+from docloom.llm import embeddings, jaccard, licenses, media, mixing, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op2_sentencepiece": pieces.query,
     "op3_secret_scan": secrets.query,
+    "op4_embedding_neardup": embeddings.query,
     "op5_ngram_jaccard": jaccard.query,
     "op6_license_scan": licenses.query,
     "op7_matroska": media.query,

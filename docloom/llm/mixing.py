@@ -18,6 +18,8 @@ from docloom.llm.common import materialize, text_of
 BITS, STEP = 60, 10
 #: Rows of each source in the last join are dealt over so many keys.
 SALTS = 64
+#: Rows of a threshold table (one a source) that is broadcast when whole documents are joined.
+BROADCAST_SOURCES = 100_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -90,6 +92,15 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     ).select("source", "source_size", "target", F.coalesce("full", F.lit(0).cast("long")).alias("full"), F.coalesce("below", F.lit(0).cast("long")).alias("below"))
 
 
+def _cuts(docs: DataFrame, text: str, source: str, id_col: str, weights: tuple[int, ...], share: tuple[int, int], cap: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with size and hash, thresholds), both as written tables."""
+    t = text_of(text)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(t).alias("size"), row_hash(F.col(id_col), t).alias("h"))
+    sized = materialize(sized, "sized")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return sized, materialize(thresholds(sized, source_targets(totals, weights, share, cap)), "cuts")
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for each row of ``docs``.
 
@@ -100,11 +111,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     go together. An empty table gives an empty result. Other columns of ``docs``
     are not read. The same rows give the same mix in any order and partitioning.
     """
-    t = text_of(text)
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(t).alias("size"), row_hash(F.col(id_col), t).alias("h"))
-    sized = materialize(sized, "sized")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    cuts = materialize(thresholds(sized, source_targets(totals, weights, share, cap)), "cuts")
+    sized, cuts = _cuts(docs, text, source, id_col, weights, share, cap)
     dealt = cuts.select(F.col("source").alias("cut_source"), "source_size", "target", "full", "below", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("cut_salt"))
     copies = F.col("full") + (F.col("h") < F.col("below")).cast("long")
     return (
@@ -115,6 +122,25 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     )
 
 
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it; columns stay as they are.
+
+    The thresholds are broadcast while they are few, which leaves the texts
+    where they lie; beyond that they are joined by salted keys.
+    """
+    _, cuts = _cuts(docs, text, source, id_col, weights, share, cap)
+    cuts = cuts.select(F.col("source").alias("cut_source_"), "full", "below")
+    rows = docs.withColumn("h_", row_hash(F.col(id_col), text_of(text)))
+    same = F.col(source).eqNullSafe(F.col("cut_source_"))
+    if cuts.count() <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(cuts), same)
+    else:
+        dealt = cuts.withColumn("cut_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(dealt, same & (F.pmod("h_", F.lit(SALTS)).cast("int") == F.col("cut_salt_")))
+    copies = F.least(F.col("full") + (F.col("h_") < F.col("below")).cast("long"), F.lit(cap).cast("long"))
+    return joined.withColumn("copy_", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents: sizes, targets and words taken, a row a document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -1,6 +1,557 @@
-"""The registered queries and their DuckDB counterparts."""
+"""The registered queries and their DuckDB counterparts, each over whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from docloom.functions import text as T
+from docloom.functions import vectors as V
+from docloom.operators import chunk, evaluate, grounding, registry, rerank, search, structure
+from docloom.session import table
+from docloom.sources import io
+from docloom.streaming import ingest
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- vectors and search
+E_SQL = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT *, sqrt(list_inner_product(v, v)) AS nv FROM e),
+s AS (SELECT q.vec_id AS qid, c.vec_id AS cid, c.label, round(list_inner_product(q.v, c.v) / (q.nv * c.nv), 6) + 0 AS score
+      FROM n q, n c WHERE q.vec_id % 50 = 0)"""
+
+
+def _top_sql(name: str, where: str, k: int) -> str:
+    return f", {name} AS (SELECT * FROM (SELECT qid, cid, label, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rk FROM s WHERE {where}) WHERE rk <= {k})"
+
+
+def _fused_sql(*names: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT qid, cid, 1.0 / (rk + 1) AS part FROM {n}" for n in names)
+    return f", f AS (SELECT qid, cid, round(sum(CAST(part AS DOUBLE)), 6) AS score FROM ({rows}) GROUP BY qid, cid), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rk FROM f)"
+
+
+def _vectors(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings")
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v"), "label")
+
+
+@query(E_SQL + _top_sql("t", "true", 30) + " SELECT qid, cid, score, rk FROM t")
+def knn_topk_cosine(spark, d: str) -> DataFrame:
+    q, c = _vectors(spark, d)
+    return search.knn(q, c)
+
+
+@query(E_SQL + _top_sql("t", "label % 2 = 0", 30) + " SELECT qid, cid, score, rk FROM t")
+def knn_filtered_topk(spark, d: str) -> DataFrame:
+    q, c = _vectors(spark, d)
+    return search.knn(q, c.where("label % 2 = 0"))
+
+
+@query(E_SQL + _top_sql("a", "label % 2 = 0", 30) + _top_sql("b", "label % 3 = 0", 30) + _fused_sql("a", "b") + " SELECT qid, cid, score, rk FROM o WHERE rk <= 30")
+def rrf_fuse_two_branches(spark, d: str) -> DataFrame:
+    q, c = _vectors(spark, d)
+    return search.fuse([search.knn(q, c.where("label % 2 = 0")), search.knn(q, c.where("label % 3 = 0"))])
+
+
+@query(E_SQL + _top_sql("a", "true", 30) + _top_sql("b", "label % 2 = 0", 5) + _top_sql("c", "label % 3 = 0", 5) + _fused_sql("a", "b", "c") + " SELECT qid, cid, score, rk FROM o WHERE rk <= 30")
+def rrf_asymmetric_budgets(spark, d: str) -> DataFrame:
+    q, c = _vectors(spark, d)
+    return search.fuse([search.knn(q, c, search.DENSE_K), search.knn(q, c.where("label % 2 = 0"), search.SPARSE_K), search.knn(q, c.where("label % 3 = 0"), search.REWRITE_K)])
+
+
+def _candidates(spark, d: str) -> DataFrame:
+    q, c = _vectors(spark, d)
+    hits = search.knn(q, c)
+    return hits.join(c.select("cid", F.col("label").alias("doc")), "cid").select("qid", "cid", "doc", "score", F.col("rk").alias("pos"))
+
+
+@query(E_SQL + _top_sql("t", "true", 30) + ", m AS (SELECT *, max(score) OVER (PARTITION BY qid) * 0.10 AS cut FROM t) SELECT qid, cid, score, rk AS pos FROM m WHERE score >= cut")
+def rerank_tail_cut(spark, d: str) -> DataFrame:
+    return rerank.tail_cut(_candidates(spark, d)).select("qid", "cid", "score", "pos")
+
+
+@query(E_SQL + _top_sql("t", "true", 30) + """
+, a AS (SELECT qid, cid, label AS doc, score, rk AS pos, max(score) OVER (PARTITION BY qid) * 0.5 AS cut, count(DISTINCT label) OVER (PARTITION BY qid) AS nd FROM t)
+, b AS (SELECT *, score >= cut AS ok FROM a)
+, b2 AS (SELECT *, row_number() OVER (PARTITION BY qid, doc, ok ORDER BY score DESC, pos) AS rd FROM b)
+, c AS (SELECT *, ok AND (nd < 2 OR rd <= 2) AS elig FROM b2)
+, g AS (SELECT *, elig AND row_number() OVER (PARTITION BY qid, elig ORDER BY score DESC, pos) <= 5 AS p1 FROM c)
+, h AS (SELECT *, count(*) FILTER (p1) OVER (PARTITION BY qid) AS n1, bool_or(p1) OVER (PARTITION BY qid, doc) AS taken,
+               row_number() OVER (PARTITION BY qid, doc ORDER BY score DESC, pos) AS rdoc FROM g)
+, i AS (SELECT *, nd > 1 AND NOT taken AND rdoc = 1 AS cand FROM h)
+, j AS (SELECT *, cand AND row_number() OVER (PARTITION BY qid, cand ORDER BY score DESC, pos) <= 5 - n1 AS p2 FROM i)
+SELECT qid, cid, doc, score, pos, row_number() OVER (PARTITION BY qid ORDER BY score DESC, p1 DESC, pos) AS rk FROM j WHERE p1 OR p2""")
+def rerank_diversity_select(spark, d: str) -> DataFrame:
+    return rerank.select_diverse(_candidates(spark, d), k=5, cap=2, ratio=0.5)
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM e) SELECT vec_id, i - 1 AS p, round(v[i] / sqrt(list_inner_product(v, v)), 6) + 0 AS x FROM x""")
+def vector_l2_normalise(spark, d: str) -> DataFrame:
+    unit = table(spark, d, "embeddings").select("vec_id", F.posexplode(V.l2_normalise(F.col("embedding"))).alias("p", "x"))
+    return unit.select("vec_id", F.col("p").cast("long").alias("p"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+CENTROID_SQL = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT label, v[i] AS x, i FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM e)),
+m AS (SELECT label, i, avg(x) AS m FROM p GROUP BY label, i),
+g AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label),
+u AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) AS c FROM g)"""
+
+
+@query(CENTROID_SQL + " SELECT label, unnest(range(0, len(c))) AS p, round(unnest(c), 6) + 0 AS x FROM u")
+def class_centroids(spark, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("label", F.col("embedding").alias("v"))
+    return evaluate.centroids(e, "label").select("label", F.posexplode("c").alias("p", "x")).select("label", F.col("p").cast("long").alias("p"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query(CENTROID_SQL + """
+, s AS (SELECT vec_id, u.label AS intent, round(list_inner_product(v, c) / sqrt(list_inner_product(v, v)), 6) + 0 AS sim FROM e, u)
+, o AS (SELECT vec_id, max(sim) AS best, arg_min(intent, {'a': -sim, 'b': intent}) AS name FROM s WHERE intent <> 0 GROUP BY vec_id)
+, z AS (SELECT vec_id, sim AS base FROM s WHERE intent = 0)
+SELECT vec_id AS id, CASE WHEN round(best - base, 6) < 0.05 THEN 0 ELSE name END AS intent, round(best - base, 6) + 0 AS margin_ FROM o JOIN z USING (vec_id)""")
+def nearest_centroid_route(spark, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    c = evaluate.centroids(e.select("label", F.col("embedding").alias("v")), "label").select(F.col("label").alias("intent"), "c")
+    return evaluate.classify_by_centroid(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), c, 0).withColumn("margin_", F.col("margin_") + 0.0)
+
+
+# ---------------------------------------------------------------- text
+@query("""SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(coalesce(text, ''), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), chr(160), ' '), chr(173), '') AS clean FROM documents""")
+def clean_ligatures(spark, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.normalise_unicode(F.coalesce("text", F.lit(""))).alias("clean"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(replace(coalesce(text, ''), ' of ', '-' || chr(10)), '([A-Za-z]+)-\n([a-z]+)', '\1-\2', 'g') AS clean FROM documents""")
+def clean_hyphen_join(spark, d: str) -> DataFrame:
+    broken = F.replace(F.coalesce("text", F.lit("")), F.lit(" of "), F.lit("-\n"))
+    return table(spark, d, "documents").select("doc_id", T.join_hyphenated(broken).alias("clean"))
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, replace(coalesce(text, ''), '. ', '.' || chr(10) || '12' || chr(10) || chr(10) || '--- PAGE 3 ---' || chr(10)) || chr(10) || '99' AS t FROM documents),
+q AS (SELECT doc_id, regexp_replace(t, '\n[ \t]*[0-9]+[ \t]*\n+(--- PAGE [0-9]+ ---)', chr(10) || '\1', 'g') AS t FROM p),
+r AS (SELECT doc_id, regexp_replace(t, '\n[ \t]*[0-9]+[ \t]*\n*$', chr(10)) AS t FROM q)
+SELECT doc_id, regexp_replace(t, '\n---[ \t]*PAGE[ \t]*[0-9]+[ \t]*---\n', chr(10), 'g') AS clean FROM r""")
+def clean_page_footers(spark, d: str) -> DataFrame:
+    paged = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n12\n\n--- PAGE 3 ---\n")), F.lit("\n99"))
+    return table(spark, d, "documents").select("doc_id", T.remove_page_markers(T.remove_footer_numbers(paged)).alias("clean"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+s AS (SELECT doc_id, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS l FROM l),
+n AS (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM s WHERE l <> ''),
+k AS (SELECT * FROM n WHERE prev IS NULL OR prev <> l),
+b AS (SELECT k.*, lag(k.pos) OVER (PARTITION BY k.doc_id ORDER BY k.pos) AS pp FROM k),
+c AS (SELECT doc_id, pos, sum(CASE WHEN l = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS blanks FROM s),
+g AS (SELECT b.doc_id, b.pos, b.l, b.pp, c1.blanks - coalesce(c0.blanks, 0) AS between_ FROM b JOIN c c1 ON b.doc_id = c1.doc_id AND b.pos = c1.pos LEFT JOIN c c0 ON b.doc_id = c0.doc_id AND b.pp = c0.pos),
+o AS (SELECT doc_id, string_agg(CASE WHEN pp IS NULL THEN '' WHEN between_ > 0 THEN chr(10) || chr(10) ELSE chr(10) END || l, '' ORDER BY pos) AS clean FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(o.clean, '') AS clean FROM documents d LEFT JOIN o USING (doc_id)""")
+def normalise_lines(spark, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.normalise_lines(F.coalesce("text", F.lit(""))).alias("clean"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' ELSE concat_ws(',',
+  CASE WHEN regexp_matches(text, '--- PAGE [0-9]+ ---') THEN 'page markers' END, CASE WHEN regexp_matches(text, '(?m)^Contents$') THEN 'table of contents' END,
+  CASE WHEN contains(text, 'Legislation as at') THEN 'publisher blurb' END, CASE WHEN regexp_matches(text, '(?m)\.{5,}\s+[0-9]+\s*$') THEN 'TOC page leaders' END,
+  CASE WHEN contains(text, 'ﬁ') THEN 'fi ligature' END, CASE WHEN contains(text, 'ﬂ') THEN 'fl ligature' END, CASE WHEN contains(text, 'ﬀ') THEN 'ff ligature' END,
+  CASE WHEN contains(text, 'ﬃ') THEN 'ffi ligature' END, CASE WHEN contains(text, 'ﬄ') THEN 'ffl ligature' END,
+  CASE WHEN regexp_matches(text, '[\x00-\x08\x0B-\x1F]') THEN 'control characters' END, CASE WHEN regexp_matches(text, '\n\s*\n\s*\n') THEN 'blank lines' END) END AS errors
+FROM documents""")
+def text_quality_errors(spark, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(chunk.text_errors(F.coalesce("text", F.lit(""))), ",").alias("errors"))
+
+
+@query("SELECT md5(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicate_texts(spark, d: str) -> DataFrame:
+    return chunk.duplicates(table(spark, d, "documents").select(F.md5("text").alias("digest")), "digest")
+
+
+def _units(spark, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), F.lit("2024").alias("version"), F.col("source").alias("title"), F.col("lang").alias("language"),
+        F.array(F.lit("Part 1"), F.concat(F.lit("Section "), F.col("doc_id").cast("string"))).alias("path"), "text")
+
+
+CHUNK_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d WHERE length(t) > 4000),
+f AS (
+  SELECT doc_id, i, x, CASE WHEN length(x) > 4000 THEN 0 ELSE length(x) + 1 END AS size, CAST(1 AS BIGINT) AS grp, length(x) > 4000 AS hard FROM l WHERE i = 1
+  UNION ALL
+  SELECT l.doc_id, l.i, l.x,
+    CASE WHEN length(l.x) > 4000 THEN 0 WHEN f.hard OR (f.size > 0 AND f.size + length(l.x) + 1 > 4000) THEN length(l.x) + 1 ELSE f.size + length(l.x) + 1 END,
+    CASE WHEN length(l.x) > 4000 OR f.hard OR (f.size > 0 AND f.size + length(l.x) + 1 > 4000) THEN f.grp + 1 ELSE f.grp END, length(l.x) > 4000
+  FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1),
+g AS (SELECT doc_id, grp, bool_or(hard) AS hard, string_agg(x, chr(10) ORDER BY i) AS body FROM f GROUP BY doc_id, grp),
+h AS (SELECT doc_id, grp, unnest(range(0, length(body), 4000)) AS o, body FROM g WHERE hard),
+a AS (SELECT doc_id, grp, 0 AS o, body AS content FROM g WHERE NOT hard UNION ALL SELECT doc_id, grp, o, substr(body, o + 1, 4000) FROM h UNION ALL SELECT doc_id, 1, 0, t FROM d WHERE length(t) <= 4000),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp, o) AS part, count(*) OVER (PARTITION BY doc_id) AS part_count FROM a WHERE trim(content, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+c AS (SELECT 'doc-' || doc_id AS document_id, CASE WHEN part_count > 1 THEN 'doc-' || doc_id || '@v2024-part-1-section-' || doc_id || '-part-' || part ELSE 'doc-' || doc_id || '@v2024-part-1-section-' || doc_id END AS chunk_id, CAST(part AS BIGINT) AS part, CAST(part_count AS BIGINT) AS part_count, content FROM b)"""
+
+
+@query(CHUNK_SQL + " SELECT document_id, chunk_id, part, part_count, content FROM c")
+def chunk_documents(spark, d: str) -> DataFrame:
+    return chunk.build_chunks(_units(spark, d)).select("document_id", "chunk_id", F.col("part").cast("long").alias("part"), F.col("part_count").cast("long").alias("part_count"), "content")
+
+
+@query(CHUNK_SQL + " SELECT document_id, count(*) AS chunks, count(*) FILTER (part_count > 1) AS split_chunks, CAST(max(length(content)) AS BIGINT) AS longest FROM c GROUP BY document_id")
+def chunk_stats(spark, d: str) -> DataFrame:
+    return chunk.chunk_stats(chunk.build_chunks(_units(spark, d))).withColumn("longest", F.col("longest").cast("long"))
+
+
+@query(CHUNK_SQL + """ SELECT unnest(['rows', 'duplicate_ids', 'colliding_points', 'missing_fields', 'empty_content', 'over_limit', 'no_path']) AS "check",
+ unnest([CAST(count(*) = 0 AS BIGINT), count(*) - count(DISTINCT chunk_id), 0, 0, 0, count(*) FILTER (length(content) > 4000), 0]) AS bad FROM c""")
+def chunk_constraints(spark, d: str) -> DataFrame:
+    chunks = chunk.build_chunks(_units(spark, d))
+    return chunk.chunk_errors(chunks, required=["chunk_id", "document_id", "version", "path", "content"])
+
+
+UUID_SQL = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
+
+
+@query(f"""
+WITH a AS (SELECT sha1(unhex('{T.URL_NAMESPACE}') || encode('{T.POINT_NAMESPACE_NAME}')) AS h), n AS (SELECT replace({UUID_SQL}, '-', '') AS ns FROM a),
+b AS (SELECT doc_id, sha1(unhex((SELECT ns FROM n)) || encode('doc-' || doc_id || '@v2024')) AS h FROM documents)
+SELECT doc_id, {UUID_SQL} AS point_id FROM b""")
+def point_ids_uuid5(spark, d: str) -> DataFrame:
+    key = T.version_slug(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.lit("2024"))
+    return table(spark, d, "documents").select("doc_id", T.point_id(key).alias("point_id"))
+
+
+@query("""
+WITH x AS (SELECT doc_id, coalesce(source, '') AS cited, coalesce(CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN lang END, '') AS title, coalesce(text, '') AS body FROM documents),
+h AS (SELECT *, CASE WHEN title = '' OR (cited <> '' AND contains(lower(cited), lower(title))) THEN cited WHEN cited = '' THEN title ELSE cited || ': ' || title END AS head FROM x)
+SELECT doc_id, head, md5('Corpus' || CASE WHEN head <> '' THEN chr(10) || head ELSE '' END || chr(10) || chr(10) || body) AS digest FROM h""")
+def contextual_heading(spark, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    head = T.heading(F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, F.col("lang")), F.col("source"))
+    return docs.select("doc_id", head.alias("head"), F.md5(T.contextual_text(F.lit("Corpus"), head, F.coalesce("text", F.lit("")))).alias("digest"))
+
+
+@query(r"""
+WITH u AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[ \t\r\n\x0B\f]+', ' ', 'g'), ' .!?,;:') AS x FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN x IN ('hi', 'hey', 'hello', 'morning', 'good morning', 'good afternoon', 'good evening') THEN 'greeting'
+ WHEN x IN ('who are you', 'what are you', 'what is your name', 'what can you do') THEN 'identity' WHEN x IN ('thanks', 'thank you') THEN 'gratitude'
+ WHEN regexp_full_match(x, '(hello+|hey+|hi+|thanks? (a lot|so much|very much))') THEN CASE WHEN starts_with(x, 'thank') THEN 'gratitude' ELSE 'greeting' END END AS intent FROM u""")
+def intent_exact_match(spark, d: str) -> DataFrame:
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.exact_intent(F.col("text")).alias("intent"))
+
+
+REWRITE_SQL = r"""
+WITH p AS (SELECT item_id, unnest(string_split(text, '. ')) AS raw, unnest(range(0, len(string_split(text, '. ')))) AS pos FROM benchmark),
+c AS (SELECT item_id, pos, trim(regexp_replace(raw, '[ \t\r\n\x0B\f]+', ' ', 'g'), ' "''.;,') AS x FROM p),
+f AS (SELECT * FROM c WHERE x <> '' AND length(x) <= 120 AND NOT regexp_matches(x, '(?i)\b(?:article|art|section|sec|cap|chapter|part|schedule)\.?\s*\(?[0-9]|\bs\.\s*[0-9]|\bconstitution\b')
+  AND NOT regexp_matches(x, '\b(?:Act|Code)\b') AND NOT regexp_matches(x, '(?i)[0-9]|\b(?:NUMBERS)\b')),
+g AS (SELECT *, row_number() OVER (PARTITION BY item_id, lower(x) ORDER BY pos) AS k FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS rk FROM g WHERE k = 1)
+SELECT b.item_id, coalesce(string_agg(x, '|' ORDER BY pos), '') AS phrases FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id AND rk <= 3 GROUP BY b.item_id""".replace("NUMBERS", T.NUMBER_WORDS.replace(" ", "|"))
+
+
+@query(REWRITE_SQL)
+def rewrite_clean(spark, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", F.array_join(T.rewrite_clean(F.split("text", r"\. ", -1)), "|").alias("phrases"))
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(?:script\b.*?</script|style\b.*?</style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+ '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n\x0B\f]+', ' ', 'g'), ' ')) AS digest FROM pages""")
+def page_text(spark, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.md5(io.html_text(F.coalesce("html", F.lit("")))).alias("digest"))
+
+
+@query("""
+WITH p AS (SELECT source AS doc, doc_id, chr(10) || '--- PAGE ' || doc_id || ' ---' || chr(10) || chr(10) || coalesce(text, '') AS t FROM documents)
+SELECT doc, md5(string_agg(t, chr(10) ORDER BY doc_id)) AS digest, count(*) AS pages FROM p GROUP BY doc""")
+def pages_rebuilt(spark, d: str) -> DataFrame:
+    built = io.pages_to_text(table(spark, d, "documents").withColumnRenamed("source", "doc"), "doc", "doc_id", "text")
+    return built.select("doc", F.md5("text").alias("digest"), F.col("pages").cast("long").alias("pages"))
+
+
+# ---------------------------------------------------------------- lexical search
+POSTING_SQL = """
+p_{k} AS (SELECT {id} AS {k}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term, unnest(range(0, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')))) AS p FROM {t}),
+w_{k} AS (SELECT {k}, term, round(max(1.0 / (1.0 + ln(1.0 + CAST(p AS DOUBLE)))), 6) AS weight FROM p_{k} GROUP BY {k}, term)"""
+
+
+@query("WITH " + POSTING_SQL.format(k="doc_id", id="doc_id", t="documents") + " SELECT term, count(*) AS docs, CAST(sum(CAST(round(weight * 1000000) AS BIGINT)) AS BIGINT) AS micro_weight FROM w_doc_id GROUP BY term")
+def lexical_index(spark, d: str) -> DataFrame:
+    p = search.postings(table(spark, d, "documents"), "doc_id")
+    return p.groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.round(F.col("weight") * 1000000).cast("long")).alias("micro_weight"))
+
+
+SPARSE_SQL = "WITH " + POSTING_SQL.format(k="cid", id="doc_id", t="documents") + "," + POSTING_SQL.format(k="qid", id="item_id", t="benchmark") + """,
+h AS (SELECT qid, cid, round(sum(CAST(a.weight AS DOUBLE) * CAST(b.weight AS DOUBLE)), 6) AS score FROM w_qid a JOIN w_cid b USING (term) GROUP BY qid, cid),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rk FROM h)"""
+
+
+def _sparse(spark, d: str, k: int) -> DataFrame:
+    q = search.postings(table(spark, d, "benchmark").withColumnRenamed("item_id", "qid"), "qid")
+    return search.sparse_search(q, search.postings(table(spark, d, "documents").withColumnRenamed("doc_id", "cid"), "cid"), k)
+
+
+@query(SPARSE_SQL + " SELECT qid, cid, score, rk FROM o WHERE rk <= 5")
+def sparse_topk(spark, d: str) -> DataFrame:
+    return _sparse(spark, d, search.SPARSE_K)
+
+
+@query(SPARSE_SQL + """
+, t AS (SELECT * FROM o WHERE rk <= 5), b AS (SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY cid % 97, cid) AS rk FROM t)
+, f AS (SELECT qid, cid, round(sum(CAST(part AS DOUBLE)), 6) AS score FROM (SELECT qid, cid, 1.0 / (rk + 1) AS part FROM t UNION ALL SELECT qid, cid, 1.0 / (rk + 1) FROM b) GROUP BY qid, cid)
+SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rk FROM f""")
+def hybrid_search_text(spark, d: str) -> DataFrame:
+    lexical = _sparse(spark, d, search.SPARSE_K)
+    other = lexical.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("cid") % 97, "cid")))
+    return search.hybrid(other, lexical)
+
+
+# ---------------------------------------------------------------- grounding
+CLAIM_SQL = r"""
+WITH c AS (
+  SELECT item_id AS answer, pos, CASE WHEN pos < 2 THEN 'statement' ELSE 'qualification' END AS kind, 'b-' || (item_id + CASE WHEN pos = 2 THEN 1 ELSE 0 END) AS chunk_id,
+    CASE pos WHEN 0 THEN substr(text, 1, 60) || '.' WHEN 1 THEN substr(text, 1, 45) || ' ... ' || substr(text, 80, 30) ELSE substr(text, 10, 30) END AS quote
+  FROM (SELECT item_id, text, unnest([0, 1, 2]) AS pos FROM benchmark)),
+s AS (SELECT 'b-' || item_id AS chunk_id, text AS content FROM benchmark)"""
+FOLDED = grounding.DASHES + grounding.SINGLE_QUOTES + grounding.DOUBLE_QUOTES
+FOLD_TO = "-" * len(grounding.DASHES) + "''" * len(grounding.SINGLE_QUOTES) + '"' * len(grounding.DOUBLE_QUOTES)
+NORM_SQL = (
+    "trim(lower(regexp_replace(replace(regexp_replace(translate({x}, '" + FOLDED + "' || chr(160), '" + FOLD_TO + " '), "
+    r"'\((?:[a-z]{{1,3}}|[ivxl]{{1,6}}|[0-9]{{1,2}})\)', ' ', 'g'), '-', ' - '), '[ \t\r\n\x0B\f]+', ' ', 'g')), ' ')"
+)
+VERIFY_SQL = CLAIM_SQL + r""",
+j AS (SELECT c.*, s.content, s.chunk_id IS NOT NULL AS known FROM c LEFT JOIN s ON c.chunk_id = s.chunk_id AND CAST(substr(s.chunk_id, 3) AS BIGINT) = c.answer),
+k AS (SELECT *, list_filter(list_transform(regexp_split_to_array(quote, '\s*(?:\.\.\.+|…)\s*'), lambda x: trim(regexp_replace(trim(x, ' ' || chr(10)), '[.;,:]+$', ''), ' ' || chr(10))), lambda x: x <> '') AS parts FROM j),
+m AS (SELECT *, """ + NORM_SQL.format(x="content") + """ AS hay, list_transform(parts, lambda x: """ + NORM_SQL.format(x="x") + """) AS nd FROM k),
+v AS (SELECT answer, pos, kind, chunk_id, CASE WHEN NOT known THEN 'unknown_source'
+  WHEN len(parts) BETWEEN 1 AND 3 AND list_sum(list_transform(parts, lambda x: length(x))) >= 40 AND list_min(list_transform(parts, lambda x: length(x))) >= 10
+    AND strpos(hay, nd[1]) > 0 AND (len(nd) < 2 OR strpos(substr(hay, strpos(hay, nd[1]) + length(nd[1])), nd[2]) > 0) THEN NULL ELSE 'unsupported_quote' END AS failure FROM m)"""
+
+
+def _claims(spark, d: str) -> DataFrame:
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("answer"), "text", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pos"))
+    quote = F.when(F.col("pos") == 0, F.concat(F.substring("text", 1, 60), F.lit("."))).when(F.col("pos") == 1, F.concat(F.substring("text", 1, 45), F.lit(" ... "), F.substring("text", 80, 30))).otherwise(F.substring("text", 10, 30))
+    claims = b.select("answer", "pos", F.when(F.col("pos") < 2, "statement").otherwise("qualification").alias("kind"), F.concat(F.lit("b-"), (F.col("answer") + (F.col("pos") == 2).cast("long")).cast("string")).alias("chunk_id"), quote.alias("quote"))
+    sources = table(spark, d, "benchmark").select(F.col("item_id").alias("answer"), F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("chunk_id"), F.col("text").alias("content"))
+    return grounding.verify(claims, sources)
+
+
+@query(VERIFY_SQL + " SELECT answer, pos, kind, chunk_id, failure FROM v")
+def quote_verification(spark, d: str) -> DataFrame:
+    return _claims(spark, d).select("answer", "pos", "kind", "chunk_id", "failure")
+
+
+@query(VERIFY_SQL + """, n AS (SELECT answer, count(*) FILTER (failure IS NULL) AS kept, count(*) FILTER (failure IS NOT NULL) AS lost FROM v WHERE kind = 'statement' GROUP BY answer)
+SELECT item_id AS answer, item_id % 5 <> 0 AND NOT (item_id % 5 <> 0 AND coalesce(kept, 0) <= coalesce(lost, 0)) AS sufficient, coalesce(kept, 0) AS kept, coalesce(lost, 0) AS lost, item_id % 5 <> 0 AND coalesce(kept, 0) <= coalesce(lost, 0) AS refused
+FROM benchmark LEFT JOIN n ON item_id = answer""")
+def grounding_downgrade(spark, d: str) -> DataFrame:
+    answers = table(spark, d, "benchmark").select(F.col("item_id").alias("answer"), (F.col("item_id") % 5 != 0).alias("sufficient"))
+    return grounding.downgrade(_claims(spark, d), answers)
+
+
+@query(VERIFY_SQL + """, o AS (SELECT answer, chunk_id, min(CASE WHEN kind = 'statement' THEN 0 ELSE 10 END + pos) AS o FROM v WHERE failure IS NULL GROUP BY answer, chunk_id)
+SELECT answer, chunk_id, row_number() OVER (PARTITION BY answer ORDER BY o) AS rk FROM o""")
+def cited_sources_order(spark, d: str) -> DataFrame:
+    return grounding.cited_order(_claims(spark, d))
+
+
+# ---------------------------------------------------------------- evaluation
+RESULT_SELECT = """SELECT d.doc_id AS id, d.lang AS suite, d.doc_id % 7 <> 0 AS answerable, quality = 1 AS retrieval_hit, quality = 1 AND toxic = 0 AS rerank_hit,
+ quality = 1 AND toxic = 0 AND d.doc_id % 2 = 0 AS rerank_top1, toxic = 0 AS sufficient, quality = 1 AS cited_expected, d.doc_id % 3 AS ungrounded, d.doc_id % 11 = 0 AS refused_by_grounding,
+ CASE WHEN toxic = 0 THEN quality = 1 END AS answer_quality, CASE d.doc_id % 4 WHEN 0 THEN 'overclaims' WHEN 1 THEN 'misreads' WHEN 2 THEN 'incomplete' END AS judge_defect"""
+RESULT_SQL = f"WITH r AS ({RESULT_SELECT} FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def _results(spark, d: str) -> DataFrame:
+    joined = table(spark, d, "documents").alias("d").join(table(spark, d, "labels").withColumnRenamed("doc_id", "l_id"), F.col("d.doc_id") == F.col("l_id"), "left")
+    return joined.selectExpr(*[c.strip() for c in _columns(RESULT_SELECT.removeprefix("SELECT "))])
+
+
+def _columns(text: str) -> list[str]:
+    """Splits a select list at its commas outside CASE (the list has no other commas)."""
+    return text.replace("\n", " ").split(",")
+
+
+PASS_SQL = {0: "(NOT answerable OR coalesce(retrieval_hit, false))", 1: "(NOT answerable OR coalesce(rerank_hit, false))", 2: "(CASE WHEN answerable THEN coalesce(rerank_hit, false) AND coalesce(sufficient, false) ELSE NOT coalesce(sufficient, true) END)"}
+
+
+@query(RESULT_SQL + " SELECT suite, " + ", ".join(f"count(*) FILTER (answerable AND {c}) AS {c}_passed, count({c}) FILTER (answerable) AS {c}_total" for c in ("retrieval_hit", "rerank_hit", "rerank_top1")) + f""",
+ count(*) AS questions, count(*) FILTER (answerable) AS answerable, count(*) FILTER (NOT answerable) AS out_of_scope, count(*) FILTER ({PASS_SQL[2]}) AS passed,
+ count(*) FILTER (sufficient = answerable) AS refusal_correct_passed, count(sufficient) AS refusal_correct_total, count(*) FILTER (answerable AND NOT sufficient) AS false_refusal, count(*) FILTER (NOT answerable AND sufficient) AS false_answer,
+ count(*) FILTER (answerable AND sufficient AND NOT cited_expected) AS wrong_authority, CAST(sum(ungrounded) AS BIGINT) AS ungrounded_claims, count(*) FILTER (ungrounded > 0) AS answers_with_ungrounded,
+ count(*) FILTER (refused_by_grounding AND answerable) AS grounding_refused_answerable, count(*) FILTER (refused_by_grounding AND NOT answerable) AS grounding_refused_out_of_scope,
+ count(*) FILTER (answer_quality) AS answer_quality_passed, count(answer_quality) AS answer_quality_total, count(*) FILTER (sufficient AND answer_quality IS NULL) AS not_judged FROM r GROUP BY suite""")
+def eval_ratio_metrics(spark, d: str) -> DataFrame:
+    return evaluate.suite_metrics(_results(spark, d), 2)
+
+
+@query(RESULT_SQL + f" SELECT id, {PASS_SQL[0]} AS t0, {PASS_SQL[1]} AS t1, {PASS_SQL[2]} AS t2, sufficient = answerable AS refusal_correct, coalesce(answerable AND NOT sufficient, false) AS false_refusal, coalesce(NOT answerable AND sufficient, false) AS false_answer, coalesce(answerable AND sufficient AND NOT cited_expected, false) AS wrong_authority FROM r")
+def eval_tier_pass(spark, d: str) -> DataFrame:
+    return evaluate.outcome_flags(_results(spark, d)).select("id", *[evaluate.passed(t).alias(f"t{t}") for t in range(3)], "refusal_correct", "false_refusal", "false_answer", "wrong_authority")
+
+
+@query(RESULT_SQL + f""", c AS (SELECT id, suite, {PASS_SQL[1]} AS ok FROM r WHERE id % 5 <> 0 AND suite <> 'de'), b AS (SELECT id, suite, {PASS_SQL[2]} AS ok FROM r WHERE id % 6 <> 0),
+b2 AS (SELECT * FROM b WHERE suite IN (SELECT suite FROM c)),
+j AS (SELECT coalesce(c.id, b2.id) AS id, c.ok AS now, b2.ok AS was FROM c FULL JOIN b2 ON c.id = b2.id),
+k AS (SELECT id, CASE WHEN was IS NULL THEN 'new' WHEN now IS NULL THEN 'removed' WHEN was AND NOT now THEN 'regressed' WHEN NOT was AND now THEN 'improved' END AS change FROM j)
+SELECT id, change FROM k WHERE change IS NOT NULL""")
+def eval_compare_runs(spark, d: str) -> DataFrame:
+    r = _results(spark, d)
+    now = r.where("id % 5 <> 0 and suite <> 'de'").select("id", "suite", evaluate.passed(1).alias("ok"))
+    return evaluate.compare_runs(now, r.where("id % 6 <> 0").select("id", "suite", evaluate.passed(2).alias("ok")))
+
+
+@query(RESULT_SQL + """, m AS (SELECT suite, 'retrieval_hit' AS metric, count(*) FILTER (retrieval_hit) AS p, count(retrieval_hit) AS t FROM r GROUP BY suite UNION ALL SELECT suite, 'rerank_hit', count(*) FILTER (rerank_hit), count(rerank_hit) FROM r GROUP BY suite),
+b AS (SELECT suite, 'retrieval_hit' AS metric, count(*) FILTER (retrieval_hit) AS p, count(retrieval_hit) AS t FROM r WHERE id % 2 = 0 GROUP BY suite)
+SELECT suite, metric, round(100.0 * b.p / b.t, 6) AS before, round(100.0 * m.p / m.t, 6) AS after, round(CAST(100.0 AS DOUBLE) * m.p / m.t - CAST(100.0 AS DOUBLE) * b.p / b.t, 6) AS delta FROM m JOIN b USING (suite, metric) WHERE m.t > 0 AND b.t > 0""")
+def eval_metric_deltas(spark, d: str) -> DataFrame:
+    r = _results(spark, d)
+    metric = lambda rows, c: rows.groupBy("suite").agg(F.lit(c).alias("metric"), F.count_if(c).alias("passed"), F.count(c).alias("total"))
+    return evaluate.metric_deltas(metric(r, "retrieval_hit").unionByName(metric(r, "rerank_hit")), metric(r.where("id % 2 = 0"), "retrieval_hit"))
+
+
+@query(RESULT_SQL + ", n AS (SELECT judge_defect, count(*) AS n FROM r WHERE NOT answer_quality AND judge_defect IS NOT NULL GROUP BY judge_defect) SELECT judge_defect, n, row_number() OVER (ORDER BY n DESC, judge_defect) AS rk FROM n")
+def eval_defect_histogram(spark, d: str) -> DataFrame:
+    return evaluate.defect_histogram(_results(spark, d))
+
+
+@query(RESULT_SQL + f" SELECT suite, count(*) AS questions, count(*) FILTER ({PASS_SQL[1]}) AS passed, CAST(grouping(suite) AS INTEGER) AS overall FROM r GROUP BY ROLLUP (suite)")
+def eval_rollup_suites(spark, d: str) -> DataFrame:
+    return evaluate.rollup_suites(_results(spark, d))
+
+
+RUN_SELECT = """SELECT event_id AS run, event_id % 13 <> 0 AS has_scope, CASE WHEN event_id % 17 <> 0 THEN event_id % 3 END AS tier, event_id % 11 = 0 AS selected_ids, event_id % 7 = 0 AS one_document, CASE WHEN event_id % 4 <> 0 THEN event_id % 5 <> 0 END AS reranked,
+ event_id % 2 = 0 AS rewrite, event_id % 6 < 3 AS pipeline_rewrite, event_id % 8 < 5 AS rerank_rewrites, event_id % 9 AS cache_hits"""
+
+
+@query(f"""WITH r AS ({RUN_SELECT} FROM events) SELECT run, CASE WHEN NOT has_scope OR tier IS NULL THEN 'no scope recorded' WHEN selected_ids THEN 'selected questions only' WHEN one_document THEN 'one document only' WHEN NOT coalesce(reranked, true) THEN 'reranking was off'
+ WHEN rewrite <> pipeline_rewrite THEN 'rewriting differs from the pipeline' WHEN rewrite AND tier >= 1 AND NOT rerank_rewrites THEN 'reranker did not read the rewrites' WHEN cache_hits > 0 THEN 'cached results' END AS refusal FROM r""")
+def promotion_guard(spark, d: str) -> DataFrame:
+    runs = table(spark, d, "events").selectExpr(*_columns(RUN_SELECT.removeprefix("SELECT ")))
+    return runs.select("run", evaluate.promotion_refusal().alias("refusal"))
+
+
+@query("""WITH r AS (SELECT event_id AS run, event_id % 3 AS tier, 30 AS top_k, event_id % 2 = 0 AS reranked, event_id % 5 AS corpus, event_id % 4 AS b_tier, 30 AS b_top_k, event_id % 6 < 3 AS b_reranked, CASE WHEN event_id % 7 <> 0 THEN event_id % 5 END AS b_corpus FROM events)
+SELECT run, concat_ws(',', CASE WHEN tier IS DISTINCT FROM b_tier THEN 'tier' END, CASE WHEN top_k IS DISTINCT FROM b_top_k THEN 'top_k' END, CASE WHEN reranked IS DISTINCT FROM b_reranked THEN 'reranked' END, CASE WHEN corpus IS DISTINCT FROM b_corpus THEN 'corpus' END) AS reasons FROM r""")
+def eval_incomparable(spark, d: str) -> DataFrame:
+    e = table(spark, d, "events").selectExpr("event_id run", "event_id % 3 tier", "30 top_k", "event_id % 2 = 0 reranked", "true rewrite", "event_id % 5 corpus", "event_id % 4 b_tier", "30 b_top_k", "event_id % 6 < 3 b_reranked", "true b_rewrite", "case when event_id % 7 <> 0 then event_id % 5 end b_corpus")
+    return e.select("run", F.array_join(evaluate.incomparable_reasons(), ",").alias("reasons"))
+
+
+@query("""WITH q AS (SELECT item_id AS id, unnest(['c-' || item_id, 'c-' || (item_id * 7)]) AS expected FROM benchmark), c AS (SELECT 'c-' || doc_id AS chunk_id FROM documents WHERE doc_id % 3 <> 0)
+SELECT id, expected FROM q WHERE expected NOT IN (SELECT chunk_id FROM c)""")
+def expected_not_in_corpus(spark, d: str) -> DataFrame:
+    name = lambda c: F.concat(F.lit("c-"), c.cast("string"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.array(name(F.col("item_id")), name(F.col("item_id") * 7)).alias("expect_any_of"))
+    return evaluate.missing_expected(q, table(spark, d, "documents").where("doc_id % 3 <> 0").select(name(F.col("doc_id")).alias("chunk_id")))
+
+
+@query(E_SQL + _top_sql("t", "true", 30) + """, g AS (SELECT qid, min(CASE WHEN label = (SELECT label FROM embeddings x WHERE x.vec_id = qid) AND cid <> qid THEN rk END) AS first FROM t GROUP BY qid) SELECT qid, first, first IS NOT NULL AS hit FROM g""")
+def eval_first_rank(spark, d: str) -> DataFrame:
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("label").alias("own"))
+    rows = _candidates(spark, d).join(own, "qid").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "cid"))).alias("r"), F.collect_list(F.when((F.col("doc") == F.col("own")) & (F.col("cid") != F.col("qid")), F.col("cid"))).alias("want"))
+    ranked = F.transform("r", lambda x: x["cid"])
+    return rows.select("qid", evaluate.first_rank(ranked, F.col("want")).cast("long").alias("first"), evaluate.hits(ranked, F.col("want")).alias("hit"))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS k, l_linenumber + CASE WHEN l_partkey % 4 = 0 THEN 1 ELSE 0 END AS n FROM lineitem), g AS (SELECT k, n, count(*) AS c FROM f GROUP BY k, n), t AS (SELECT k, max(n) AS top FROM f GROUP BY k),
+e AS (SELECT k, unnest(range(1, CAST(top AS BIGINT) + 1)) AS n FROM t), m AS (SELECT e.k, e.n FROM e LEFT JOIN g ON e.k = g.k AND e.n = g.n WHERE g.n IS NULL)
+SELECT t.k, coalesce((SELECT string_agg(n, ',' ORDER BY n) FROM m WHERE m.k = t.k), '') AS missing, coalesce((SELECT string_agg(n, ',' ORDER BY n) FROM g WHERE g.k = t.k AND c > 1), '') AS repeated FROM t""")
+def sequence_gaps(spark, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") + (F.col("l_partkey") % 4 == 0).cast("int")).alias("n"))
+    gaps = structure.sequence_gaps(rows.withColumn("top", F.col("n")), "k", "n", "top")
+    return gaps.select("k", F.array_join(F.array_sort("missing").cast("array<string>"), ",").alias("missing"), F.array_join(F.col("repeated").cast("array<string>"), ",").alias("repeated"))
+
+
+@query("""WITH f AS (SELECT doc_id AS id, quality = 1 AS ok FROM labels), a AS (SELECT * FROM f WHERE NOT ok ORDER BY id LIMIT 10), b AS (SELECT * FROM f WHERE ok ORDER BY id LIMIT (20 - (SELECT count(*) FROM a))) SELECT * FROM a UNION ALL SELECT * FROM b""")
+def review_sample(spark, d: str) -> DataFrame:
+    return evaluate.review_sample(table(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("ok")), 20)
+
+
+@query("""WITH c AS (SELECT doc_id % 40 AS c, CASE WHEN doc_id % 5 <> 0 THEN CASE quality WHEN 1 THEN 'stated' ELSE 'absent' END END AS expected, CASE WHEN doc_id % 9 <> 0 THEN CASE toxic WHEN 0 THEN 'stated' ELSE 'absent' END END AS found FROM labels)
+SELECT c AS "case", count(*) FILTER (expected = found) AS agreed, count(*) AS checks FROM c WHERE expected IS NOT NULL GROUP BY c""")
+def judge_agreement(spark, d: str) -> DataFrame:
+    c = table(spark, d, "labels").selectExpr("doc_id % 40 `case`", "case when doc_id % 5 <> 0 then case quality when 1 then 'stated' else 'absent' end end expected", "case when doc_id % 9 <> 0 then case toxic when 0 then 'stated' else 'absent' end end found")
+    return evaluate.agreement(c)
+
+
+@query("""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'timeout' END AS error, CASE WHEN doc_id % 8 <> 0 THEN toxic = 0 END AS responsive, CASE WHEN quality = 1 THEN 'none' ELSE 'misreads' END AS defect, [CASE WHEN doc_id % 3 = 0 THEN 'absent' ELSE 'stated' END, 'stated'] AS findings FROM labels)
+SELECT doc_id, CASE WHEN error IS NOT NULL OR responsive IS NULL THEN NULL ELSE responsive AND defect = 'none' AND findings[1] = 'stated' AND findings[2] = 'stated' END AS quality,
+ CASE WHEN defect <> 'none' THEN defect WHEN NOT responsive THEN 'unresponsive' WHEN findings[1] <> 'stated' THEN findings[1] END AS headline FROM v""")
+def judge_verdicts(spark, d: str) -> DataFrame:
+    v = table(spark, d, "labels").selectExpr("doc_id", "case when doc_id % 10 = 0 then 'timeout' end error", "case when doc_id % 8 <> 0 then toxic = 0 end responsive", "case when quality = 1 then 'none' else 'misreads' end defect", "array(case when doc_id % 3 = 0 then 'absent' else 'stated' end, 'stated') findings")
+    return v.select("doc_id", evaluate.quality().alias("quality"), evaluate.headline().alias("headline"))
+
+
+# ---------------------------------------------------------------- registry and cache
+def _registry(spark, d: str) -> DataFrame:
+    return table(spark, d, "documents").selectExpr("concat('d', cast(doc_id div 2 as string)) document_id", "concat('v', cast(doc_id % 2 as string)) version", "source title", "doc_id % 4 = 0 or doc_id % 6 = 1 in_force")
+
+
+REGISTRY_SQL = """WITH r AS (SELECT 'd' || (doc_id // 2) AS document_id, 'v' || (doc_id % 2) AS version, source AS title, doc_id % 4 = 0 OR doc_id % 6 = 1 AS in_force FROM documents)"""
+
+
+@query(REGISTRY_SQL + """ SELECT document_id, 'missing field' AS problem FROM r WHERE document_id IS NULL OR version IS NULL OR title IS NULL OR trim(title) = '' UNION ALL
+ SELECT document_id, 'repeated version' FROM r GROUP BY document_id, version HAVING count(*) > 1 UNION ALL SELECT document_id, 'several in force' FROM r GROUP BY document_id HAVING count(*) FILTER (in_force) > 1""")
+def registry_constraints(spark, d: str) -> DataFrame:
+    return registry.registry_errors(_registry(spark, d))
+
+
+@query(REGISTRY_SQL + """, q AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'd' || (doc_id // 2) || '@vv' || (doc_id % 2) WHEN doc_id % 3 = 1 THEN 'd' || (doc_id // 2) ELSE 'x' || doc_id END AS ref FROM documents WHERE doc_id % 2 = 0),
+s AS (SELECT document_id, count(*) AS n, count(*) FILTER (in_force) AS f, min(document_id || '@v' || version) AS only_, min(document_id || '@v' || version) FILTER (in_force) AS forced FROM r GROUP BY document_id),
+e AS (SELECT DISTINCT document_id || '@v' || version AS slug FROM r)
+SELECT ref, CASE WHEN e.slug IS NOT NULL THEN e.slug WHEN n = 1 THEN only_ WHEN f = 1 THEN forced END AS slug, CASE WHEN e.slug IS NOT NULL OR n = 1 OR f = 1 THEN 'resolved' WHEN n IS NOT NULL THEN 'ambiguous' ELSE 'unknown' END AS status
+FROM q LEFT JOIN e ON ref = e.slug LEFT JOIN s ON ref = s.document_id""")
+def registry_resolve(spark, d: str) -> DataFrame:
+    refs = table(spark, d, "documents").where("doc_id % 2 = 0").selectExpr("case when doc_id % 3 = 0 then concat('d', cast(doc_id div 2 as string), '@vv', cast(doc_id % 2 as string)) when doc_id % 3 = 1 then concat('d', cast(doc_id div 2 as string)) else concat('x', cast(doc_id as string)) end ref")
+    return registry.resolve(refs, _registry(spark, d))
+
+
+@query("""WITH p AS (SELECT source, sha256(doc_id || '|' || md5(coalesce(text, ''))) AS d FROM documents), b AS (SELECT source, substr(d, 1, 2) AS b, substr(d, 3, 2) AS b2, sha256(string_agg(d, ',' ORDER BY d)) AS d, count(*) AS n FROM p GROUP BY 1, 2, 3)
+SELECT source, sha256(string_agg(d, ',' ORDER BY b, b2)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY source""")
+def corpus_fingerprint(spark, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("source", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("checksum"))
+    return registry.fingerprint(rows, "source", "doc_id", "checksum")
+
+
+@query("""WITH w AS (SELECT doc_id, substr(sha256('["' || doc_id || '","' || coalesce(source, '') || '"]'), 1, 24) AS key FROM documents), c AS (SELECT key, doc_id * 10 AS value FROM w WHERE doc_id % 3 = 0) SELECT w.key, doc_id, value, c.key IS NOT NULL AS hit FROM w LEFT JOIN c USING (key)""")
+def cache_probe_join(spark, d: str) -> DataFrame:
+    wanted = table(spark, d, "documents").select(T.cache_key(F.col("doc_id"), F.coalesce("source", F.lit(""))).alias("key"), "doc_id")
+    return registry.probe(wanted, wanted.where("doc_id % 3 = 0").select("key", (F.col("doc_id") * 10).alias("value"))).select("key", "doc_id", "value", "hit")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS document_id, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate + INTERVAL 400 DAY AS DATE) AS b FROM orders) SELECT document_id FROM r WHERE a <= DATE '1995-06-17' AND b > DATE '1995-06-17'""")
+def registry_as_of(spark, d: str) -> DataFrame:
+    r = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderdate").cast("date").alias("effective_from"), F.date_add(F.col("o_orderdate").cast("date"), 400).alias("effective_to"))
+    return registry.as_of(r, "1995-06-17").select("document_id")
+
+
+# ---------------------------------------------------------------- structure
+def statute(c):
+    """Documents in the form of statutes: every sentence of a text becomes a section with a subsection."""
+    return F.concat(F.lit("Opening\nPart I – GENERAL\n"), F.array_join(F.transform(F.split(F.coalesce(c, F.lit("")), r"\.\s+"), lambda x, i: F.concat((i % 900 + 1).cast("string"), F.lit(".\nTitle\n(1)\n"), F.regexp_replace(x, r"\s+", " "))), "\n"))
+
+
+@query()
+def parse_act_structure(spark, d: str) -> DataFrame:
+    return structure.parse_acts(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), statute(F.col("text")).alias("text")))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
+def event_windows(spark, d: str) -> DataFrame:
+    return ingest.windowed_counts(table(spark, d, "events"))

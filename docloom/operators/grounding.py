@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docloom.functions.text import BLANK, strip
 
@@ -18,12 +19,12 @@ ENUMERATOR = r"\((?:[a-z]{1,3}|[ivxl]{1,6}|[0-9]{1,2})\)"
 ELLIPSIS = r"\s*(?:\.\.\.+|…)\s*"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.str.normalize("NFKC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(x: pd.Series) -> pd.Series:
     return x.str.casefold()
 

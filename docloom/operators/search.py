@@ -46,8 +46,8 @@ def knn(queries: DataFrame, passages: DataFrame, k: int = DENSE_K) -> DataFrame:
         raise ValueError("k is 1 or more")
     nq, nc = queries.count(), passages.count()
     bq, bc = max(1, -(-nq // QUERY_BLOCK)), max(1, -(-nc // PASSAGE_BLOCK))
-    q = queries.select(F.col("qid").cast("long"), "v", F.pmod(F.xxhash64("qid"), F.lit(bq)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("y"))
-    c = passages.select(F.col("cid").cast("long"), "v", F.pmod(F.xxhash64("cid"), F.lit(bc)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).cast("long").alias("x"))
+    q = queries.select(F.col("qid").cast("long"), "v", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("y"))
+    c = passages.select(F.col("cid").cast("long"), "v", F.pmod(F.xxhash64("cid"), F.lit(bc)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("x"))
     hits = q.groupBy("x", "y").cogroup(c.groupBy("x", "y")).applyInPandas(_top(k, ["qid", "cid", "score"]), "qid long, cid long, score double")
     return top_k(hits, k)
 

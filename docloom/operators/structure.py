@@ -85,16 +85,18 @@ def parse_constitutions(docs: DataFrame, preamble_end: str, key: str = "doc", te
     """As :func:`parse_acts` for constitutions: chapters and articles after the line ``preamble_end``, schedules as units."""
     n = lines(docs, key, text).withColumn("from_", F.min(F.when(F.col("l") == preamble_end, F.col("pos"))).over(Window.partitionBy(key)))
     n = n.where(F.col("pos") > F.col("from_"))
-    kd = F.when(F.col("l").rlike(C_SCHEDULE), "sched").when(F.col("l").rlike(C_CHAPTER), "chap").when(F.col("l").rlike(C_ARTICLE), "sec").when(F.col("l").rlike(SUBSECTION), "sub").when(F.col("l").rlike(C_PARAGRAPH), "par").otherwise("txt")
+    before = F.coalesce(F.lag("l").over(Window.partitionBy(key).orderBy("pos")), F.lit(""))
+    n = n.withColumn("named", before.rlike(C_CHAPTER))  # a chapter's next line is its title, whatever it looks like
+    kd = F.when(F.col("l").rlike(C_CHAPTER), "chap").when(F.col("named"), "name").when(F.col("l").rlike(C_SCHEDULE), "sched").when(F.col("l").rlike(C_ARTICLE), "sec").when(F.col("l").rlike(SUBSECTION), "sub").when(F.col("l").rlike(C_PARAGRAPH), "par").otherwise("txt")
     m = _running(n.withColumn("kd", kd), key, ["sched", "chap", "sec", "sub", "par"])
-    in_schedule = F.col("m_sched") >= 0
+    in_schedule = (F.col("m_sched") >= 0) & (F.col("m_sched") > F.col("m_chap"))
     sched = m.where(in_schedule & (F.col("kd") != "sched")).groupBy(key, "m_sched", "v_sched").agg(F.array_sort(F.collect_list(F.struct("pos", "l"))).alias("p"))
     sched = sched.withColumn("body", strip(F.array_join(F.transform("p", lambda x: x["l"]), "\n"))).where("body <> ''")
     schedules = sched.select(key, F.col("m_sched").alias("at"), F.lit("schedule").alias("unit_type"), F.row_number().over(Window.partitionBy(key).orderBy("m_sched")).cast("string").alias("number"), F.col("v_sched").alias("title"), F.array("v_sched").alias("path"), "body")
     sa = (F.col("m_sec") > F.col("m_chap")) & (F.col("m_chap") >= 0) & ~in_schedule
     ss = F.col("m_sub") > F.col("m_sec")
     sp = (F.col("m_par") > F.col("m_sub")) & ss
-    rows = m.where(sa & ~F.col("kd").isin("chap", "sec", "sched")).withColumns({
+    rows = m.where(sa & ~F.col("kd").isin("chap", "name", "sec", "sched")).withColumns({
         "number": F.regexp_extract("v_sec", C_ARTICLE, 1), "title": F.col("n_sec"), "chapter": F.concat(F.lit("Chapter "), F.regexp_extract("v_chap", C_CHAPTER, 1)),
         "marker": F.col("kd").isin("sub", "par") & ss, "k1": F.when(ss, 0).otherwise(1), "k2": F.when(ss, F.col("m_sub")).otherwise(F.col("pos")), "k3": F.when(sp, F.col("m_par")).otherwise(-1),
     }).where(F.col("marker") | (F.col("k1") == 0) | (F.col("l") != F.col("title")))
@@ -106,6 +108,6 @@ def parse_constitutions(docs: DataFrame, preamble_end: str, key: str = "doc", te
 
 def sequence_gaps(found: DataFrame, key: str, number: str, upto: str) -> DataFrame:
     """(key, missing, repeated): numbers of 1 to the largest ``upto`` that lack, and those that occur more than once."""
-    each = found.groupBy(key, number).agg(F.count("*").alias("n"), F.max(upto).alias("top"))
-    return each.groupBy(key).agg(F.array_sort(F.collect_list(number)).alias("have"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col(number)))).alias("repeated"), F.max("top").alias("top")).select(
+    each = found.groupBy(key, F.col(number).alias("number_")).agg(F.count("*").alias("n_"), F.max(upto).alias("top_"))
+    return each.groupBy(key).agg(F.array_sort(F.collect_list("number_")).alias("have"), F.array_sort(F.collect_list(F.when(F.col("n_") > 1, F.col("number_")))).alias("repeated"), F.max("top_").alias("top")).select(
         key, F.array_except(F.sequence(F.lit(1), F.col("top").cast("int")), F.transform("have", lambda x: x.cast("int"))).alias("missing"), "repeated")

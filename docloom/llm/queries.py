@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.llm import embeddings, jaccard, licenses, media, mixing, pieces, quality, secrets, toxicity
+from docloom.llm import embeddings, jaccard, licenses, media, mixing, pieces, quality, secrets, suffixes, toxicity
 
 QUERIES = {
+    "op1_suffix_array": suffixes.query,
     "op2_sentencepiece": pieces.query,
     "op3_secret_scan": secrets.query,
     "op4_embedding_neardup": embeddings.query,

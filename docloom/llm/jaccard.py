@@ -33,6 +33,8 @@ VALUES = ROWS * BANDS
 STEP, TOLERANCE = 16, 1e-5
 #: Classes and characters of a block.
 BLOCK, BLOCK_CHARS = 512, 4_000_000
+#: Distinct texts without words that are broadcast; more are joined by a shuffle.
+BROADCAST_BLANK = 100_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -224,7 +226,8 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = G
     cluster = connected_components(stars)
     sized = materialize(cluster.withColumnRenamed("node", "key").join(reps.select("key", "first_id", "copies"), "key").select("key", "first_id", "copies", F.col("component").alias("cluster")), "clusters")
 
-    members = base.join(sized.select(F.col("key").alias("k_"), F.col("first_id").alias("f_"), "copies", "cluster"), (F.col("key") == F.col("k_")) & F.col("id").eqNullSafe(F.col("f_")))
+    # Shuffled at every size: what is joined grows with the documents, so a plan that broadcasts it holds for small ones only.
+    members = base.join(sized.select(F.col("key").alias("k_"), F.col("first_id").alias("f_"), "copies", "cluster").hint("merge"), (F.col("key") == F.col("k_")) & F.col("id").eqNullSafe(F.col("f_")))
     members = materialize(members.select("cluster", "key", "copies", "text"), "members")
     load = materialize(members.groupBy(F.col("cluster").alias("c_")).agg(F.count("*").alias("m"), F.sum(F.length("text")).alias("chars")).select(
         "c_", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")), "load")
@@ -265,12 +268,14 @@ def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n:
     Rows whose text has no words all stay. Columns and their order stay.
     """
     classes, _ = join(docs, text, id_col, n, threshold)
-    chosen = classes.where("not some or key = first_key").select(F.col("key").alias("k_"), F.col("first_id").alias("f_"), "some")
-    keyed = docs.withColumn("key_", F.unhex(F.md5(text_of(text))))
-    same = F.col(id_col).eqNullSafe(F.col("f_"))
-    worded = keyed.join(chosen.where("some"), (F.col("key_") == F.col("k_")) & same).dropDuplicates(["key_"])
-    blank = keyed.join(chosen.where("not some"), F.col("key_") == F.col("k_"))
-    return worded.select(*docs.columns).unionByName(blank.select(*docs.columns))
+    number, absent = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull()
+    keyed = docs.withColumns({"key_": F.unhex(F.md5(text_of(text))), "number_": number, "absent_": absent})
+    chosen = classes.where("some and key = first_key").select(F.col("key").alias("key_"), F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("number_"), F.col("first_id").isNull().alias("absent_"))
+    # Joined by text and id, so that copies of one text lie apart; repeated rows meet without another shuffle.
+    kept = keyed.join(chosen.hint("merge"), ["key_", "number_", "absent_"], "left_semi").dropDuplicates(["key_", "number_", "absent_"])
+    blank = classes.where("not some").select(F.col("key").alias("key_"))
+    wordless = keyed.join(F.broadcast(blank) if blank.count() <= BROADCAST_BLANK else blank, "key_", "left_semi")
+    return kept.select(*docs.columns).unionByName(wordless.select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -230,6 +230,8 @@ def _grouped(batches, columns: int):
 
 def _dealt(marks: np.ndarray, parts: int):
     """Packed marks by the group of documents that they belong to."""
+    if not len(marks):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["part", "marks"])
     part = _part(marks["ord"], marks["th"], parts)
     order = np.argsort(part, kind="stable")
     cut = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(order) else np.zeros(0, np.int64)

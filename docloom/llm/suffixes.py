@@ -134,13 +134,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Stretches:
-    """Stretches of a block of texts: document, first start, bytes, anchor and content hash."""
+    """Stretches of a block of texts: document, first start, bytes, anchor, its place in the stretch, and content hash."""
 
     def __init__(self, texts: list[bytes], length: int, gram: int):
         sizes = np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         n, window = len(data), length - gram + 1
-        self.doc = self.start = self.size = np.zeros(0, np.int64)
+        self.doc = self.start = self.size = self.at = np.zeros(0, np.int64)
         self.anchor = self.content = np.zeros(0, np.uint64)
         if n < length:
             return
@@ -175,7 +175,7 @@ class Stretches:
         stop = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
         self.doc, first = doc[edge], edge
         self.start, self.size = first - begin[self.doc], stop - first + length
-        self.anchor = g[at[edge]]
+        self.anchor, self.at = g[at[edge]], at[edge] - first
         self.content = _mix((sums[stop + length] - sums[first]) * power[first] + self.size.astype(np.uint64))
 
 
@@ -188,7 +188,7 @@ def _blocks(batches, column: int):
 
 
 MARKS = "part int, marks binary"
-MARK = np.dtype([("ord", "<i8"), ("th", "<i8"), ("start", "<u4"), ("size", "<u4"), ("anchor", "<u4"), ("sort", "<u1")])
+MARK = np.dtype([("ord", "<i8"), ("th", "<i8"), ("start", "<u4"), ("size", "<u4"), ("anchor", "<u4"), ("at", "<u1"), ("sort", "<u1")])
 
 
 def _anchored(length: int, gram: int, buckets: int):
@@ -201,20 +201,20 @@ def _anchored(length: int, gram: int, buckets: int):
             bucket = ((s.anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
-            names, cols = [], [[] for _ in range(7)]
+            names, cols = [], [[] for _ in range(8)]
             for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True) if len(order) else ():
                 x = order[a:b]
                 docs, local = np.unique(s.doc[x], return_inverse=True)
                 names.append(int(bucket[x[0]]))
                 content = s.content[x]
-                for col, v in zip(cols, (ords[docs], ths[docs], local.astype(np.uint16), s.start[x].astype(np.uint32), s.size[x].astype(np.uint8), s.anchor[x].astype(np.uint32), np.concatenate([content.astype(np.uint32).view(np.uint8), (content >> np.uint64(32)).astype(np.uint16).view(np.uint8)])), strict=True):
+                for col, v in zip(cols, (ords[docs], ths[docs], local.astype(np.uint16), s.start[x].astype(np.uint32), s.size[x].astype(np.uint8), s.anchor[x].astype(np.uint32), s.at[x].astype(np.uint8), np.concatenate([content.astype(np.uint32).view(np.uint8), (content >> np.uint64(32)).astype(np.uint16).view(np.uint8)])), strict=True):
                     col.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "ords", "ths", "doc", "start", "size", "anchor", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "ords", "ths", "doc", "start", "size", "anchor", "at", "content"])
 
     return run
 
 
-def _grouped(batches, columns: int):
+def _grouped(batches):
     """(key, rows) of rows sorted by their first column."""
     held, rows = None, []
     for batch in batches:
@@ -247,12 +247,12 @@ def _judged(parts: int):
     """Stretches of a bucket to marks: removed ones, and those whose suffixes must be sorted."""
 
     def run(batches):
-        for _, rows in _grouped(batches, 8):
-            arrays = [[np.frombuffer(r[k], t) for r in rows] for k, t in enumerate((np.int64, np.int64, np.uint16, np.uint32, np.uint8, np.uint32))]
-            content = np.concatenate([np.frombuffer(r[6], np.uint32, len(d)).astype(np.uint64) | np.frombuffer(r[6], np.uint16, len(d), 4 * len(d)).astype(np.uint64) << np.uint64(32) for r, d in zip(rows, arrays[2], strict=True)])
+        for _, rows in _grouped(batches):
+            arrays = [[np.frombuffer(r[k], t) for r in rows] for k, t in enumerate((np.int64, np.int64, np.uint16, np.uint32, np.uint8, np.uint32, np.uint8))]
+            content = np.concatenate([np.frombuffer(r[7], np.uint32, len(d)).astype(np.uint64) | np.frombuffer(r[7], np.uint16, len(d), 4 * len(d)).astype(np.uint64) << np.uint64(32) for r, d in zip(rows, arrays[2], strict=True)])
             ords = np.concatenate([o[d] for o, d in zip(arrays[0], arrays[2], strict=True)])
             ths = np.concatenate([o[d] for o, d in zip(arrays[1], arrays[2], strict=True)])
-            start, size, anchor = (np.concatenate(arrays[k]) for k in (3, 4, 5))
+            start, size, anchor, at = (np.concatenate(arrays[k]) for k in (3, 4, 5, 6))
             order = np.lexsort((content, anchor))
             a, c, o = anchor[order], content[order], ords[order]
             new_a = np.append(True, a[1:] != a[:-1])
@@ -265,7 +265,7 @@ def _judged(parts: int):
             gone = ~sort & (o > np.minimum.reduceat(o, at_c)[of_c])
             x = order[sort | gone]
             marks = np.zeros(len(x), MARK)
-            marks["ord"], marks["th"], marks["start"], marks["size"], marks["anchor"], marks["sort"] = ords[x], ths[x], start[x], size[x], anchor[x], sort[sort | gone]
+            marks["ord"], marks["th"], marks["start"], marks["size"], marks["anchor"], marks["at"], marks["sort"] = ords[x], ths[x], start[x], size[x], anchor[x], at[x], sort[sort | gone]
             yield _dealt(marks, parts)
 
     return run
@@ -318,11 +318,31 @@ def _spelled(tasks: int):
     return run
 
 
-def _sorted(length: int, parts: int):
+def _related(classes: dict[bytes, list[int]], place: np.ndarray, length: int, gram: int) -> list[tuple[bytes, list[int]]]:
+    """Those of an anchor's stretches that occur twice or can share ``length`` bytes with another.
+
+    Such bytes hold the anchor and half of the rest on one side of it at least,
+    so stretches that agree with no other on either half can't.
+    """
+    half = (length - gram + 1) // 2
+    sides: dict[tuple[int, bytes], int] = {}
+    own = []
+    for x, rows in classes.items():
+        for at in {int(place[i]) for i in rows}:
+            before, after = (0, x[at - half : at] if at >= half else None), (1, x[at + gram : at + gram + half])
+            own.append((x, before, after))
+            for side in (before, after):
+                if side[1] is not None and len(side[1]) == half:
+                    sides[side] = sides.get(side, 0) + 1
+    keep = {x for x, *both in own if len(classes[x]) > 1 or any(sides.get(side, 0) > 1 for side in both)}
+    return [(x, rows) for x, rows in classes.items() if x in keep]
+
+
+def _sorted(length: int, gram: int, parts: int):
     """Spelled stretches to marks of what is removed, by suffix arrays over the distinct ones."""
 
     def run(batches):
-        for _, rows in _grouped(batches, 3):
+        for _, rows in _grouped(batches):
             marks = np.concatenate([np.frombuffer(r[0], MARK) for r in rows])
             data, at = b"".join([r[1] for r in rows]), 0
             groups: dict[int, dict[bytes, list[int]]] = {}
@@ -347,9 +367,9 @@ def _sorted(length: int, parts: int):
 
             held_bytes = 0
             for classes in groups.values():
-                if len(classes) > 1 or len(next(iter(classes.values()))) > 1:
-                    held += classes.items()
-                    held_bytes += sum(map(len, classes)) + len(classes)
+                related = _related(classes, marks["at"], length, gram)
+                held += related
+                held_bytes += sum(len(x) + 1 for x, _ in related)
                 if held_bytes >= SORTED:
                     flush()
                     held_bytes = 0
@@ -408,7 +428,7 @@ def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", len
     parts, buckets = max(1, -(-total // (2 * BLOCK))), max(1, -(-total // (8 * BUCKET)))
     tasks = max(1, -(-total // (4 * TASK)))
 
-    packed = "bucket int, ords binary, ths binary, doc binary, start binary, size binary, anchor binary, content binary"
+    packed = "bucket int, ords binary, ths binary, doc binary, start binary, size binary, anchor binary, at binary, content binary"
     anchored = base.select("ord", "th", "text").mapInArrow(_anchored(length, gram, buckets), packed)
     dealt = anchored.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     judged = materialize(dealt.mapInArrow(_judged(parts), MARKS), "judged")
@@ -424,7 +444,7 @@ def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", len
     held = rows.mapInArrow(grouped, "part int, id long, ord long, th long, text string")
     spelled = held.groupBy("part").cogroup(judged.groupBy("part")).applyInArrow(_spelled(tasks), "task int, marks binary, data binary")
     sorting = spelled.repartition(tasks, "task").sortWithinPartitions("task")
-    found = materialize(sorting.mapInArrow(_sorted(length, parts), MARKS), "sorted")
+    found = materialize(sorting.mapInArrow(_sorted(length, gram, parts), MARKS), "sorted")
     marks = judged.unionByName(found)
     out = held.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_cut, "id long, text string, spans array<struct<start:long,stop:long>>, kept binary")
     return out

@@ -318,24 +318,30 @@ def _spelled(tasks: int):
     return run
 
 
-def _related(classes: dict[bytes, list[int]], place: np.ndarray, length: int, gram: int) -> list[tuple[bytes, list[int]]]:
-    """Those of an anchor's stretches that occur twice or can share ``length`` bytes with another.
+def _related(classes: dict[bytes, list[int]], place: np.ndarray, length: int, gram: int) -> tuple[list[tuple[bytes, list[int]]], list[list[int]]]:
+    """An anchor's stretches that can share ``length`` bytes with another one, and the rows of those that can't but occur twice.
 
-    Such bytes hold the anchor and half of the rest on one side of it at least,
-    so stretches that agree with no other on either half can't.
+    Such bytes hold the anchor, ``l`` bytes before it and the rest behind it.
+    With ``l`` rounded down to a step, stretches that agree with no other around
+    the anchor for any ``l`` share nothing.
     """
-    half = (length - gram + 1) // 2
-    sides: dict[tuple[int, bytes], int] = {}
+    span = length - gram
+    step = max(1, span // 6)
+    sides = [(x, max(0, span - x - step + 1)) for x in range(0, span + 1, step)]
+    seen: dict[tuple[int, bytes], int] = {}
     own = []
     for x, rows in classes.items():
-        for at in {int(place[i]) for i in rows}:
-            before, after = (0, x[at - half : at] if at >= half else None), (1, x[at + gram : at + gram + half])
-            own.append((x, before, after))
-            for side in (before, after):
-                if side[1] is not None and len(side[1]) == half:
-                    sides[side] = sides.get(side, 0) + 1
-    keep = {x for x, *both in own if len(classes[x]) > 1 or any(sides.get(side, 0) > 1 for side in both)}
-    return [(x, rows) for x, rows in classes.items() if x in keep]
+        keys = {(k, x[at - before : at + gram + behind]) for at in {int(place[i]) for i in rows} for k, (before, behind) in enumerate(sides) if before <= at and at + gram + behind <= len(x)}
+        own.append(keys)
+        for key in keys:
+            seen[key] = seen.get(key, 0) + 1
+    related, alone = [], []
+    for keys, (x, rows) in zip(own, classes.items(), strict=True):
+        if any(seen[key] > 1 for key in keys):
+            related.append((x, rows))
+        elif len(rows) > 1:
+            alone.append(rows)
+    return related, alone
 
 
 def _sorted(length: int, gram: int, parts: int):
@@ -367,7 +373,10 @@ def _sorted(length: int, gram: int, parts: int):
 
             held_bytes = 0
             for classes in groups.values():
-                related = _related(classes, marks["at"], length, gram)
+                related, alone = _related(classes, marks["at"], length, gram)
+                for own in alone:
+                    least = min(marks["ord"][own].tolist())
+                    out += [(i, 0, int(marks["size"][i]) - length) for i in own if marks["ord"][i] > least]
                 held += related
                 held_bytes += sum(len(x) + 1 for x, _ in related)
                 if held_bytes >= SORTED:

@@ -120,17 +120,28 @@ def class_centroids(spark, d: str) -> DataFrame:
     return evaluate.centroids(e, "label").select("label", F.posexplode("c").alias("p", "x")).select("label", F.col("p").cast("long").alias("p"), (F.round("x", 6) + 0.0).alias("x"))
 
 
-@query(CENTROID_SQL + """
+ROUTE_SQL = CENTROID_SQL + """
 , s AS (SELECT vec_id, u.label AS intent, round(list_inner_product(v, c) / sqrt(list_inner_product(v, v)), 6) + 0 AS sim FROM e, u)
 , o AS (SELECT vec_id, max(sim) AS best, arg_min(intent, {'a': -sim, 'b': intent}) AS name FROM s WHERE intent <> 0 GROUP BY vec_id)
 , z AS (SELECT vec_id, sim AS base FROM s WHERE intent = 0)
-SELECT vec_id AS id, CASE WHEN round(best - base, 6) < 0.05 THEN 0 ELSE name END AS intent, round(best - base, 6) + 0 AS margin_ FROM o JOIN z USING (vec_id)""")
+, r AS (SELECT vec_id AS id, CASE WHEN round(best - base, 6) < 0.05 THEN 0 ELSE name END AS intent, round(best - base, 6) + 0 AS margin_ FROM o JOIN z USING (vec_id))"""
+
+
+@query(ROUTE_SQL + " SELECT id, intent, margin_ FROM r")
 def nearest_centroid_route(spark, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     c = evaluate.centroids(e.select("label", F.col("embedding").alias("v")), "label").select(F.col("label").alias("intent"), "c")
     return evaluate.classify_by_centroid(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), c, 0).withColumn("margin_", F.col("margin_") + 0.0)
 
 
+@query(ROUTE_SQL + """ SELECT count(*) AS rows, count(*) FILTER (label = intent) AS exact, count(*) FILTER ((label = 0) = (intent = 0)) AS routed, count(*) FILTER (label = 0 AND intent <> 0) AS dangerous, count(*) FILTER (label <> 0 AND intent = 0) AS costly,
+ count(*) FILTER (label <> intent AND label <> 0 AND intent <> 0) AS cosmetic, min(margin_) FILTER (label <> 0) AS other_min, max(margin_) FILTER (label <> 0) AS other_max, min(margin_) FILTER (label = 0) AS default_min, max(margin_) FILTER (label = 0) AS default_max
+ FROM r JOIN embeddings ON vec_id = id""")
+def intent_report(spark, d: str) -> DataFrame:
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("expected"))
+    return evaluate.intent_report(nearest_centroid_route(spark, d).join(own, "id").select("expected", F.col("intent").alias("got"), F.col("margin_").alias("margin")), 0)
+
+
 # ---------------------------------------------------------------- text
 @query("""SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(coalesce(text, ''), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), chr(160), ' '), chr(173), '') AS clean FROM documents""")
 def clean_ligatures(spark, d: str) -> DataFrame:
@@ -284,6 +295,43 @@ def pages_rebuilt(spark, d: str) -> DataFrame:
     return built.select("doc", F.md5("text").alias("digest"), F.col("pages").cast("long").alias("pages"))
 
 
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN NOT contains(coalesce(text, ''), 'License') THEN 'license' END, CASE WHEN NOT contains(coalesce(text, ''), ' the ') THEN 'article' END, CASE WHEN NOT contains(coalesce(text, ''), '. ') THEN 'sentence' END) AS missing FROM documents""")
+def markers_missing(spark, d: str) -> DataFrame:
+    found = chunk.missing_markers(F.coalesce("text", F.lit("")), {"license": "License", "article": " the ", "sentence": ". "})
+    return table(spark, d, "documents").select("doc_id", F.array_join(found, ",").alias("missing"))
+
+
+@query("""SELECT doc_id, lower(replace('Part ' || coalesce(lang, '') || '-Section ' || doc_id, ' ', '-')) AS slug, 'Part ' || coalesce(lang, '') || ' — Section ' || doc_id AS cited FROM documents""")
+def citations_and_slugs(spark, d: str) -> DataFrame:
+    path = F.array(F.concat(F.lit("Part "), F.coalesce("lang", F.lit(""))), F.concat(F.lit("Section "), F.col("doc_id").cast("string")))
+    return table(spark, d, "documents").select("doc_id", T.slug(path).alias("slug"), T.citation(path).alias("cited"))
+
+
+WS = "' ' || chr(9) || chr(10) || chr(13)"
+GAP = "chr(10) || chr(10)"
+
+
+@query(f"""
+WITH a AS (SELECT item_id, text, item_id % 4 <> 0 AS sufficient, item_id % 2 = 0 AS polar, CASE item_id % 3 WHEN 0 THEN 'Yes.' WHEN 1 THEN 'No.' END AS opening, [substr(text, 1, 40), '', substr(text, 41, 30)] AS st,
+  CASE WHEN item_id % 5 <> 0 THEN substr(text, 71, 20) END AS q FROM benchmark),
+b AS (SELECT *, trim(array_to_string(list_filter(st, lambda x: x <> ''), ' '), {WS}) AS told,
+  trim(array_to_string(list_filter(string_split(text, '. '), lambda x: NOT contains(lower(x), 'an ') AND trim(x, {WS}) <> ''), '. '), {WS}) AS reason FROM a)
+SELECT item_id, CASE WHEN sufficient THEN concat_ws({GAP}, nullif(CASE WHEN polar AND opening IS NOT NULL THEN trim(opening || ' ' || told, {WS}) ELSE told END, ''), 'Important qualifications:' || {GAP} || '- ' || q, 'Ask.')
+ ELSE concat_ws({GAP}, 'Unknown.', nullif(reason, '')) END AS answer FROM b""")
+def answers_rendered(spark, d: str) -> DataFrame:
+    i, cut = F.col("item_id"), lambda a, n: F.substring("text", a, n)
+    opening = F.when(i % 3 == 0, "Yes.").when(i % 3 == 1, "No.")
+    qualifications = F.when(i % 5 != 0, F.array(cut(71, 20))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "benchmark").select("item_id", T.render(i % 4 != 0, i % 2 == 0, opening, F.array(cut(1, 40), F.lit(""), cut(41, 30)), qualifications, F.col("text"), "Unknown.", "Ask.", ["an "]).alias("answer"))
+
+
+@query("SELECT item_id, '[1] Item ' || item_id || chr(10) || text || chr(10) || chr(10) || '[2] Start' || chr(10) || substr(text, 1, 50) AS context FROM benchmark")
+def context_block(spark, d: str) -> DataFrame:
+    source = lambda cited, content: F.struct(cited.alias("citation"), content.alias("content"))
+    sources = F.array(source(F.concat(F.lit("Item "), F.col("item_id").cast("string")), F.col("text")), source(F.lit("Start"), F.substring("text", 1, 50)))
+    return table(spark, d, "benchmark").select("item_id", T.source_block(sources).alias("context"))
+
+
 # ---------------------------------------------------------------- lexical search
 POSTING_SQL = """
 p_{k} AS (SELECT {id} AS {k}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term, unnest(range(0, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')))) AS p FROM {t}),
@@ -321,6 +369,17 @@ def hybrid_search_text(spark, d: str) -> DataFrame:
     return search.hybrid(other, lexical)
 
 
+PAIR_TERMS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+'))"
+
+
+@query(SPARSE_SQL + f""", x AS (SELECT o.qid, o.cid, o.rk AS pos, {PAIR_TERMS.format("b.text")} AS a, {PAIR_TERMS.format("d.text")} AS c FROM o JOIN benchmark b ON b.item_id = o.qid JOIN documents d ON d.doc_id = o.cid WHERE o.rk <= 5)
+SELECT qid, cid, pos, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, c)) / len(a) END, 6) AS score FROM x""")
+def rerank_pairs(spark, d: str) -> DataFrame:
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    passages = table(spark, d, "documents").select(F.col("doc_id").alias("cid"), F.col("text").alias("passage"))
+    return rerank.score_pairs(_sparse(spark, d, search.SPARSE_K).select("qid", "cid", F.col("rk").alias("pos")), questions, passages)
+
+
 # ---------------------------------------------------------------- grounding
 CLAIM_SQL = r"""
 WITH c AS (
@@ -498,6 +557,29 @@ def judge_verdicts(spark, d: str) -> DataFrame:
     return v.select("doc_id", evaluate.quality().alias("quality"), evaluate.headline().alias("headline"))
 
 
+@query("""WITH q AS (SELECT doc_id // 2 AS id, CASE WHEN doc_id % 7 <> 0 THEN source ELSE '  ' END AS question, doc_id % 3 <> 0 AS answerable, doc_id % 4 <> 0 AS listed FROM documents)
+SELECT id, 'repeated id' AS problem FROM q GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'no text' FROM q WHERE trim(coalesce(question, '')) = '' UNION ALL SELECT id, 'nothing expected' FROM q WHERE answerable AND NOT listed
+UNION ALL SELECT id, 'expected out of scope' FROM q WHERE NOT answerable AND listed""")
+def question_set_errors(spark, d: str) -> DataFrame:
+    q = table(spark, d, "documents").selectExpr("doc_id div 2 id", "case when doc_id % 7 <> 0 then source else '  ' end question", "doc_id % 3 <> 0 answerable", "case when doc_id % 4 <> 0 then array('c') else array() end expect_any_of")
+    return evaluate.question_errors(q)
+
+
+@query("SELECT item_id AS id FROM benchmark WHERE item_id % 3 = 1 OR item_id % 5 = 1")
+def questions_of_document(spark, d: str) -> DataFrame:
+    q = table(spark, d, "benchmark").selectExpr("item_id id", "array(concat('d', cast(item_id % 3 as string), '@v1-a'), concat('d', cast(item_id % 5 as string), '@v2-b')) expect_any_of")
+    return evaluate.of_document(q, "d1").select("id")
+
+
+@query("""WITH v AS (SELECT doc_id, quality = 1 AS expect_quality, CASE WHEN doc_id % 9 <> 0 THEN toxic = 0 END AS judged, [CASE WHEN doc_id % 3 = 0 THEN 'flagged' ELSE 'sound' END, CASE WHEN doc_id % 5 <> 0 THEN 'sound' END, 'flagged'] AS expects,
+ [CASE WHEN doc_id % 2 = 0 THEN 'stated' ELSE 'absent' END, CASE WHEN doc_id % 7 <> 0 THEN 'stated' END] AS findings FROM labels)
+SELECT doc_id AS "case", 0 AS pos, judged IS NOT DISTINCT FROM expect_quality AS agreed FROM v UNION ALL SELECT doc_id, i, coalesce((findings[i] <> 'stated') = (expects[i] = 'flagged'), false) FROM (SELECT *, unnest([1, 2, 3]) AS i FROM v) WHERE expects[i] IS NOT NULL""")
+def judge_case_scores(spark, d: str) -> DataFrame:
+    v = table(spark, d, "labels").selectExpr("doc_id `case`", "quality = 1 expect_quality", "case when doc_id % 9 <> 0 then toxic = 0 end judged", "array(case when doc_id % 3 = 0 then 'flagged' else 'sound' end, case when doc_id % 5 <> 0 then 'sound' end, 'flagged') expects",
+                                             "array(case when doc_id % 2 = 0 then 'stated' else 'absent' end, case when doc_id % 7 <> 0 then 'stated' end) findings")
+    return evaluate.case_checks(v)
+
+
 # ---------------------------------------------------------------- registry and cache
 def _registry(spark, d: str) -> DataFrame:
     return table(spark, d, "documents").selectExpr("concat('d', cast(doc_id div 2 as string)) document_id", "concat('v', cast(doc_id % 2 as string)) version", "source title", "doc_id % 4 = 0 or doc_id % 6 = 1 in_force")
@@ -552,6 +634,20 @@ def parse_act_structure(spark, d: str) -> DataFrame:
     return structure.parse_acts(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), statute(F.col("text")).alias("text")))
 
 
+@query()
+def parse_constitution_structure(spark, d: str) -> DataFrame:
+    articles = F.regexp_replace(statute(F.col("text")), r"^Opening\n[^\n]*", "We\nHERE\nChapter ONE\nGENERAL")
+    return structure.parse_constitutions(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), articles.alias("text")), "HERE")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS doc, l_returnflag AS unit_type, count(*) AS n FROM lineitem GROUP BY 1, 2), e AS (SELECT o_orderkey AS doc, unnest(['A', 'N', 'R']) AS unit_type, o_orderkey % 3 AS expected FROM orders)
+SELECT e.doc, e.unit_type, expected, coalesce(n, 0) AS found FROM e LEFT JOIN f ON e.doc = f.doc AND e.unit_type = f.unit_type WHERE expected <> coalesce(n, 0)""")
+def structure_counts(spark, d: str) -> DataFrame:
+    units = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("unit_type"))
+    wanted = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("unit_type"), (F.col("o_orderkey") % 3).alias("expected"))
+    return structure.count_errors(units, wanted)
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
 def event_windows(spark, d: str) -> DataFrame:
     return ingest.windowed_counts(table(spark, d, "events"))

@@ -134,6 +134,50 @@ def missing_expected(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     return questions.select("id", F.explode("expect_any_of").alias("expected")).join(corpus, F.col("expected") == F.col("chunk_id"), "left_anti")
 
 
+def of_document(questions: DataFrame, document: str) -> DataFrame:
+    """Questions that expect a chunk of any version of ``document``."""
+    return questions.where(F.exists("expect_any_of", lambda x: F.startswith(x, F.lit(f"{document}@"))))
+
+
+def question_errors(questions: DataFrame) -> DataFrame:
+    """(id, problem) of ``questions(id, question, answerable, expect_any_of)``; an empty set is one row with a null id."""
+    listed = F.coalesce(F.size("expect_any_of"), F.lit(0)) > 0
+    found = F.array(
+        F.when(F.coalesce(F.trim("question"), F.lit("")) == "", "no text"), F.when(F.col("answerable") & ~listed, "nothing expected"), F.when(~F.col("answerable") & listed, "expected out of scope"))
+    each = questions.select("id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problem"))
+    repeated = questions.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("repeated id").alias("problem"))
+    kind = questions.schema["id"].dataType
+    empty = questions.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast(kind).alias("id"), F.lit("no questions").alias("problem"))
+    return each.unionByName(repeated).unionByName(empty)
+
+
+def intent_report(rows: DataFrame, default) -> DataFrame:
+    """One row over ``rows(expected, got, margin)``: how routing went, and the margins on both sides.
+
+    ``dangerous`` rows should have gone to ``default`` and did not, ``costly``
+    ones went there for nothing, ``cosmetic`` ones are on the right side.
+    """
+    to, went = F.col("expected") == F.lit(default), F.col("got") == F.lit(default)
+    wrong, side = F.col("expected") != F.col("got"), lambda f, c, n: f(F.when(c, F.col("margin"))).alias(n)
+    return rows.agg(
+        F.count("*").alias("rows"), F.count_if(~wrong).alias("exact"), F.count_if(to == went).alias("routed"), F.count_if(wrong & to).alias("dangerous"), F.count_if(wrong & ~to & went).alias("costly"), F.count_if(wrong & ~to & ~went).alias("cosmetic"),
+        side(F.min, ~to, "other_min"), side(F.max, ~to, "other_max"), side(F.min, to, "default_min"), side(F.max, to, "default_max"),
+    )
+
+
+def case_checks(cases: DataFrame) -> DataFrame:
+    """(case, pos, agreed) of ``cases(case, expect_quality, judged, expects, findings)``: the answer (pos 0), then each claim with an expectation.
+
+    A claim expected ``flagged`` agrees with any finding but ``stated``, one
+    expected ``sound`` with ``stated``; what was not judged never agrees.
+    """
+    answer = cases.select("case", F.lit(0).alias("pos"), F.col("judged").eqNullSafe(F.col("expect_quality")).alias("agreed"))
+    claims = cases.select("case", "findings", F.posexplode("expects").alias("at", "expect")).where(F.col("expect").isin("flagged", "sound"))
+    finding = F.try_element_at("findings", F.col("at") + 1)
+    agreed = F.coalesce((finding != "stated") == (F.col("expect") == "flagged"), F.lit(False))
+    return answer.unionByName(claims.select("case", (F.col("at") + 1).alias("pos"), agreed.alias("agreed")))
+
+
 def review_sample(rows: DataFrame, limit: int, by: str = "id") -> DataFrame:
     """Failures first, at most half of ``limit`` (one at least), filled with passes; ``rows`` has ok."""
     fails = rows.where("not ok").orderBy(by).limit(max(1, limit // 2))

@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.search import terms
+
 TAIL, TOP = 0.10, 5
 
 
+def overlap(question: Column, passage: Column) -> Column:
+    """The share of the question's distinct terms that a passage holds, to six places: the scorer where no model is given."""
+    own = F.array_distinct(terms(question))
+    return F.when(F.size(own) == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(own, terms(passage))) / F.size(own), 6))
+
+
+def batch_scorer(model: Callable[[list[str], list[str]], list[float]]) -> Callable[[Column, Column], Column]:
+    """A scorer from a model that takes lists of questions and passages; it gets whole Arrow batches."""
+
+    @F.pandas_udf("double")
+    def score(question: pd.Series, passage: pd.Series) -> pd.Series:
+        return pd.Series(model(question.tolist(), passage.tolist()), dtype=float)
+
+    return score
+
+
+def score_pairs(candidates: DataFrame, questions: DataFrame, passages: DataFrame, scorer: Callable[[Column, Column], Column] = overlap) -> DataFrame:
+    """``candidates(qid, cid, pos)`` with ``score``; texts of (qid, question) and (cid, passage) are joined to the candidates alone."""
+    pairs = candidates.join(questions.select("qid", "question"), "qid").join(passages.select("cid", "passage"), "cid")
+    return pairs.select("qid", "cid", "pos", scorer(F.coalesce("question", F.lit("")), F.coalesce("passage", F.lit(""))).alias("score"))
+
+
 def tail_cut(scored: DataFrame, ratio: float = TAIL) -> DataFrame:
     """Rows with at least ``ratio`` of their query's best score."""
     best = F.max("score").over(Window.partitionBy("qid"))

@@ -111,3 +111,10 @@ def sequence_gaps(found: DataFrame, key: str, number: str, upto: str) -> DataFra
     each = found.groupBy(key, F.col(number).alias("number_")).agg(F.count("*").alias("n_"), F.max(upto).alias("top_"))
     return each.groupBy(key).agg(F.array_sort(F.collect_list("number_")).alias("have"), F.array_sort(F.collect_list(F.when(F.col("n_") > 1, F.col("number_")))).alias("repeated"), F.max("top_").alias("top")).select(
         key, F.array_except(F.sequence(F.lit(1), F.col("top").cast("int")), F.transform("have", lambda x: x.cast("int"))).alias("missing"), "repeated")
+
+
+def count_errors(units: DataFrame, expected: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, unit_type, expected, found) of the counts that differ; ``expected`` has a row for each count to check."""
+    found = units.groupBy(key, "unit_type").agg(F.count("*").alias("n_"))
+    both = expected.join(found, [key, "unit_type"], "left").select(key, "unit_type", "expected", F.coalesce("n_", F.lit(0)).alias("found"))
+    return both.where("expected <> found")

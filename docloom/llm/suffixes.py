@@ -22,6 +22,8 @@ from docloom.llm.common import materialize, text_of
 LENGTH, GRAM = 50, 20
 #: Bytes of text that one block or one group of documents holds, anchors of a bucket, bytes of stretches of a sorting task and of one suffix array.
 BLOCK, BUCKET, TASK, SORTED = 2 << 20, 1_500_000, 1 << 20, 1 << 15
+#: Rows whose stretches are compared with their owners at a time.
+SLICE = 1 << 15
 LAST = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15
 
@@ -107,8 +109,8 @@ def suffix_array(s: list[int]) -> list[int]:
     return out
 
 
-def repeated(strings: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each start in each distinct string the smallest owner of the ``length`` bytes there."""
+def repeated(strings: list[bytes], owner: np.ndarray, length: int) -> np.ndarray:
+    """For each start in each distinct string, one after another, the smallest owner of the ``length`` bytes there."""
     sizes = np.array([len(x) for x in strings], np.int64)
     flat = np.frombuffer(b"\x00".join(strings) + b"\x00", np.uint8)
     sa = np.array(suffix_array((flat.astype(np.int64) + 2).tolist() + [0])) if len(flat) else np.zeros(0, np.int64)
@@ -124,7 +126,7 @@ def repeated(strings: list[bytes], owner: np.ndarray, length: int) -> list[np.nd
     low = np.minimum.reduceat(owner[who[order]], np.flatnonzero(new))
     least = np.zeros(len(flat) + 1, np.int64)
     least[order] = low[new.cumsum() - 1]
-    return np.split(least[starts], count.cumsum()[:-1])
+    return least[starts]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -355,36 +357,46 @@ def _sorted(length: int, gram: int, parts: int):
             for i, (anchor, n) in enumerate(zip(marks["anchor"].tolist(), marks["size"].tolist(), strict=True)):
                 groups.setdefault(anchor, {}).setdefault(data[at : at + n], []).append(i)
                 at += n
-            out: list[tuple[int, int, int]] = []
+            out: list[np.ndarray] = []
+            single: list[tuple[int, int, int]] = []
             held: list[tuple[bytes, list[int]]] = []
+            ords = marks["ord"].copy()
 
-            def flush(held=held, out=out, marks=marks):
+            def flush(held=held, out=out, ords=ords):
                 if not held:
                     return
-                owner = np.array([min(marks["ord"][i] for i in own) for _, own in held], np.int64)
-                for (_, own), least in zip(held, repeated([x for x, _ in held], owner, length), strict=True):
-                    ords = marks["ord"][own]
-                    for i, o in zip(own, ords.tolist(), strict=True):
-                        hit = np.flatnonzero(least < o)
-                        if len(hit):
-                            gap = np.flatnonzero(np.diff(hit) > 1)
-                            out += [(i, int(a), int(b)) for a, b in zip(hit[np.append(0, gap + 1)], hit[np.append(gap, len(hit) - 1)], strict=True)]
+                rows, copies = np.array([i for _, own in held for i in own], np.int64), np.array([len(own) for _, own in held])
+                own_ords, kind = ords[rows], np.repeat(np.arange(len(held)), copies)
+                least = repeated([x for x, _ in held], np.minimum.reduceat(own_ords, copies.cumsum() - copies), length)
+                count = np.array([len(x) for x, _ in held]) - length + 1
+                begin = count.cumsum() - count
+                for s in range(0, len(rows), SLICE):
+                    part = slice(s, s + SLICE)
+                    n = count[kind[part]]
+                    end = n.cumsum()
+                    inside = np.arange(n.sum()) - np.repeat(end - n, n)
+                    hit = least[np.repeat(begin[kind[part]], n) + inside] < np.repeat(own_ords[part], n)
+                    before, after = np.append(False, hit[:-1]), np.append(hit[1:], False)
+                    before[end - n] = after[end - 1] = False
+                    a, b = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after)
+                    out.append(np.stack([np.repeat(rows[part], n)[a], inside[a], inside[b]], axis=1))
                 held.clear()
 
             held_bytes = 0
             for classes in groups.values():
                 related, alone = _related(classes, marks["at"], length, gram)
                 for own in alone:
-                    least = min(marks["ord"][own].tolist())
-                    out += [(i, 0, int(marks["size"][i]) - length) for i in own if marks["ord"][i] > least]
+                    own_ords = ords[own].tolist()
+                    least = min(own_ords)
+                    single += [(i, 0, int(marks["size"][i]) - length) for i, o in zip(own, own_ords, strict=True) if o > least]
                 held += related
                 held_bytes += sum(len(x) + 1 for x, _ in related)
                 if held_bytes >= SORTED:
                     flush()
                     held_bytes = 0
             flush()
-            if out:
-                i, a, b = (np.array(x) for x in zip(*out, strict=True))
+            i, a, b = np.concatenate([*out, np.array(single, np.int64).reshape(-1, 3)]).T
+            if len(i):
                 made = marks[i].copy()
                 made["start"] += a.astype(np.uint32)
                 made["size"] = (b - a + length).astype(np.uint32)

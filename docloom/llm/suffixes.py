@@ -7,6 +7,11 @@ strings with one anchor form a stretch. Equal stretches are one suffix class;
 where an anchor has different stretches, the suffixes of the distinct ones are
 sorted: Lyndon-prefix groups are made in descending order with previous-smaller
 pointers, and each group's order is then emitted in one ascending pass.
+
+An anchor with very many stretches, found in a sample, meets nowhere: its
+stretches stay with their documents, and its strings are dealt one by one by a
+digest of 128 bits, each reduced to its smallest owner in a group of documents
+first. Equal strings are one suffix class there, and nothing is sorted.
 """
 
 from __future__ import annotations
@@ -24,6 +29,10 @@ LENGTH, GRAM = 50, 20
 BLOCK, BUCKET, TASK, SORTED = 2 << 20, 1_500_000, 1 << 20, 1 << 15
 #: Rows whose stretches are compared with their owners at a time.
 SLICE = 1 << 15
+#: Stretches from which an anchor is dealt by strings, and the share of rows in which they are counted. Both only spread the work.
+HOT, SHARE = 1 << 13, 1 / 64
+#: Strings of hot anchors that a task reduces.
+STRINGS = 1 << 20
 LAST = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15
 
@@ -189,18 +198,38 @@ def _blocks(batches, column: int):
         yield from blocks(batch, column, BLOCK)
 
 
+# What a mark tells: a removed span, a stretch to sort, a stretch of a hot anchor, or a string's owner (least in ord, digest in th, start and size).
+GONE, SORT, FAR, OWNER = range(4)
+#: The place that says that a stretch's anchor is hot; others are at most 200.
+FAR_AT = 255
+STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("ord", "<i8")])
 MARKS = "part int, marks binary"
 MARK = np.dtype([("ord", "<i8"), ("th", "<i8"), ("start", "<u4"), ("size", "<u4"), ("anchor", "<u4"), ("at", "<u1"), ("sort", "<u1")])
 
 
-def _anchored(length: int, gram: int, buckets: int):
-    """(ord, th, text) to a row for each block and bucket, of packed stretches."""
+def _counted(length: int, gram: int):
+    """(text) to the anchors of each block and their stretches."""
+
+    def run(batches):
+        for part in _blocks(batches, 0):
+            anchor, n = np.unique(Stretches(part.column(0).cast(pa.binary()).to_pylist(), length, gram).anchor, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n, pa.int64())], names=["anchor", "n"])
+
+    return run
+
+
+def _anchored(length: int, gram: int, buckets: int, hot: np.ndarray):
+    """(ord, th, text) to a row for each block and bucket, of packed stretches; those of hot anchors go to any bucket."""
 
     def run(batches):
         for part in _blocks(batches, 2):
             ords, ths = part.column(0).to_numpy(), part.column(1).to_numpy()
             s = Stretches(part.column(2).cast(pa.binary()).to_pylist(), length, gram)
             bucket = ((s.anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            if len(hot) and len(bucket):
+                far = np.isin(s.anchor, hot)
+                bucket[far] = _part(ords[s.doc[far]] + s.start[far], ths[s.doc[far]], buckets)
+                s.at[far] = FAR_AT
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
             names, cols = [], [[] for _ in range(8)]
@@ -230,11 +259,11 @@ def _grouped(batches):
         yield held, rows
 
 
-def _dealt(marks: np.ndarray, parts: int):
+def _dealt(marks: np.ndarray, parts: int, part: np.ndarray | None = None):
     """Packed marks by the group of documents that they belong to."""
     if not len(marks):
         return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["part", "marks"])
-    part = _part(marks["ord"], marks["th"], parts)
+    part = _part(marks["ord"], marks["th"], parts) if part is None else part
     order = np.argsort(part, kind="stable")
     cut = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(order) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(order))
@@ -255,7 +284,11 @@ def _judged(parts: int):
             ords = np.concatenate([o[d] for o, d in zip(arrays[0], arrays[2], strict=True)])
             ths = np.concatenate([o[d] for o, d in zip(arrays[1], arrays[2], strict=True)])
             start, size, anchor, at = (np.concatenate(arrays[k]) for k in (3, 4, 5, 6))
-            order = np.lexsort((content, anchor))
+            near, far = np.flatnonzero(at != FAR_AT), np.flatnonzero(at == FAR_AT)
+            if not len(near):
+                yield _dealt(_marked(ords, ths, start, size, anchor, at, far, FAR), parts)
+                continue
+            order = near[np.lexsort((content[near], anchor[near]))]
             a, c, o = anchor[order], content[order], ords[order]
             new_a = np.append(True, a[1:] != a[:-1])
             new_c = new_a | np.append(True, c[1:] != c[:-1])
@@ -265,14 +298,18 @@ def _judged(parts: int):
             of_a, of_c = new_a.cumsum() - 1, new_c.cumsum() - 1
             sort = (shared & (classes > 1))[of_a]
             gone = ~sort & (o > np.minimum.reduceat(o, at_c)[of_c])
-            x = order[sort | gone]
-            marks = np.zeros(len(x), MARK)
-            marks["ord"], marks["th"], marks["start"], marks["size"], marks["anchor"], marks["at"], marks["sort"] = ords[x], ths[x], start[x], size[x], anchor[x], at[x], sort[sort | gone]
-            yield _dealt(marks, parts)
+            x, kinds = np.append(order[sort | gone], far), np.append(np.where(sort[sort | gone], SORT, GONE), np.full(len(far), FAR))
+            yield _dealt(_marked(ords, ths, start, size, anchor, at, x, kinds), parts)
 
     return run
 
 
+def _marked(ords, ths, start, size, anchor, at, x, kinds) -> np.ndarray:
+    marks = np.zeros(len(x), MARK)
+    marks["ord"], marks["th"], marks["start"], marks["size"], marks["anchor"], marks["at"], marks["sort"] = ords[x], ths[x], start[x], size[x], anchor[x], at[x], kinds
+    return marks
+
+
 def _marks(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("marks").to_pylist()), MARK)
 
@@ -289,12 +326,109 @@ def _by_document(table: pa.Table, marks: np.ndarray):
         yield row, marks[a:b]
 
 
-def _spelled(tasks: int):
-    """The bytes of the stretches to sort, packed by sorting task."""
+def _digests(flat: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the ``length`` bytes at each start."""
+    a, b = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    rows = np.lib.stride_tricks.sliding_window_view(flat, length) if len(starts) else None
+    for s in range(0, len(starts), SLICE):
+        part = slice(s, s + SLICE)
+        padded = np.zeros((len(a[part]), -(-length // 8) * 8), np.uint8)
+        padded[:, :length] = rows[starts[part]]
+        words = padded.view("<u8").T
+        for w, v in zip(words, words[::-1], strict=True):
+            a[part] = _mix((a[part] ^ w) + np.uint64(_BASE))
+            b[part] = _mix((b[part] + v) * np.uint64(_BASE) + np.uint64(1))
+    return a, b
+
+
+def _strings(docs: pa.Table, found: np.ndarray, length: int):
+    """Stretches of hot anchors, once for repeated rows, and for each string in them: its stretch, start and two hashes."""
+    texts = docs.column("text").cast(pa.binary()).to_pylist()
+    picked, begin, seen, at = [found[:0]], [np.zeros(0, np.int64)], set(), 0
+    for row, own in _by_document(docs, found):
+        key = (int(own["ord"][0]), int(own["th"][0])) if len(own) else None
+        if key is not None and key not in seen:
+            seen.add(key)
+            picked.append(own)
+            begin.append(np.full(len(own), at))
+        at += len(texts[row])
+    own = np.concatenate(picked)
+    count = own["size"].astype(np.int64) - length + 1
+    kind = np.repeat(np.arange(len(own)), count)
+    place = own["start"].astype(np.int64)[kind] + np.arange(len(kind)) - (count.cumsum() - count)[kind]
+    return own, kind, place, *_digests(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(begin)[kind] + place, length)
+
+
+def _owned(a: np.ndarray, b: np.ndarray, ord_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first of each class of equal strings in it, class of each): the first has the smallest owner."""
+    order = np.lexsort((ord_, b, a))
+    x, y = a[order], b[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(order)]
+    return order, np.flatnonzero(new), new.cumsum() - 1
+
+
+def _spelled_far(docs: pa.Table, found: np.ndarray, length: int, tasks: int, far_tasks: int) -> list[tuple[int, bytes, bytes]]:
+    """The distinct strings of a group's hot anchors with their smallest owner there, packed by task."""
+    if not len(found):
+        return []
+    own, kind, _, a, b = _strings(docs, found, length)
+    ords = own["ord"][kind]
+    order, first, _ = _owned(a, b, ords)
+    x = order[first]
+    made = np.zeros(len(x), STRING)
+    made["a"], made["b"], made["ord"] = a[x], b[x], ords[x]
+    task = (made["a"] % np.uint64(far_tasks)).astype(np.int64)
+    order = np.argsort(task, kind="stable")
+    cut = np.flatnonzero(np.append(True, np.diff(task[order]) != 0)[: len(order)])
+    group = np.int32(docs.column("part")[0].as_py()).tobytes()
+    return [(tasks + int(task[order[i]]), b"", group + made[order[i:j]].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True)]
+
+
+def _owners(rows: list[list[bytes]], parts: int):
+    """Strings of hot anchors from all groups to what a group must be told: owners smaller than its own."""
+    made = np.concatenate([np.frombuffer(r[1], STRING, offset=4) for r in rows])
+    part = np.repeat([int(np.frombuffer(r[1], np.int32, 1)[0]) for r in rows], [(len(r[1]) - 4) // STRING.itemsize for r in rows])
+    order, first, of = _owned(made["a"], made["b"], made["ord"])
+    least = made["ord"][order[first]][of]
+    told = least < made["ord"][order]
+    x = order[told]
+    marks = np.zeros(len(x), MARK)
+    marks["ord"], marks["th"], marks["sort"] = least[told], made["a"][x].view(np.int64), OWNER
+    marks["start"], marks["size"] = made["b"][x] & np.uint64(0xFFFFFFFF), made["b"][x] >> np.uint64(32)
+    return _dealt(marks, parts, part[x])
+
+
+def _gone_far(docs: pa.Table, found: np.ndarray, told: np.ndarray, length: int) -> np.ndarray:
+    """Marks of what is removed of a group's stretches of hot anchors."""
+    own, kind, place, a, b = _strings(docs, found, length)
+    n = len(kind)
+    a, b = np.append(a, told["th"].view(np.uint64)), np.append(b, told["start"].astype(np.uint64) | told["size"].astype(np.uint64) << np.uint64(32))
+    ords = np.append(own["ord"][kind], told["ord"])
+    order, first, of = _owned(a, b, ords)
+    hit = np.zeros(len(ords), bool)
+    hit[order] = ords[order] > ords[order[first]][of]
+    hit = hit[:n]
+    same = np.append(False, kind[1:] == kind[:-1])[:n]
+    head = np.flatnonzero(hit & ~(np.append(False, hit[:-1])[:n] & same))
+    tail = np.flatnonzero(hit & ~np.append(hit[1:] & same[1:], False)[:n])
+    made = own[kind[head]]
+    made["start"], made["size"], made["sort"] = place[head], place[tail] - place[head] + length, GONE
+    return made
+
+
+def _spelled(tasks: int, far_tasks: int, length: int):
+    """The bytes of the stretches to sort, packed by sorting task, and the strings of hot anchors."""
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         found = _marks(marks)
-        found = found[found["sort"] == 1]
+        far = _spelled_far(docs, found[found["sort"] == FAR], length, tasks, far_tasks) if docs.num_rows else []
+        near = _near(docs, found[found["sort"] == SORT])
+        if not far:
+            return near
+        made = pa.table([pa.array([r[0] for r in far], pa.int32()), pa.array([r[1] for r in far], pa.binary()), pa.array([r[2] for r in far], pa.binary())], names=near.column_names)
+        return pa.concat_tables([near, made])
+
+    def _near(docs: pa.Table, found: np.ndarray) -> pa.Table:
         texts = docs.column("text").cast(pa.binary()).to_pylist()
         picked, data, seen = [], [], set()
         for row, own in _by_document(docs, found):
@@ -351,6 +485,9 @@ def _sorted(length: int, gram: int, parts: int):
 
     def run(batches):
         for _, rows in _grouped(batches):
+            if not rows[0][0]:
+                yield _owners(rows, parts)
+                continue
             marks = np.concatenate([np.frombuffer(r[0], MARK) for r in rows])
             data, at = b"".join([r[1] for r in rows]), 0
             groups: dict[int, dict[bytes, list[int]]] = {}
@@ -406,10 +543,22 @@ def _sorted(length: int, gram: int, parts: int):
     return run
 
 
-def _cut(docs: pa.Table, marks: pa.Table) -> pa.Table:
+def _cut(length: int):
     """Documents with their removed spans and the bytes that stay."""
-    found = _marks(marks)
-    found = found[found["sort"] == 0]
+
+    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        found = _marks(marks)
+        far = found[found["sort"] == FAR]
+        told = found[found["sort"] == OWNER]
+        found = found[found["sort"] == GONE]
+        if len(far):
+            found = np.concatenate([found, _gone_far(docs, far, told, length)])
+        return _spans(docs, found)
+
+    return run
+
+
+def _spans(docs: pa.Table, found: np.ndarray) -> pa.Table:
     texts = docs.column("text").cast(pa.binary()).to_pylist()
     spans, kept = [], []
     for row, own in _by_document(docs, found):
@@ -450,7 +599,15 @@ def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", len
     tasks = max(1, -(-total // (4 * TASK)))
 
     packed = "bucket int, ords binary, ths binary, doc binary, start binary, size binary, anchor binary, at binary, content binary"
-    anchored = base.select("ord", "th", "text").mapInArrow(_anchored(length, gram, buckets), packed)
+    # Few anchors are hot: no more than all stretches divided by HOT.
+    hot, n_hot = np.zeros(0, np.uint64), 0
+    if total >= HOT:
+        counts = base.sample(SHARE, seed=7) if SHARE < 1 else base
+        counts = counts.select("text").mapInArrow(_counted(length, gram), "anchor long, n long")
+        rows = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT * SHARE).collect()
+        hot, n_hot = np.array([r["anchor"] for r in rows], np.int64).view(np.uint64), int(sum(r["n"] for r in rows) / SHARE)
+    far_tasks = max(1, -(-min(total, n_hot * (length - gram + 1)) // STRINGS))
+    anchored = base.select("ord", "th", "text").mapInArrow(_anchored(length, gram, buckets, hot), packed)
     dealt = anchored.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     judged = materialize(dealt.mapInArrow(_judged(parts), MARKS), "judged")
 
@@ -463,11 +620,11 @@ def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", len
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *b.columns], names=["part", *b.schema.names])
 
     held = rows.mapInArrow(grouped, "part int, id long, ord long, th long, text string")
-    spelled = held.groupBy("part").cogroup(judged.groupBy("part")).applyInArrow(_spelled(tasks), "task int, marks binary, data binary")
-    sorting = spelled.repartition(tasks, "task").sortWithinPartitions("task")
+    spelled = held.groupBy("part").cogroup(judged.groupBy("part")).applyInArrow(_spelled(tasks, far_tasks, length), "task int, marks binary, data binary")
+    sorting = spelled.repartition(tasks + far_tasks if len(hot) else tasks, "task").sortWithinPartitions("task")
     found = materialize(sorting.mapInArrow(_sorted(length, gram, parts), MARKS), "sorted")
     marks = judged.unionByName(found)
-    out = held.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_cut, "id long, text string, spans array<struct<start:long,stop:long>>, kept binary")
+    out = held.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_cut(length), "id long, text string, spans array<struct<start:long,stop:long>>, kept binary")
     return out
 
 

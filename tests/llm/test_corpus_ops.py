@@ -56,6 +56,26 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, blocks):
     assert suffixes.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_one_hot_anchor_is_dealt_by_strings(spark, monkeypatch):
+    r = random.Random(5)
+    pick = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage = pick(40)
+    rows = [(i, pick(r.randint(0, 25)) + passage[: r.randint(25, 40)] + pick(r.randint(0, 25))) for i in range(400)]
+    rows += [(1000 + i, r.choice(rows)[1]) for i in range(60)] + [(7, rows[3][1]), (None, rows[4][1]), rows[5], (2000, "-" * 90), (2001, "-" * 70 + "x")]
+    monkeypatch.setattr(suffixes, "HOT", 40, raising=False)
+    monkeypatch.setattr(suffixes, "SHARE", 1, raising=False)
+    for name, value in (("BLOCK", 4000), ("BUCKET", 300), ("TASK", 1000), ("STRINGS", 500)):
+        monkeypatch.setattr(suffixes, name, value, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written, real = {}, suffixes.materialize
+    monkeypatch.setattr(suffixes, "materialize", lambda df, name: written.setdefault(name, real(df, name)))
+    made = suffixes.deduplicate(docs, length=30, gram=12).collect()
+    got = sorted((suffixes.LAST if x.id is None else x.id, len(x.text.encode()), sum(s.stop - s.start for s in x.spans), len(x.spans), hashlib.sha256(x.kept).hexdigest()) for x in made)
+    assert got == deduplicated([(suffixes.LAST if i is None else i, t.encode()) for i, t in rows], 30)
+    marks = np.concatenate([np.frombuffer(x.marks, suffixes.MARK) for x in written["judged"].collect()])
+    assert Counter(marks["anchor"][marks["sort"] == 1].tolist()).most_common(1)[0][1] < 2 * 40  # stretches for one suffix array
+
+
 def components(nodes, links):
     low = {n: n for n in nodes}
 

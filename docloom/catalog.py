@@ -291,8 +291,7 @@ def page_text(spark, d: str) -> DataFrame:
 WITH p AS (SELECT source AS doc, doc_id, chr(10) || '--- PAGE ' || doc_id || ' ---' || chr(10) || chr(10) || coalesce(text, '') AS t FROM documents)
 SELECT doc, md5(string_agg(t, chr(10) ORDER BY doc_id)) AS digest, count(*) AS pages FROM p GROUP BY doc""")
 def pages_rebuilt(spark, d: str) -> DataFrame:
-    built = io.pages_to_text(table(spark, d, "documents").withColumnRenamed("source", "doc"), "doc", "doc_id", "text")
-    return built.select("doc", F.md5("text").alias("digest"), F.col("pages").cast("long").alias("pages"))
+    return io.pages_digest(table(spark, d, "documents").withColumnRenamed("source", "doc"), "doc", "doc_id", "text")
 
 
 @query("""SELECT doc_id, concat_ws(',', CASE WHEN NOT contains(coalesce(text, ''), 'License') THEN 'license' END, CASE WHEN NOT contains(coalesce(text, ''), ' the ') THEN 'article' END, CASE WHEN NOT contains(coalesce(text, ''), '. ') THEN 'sentence' END) AS missing FROM documents""")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -34,6 +37,39 @@ def pages_to_text(pages: DataFrame, doc: str, number: str, text: str) -> DataFra
     return pages.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), part.alias("t")))).alias("p")).select(doc, F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("text"), F.size("p").alias("pages"))
 
 
+def pages_digest(pages: DataFrame, doc: str, number: str, text: str) -> DataFrame:
+    """(doc, digest, pages): MD5 of the text that :func:`pages_to_text` makes, whatever its size.
+
+    Pages are sorted on disk and stream through the digest, so no text of a
+    document is held. A digest is one chain: a document's pages pass one task.
+    """
+    part = F.concat(F.lit("\n--- PAGE "), F.col(number).cast("string"), F.lit(" ---\n\n"), F.coalesce(text, F.lit("")))
+    rows = pages.select(F.col(doc).cast("string").alias("doc"), F.col(number).alias("n"), part.alias("t"))
+
+    def run(batches):
+        held = None  # (document, digest so far, pages, whether a text came)
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([held[0]], pa.string()), pa.array([held[1].hexdigest()], pa.string()), pa.array([held[2]], pa.int64())], names=["doc", "digest", "pages"])
+
+        for batch in batches:
+            for d, t in zip(batch.column(0), batch.column(2), strict=True):
+                d, t = d.as_py(), t.as_py()
+                if held is None or held[0] != d:
+                    if held is not None:
+                        yield row()
+                    held = [d, hashlib.md5(usedforsecurity=False), 0, False]
+                held[2] += 1
+                if t is not None:
+                    held[1].update((("\n" if held[3] else "") + t).encode())
+                    held[3] = True
+        if held is not None:
+            yield row()
+
+    made = rows.repartition("doc").sortWithinPartitions("doc", "n", "t").mapInArrow(run, "doc string, digest string, pages long")
+    return made.select(F.col("doc").alias(doc), "digest", "pages")
+
+
 def html_text(c):
     """Visible text of a page: scripts, styles and tags removed, common entities decoded, spaces single."""
     c = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>", " ")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from docloom.functions.text import BLANK, strip
 
@@ -29,6 +31,16 @@ def _casefold(x: pd.Series) -> pd.Series:
     return x.str.casefold()
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_each(x: pd.Series) -> pd.Series:
+    return x.map(lambda own: None if own is None else [None if p is None else unicodedata.normalize("NFKC", p) for p in own])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _casefold_each(x: pd.Series) -> pd.Series:
+    return x.map(lambda own: None if own is None else [None if p is None else p.casefold() for p in own])
+
+
 def normalise_for_match(c: Column, unicode: bool = True) -> Column:
     """What a comparison of quotes looks at: dashes, quotes, enumerators, spacing and case set aside.
 
@@ -36,11 +48,15 @@ def normalise_for_match(c: Column, unicode: bool = True) -> Column:
     batches; without it the whole expression stays in the JVM (texts in ASCII
     compare alike).
     """
-    c = _nfkc(c) if unicode else c
+    c = _plain(_nfkc(c) if unicode else c)
+    return _casefold(c) if unicode else F.lower(c)
+
+
+def _plain(c: Column) -> Column:
+    """Dashes, quotes, enumerators and spacing set aside."""
     c = F.translate(c, DASHES + SINGLE_QUOTES + DOUBLE_QUOTES + " ", "-" * len(DASHES) + "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + " ")
     c = F.replace(F.regexp_replace(c, ENUMERATOR, " "), F.lit("-"), F.lit(" - "))
-    c = F.btrim(F.regexp_replace(c, BLANK, " "))
-    return _casefold(c) if unicode else F.lower(c)
+    return F.btrim(F.regexp_replace(c, BLANK, " "))
 
 
 def fragments(quote: Column) -> Column:
@@ -49,17 +65,18 @@ def fragments(quote: Column) -> Column:
 
 
 def supports(quote: Column, content: Column) -> Column:
-    """Whether every fragment occurs in the content, in order (compared without NFKC)."""
+    """Whether every fragment occurs in the content, in order, as :func:`normalise_for_match` sees them."""
     parts = fragments(quote)
     sizes = F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x))
     fit = (F.size(parts) > 0) & (F.size(parts) <= MAX_FRAGMENTS) & (sizes >= MIN_QUOTE) & F.forall(parts, lambda x: F.length(x) >= MIN_FRAGMENT)
-    hay = normalise_for_match(content, unicode=False)
+    hay = normalise_for_match(content)
     return fit & _in_order(parts, hay)
 
 
 def _in_order(parts: Column, hay: Column) -> Column:
     """A fold that cuts the text after each fragment; null once one is missing."""
-    needles = F.transform(parts, lambda x: normalise_for_match(x, unicode=False))
+    # Python functions take whole arrays: Spark calls none inside a lambda.
+    needles = _casefold_each(F.transform(_nfkc_each(parts), _plain))
     rest = F.aggregate(
         needles, hay.cast("string"),
         lambda s, x: F.when((x != "") & (F.instr(s, x) > 0), F.substr(s, F.instr(s, x) + F.length(x))),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: Text bytes handed to a function at once: bounds a worker's memory whatever the batch.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -28,12 +28,13 @@ def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iter
         start = stop
 
 
-def add_columns(df: DataFrame, column: str, schema: str, make: Callable, keep: list[str] | None = None, setup: Callable | None = None) -> DataFrame:
+def add_columns(df: DataFrame, column: str, schema: str, make: Callable, keep: list[str] | None = None, setup: Callable | None = None, limit: int = BLOCK_BYTES) -> DataFrame:
     """``df``'s columns (or those in ``keep``) with the columns of ``schema``.
 
     ``make(values, state)`` gets an Arrow array of ``column`` and returns Arrow
     arrays in ``schema``'s order; ``setup()`` makes the state once a task. A
-    column of ``df`` that has the name of a new one is replaced.
+    column of ``df`` that has the name of a new one is replaced. A block has
+    about ``limit`` bytes of ``column``.
     """
     added = StructType.fromDDL(schema)
     names = [c for c in (df.columns if keep is None else keep) if c not in added.names]
@@ -45,7 +46,7 @@ def add_columns(df: DataFrame, column: str, schema: str, make: Callable, keep: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
-            for part in blocks(batch, at):
+            for part in blocks(batch, at, limit):
                 made = make(part.column(at), state)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *made], names=fields)
 

@@ -1,30 +1,28 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Documents are sets of word 5-grams. Equal texts form a class, of which one
-document takes part. Band hashes of MinHash values gather classes that may be
-similar into clusters; a cluster's classes meet in blocks, and each pair of
-blocks compares MinHash values a few at a time, drops pairs once the posterior
-probability of reaching the threshold falls below a tolerance, and verifies the
-rest on the whole sets. Links are counted and joined into components; pairs are
-never rows.
+document takes part. Classes that share a band hash of MinHash values may be
+similar: those that such bands join form a cluster. A cluster of more than a
+block is split by the smallest class that a class shares a band with, and only
+blocks with a band in common meet. Each meeting compares MinHash values a few at
+a time, drops pairs once the posterior probability of reaching the threshold
+falls below a tolerance, and verifies the rest on the whole sets. Links are
+counted and joined into components; pairs are never rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.arrow import add_columns
-from docloom.llm.common import connected_components, drop_table, link_classes, materialize, roots, text_of
+from docloom.llm.arrow import add_columns, blocks
+from docloom.llm.common import connected_components, drop_table, fresh, link_classes, materialize, neighbours, roots, text_of
 
-WORDS = re.compile(r"\w+").findall
 GRAM, THRESHOLD = 5, 0.8
 #: MinHash values in a band and bands: a pair at the threshold misses all bands with probability 2e-5.
 ROWS, BANDS = 6, 36
@@ -32,9 +30,10 @@ VALUES = ROWS * BANDS
 #: Values compared at a time, and the posterior probability under which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-5
 #: Classes and characters of a block.
-BLOCK, BLOCK_CHARS = 512, 4_000_000
-#: Distinct texts without words that are broadcast; more are joined by a shuffle.
-BROADCAST_BLANK = 100_000
+BLOCK, BLOCK_CHARS = 512, 1_000_000
+#: Characters and pairs of the meetings that are compared in one go, and characters whose words are hashed in one go. They only bound memory.
+GATHER_CHARS, GATHER_PAIRS, HASHED = 1_000_000, 1 << 18, 1 << 19
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -43,27 +42,57 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def _word_characters() -> np.ndarray:
+    """Whether each code point is a letter, a digit or an underscore (the regular expression ``\\w``)."""
+    return np.fromiter((chr(c).isalnum() or c == 95 for c in range(0x110000)), bool, 0x110000)
+
+
+def word_hashes(code: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the code points of each word, from running sums."""
+    out, a = np.empty(len(start), np.uint64), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(start, start[a] + HASHED)))
+        low, n = int(start[a]), int(stop[b - 1] - start[a])
+        power = np.full(n + 1, _BASE, np.uint64)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        inverse = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        inverse[:1] = 1
+        np.multiply.accumulate(inverse, out=inverse)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_mix(code[low : low + n].astype(np.uint64) + np.uint64(1)) * inverse, out=sums[1:])
+        out[a:b] = _mix((sums[stop[a:b] - low] - sums[start[a:b] - low]) * power[start[a:b] - low])
+        a = b
+    return out
+
+
 def shingles(texts: list[str], n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(flat 64-bit hashes of word n-grams with repeats, how many each text has).
 
     Words are runs of word characters in lower case. A text of fewer words is
     one n-gram; a text without words has none.
     """
-    found = [WORDS(t.lower()) for t in texts]
-    flat = [w for own in found for w in own]
-    distinct = dict.fromkeys(flat)
-    codes = {w: xxhash.xxh64_intdigest(w) for w in distinct}
-    h = np.fromiter(map(codes.__getitem__, flat), np.uint64, len(flat))
-    size = np.array([len(own) for own in found], np.int64)
+    lowered = [t.lower() for t in texts]
+    ends = (np.array([len(t) for t in lowered], np.int64) + 1).cumsum()
+    code = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    del lowered
+    inside = np.zeros(len(code) + 2, np.int8)
+    inside[1:-1] = _word_characters()[code]
+    edge = np.diff(inside)
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(texts)).astype(np.int64)
+    h = word_hashes(code, start, stop)
+    del code, inside, edge
     count = np.where(size >= n, size - n + 1, np.minimum(size, 1))
     begin = size.cumsum() - size
     at = np.repeat(begin, count) + (np.arange(count.sum()) - np.repeat(count.cumsum() - count, count))
     length = np.repeat(np.minimum(size, n), count)
     out = np.full(len(at), 0x1234567, np.uint64) + length.astype(np.uint64)
     for k in range(n):
-        inside = length > k
-        step = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(at + k, max(0, len(h) - 1))]) if len(h) else out
-        out = np.where(inside, step, out)
+        more = length > k
+        step = _mix(out * np.uint64(_BASE) + h[np.minimum(at + k, max(0, len(h) - 1))]) if len(h) else out
+        out = np.where(more, step, out)
     return out, count
 
 
@@ -91,7 +120,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
     s = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
     out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), s.shape[:2]).copy()
     for k in range(ROWS):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k])
+        out = _mix(out * np.uint64(_BASE) + s[:, :, k])
     return out.view(np.int64)
 
 
@@ -112,17 +141,12 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
-def similar_pairs(sig: np.ndarray, flat: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with similarity of ``threshold`` or more, between ``left`` and ``right`` (None: within left).
+def similar_pairs(sig: np.ndarray, flat: np.ndarray, count: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the index pairs ``i, j`` with similarity of ``threshold`` or more.
 
     ``flat`` has each text's distinct n-gram numbers, ``count`` how many.
     """
-    if right is None:
-        i, j = np.triu_indices(len(left), 1)
-        i, j = left[i], left[j]
-    else:
-        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-    size_ok = np.minimum(count[i], count[j]) >= threshold * np.maximum(count[i], count[j]) - 1e-9
+    size_ok = np.minimum(count[i], count[j]) >= np.maximum(threshold * np.maximum(count[i], count[j]) - 1e-9, 1)
     i, j = i[size_ok], j[size_ok]
     hits = np.zeros(len(i), np.int32)
     for k, least in enumerate(least_matches(threshold, tolerance)):
@@ -149,51 +173,113 @@ def similar_pairs(sig: np.ndarray, flat: np.ndarray, count: np.ndarray, left: np
     return i[ok], j[ok]
 
 
-def link_blocks(keys: list[bytes], block: np.ndarray, weight: np.ndarray, texts: list[str], n: int, threshold: float) -> tuple[list[bytes], list[bytes], list[int]]:
-    """(key, root key, linked documents) of the classes in one pair of blocks that have a link."""
-    at = {}
-    for x, k in enumerate(keys):
-        at.setdefault(k, x)
-    pick = sorted(at.values(), key=lambda x: keys[x])
-    keys, block, weight = [keys[x] for x in pick], block[pick], weight[pick]
-    h, count = shingles([texts[x] for x in pick], n)
+def partners(meeting: np.ndarray, left: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of each meeting: left against right rows, or every two rows of one block.
+
+    Rows are sorted by meeting, left ones first; ``same`` tells whether a row's meeting is of one block.
+    """
+    n = len(meeting)
+    stop = np.searchsorted(meeting, meeting, side="right")
+    lefts = np.bincount(meeting[left], minlength=int(meeting.max(initial=-1)) + 1)
+    low = np.where(same, np.arange(n) + 1, np.searchsorted(meeting, meeting) + lefts[meeting])
+    width = np.where(left, np.maximum(stop - low, 0), 0)
+    i = np.repeat(np.arange(n), width)
+    return i, np.repeat(low - (width.cumsum() - width), width) + np.arange(len(i))
+
+
+def link_meetings(rows: list[tuple], n: int, threshold: float) -> tuple[list[bytes], list[bytes], list[int]]:
+    """(key, root key, linked documents) of the classes of some meetings that have a link.
+
+    ``rows``: (number of the meeting, whether it is of one block, whether the row
+    is on the right, key, copies, text), each class once a meeting and side.
+    """
+    rows.sort(key=lambda r: (r[0], r[2], r[3]))
+    meeting, same, right = (np.array([r[k] for r in rows], t) for k, t in ((0, np.int64), (1, bool), (2, bool)))
+    keys, weight = [r[3] for r in rows], np.array([r[4] for r in rows], np.float64)
+    h, count = shingles([r[5] for r in rows], n)
     sig = signatures(h, count)
     _, number = np.unique(h, return_inverse=True)
-    owner = np.repeat(np.arange(len(pick)), count)
-    pair = np.unique(owner.astype(np.int64) * (int(number.max(initial=0)) + 1) + number)
-    owner, flat = np.divmod(pair, int(number.max(initial=0)) + 1)
-    count = np.bincount(owner, minlength=len(pick)).astype(np.int64)
-    sides = np.unique(block)
-    left = np.flatnonzero((block == sides[0]) & (count > 0))
-    right = np.flatnonzero((block == sides[1]) & (count > 0)) if len(sides) > 1 else None
-    i, j = similar_pairs(sig, flat, count, left, right, threshold)
-    links = np.bincount(i, weights=weight[j], minlength=len(pick)) + np.bincount(j, weights=weight[i], minlength=len(pick))
-    root = roots(len(pick), i, j)
+    del h
+    span = int(number.max(initial=0)) + 1
+    pair = np.unique(np.repeat(np.arange(len(rows)), count) * span + number)
+    owner, flat = np.divmod(pair, span)
+    count = np.bincount(owner, minlength=len(rows)).astype(np.int64)
+    i, j = similar_pairs(sig, flat, count, *partners(meeting, ~right, same), threshold)
+    links = np.bincount(i, weights=weight[j], minlength=len(rows)) + np.bincount(j, weights=weight[i], minlength=len(rows))
+    root = roots(len(rows), i, j)
     some = np.flatnonzero(links)
     return [keys[x] for x in some], [keys[root[x]] for x in some], links[some].astype(np.int64).tolist()
 
 
 def _linked(batches, n: int, threshold: float):
-    """Streams rows sorted by pair of blocks; a pair's rows are together."""
-    held, rows = None, []
-
-    def done():
-        keys, block, weight, texts = zip(*rows, strict=True)
-        block = np.array(block)
-        if held[1] != held[2] and len(set(block.tolist())) < 2:
-            return None
-        out = link_blocks(list(keys), block, np.array(weight, np.float64), list(texts), n, threshold)
+    """Streams (cluster, x, y, right, key, copies, text) sorted by meeting (cluster, x, y); some meetings are compared at a time."""
+    held, number, rows, own, seen, chars, pairs = None, 0, [], [], set(), 0, 0
+
+    def ended():
+        """Takes in the meeting that ended, if both of its sides have come."""
+        nonlocal number, chars, pairs, own, seen
+        rights = sum(r[2] for r in own)
+        if len(own) > 1 and (held[1] == held[2] or 0 < rights < len(own)):
+            rows.extend(own)
+            number, chars = number + 1, chars + sum(len(r[5]) for r in own)
+            pairs += len(own) * (len(own) - 1) // 2 if held[1] == held[2] else rights * (len(own) - rights)
+        own, seen = [], set()
+
+    def compared():
+        nonlocal number, chars, pairs, rows
+        out = link_meetings(rows, n, threshold)
+        number, chars, pairs, rows = 0, 0, 0, []
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["a", "b", "links"])
 
     for batch in batches:
-        for c, x, y, k, b, w, t in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-            if (c, x, y) != held:
-                if rows and (made := done()) is not None:
-                    yield made
-                held, rows = (c, x, y), []
-            rows.append((k, b, w, t))
-    if rows and (made := done()) is not None:
-        yield made
+        for part in blocks(batch, 6):
+            for c, x, y, r, k, w, t in zip(*(col.to_pylist() for col in part.columns), strict=True):
+                if (c, x, y) != held:
+                    ended()
+                    if chars >= GATHER_CHARS or pairs >= GATHER_PAIRS:
+                        yield compared()
+                    held = c, x, y
+                if (r, k) not in seen:  # a repeated row has one part in it
+                    seen.add((r, k))
+                    own.append((number, x == y, r, k, w, t))
+    ended()
+    if rows:
+        yield compared()
+
+
+def _blocks(reps: DataFrame, near: DataFrame, cluster: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(placed, meet), both written: each class's group and part in its cluster, and which groups meet.
+
+    ``placed`` has (key, first_id, copies, cluster, group, part). A cluster that
+    fits a block is one group. In others, classes are grouped by their star (the
+    smallest class that they share a band with, or themselves); a star of more
+    than a block is a group of several parts. ``meet`` has (cluster, group,
+    other, parts of the other), for each group itself and for groups with a band
+    in common. A band's groups are gathered once each, however many classes they hold.
+    """
+    star = F.least("key", F.coalesce("m", F.col("key")))
+    known = cluster.withColumnRenamed("node", "key").join(reps.select("key", "first_id", "copies", "chars"), "key").join(near.select(F.col("a").alias("key"), "m"), "key", "left")
+    known = materialize(known.select("key", "first_id", "copies", "chars", F.col("component").alias("cluster"), star.alias("star")), "clusters")
+    blocks_of = lambda n, chars: F.greatest(F.ceil(n / BLOCK), F.ceil(chars / BLOCK_CHARS), F.lit(1)).cast("int")
+    stars = materialize(known.groupBy("cluster", "star").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")), "stars")
+    total = stars.groupBy("cluster").agg(blocks_of(F.sum("n"), F.sum("chars")).alias("groups"))
+    # Every class of a cluster of one block lies in group 0; the join below is for the others.
+    load = stars.join(total, "cluster").where("groups > 1").withColumn("parts", blocks_of(F.col("n"), F.col("chars")))
+    load = load.select("cluster", "star", "parts", F.when(F.col("parts") > 1, F.xxhash64("star")).otherwise(F.pmod(F.xxhash64("star"), F.col("groups")) + 1).alias("group"))
+    load = materialize(load, "load")
+    part = F.pmod(F.xxhash64(F.lit("part"), "key"), F.coalesce("parts", F.lit(1))).cast("int")
+    placed = known.join(load, ["cluster", "star"], "left").select("key", "first_id", "copies", "cluster", F.coalesce("group", F.lit(0).cast("long")).alias("group"), part.alias("part"))
+    placed = materialize(placed, "placed")
+    sized = load.groupBy("cluster", "group").agg(F.max("parts").alias("parts"))
+    bands = placed.where("group <> 0").select("key", "cluster", "group").join(reps.select("key", "bands"), "key").select("cluster", "group", F.explode("bands").alias("band"))
+    sets = bands.groupBy("cluster", "band").agg(F.sort_array(F.collect_set("group")).alias("all")).where(F.size("all") > 1).select("cluster", "all").distinct()
+    other = sets.select("cluster", "all", F.explode("all").alias("group")).select("cluster", "group", F.explode("all").alias("other")).where("group <> other").distinct()
+    apart = other.join(sized.select("cluster", F.col("group").alias("other"), "parts"), ["cluster", "other"]).select("cluster", "group", "other", "parts")
+    own = sized.select("cluster", "group", F.col("group").alias("other"), "parts")
+    meet = materialize(apart.unionByName(own), "meet")
+    for used in (known, stars, load):
+        drop_table(used)
+    return placed, meet
 
 
 def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = GRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -203,9 +289,9 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = G
     id), copies, n_links (documents linked directly to one of its documents,
     its other copies included), component_id (smallest id reachable by links)
     and first_key (the text of that document). ``rows`` has (id, key) of every
-    row. Texts without words link with nothing, so each such row is its own
-    component (component_id is then null in ``classes`` and the row's id in
-    :func:`near_duplicates`). Null ids come last: a component has a null id
+    row. Texts without words link with equal texts only. Empty texts link with
+    nothing, so each such row is its own component (component_id is then null in
+    ``classes`` and the row's id in :func:`near_duplicates`). Null ids come last: a component has a null id
     only if all its ids are null. Repeated rows count as copies. An empty table
     gives empty results. Extra columns are not read.
     """
@@ -217,29 +303,30 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = G
         width = np.where(count > 0, BANDS, 0)
         return [pa.ListArray.from_arrays(pa.array(np.append(0, width.cumsum()).astype(np.int32)), pa.array(made[count > 0].reshape(-1)))]
 
-    rows = materialize(add_columns(base, "text", "bands array<long>", make, keep=["id", "key"]), "rows")
-    # Two rows of one key have equal bands, so any of them will do.
-    reps = materialize(rows.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "reps")
+    rows = materialize(add_columns(base.withColumn("chars", F.length("text").cast("long")), "text", "bands array<long>", make, keep=["id", "key", "chars"]), "rows")
+    # Two rows of one key have equal bands and lengths, so any of them will do.
+    reps = materialize(rows.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("chars").alias("chars"), F.first("bands").alias("bands")), "reps")
     hashed = reps.select("key", F.explode("bands").alias("band"))
     shared = materialize(hashed.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("low")).where("n > 1").select(F.col("band").alias("band_"), "low"), "shared")
-    stars = hashed.join(shared, F.col("band") == F.col("band_")).select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
-    cluster = connected_components(stars)
-    sized = materialize(cluster.withColumnRenamed("node", "key").join(reps.select("key", "first_id", "copies"), "key").select("key", "first_id", "copies", F.col("component").alias("cluster")), "clusters")
-
+    near = materialize(neighbours(hashed.join(shared, F.col("band") == F.col("band_")).select(F.col("key").alias("a"), F.col("low").alias("b"))), "near")
+    cluster = connected_components(near)
+    placed, meet = _blocks(reps, near, cluster)
+
+    # A class goes to each meeting of its part; classes of one group meet there, too.
+    alone = placed.where("group = 0").select("key", "first_id", "copies", "cluster", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(False).alias("right"))
+    several = placed.where("group <> 0").join(meet, ["cluster", "group"]).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    several = several.withColumns({"own": F.struct("group", "part"), "its": F.struct(F.col("other").alias("group"), F.col("q").alias("part"))})
+    place = lambda c: F.xxhash64(c["group"], c["part"])
+    several = several.select("key", "first_id", "copies", "cluster", place(F.least("own", "its")).alias("x"), place(F.greatest("own", "its")).alias("y"), (F.col("own") > F.col("its")).alias("right"))
+    meetings = alone.unionByName(several)
     # Shuffled at every size: what is joined grows with the documents, so a plan that broadcasts it holds for small ones only.
-    members = base.join(sized.select(F.col("key").alias("k_"), F.col("first_id").alias("f_"), "copies", "cluster").hint("merge"), (F.col("key") == F.col("k_")) & F.col("id").eqNullSafe(F.col("f_")))
-    members = materialize(members.select("cluster", "key", "copies", "text"), "members")
-    load = materialize(members.groupBy(F.col("cluster").alias("c_")).agg(F.count("*").alias("m"), F.sum(F.length("text")).alias("chars")).select(
-        "c_", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")), "load")
-    blocked = members.join(load, F.col("cluster") == F.col("c_")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = blocked.select("cluster", "key", "copies", "text", "block", other).select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "key", "block", "copies", "text")
-    dealt = paired.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    members = base.join(meetings.withColumnsRenamed({"key": "k_", "first_id": "f_"}).hint("merge"), (F.col("key") == F.col("k_")) & F.col("id").eqNullSafe(F.col("f_")))
+    dealt = members.select("cluster", "x", "y", "right", "key", "copies", "text").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     found = materialize(dealt.mapInArrow(lambda batches: _linked(batches, n, threshold), "a binary, b binary, links long"), "found")
 
-    ids = reps.select("key", "first_id", "copies", (F.size("bands") > 0).alias("some"))
+    ids = reps.select("key", "first_id", "copies", (F.col("chars") > 0).alias("some"))
     out = link_classes(ids, found)
-    for used in (reps, shared, sized, members, load, found):
+    for used in (reps, shared, near, cluster, placed, meet, found):
         drop_table(used)
     return out, rows.select("id", "key")
 
@@ -265,17 +352,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (of repeated rows, one).
 
-    Rows whose text has no words all stay. Columns and their order stay.
+    Rows with an empty text all stay. Columns and their order stay, whatever
+    their names.
     """
     classes, _ = join(docs, text, id_col, n, threshold)
-    number, absent = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull()
-    keyed = docs.withColumns({"key_": F.unhex(F.md5(text_of(text))), "number_": number, "absent_": absent})
-    chosen = classes.where("some and key = first_key").select(F.col("key").alias("key_"), F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("number_"), F.col("first_id").isNull().alias("absent_"))
+    key, number, absent = fresh(docs.columns, "key", "number", "absent")
+    keyed = docs.withColumns({key: F.unhex(F.md5(text_of(text))), number: F.coalesce(F.col(id_col).cast("string"), F.lit("")), absent: F.col(id_col).isNull()})
+    chosen = classes.where("some and key = first_key").select(F.col("key").alias(key), F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias(number), F.col("first_id").isNull().alias(absent))
     # Joined by text and id, so that copies of one text lie apart; repeated rows meet without another shuffle.
-    kept = keyed.join(chosen.hint("merge"), ["key_", "number_", "absent_"], "left_semi").dropDuplicates(["key_", "number_", "absent_"])
-    blank = classes.where("not some").select(F.col("key").alias("key_"))
-    wordless = keyed.join(F.broadcast(blank) if blank.count() <= BROADCAST_BLANK else blank, "key_", "left_semi")
-    return kept.select(*docs.columns).unionByName(wordless.select(*docs.columns))
+    kept = keyed.join(chosen.hint("merge"), [key, number, absent], "left_semi").dropDuplicates([key, number, absent])
+    return kept.select(*docs.columns).unionByName(docs.where(text_of(text) == ""))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

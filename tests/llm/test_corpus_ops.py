@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docloom.llm import embeddings, jaccard, mixing, pieces, suffixes
-from docloom.llm.common import connected_components
+from docloom.llm.common import connected_components, materialize, neighbours
 
 
 def test_suffix_arrays():
@@ -93,7 +93,8 @@ def components(nodes, links):
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)]
-    got = {x.node: x.component for x in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    near = materialize(neighbours(spark.createDataFrame(links, "a long, b long")), "near")
+    got = {x.node: x.component for x in connected_components(near).collect()}
     nodes = {n for a, b in links if a != b for n in (a, b)}
     assert got == components(nodes, [x for x in links if x[0] != x[1]])
 
@@ -104,7 +105,8 @@ def similar(rows):
     for i, t in rows:
         w = re.findall(r"\w+", (t or "").lower())
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    text = dict(rows)
+    links = [(a, b) for a in sets for b in sets if a < b and text[a] and (text[a] == text[b] or sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
     n = Counter(x for pair in links for x in pair)
     low = components(list(sets), links)
     return {i: (n[i], low[i]) for i in sets}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import vectors as V
-from docloom.operators import chunk, evaluate, grounding, registry, rerank, search, structure
+from docloom.operators import adapters, chunk, evaluate, grounding, registry, rerank, search, structure, validate
 from docloom.session import table
 from docloom.sources import io
 from docloom.streaming import ingest
@@ -102,7 +102,8 @@ def rerank_diversity_select(spark, d: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM e) SELECT vec_id, i - 1 AS p, round(v[i] / sqrt(list_inner_product(v, v)), 6) + 0 AS x FROM x""")
 def vector_l2_normalise(spark, d: str) -> DataFrame:
-    unit = table(spark, d, "embeddings").select("vec_id", F.posexplode(V.l2_normalise(F.col("embedding"))).alias("p", "x"))
+    normed = table(spark, d, "embeddings").withColumn("n", V.norm(F.col("embedding")))
+    unit = normed.select("vec_id", F.posexplode(V.l2_normalise(F.col("embedding"), F.col("n"))).alias("p", "x"))
     return unit.select("vec_id", F.col("p").cast("long").alias("p"), (F.round("x", 6) + 0.0).alias("x"))
 
 
@@ -229,10 +230,15 @@ def chunk_stats(spark, d: str) -> DataFrame:
 
 
 @query(CHUNK_SQL + """ SELECT unnest(['rows', 'duplicate_ids', 'colliding_points', 'missing_fields', 'empty_content', 'over_limit', 'no_path']) AS "check",
- unnest([CAST(count(*) = 0 AS BIGINT), count(*) - count(DISTINCT chunk_id), 0, 0, 0, count(*) FILTER (length(content) > 4000), 0]) AS bad FROM c""")
+ unnest([CAST(count(*) = 0 AS BIGINT), count(*) - count(DISTINCT chunk_id), count(DISTINCT chunk_id) - count(DISTINCT sha1(chunk_id)), count(*) FILTER (d.source IS NULL OR d.lang IS NULL OR d.doc_id % 10 = 0),
+  count(*) FILTER (trim(content, ' ' || chr(9) || chr(10) || chr(13)) = ''), count(*) FILTER (length(content) > 4000), count(*) FILTER (d.doc_id IS NULL)]) AS bad FROM c LEFT JOIN documents d ON document_id = 'doc-' || d.doc_id""")
 def chunk_constraints(spark, d: str) -> DataFrame:
-    chunks = chunk.build_chunks(_units(spark, d))
-    return chunk.chunk_errors(chunks, required=["chunk_id", "document_id", "version", "path", "content"])
+    """All required fields; every tenth document names no source, which is found."""
+    n = F.regexp_extract("document_id", "[0-9]+", 0).cast("long")
+    full = chunk.build_chunks(_units(spark, d)).withColumns({
+        "document_type": F.lit("act"), "jurisdiction": F.lit("x"), "effective_from": F.lit("2024-01-01"), "effective_to": F.lit(None).cast("string"), "in_force": F.lit(True), "as_at": F.lit("2024-06-01"),
+        "unit_type": F.lit("section"), "source_name": F.when(n % 10 != 0, F.col("title"))})
+    return chunk.chunk_errors(full)
 
 
 UUID_SQL = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
@@ -273,7 +279,7 @@ f AS (SELECT * FROM c WHERE x <> '' AND length(x) <= 120 AND NOT regexp_matches(
   AND NOT regexp_matches(x, '\b(?:Act|Code)\b') AND NOT regexp_matches(x, '(?i)[0-9]|\b(?:NUMBERS)\b')),
 g AS (SELECT *, row_number() OVER (PARTITION BY item_id, lower(x) ORDER BY pos) AS k FROM f),
 h AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS rk FROM g WHERE k = 1)
-SELECT b.item_id, coalesce(string_agg(x, '|' ORDER BY pos), '') AS phrases FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id AND rk <= 3 GROUP BY b.item_id""".replace("NUMBERS", T.NUMBER_WORDS.replace(" ", "|"))
+SELECT b.item_id, coalesce(string_agg(x, '|' ORDER BY pos), '') AS phrases FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id AND rk <= 3 GROUP BY b.item_id""".replace("NUMBERS", "|".join(T.NUMBER_WORDS))
 
 
 @query(REWRITE_SQL)
@@ -288,10 +294,12 @@ def page_text(spark, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT source AS doc, doc_id, chr(10) || '--- PAGE ' || doc_id || ' ---' || chr(10) || chr(10) || coalesce(text, '') AS t FROM documents)
-SELECT doc, md5(string_agg(t, chr(10) ORDER BY doc_id)) AS digest, count(*) AS pages FROM p GROUP BY doc""")
+WITH p AS (SELECT doc_id AS doc, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS n FROM documents)
+SELECT CAST(doc AS VARCHAR) AS doc, md5(string_agg(chr(10) || '--- PAGE ' || n || ' ---' || chr(10) || chr(10) || x, chr(10) ORDER BY n)) AS digest, count(*) AS pages FROM p GROUP BY doc""")
 def pages_rebuilt(spark, d: str) -> DataFrame:
-    return io.pages_digest(table(spark, d, "documents").withColumnRenamed("source", "doc"), "doc", "doc_id", "text")
+    """Each document from its lines as pages: a group is one document, never a source."""
+    each = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "t"))
+    return io.pages_digest(each.withColumn("n", F.col("n") + 1), "doc", "n", "t")
 
 
 @query("""SELECT doc_id, concat_ws(',', CASE WHEN NOT contains(coalesce(text, ''), 'License') THEN 'license' END, CASE WHEN NOT contains(coalesce(text, ''), ' the ') THEN 'article' END, CASE WHEN NOT contains(coalesce(text, ''), '. ') THEN 'sentence' END) AS missing FROM documents""")
@@ -311,17 +319,17 @@ GAP = "chr(10) || chr(10)"
 
 
 @query(f"""
-WITH a AS (SELECT item_id, text, item_id % 4 <> 0 AS sufficient, item_id % 2 = 0 AS polar, CASE item_id % 3 WHEN 0 THEN 'Yes.' WHEN 1 THEN 'No.' END AS opening, [substr(text, 1, 40), '', substr(text, 41, 30)] AS st,
-  CASE WHEN item_id % 5 <> 0 THEN substr(text, 71, 20) END AS q FROM benchmark),
+WITH a AS (SELECT item_id, text, item_id % 4 <> 0 AS sufficient, item_id % 2 = 0 AS polar, CASE item_id % 3 WHEN 0 THEN 'Yes.' WHEN 1 THEN 'No.' END AS opening, list_append(string_split(text, '. '), '') AS st,
+  CASE WHEN item_id % 5 <> 0 THEN text END AS q FROM benchmark),
 b AS (SELECT *, trim(array_to_string(list_filter(st, lambda x: x <> ''), ' '), {WS}) AS told,
   trim(array_to_string(list_filter(string_split(text, '. '), lambda x: NOT contains(lower(x), 'an ') AND trim(x, {WS}) <> ''), '. '), {WS}) AS reason FROM a)
 SELECT item_id, CASE WHEN sufficient THEN concat_ws({GAP}, nullif(CASE WHEN polar AND opening IS NOT NULL THEN trim(opening || ' ' || told, {WS}) ELSE told END, ''), 'Important qualifications:' || {GAP} || '- ' || q, 'Ask.')
  ELSE concat_ws({GAP}, 'Unknown.', nullif(reason, '')) END AS answer FROM b""")
 def answers_rendered(spark, d: str) -> DataFrame:
-    i, cut = F.col("item_id"), lambda a, n: F.substring("text", a, n)
+    i = F.col("item_id")
     opening = F.when(i % 3 == 0, "Yes.").when(i % 3 == 1, "No.")
-    qualifications = F.when(i % 5 != 0, F.array(cut(71, 20))).otherwise(F.array().cast("array<string>"))
-    return table(spark, d, "benchmark").select("item_id", T.render(i % 4 != 0, i % 2 == 0, opening, F.array(cut(1, 40), F.lit(""), cut(41, 30)), qualifications, F.col("text"), "Unknown.", "Ask.", ["an "]).alias("answer"))
+    qualifications = F.when(i % 5 != 0, F.array("text")).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "benchmark").select("item_id", T.render(i % 4 != 0, i % 2 == 0, opening, F.concat(F.split("text", r"\. ", -1), F.array(F.lit(""))), qualifications, F.col("text"), "Unknown.", "Ask.", ["an "]).alias("answer"))
 
 
 @query("SELECT item_id, '[1] Item ' || item_id || chr(10) || text || chr(10) || chr(10) || '[2] Start' || chr(10) || substr(text, 1, 50) AS context FROM benchmark")
@@ -437,12 +445,20 @@ RESULT_SQL = f"WITH r AS ({RESULT_SELECT} FROM documents d LEFT JOIN labels l US
 
 def _results(spark, d: str) -> DataFrame:
     joined = table(spark, d, "documents").alias("d").join(table(spark, d, "labels").withColumnRenamed("doc_id", "l_id"), F.col("d.doc_id") == F.col("l_id"), "left")
-    return joined.selectExpr(*[c.strip() for c in _columns(RESULT_SELECT.removeprefix("SELECT "))])
+    return joined.selectExpr(*_select_list(RESULT_SELECT.removeprefix("SELECT ")))
 
 
-def _columns(text: str) -> list[str]:
-    """Splits a select list at its commas outside CASE (the list has no other commas)."""
-    return text.replace("\n", " ").split(",")
+def _select_list(text: str) -> list[str]:
+    """Splits a select list at the commas outside brackets and quotes."""
+    out, depth, quoted = [""], 0, False
+    for c in text.replace("\n", " "):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c in "([") - (c in ")]")
+        if c == "," and not depth and not quoted:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
 
 
 PASS_SQL = {0: "(NOT answerable OR coalesce(retrieval_hit, false))", 1: "(NOT answerable OR coalesce(rerank_hit, false))", 2: "(CASE WHEN answerable THEN coalesce(rerank_hit, false) AND coalesce(sufficient, false) ELSE NOT coalesce(sufficient, true) END)"}
@@ -500,15 +516,23 @@ RUN_SELECT = """SELECT event_id AS run, event_id % 13 <> 0 AS has_scope, CASE WH
 @query(f"""WITH r AS ({RUN_SELECT} FROM events) SELECT run, CASE WHEN NOT has_scope OR tier IS NULL THEN 'no scope recorded' WHEN selected_ids THEN 'selected questions only' WHEN one_document THEN 'one document only' WHEN NOT coalesce(reranked, true) THEN 'reranking was off'
  WHEN rewrite <> pipeline_rewrite THEN 'rewriting differs from the pipeline' WHEN rewrite AND tier >= 1 AND NOT rerank_rewrites THEN 'reranker did not read the rewrites' WHEN cache_hits > 0 THEN 'cached results' END AS refusal FROM r""")
 def promotion_guard(spark, d: str) -> DataFrame:
-    runs = table(spark, d, "events").selectExpr(*_columns(RUN_SELECT.removeprefix("SELECT ")))
+    runs = table(spark, d, "events").selectExpr(*_select_list(RUN_SELECT.removeprefix("SELECT ")))
     return runs.select("run", evaluate.promotion_refusal().alias("refusal"))
 
 
-@query("""WITH r AS (SELECT event_id AS run, event_id % 3 AS tier, 30 AS top_k, event_id % 2 = 0 AS reranked, event_id % 5 AS corpus, event_id % 4 AS b_tier, 30 AS b_top_k, event_id % 6 < 3 AS b_reranked, CASE WHEN event_id % 7 <> 0 THEN event_id % 5 END AS b_corpus FROM events)
-SELECT run, concat_ws(',', CASE WHEN tier IS DISTINCT FROM b_tier THEN 'tier' END, CASE WHEN top_k IS DISTINCT FROM b_top_k THEN 'top_k' END, CASE WHEN reranked IS DISTINCT FROM b_reranked THEN 'reranked' END, CASE WHEN corpus IS DISTINCT FROM b_corpus THEN 'corpus' END) AS reasons FROM r""")
+PAIR_RUNS = """event_id AS run, CASE WHEN event_id % 2 = 0 THEN 'e1' WHEN event_id % 3 = 0 THEN 'e2' WHEN event_id % 5 = 0 THEN '' END AS embedding_model, CASE WHEN event_id % 3 < 2 THEN 'r1' ELSE 'r2' END AS reranker_model, CASE WHEN event_id % 7 <> 0 THEN event_type END AS collection,
+ CASE WHEN event_id % 11 <> 0 THEN event_id % 3 END AS tier, CASE WHEN event_id % 4 <> 0 THEN event_id % 5 <> 0 END AS reranked, CASE WHEN event_id % 6 <> 0 THEN event_id % 2 = 0 END AS rewrite, event_id % 8 < 5 AS rerank_rewrites,
+ CASE WHEN event_id % 5 <> 1 THEN 'e1' END AS b_embedding_model, CASE WHEN event_id % 4 < 3 THEN 'r1' END AS b_reranker_model, CASE WHEN event_id % 9 < 5 THEN 'click' ELSE '' END AS b_collection,
+ CASE WHEN event_id % 13 <> 0 THEN event_id % 2 END AS b_tier, event_id % 3 = 0 AS b_reranked, CASE WHEN event_id % 10 <> 0 THEN event_id % 4 < 2 END AS b_rewrite, CASE WHEN event_id % 3 <> 0 THEN event_id % 7 < 3 END AS b_rerank_rewrites"""
+
+
+@query(f"""WITH r AS (SELECT {PAIR_RUNS} FROM events)
+SELECT run, concat_ws(',', CASE WHEN embedding_model <> '' AND b_embedding_model <> '' AND embedding_model <> b_embedding_model THEN 'embedding_model' END, CASE WHEN reranker_model <> '' AND b_reranker_model <> '' AND reranker_model <> b_reranker_model THEN 'reranker_model' END,
+ CASE WHEN collection <> '' AND b_collection <> '' AND collection <> b_collection THEN 'collection' END, CASE WHEN tier <> b_tier THEN 'tier' END, CASE WHEN reranked = false THEN 'reranked' END,
+ CASE WHEN coalesce(rewrite, false) <> coalesce(b_rewrite, false) THEN 'rewrite' END, CASE WHEN coalesce(rerank_rewrites, false) <> coalesce(b_rerank_rewrites, false) THEN 'rerank_rewrites' END) AS reasons FROM r""")
 def eval_incomparable(spark, d: str) -> DataFrame:
-    e = table(spark, d, "events").selectExpr("event_id run", "event_id % 3 tier", "30 top_k", "event_id % 2 = 0 reranked", "true rewrite", "event_id % 5 corpus", "event_id % 4 b_tier", "30 b_top_k", "event_id % 6 < 3 b_reranked", "true b_rewrite", "case when event_id % 7 <> 0 then event_id % 5 end b_corpus")
-    return e.select("run", F.array_join(evaluate.incomparable_reasons(), ",").alias("reasons"))
+    runs = table(spark, d, "events").selectExpr(*_select_list(PAIR_RUNS))
+    return runs.select("run", F.array_join(evaluate.incomparable_reasons(), ",").alias("reasons"))
 
 
 @query("""WITH q AS (SELECT item_id AS id, unnest(['c-' || item_id, 'c-' || (item_id * 7)]) AS expected FROM benchmark), c AS (SELECT 'c-' || doc_id AS chunk_id FROM documents WHERE doc_id % 3 <> 0)
@@ -548,12 +572,16 @@ def judge_agreement(spark, d: str) -> DataFrame:
     return evaluate.agreement(c)
 
 
-@query("""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'timeout' END AS error, CASE WHEN doc_id % 8 <> 0 THEN toxic = 0 END AS responsive, CASE WHEN quality = 1 THEN 'none' ELSE 'misreads' END AS defect, [CASE WHEN doc_id % 3 = 0 THEN 'absent' ELSE 'stated' END, 'stated'] AS findings FROM labels)
-SELECT doc_id, CASE WHEN error IS NOT NULL OR responsive IS NULL THEN NULL ELSE responsive AND defect = 'none' AND findings[1] = 'stated' AND findings[2] = 'stated' END AS quality,
- CASE WHEN defect <> 'none' THEN defect WHEN NOT responsive THEN 'unresponsive' WHEN findings[1] <> 'stated' THEN findings[1] END AS headline FROM v""")
+VERDICT_SELECT = """doc_id, CASE WHEN doc_id % 10 = 0 THEN 'timeout' END AS error, CASE WHEN doc_id % 8 <> 0 THEN toxic = 0 END AS responsive, CASE WHEN doc_id % 13 <> 0 THEN CASE WHEN quality = 1 THEN 'none' ELSE 'misreads' END END AS defect, CASE WHEN doc_id % 6 = 0 THEN 3 ELSE 2 END AS n_claims"""
+
+
+@query(f"""WITH v AS (SELECT {VERDICT_SELECT}, [CASE WHEN doc_id % 3 = 0 THEN 'absent' ELSE 'stated' END, CASE WHEN doc_id % 17 <> 0 THEN 'stated' END] AS findings FROM labels),
+w AS (SELECT * REPLACE (CASE WHEN error IS NOT NULL THEN error WHEN n_claims <> 2 THEN 'checked 2 of ' || n_claims || ' claims' END AS error) FROM v)
+SELECT doc_id, error, CASE WHEN error IS NOT NULL OR responsive IS NULL THEN NULL ELSE responsive AND coalesce(defect, '') = 'none' AND findings[1] = 'stated' AND coalesce(findings[2], '') = 'stated' END AS quality,
+ CASE WHEN error IS NOT NULL THEN NULL WHEN coalesce(defect, 'none') <> 'none' THEN defect WHEN NOT responsive THEN 'unresponsive' WHEN findings[1] <> 'stated' THEN findings[1] WHEN findings[2] IS NULL THEN NULL ELSE 'none' END AS headline FROM w""")
 def judge_verdicts(spark, d: str) -> DataFrame:
-    v = table(spark, d, "labels").selectExpr("doc_id", "case when doc_id % 10 = 0 then 'timeout' end error", "case when doc_id % 8 <> 0 then toxic = 0 end responsive", "case when quality = 1 then 'none' else 'misreads' end defect", "array(case when doc_id % 3 = 0 then 'absent' else 'stated' end, 'stated') findings")
-    return v.select("doc_id", evaluate.quality().alias("quality"), evaluate.headline().alias("headline"))
+    v = table(spark, d, "labels").selectExpr(*_select_list(VERDICT_SELECT), "array(case when doc_id % 3 = 0 then 'absent' else 'stated' end, case when doc_id % 17 <> 0 then 'stated' end) findings")
+    return v.withColumn("error", evaluate.verdict_error()).select("doc_id", "error", evaluate.quality().alias("quality"), evaluate.headline().alias("headline"))
 
 
 @query("""WITH q AS (SELECT doc_id // 2 AS id, CASE WHEN doc_id % 7 <> 0 THEN source ELSE '  ' END AS question, doc_id % 3 <> 0 AS answerable, doc_id % 4 <> 0 AS listed FROM documents)
@@ -593,13 +621,13 @@ def registry_constraints(spark, d: str) -> DataFrame:
     return registry.registry_errors(_registry(spark, d))
 
 
-@query(REGISTRY_SQL + """, q AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'd' || (doc_id // 2) || '@vv' || (doc_id % 2) WHEN doc_id % 3 = 1 THEN 'd' || (doc_id // 2) ELSE 'x' || doc_id END AS ref FROM documents WHERE doc_id % 2 = 0),
+@query(REGISTRY_SQL + """, q AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'd' || (doc_id // 2) || '@vv' || (doc_id % 2) WHEN doc_id % 3 = 1 THEN 'd' || (doc_id // 2) ELSE 'x' || doc_id END AS ref FROM documents),
 s AS (SELECT document_id, count(*) AS n, count(*) FILTER (in_force) AS f, min(document_id || '@v' || version) AS only_, min(document_id || '@v' || version) FILTER (in_force) AS forced FROM r GROUP BY document_id),
 e AS (SELECT DISTINCT document_id || '@v' || version AS slug FROM r)
 SELECT ref, CASE WHEN e.slug IS NOT NULL THEN e.slug WHEN n = 1 THEN only_ WHEN f = 1 THEN forced END AS slug, CASE WHEN e.slug IS NOT NULL OR n = 1 OR f = 1 THEN 'resolved' WHEN n IS NOT NULL THEN 'ambiguous' ELSE 'unknown' END AS status
 FROM q LEFT JOIN e ON ref = e.slug LEFT JOIN s ON ref = s.document_id""")
 def registry_resolve(spark, d: str) -> DataFrame:
-    refs = table(spark, d, "documents").where("doc_id % 2 = 0").selectExpr("case when doc_id % 3 = 0 then concat('d', cast(doc_id div 2 as string), '@vv', cast(doc_id % 2 as string)) when doc_id % 3 = 1 then concat('d', cast(doc_id div 2 as string)) else concat('x', cast(doc_id as string)) end ref")
+    refs = table(spark, d, "documents").selectExpr("case when doc_id % 3 = 0 then concat('d', cast(doc_id div 2 as string), '@vv', cast(doc_id % 2 as string)) when doc_id % 3 = 1 then concat('d', cast(doc_id div 2 as string)) else concat('x', cast(doc_id as string)) end ref")
     return registry.resolve(refs, _registry(spark, d))
 
 
@@ -623,20 +651,271 @@ def registry_as_of(spark, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- structure
-def statute(c):
-    """Documents in the form of statutes: every sentence of a text becomes a section with a subsection."""
-    return F.concat(F.lit("Opening\nPart I – GENERAL\n"), F.array_join(F.transform(F.split(F.coalesce(c, F.lit("")), r"\.\s+"), lambda x, i: F.concat((i % 900 + 1).cast("string"), F.lit(".\nTitle\n(1)\n"), F.regexp_replace(x, r"\s+", " "))), "\n"))
+# Documents in the form of statutes: every sentence ({x}, the {i}th) of a text becomes one of these blocks in turn, with a number {n}.
+ACT_BLOCKS = [
+    ["{n}.", "Title {n}", "(1)", "{x}", "(a)", "first", "(b)", "{x}"],
+    ["{n}.", "Title {n}", "Title {n}", "{x}"],
+    ["Part IV – NAMED", "{n}.", "Title {n}", "{x}", "loose"],
+    ["Chapter XV", "Its name", "{n}.", "[Repealed by an act]", "(1)", "{x}"],
+    ["A cross heading", "{n}.", "Title {n}", "(1)", "(2)", "{x}", "more"],
+    ["{n}A.", "Title {n}", "before", "(1)", "{x}", "(2)", "(a)", "{x}"],
+    ["{n}.", "Title {n}", "(a)", "{x}"],
+    ["{n}.", "Spent", "{x}"],
+    ["{n}.", "Title {n}"],
+    ["Part 2 - OTHERS", "{n}.", "Title {n}", "(1)", "{x}"],
+]
+ACT_START, ACT_END = ["Opening", "[Amended]", "1.", "Early", "(1)", "Above the parts", "Part I – GENERAL"], ["FIRST SCHEDULE", "9.", "After", "the end"]
+CODE_BLOCKS = [
+    ["{n}.", "Title {n}", "(1)", "{x}", "(a)", "first"],
+    ["{n}.", "Title {n}", "Title {n}", "{x}"],
+    ["Chapter TWO", "Its name", "{n}.", "Title {n}", "{x}"],
+    ["{n}.", "Title {n}", "(a)", "{x}", "(2)", "(b)", "{x}"],
+    ["SECOND SCHEDULE", "{x}", "(1)", "Third Schedule", "Chapter three", "FIRST SCHEDULE", "{n}.", "Title {n}", "(1)", "(2)", "{x}"],
+]
+CODE_START, CODE_END = ["We", "1.", "HERE", "before", "Chapter ONE", "GENERAL"], ["FIFTH SCHEDULE", "the end"]
+
+
+def _form(start: list[str], blocks: list[list[str]], end: list[str]):
+    """(column, SQL) of the same text in the form of a statute; every third document ends with ``end``, and starts over after it."""
+    fill = {"{n}": "n", "{x}": "x"}
+
+    def cut(line: str) -> list[str]:
+        """A line as literals and the names that fill it."""
+        parts = [line]
+        for mark in fill:
+            parts = [y for p in parts for y in ([p] if p in fill.values() else [z for k, w in enumerate(p.split(mark)) for z in ([fill[mark]] * (k > 0) + [w])])]
+        return [p for p in parts if p]
+
+    def column(text, ident):
+        def block(x, i):
+            value = {"n": (i % 900 + 1).cast("string"), "x": F.regexp_replace(x, r"\s+", " ")}
+            made = [F.concat(*[value.get(p, F.lit(p)) for line in own for p in [*cut(line), "\n"]][:-1]) for own in blocks]
+            out = made[-1]
+            for k in range(len(blocks) - 2, -1, -1):
+                out = F.when(i % len(blocks) == k, made[k]).otherwise(out)
+            return out
+
+        body = F.array_join(F.transform(F.split(text, r"\.\s+", -1), block), "\n")
+        tail = F.when(ident % 3 == 0, F.concat(F.lit("\n" + "\n".join(end) + "\n"), body)).otherwise("")
+        return F.concat(F.lit("\n".join(start) + "\n"), body, tail)
+
+    quoted = lambda lines: " || chr(10) || ".join(f"'{x}'" for x in lines)
+    value = {"n": "CAST((i - 1) % 900 + 1 AS VARCHAR)", "x": r"regexp_replace(x, '\s+', ' ', 'g')"}
+    cases = " ".join(f"WHEN {k} THEN " + " || chr(10) || ".join(" || ".join(value.get(p, f"'{p}'") for p in cut(line)) for line in own) for k, own in enumerate(blocks))
+    sql = f"""b AS (SELECT doc_id, array_to_string(list_transform(string_split_regex(coalesce(text, ''), '\\.\\s+'), lambda x, i: CASE (i - 1) % {len(blocks)} {cases} END), chr(10)) AS body FROM documents),
+t AS (SELECT doc_id AS doc, {quoted(start)} || chr(10) || body || CASE WHEN doc_id % 3 = 0 THEN chr(10) || {quoted(end)} || chr(10) || body ELSE '' END AS t FROM b),
+r AS (SELECT doc, trim(unnest(string_split(t, chr(10))), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS l, unnest(range(0, len(string_split(t, chr(10))))) AS p FROM t),
+l AS (SELECT *, lag(l, 1, '') OVER o AS prev, lead(l, 1, '') OVER o AS nx FROM r WHERE l <> '' WINDOW o AS (PARTITION BY doc ORDER BY p))"""
+    return column, sql
+
+
+act_text, ACT_TEXT_SQL = _form(ACT_START, ACT_BLOCKS, ACT_END)
+code_text, CODE_TEXT_SQL = _form(CODE_START, CODE_BLOCKS, CODE_END)
+# From lines with a kind to units: what each line belongs to is its last marker above; a unit's text is its subsections, then its loose lines.
+UNITS_SQL = """,
+s AS (SELECT *, last_value(CASE WHEN kd = 'sec' THEN p END IGNORE NULLS) OVER o AS sec, last_value(CASE WHEN kd = 'sec' THEN l END IGNORE NULLS) OVER o AS sec_l, last_value(CASE WHEN kd = 'sec' THEN nx END IGNORE NULLS) OVER o AS title,
+  last_value(CASE WHEN kd = 'part' THEN p END IGNORE NULLS) OVER o AS part, last_value(CASE WHEN kd = 'part' THEN l END IGNORE NULLS) OVER o AS part_l, last_value(CASE WHEN kd = 'chap' THEN p END IGNORE NULLS) OVER o AS chap,
+  last_value(CASE WHEN kd = 'chap' THEN l END IGNORE NULLS) OVER o AS chap_l, last_value(CASE WHEN kd = 'sched' THEN p END IGNORE NULLS) OVER o AS sched FROM k WINDOW o AS (PARTITION BY doc ORDER BY p)),
+u AS (SELECT *, last_value(CASE WHEN kd = 'sub' THEN p END IGNORE NULLS) OVER (PARTITION BY doc, sec ORDER BY p) AS sub FROM s WHERE sec IS NOT NULL AND sec >= coalesce(part, -1) AND sec >= coalesce(chap, -1) AND (sched IS NULL OR chap > sched)),
+v AS (SELECT *, last_value(CASE WHEN kd = 'par' AND sub IS NOT NULL THEN p END IGNORE NULLS) OVER (PARTITION BY doc, sec, sub ORDER BY p) AS par FROM u),
+w AS (SELECT doc, sec, any_value(sec_l) AS sec_l, any_value(title) AS title, any_value(CASE WHEN part IS NOT NULL THEN part_l END) AS part_l, any_value(CASE WHEN chap IS NOT NULL AND chap > coalesce(part, -1) THEN chap_l END) AS chap_l,
+  sub IS NULL AS loose, CASE WHEN sub IS NULL THEN p ELSE coalesce(par, sub) END AS pos_, coalesce(max(CASE WHEN kd IN ('sub', 'par') AND sub IS NOT NULL THEN l || ' ' END), '')
+    || coalesce(string_agg(CASE WHEN kd NOT IN ('sec', 'cross') AND NOT (kd IN ('sub', 'par') AND sub IS NOT NULL) THEN l END, ' ' ORDER BY p), '') AS line
+  FROM v WHERE kd <> 'sec' AND kd <> 'cross' AND NOT (sub IS NULL AND l = title) GROUP BY doc, sec, sub IS NULL, CASE WHEN sub IS NULL THEN p ELSE coalesce(par, sub) END),
+x AS (SELECT doc, sec, any_value(sec_l) AS sec_l, any_value(title) AS title, any_value(part_l) AS part_l, any_value(chap_l) AS chap_l, trim(string_agg(line, chr(10) ORDER BY loose, pos_), ' ' || chr(10)) AS body FROM w GROUP BY doc, sec)"""
+
+
+@query("WITH " + ACT_TEXT_SQL + r""",
+c AS (SELECT *, min(CASE WHEN regexp_matches(l, '^(FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH|TENTH)\s+SCHEDULE\b\s*(?:\[[^\]]*\])?\s*$') THEN p END) OVER (PARTITION BY doc) AS stop FROM l),
+k AS (SELECT *, CASE WHEN regexp_matches(l, '^Part\s+([0-9]+|[IVXLCDM]+[A-Z]?)\s*[–—-]\s*(.*)$') THEN 'part' WHEN regexp_matches(l, '^Chapter\s+([IVXLCDM]+[A-Z]?)$') THEN 'chap'
+  WHEN regexp_matches(nx, '^[0-9]{1,3}[A-Z]{0,2}\.\s*$') AND length(l) < 90 AND NOT starts_with(l, '[') AND NOT regexp_matches(l, '[.;,:\-–—]$') AND NOT regexp_matches(l, '^[0-9]+$') THEN 'cross'
+  WHEN regexp_matches(l, '^[0-9]{1,3}[A-Z]{0,2}\.\s*$') THEN 'sec' WHEN regexp_matches(l, '^\([0-9]+\)$') THEN 'sub' WHEN regexp_matches(l, '^\([a-z]{1,4}\)$') THEN 'par' ELSE 'txt' END AS kd FROM c WHERE stop IS NULL OR p < stop)""" + UNITS_SQL + r"""
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY sec) AS ordinal, 'section' AS unit_type, regexp_extract(sec_l, '^([0-9A-Z]+)', 1) AS number, title,
+ concat_ws(' > ', 'Part ' || regexp_extract(part_l, '^Part\s+([0-9]+|[IVXLCDM]+[A-Z]?)', 1), 'Chapter ' || regexp_extract(chap_l, '^Chapter\s+([IVXLCDM]+[A-Z]?)$', 1), 'Section ' || regexp_extract(sec_l, '^([0-9A-Z]+)', 1)) AS path, body
+FROM x WHERE body <> '' AND NOT regexp_matches(ltrim(lower(title), '['), '^(repealed|deleted|spent)')""")
+def parse_act_structure(spark, d: str) -> DataFrame:
+    made = structure.parse_acts(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), act_text(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text")))
+    return made.withColumns({"path": F.array_join("path", " > "), "ordinal": F.col("ordinal").cast("long")})
+
+
+@query("WITH " + CODE_TEXT_SQL + r""",
+c AS (SELECT *, min(CASE WHEN l = 'HERE' THEN p END) OVER (PARTITION BY doc) AS begin_ FROM l),
+k AS (SELECT *, CASE WHEN regexp_matches(l, '(?i)^Chapter\s+(ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN|ELEVEN|TWELVE|THIRTEEN|FOURTEEN|FIFTEEN|SIXTEEN|SEVENTEEN|EIGHTEEN)$') THEN 'chap'
+  WHEN regexp_matches(prev, '(?i)^Chapter\s+(ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN|ELEVEN|TWELVE|THIRTEEN|FOURTEEN|FIFTEEN|SIXTEEN|SEVENTEEN|EIGHTEEN)$') THEN 'cross'
+  WHEN regexp_matches(l, '(?i)^(FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH) SCHEDULE$') THEN 'sched' WHEN regexp_matches(l, '^[0-9]{1,3}\.\s*$') THEN 'sec' WHEN regexp_matches(l, '^\([0-9]+\)$') THEN 'sub' WHEN regexp_matches(l, '^\([a-z]\)$') THEN 'par' ELSE 'txt' END AS kd FROM c WHERE p > begin_)""" + UNITS_SQL + r""",
+y AS (SELECT doc, sched, p, l, kd FROM s WHERE sched IS NOT NULL AND sched > coalesce(chap, -1)),
+z AS (SELECT doc, sched, max(l) FILTER (kd = 'sched') AS name, row_number() OVER (PARTITION BY doc ORDER BY sched) AS n, trim(coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (kd <> 'sched'), ''), ' ' || chr(10)) AS body FROM y GROUP BY doc, sched),
+a AS (SELECT doc, false AS late, sec AS pos_, 'article' AS unit_type, CAST(CAST(regexp_extract(sec_l, '^([0-9]+)', 1) AS INTEGER) AS VARCHAR) AS number, title, 'Chapter ' || regexp_extract(chap_l, '(?i)^Chapter\s+([a-z]+)$', 1) || ' > Article ' || CAST(CAST(regexp_extract(sec_l, '^([0-9]+)', 1) AS INTEGER) AS VARCHAR) AS path, body FROM x WHERE body <> '' AND chap_l IS NOT NULL
+  UNION ALL SELECT doc, true, sched, 'schedule', CAST(n AS VARCHAR), name, name, body FROM z WHERE body <> '')
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY late, pos_) AS ordinal, unit_type, number, title, path, body FROM a""")
+def parse_constitution_structure(spark, d: str) -> DataFrame:
+    made = structure.parse_constitutions(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), code_text(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text")), "HERE")
+    return made.withColumns({"path": F.array_join("path", " > "), "ordinal": F.col("ordinal").cast("long")})
+
+
+# Rules by document: every fourth names no section count, every fifth exempts section 3.
+RULES = {
+    "n_sections": "CASE WHEN doc_id % 4 <> 3 THEN 1 + doc_id % 12 END",
+    "n_parts": "doc_id % 3",
+    "n_chapters": "CASE WHEN doc_id % 2 = 0 THEN 1 END",
+}
+
+
+@query("WITH " + ACT_TEXT_SQL + rf""",
+h AS (SELECT doc, t, list_transform(regexp_extract_all(t, '(?m)^([0-9]{{1,3}})\.[ \t]*$', 1), lambda x: CAST(x AS INTEGER)) AS s, regexp_extract_all(t, '(?m)^([0-9]{{1,3}}[A-Z]{{1,2}})\.[ \t]*$', 1) AS lettered,
+  len(regexp_extract_all(t, '(?m)^(Part[ \t]+(?:[0-9]+|[IVXLCDM]+[A-Z]?)[ \t]*[–—-].*)$', 1)) AS parts, len(regexp_extract_all(t, '(?m)^(Chapter[ \t]+[IVXLCDM]+[A-Z]?)$', 1)) AS chapters FROM t),
+e AS (SELECT h.*, {', '.join(f'{v} AS {k}' for k, v in RULES.items())}, CASE WHEN doc_id % 5 = 0 THEN [3] ELSE [] END AS exempt FROM h JOIN documents ON doc = doc_id),
+q AS (SELECT *, coalesce((SELECT list(n ORDER BY n) FROM (SELECT unnest(s) AS n) GROUP BY ALL HAVING false), []) AS none_, list_sort(list_filter(list_distinct(s), lambda n: len(list_filter(s, lambda m: m = n)) > 1)) AS twice FROM e),
+p AS (
+  SELECT doc, 'missing marker' AS problem, 'notice' AS detail FROM q WHERE NOT contains(t, 'FIRST SCHEDULE')
+  UNION ALL SELECT doc, 'no sections', '' FROM q WHERE n_sections IS NOT NULL AND len(s) = 0
+  UNION ALL SELECT doc, 'missing section', array_to_string(list_filter(range(1, n_sections + 1), lambda n: NOT list_contains(s, n)), ',') FROM q WHERE n_sections > 0 AND len(s) > 0
+  UNION ALL SELECT doc, 'repeated section', array_to_string(list_filter(twice, lambda n: NOT list_contains(exempt, n)), ',') FROM q WHERE n_sections > 0 AND len(s) > 0
+  UNION ALL SELECT doc, 'stale exemption', array_to_string(list_filter(exempt, lambda n: NOT list_contains(twice, n)), ',') FROM q WHERE n_sections > 0 AND len(s) > 0
+  UNION ALL SELECT doc, 'missing lettered section', array_to_string(list_filter(['6A', '16A'], lambda n: NOT list_contains(lettered, n)), ',') FROM q
+  UNION ALL SELECT doc, 'parts', n_parts || ' expected, ' || parts || ' found' FROM q WHERE n_parts <> parts
+  UNION ALL SELECT doc, 'chapters', n_chapters || ' expected, ' || chapters || ' found' FROM q WHERE n_chapters <> chapters)
+SELECT doc, problem, detail FROM p WHERE detail <> '' OR problem = 'no sections'""".replace("coalesce((SELECT list(n ORDER BY n) FROM (SELECT unnest(s) AS n) GROUP BY ALL HAVING false), []) AS none_, ", ""))
+def text_expectations(spark, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    texts = docs.select(F.col("doc_id").alias("doc"), act_text(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text"))
+    markers = F.array(F.struct(F.lit("notice").alias("name"), F.lit("FIRST SCHEDULE").alias("marker")))
+    rules = docs.select(
+        F.col("doc_id").alias("doc"), markers.alias("markers"), *[F.expr(v).cast("int").alias(k) for k, v in RULES.items()], F.array(F.lit("6A"), F.lit("16A")).alias("want_lettered"),
+        F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(3))).otherwise(F.array().cast("array<int>")).alias("exempt"))
+    return validate.text_problems(texts, rules)
+
+
+# The parsed units of all documents, as parse_act_structure has them.
+UNIT_CTE = "WITH units AS (" + ORACLES["parse_act_structure"] + ")"
+
+
+@query(UNIT_CTE + """,
+n AS (SELECT doc_id AS doc, count(u.doc) AS n, count(*) FILTER (len(string_split(path, ' > ')) NOT IN (2, 3) AND u.doc IS NOT NULL) AS deep, bool_or(number = '6A') AS six, bool_or(number = '1') AS one FROM documents LEFT JOIN units u ON doc_id = u.doc GROUP BY doc_id),
+f AS (SELECT doc, string_split(path, ' > ')[1] AS part, min(ordinal) AS o FROM units GROUP BY ALL), g AS (SELECT doc, string_agg(part, ',' ORDER BY o) AS parts FROM f GROUP BY doc),
+p AS (
+  SELECT doc, 'counts' AS problem, concat_ws(',', CASE WHEN doc % 7 = 0 THEN 'schedule 0 of 1' END, CASE WHEN n <> doc % 30 THEN 'section ' || n || ' of ' || doc % 30 END) AS detail FROM n
+  UNION ALL SELECT doc, 'missing number', concat_ws(',', CASE WHEN NOT coalesce(one, false) THEN '1' END, CASE WHEN NOT coalesce(six, false) THEN '6A' END) FROM n
+  UNION ALL SELECT doc, 'path depth', CAST(deep AS VARCHAR) FROM n WHERE doc % 2 = 0 AND deep > 0
+  UNION ALL SELECT n.doc, 'part order', coalesce(parts, '') || ' ' FROM n LEFT JOIN g ON n.doc = g.doc WHERE n.doc % 3 <> 0 AND coalesce(parts, '') <> 'Section 1,Part I,Part IV,Part 2')
+SELECT doc, problem, trim(detail) AS detail FROM p WHERE detail <> ''""")
+def unit_expectations(spark, d: str) -> DataFrame:
+    units = parse_act_structure(spark, d).withColumn("path", F.split("path", " > "))
+    none = lambda kind: F.lit(None).cast(kind)
+    i = F.col("doc_id")
+    section = F.create_map(F.lit("section"), (i % 30).cast("int"))
+    rules = table(spark, d, "documents").select(
+        i.alias("doc"), F.when(i % 7 == 0, F.map_concat(section, F.create_map(F.lit("schedule"), F.lit(1)))).otherwise(section).alias("counts"), F.array(F.lit("1"), F.lit("6A")).alias("want_numbers"),
+        F.when(i % 2 == 0, F.array(F.lit(2), F.lit(3))).otherwise(none("array<int>")).alias("depths"),
+        F.when(i % 3 != 0, F.array(*map(F.lit, ("Section 1", "Part I", "Part IV", "Part 2")))).otherwise(none("array<string>")).alias("part_order"))
+    return validate.unit_problems(units, rules)
+
+
+@query(f"""WITH a AS ({ORACLES["parse_act_structure"]}), c AS ({ORACLES["parse_constitution_structure"]})
+SELECT doc, unit_type, count(*) AS n FROM (SELECT a.doc, unit_type FROM a JOIN documents ON doc = doc_id WHERE lang = 'en' UNION ALL SELECT c.doc, unit_type FROM c JOIN documents ON doc = doc_id WHERE lang IS DISTINCT FROM 'en') GROUP BY doc, unit_type""")
+def parse_by_document_type(spark, d: str) -> DataFrame:
+    """Documents in English as acts, others as constitutions, each by the parser of its type."""
+    t, i = F.coalesce("text", F.lit("")), F.col("doc_id")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    docs = table(spark, d, "documents").select(i.alias("doc"), F.when(english, act_text(t, i)).otherwise(code_text(t, i)).alias("text"), F.when(english, "act").otherwise("constitution").alias("document_type"))
+    return adapters.parse_by_type(docs).groupBy("doc", "unit_type").agg(F.count("*").alias("n"))
 
 
-@query()
-def parse_act_structure(spark, d: str) -> DataFrame:
-    return structure.parse_acts(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), statute(F.col("text")).alias("text")))
+@query(r"""
+WITH p AS (SELECT doc_id, coalesce(source, '') AS source, 'front' || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'BEGIN' || chr(10) END || replace(coalesce(text, ''), '. ', '.' || chr(10) || 'Running head' || chr(10)) || chr(10) || CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'FINIS' || chr(10) || 'index' END AS t FROM documents),
+a AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN strpos(t, 'BEGIN') WHEN 1 THEN 1 ELSE 1 END AS a FROM p), b AS (SELECT *, CASE WHEN a > 0 THEN substr(t, a) END AS u FROM a),
+c AS (SELECT *, CASE WHEN doc_id % 3 = 1 THEN strpos(u, 'FINIS') ELSE length(u) + 1 END AS z FROM b),
+e AS (SELECT doc_id, CASE WHEN u IS NULL THEN 'no start marker' WHEN z = 0 THEN 'no end marker' END AS error, CASE WHEN z > 0 THEN substr(u, 1, z - 1) END AS v FROM c),
+f AS (SELECT doc_id, error, CASE WHEN doc_id % 3 = 2 THEN regexp_replace(v, 'Running head\n', '', 'g') ELSE v END AS v FROM e)
+SELECT doc_id, error, CASE WHEN error IS NULL THEN len(list_filter(list_transform(string_split(v, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x = 'Running head')) END AS heads,
+ CASE WHEN error IS NULL THEN contains(v, 'front') END AS front, CASE WHEN error IS NULL THEN contains(v, 'index') END AS tail FROM f""")
+def clean_by_spec(spark, d: str) -> DataFrame:
+    """Cleaning by each document's own patterns: a start, an end or a running header, by the id's remainder."""
+    i = F.col("doc_id")
+    text = F.concat(F.lit("front\n"), F.when(i % 5 == 0, "").otherwise("BEGIN\n"), F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\nRunning head\n")), F.lit("\n"), F.when(i % 7 == 0, "").otherwise("FINIS\nindex"))
+    docs = table(spark, d, "documents").select("doc_id", text.alias("text"))
+    specs = docs.select("doc_id", F.when(i % 3 == 0, "BEGIN").alias("start"), F.when(i % 3 == 1, "FINIS").alias("end"), F.when(i % 3 == 2, "Running head\n").alias("header"))
+    made = adapters.clean_by_document(docs, specs, "doc_id")
+    heads = F.size(F.filter(F.split("clean", "\n"), lambda x: x == "Running head")).cast("long")
+    return made.select("doc_id", "error", F.when(F.col("clean").isNotNull(), heads).alias("heads"), F.contains("clean", F.lit("front")).alias("front"), F.contains("clean", F.lit("index")).alias("tail"))
+
+
+@query("SELECT doc_id, p, x FROM (SELECT doc_id, unnest([0, 1]) AS p, unnest([CAST(length(coalesce(text, '')) AS DOUBLE), CAST(len(string_split(coalesce(text, ''), ' ')) AS DOUBLE)]) AS x FROM documents)")
+def encoded_texts(spark, d: str) -> DataFrame:
+    """Texts through a pluggable encoder, here one that counts characters and spaces."""
+    encode = adapters.encoder(lambda: lambda texts: [[len(t), t.count(" ") + 1] for t in texts])
+    made = table(spark, d, "documents").select("doc_id", F.posexplode(encode(F.col("text"))).alias("p", "x"))
+    return made
+
+
+@query("""WITH r AS (SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'no json' WHEN 1 THEN '{"verdict": "yes"}' WHEN 2 THEN '{"verdict": "yes", "sufficient": true, "statements": []}' WHEN 3 THEN '[1]' ELSE '{"statements": [], "more": {"verdict": 1}}' END AS raw FROM benchmark)
+SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'no JSON object' WHEN 1 THEN 'missing sufficient,statements' WHEN 3 THEN 'no JSON object' WHEN 4 THEN 'missing sufficient,verdict' END AS error FROM r""")
+def model_answers_checked(spark, d: str) -> DataFrame:
+    i = F.col("item_id")
+    raw = F.when(i % 5 == 0, "no json").when(i % 5 == 1, '{"verdict": "yes"}').when(i % 5 == 2, '{"verdict": "yes", "sufficient": true, "statements": []}').when(i % 5 == 3, "[1]").otherwise('{"statements": [], "more": {"verdict": 1}}')
+    return validate.parsed_answers(table(spark, d, "benchmark").select("item_id", raw.alias("raw")), "raw", ["sufficient", "statements", "verdict"]).select("item_id", "error")
+
+
+@query(f"""WITH r AS ({RUN_SELECT}, event_type AS suite, ts AS ts_ FROM events), p AS (SELECT run, suite, tier, ts_, CASE WHEN NOT has_scope OR tier IS NULL THEN 'x' WHEN selected_ids OR one_document OR NOT coalesce(reranked, true) OR rewrite <> pipeline_rewrite OR (rewrite AND tier >= 1 AND NOT rerank_rewrites) OR cache_hits > 0 THEN 'x' END AS refusal FROM r),
+n AS (SELECT run, suite, tier FROM (SELECT *, row_number() OVER (PARTITION BY suite, tier ORDER BY ts_ DESC, run DESC) AS k FROM p WHERE refusal IS NULL) WHERE k = 1),
+s AS (SELECT -1 - tier AS run, suite, tier FROM (SELECT DISTINCT event_type AS suite, unnest([0, 1, 2]) AS tier FROM events))
+SELECT run, suite, tier FROM n UNION ALL SELECT run, suite, tier FROM s WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.suite = s.suite AND n.tier = s.tier)""")
+def baselines_replaced(spark, d: str) -> DataFrame:
+    """Stored baselines by suite and tier, replaced where a run may be promoted."""
+    e = table(spark, d, "events")
+    runs = e.selectExpr(*_select_list(RUN_SELECT.removeprefix("SELECT ")), "event_type suite", "ts at").withColumn("refusal", evaluate.promotion_refusal())
+    stored = e.select(F.col("event_type").alias("suite")).distinct().withColumn("tier", F.explode(F.array(*[F.lit(t).cast("long") for t in range(3)]))).select((-1 - F.col("tier")).alias("run"), "suite", "tier")
+    return evaluate.replace_baselines(stored, runs)
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY event_type, event_id % 3 ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT event_id AS run, event_type AS suite, event_id % 3 AS tier FROM l WHERE k = 1""")
+def last_runs(spark, d: str) -> DataFrame:
+    runs = table(spark, d, "events").selectExpr("event_id run", "event_type suite", "event_id % 3 tier", "ts at")
+    return evaluate.latest_runs(runs).select("run", "suite", "tier")
+
+
+@query("""SELECT suite, count(*) AS n, count(kind) AS kinds FROM (SELECT 'product' AS suite, item_id AS id, 'advice' AS kind FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT 'statutory', doc_id, NULL FROM documents WHERE doc_id % 2 = 0) WHERE id IN (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 2 = 0) GROUP BY suite""")
+def suites_labelled(spark, d: str) -> DataFrame:
+    """Two question sets in one table, and those questions of it that are asked for by id."""
+    product = table(spark, d, "benchmark").where("item_id % 3 = 0").select(F.col("item_id").alias("id"), F.lit("advice").alias("kind"))
+    even = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
+    picked = evaluate.pick_questions(evaluate.label_suites({"product": product, "statutory": even}), even)
+    return picked.groupBy("suite").agg(F.count("*").alias("n"), F.count("kind").alias("kinds"))
+
+
+@query(ROUTE_SQL + """, i AS (SELECT vec_id AS id, CASE vec_id % 6 WHEN 0 THEN 'Hello!' WHEN 1 THEN 'who are you?' WHEN 2 THEN NULL ELSE 'what of it' END AS t FROM embeddings)
+SELECT i.id, CASE id % 6 WHEN 0 THEN 'greeting' WHEN 1 THEN 'identity' ELSE CASE WHEN id % 7 = 0 THEN '0' ELSE CAST(intent AS VARCHAR) END END AS intent, CASE WHEN id % 6 < 2 THEN 'exact' WHEN id % 7 = 0 THEN 'default' ELSE 'centroid' END AS by FROM i JOIN r USING (id)""")
+def intent_decision(spark, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    c = evaluate.centroids(e.select("label", F.col("embedding").alias("v")), "label").select(F.col("label").cast("string").alias("intent"), "c")
+    i = F.col("vec_id")
+    said = F.when(i % 6 == 0, "Hello!").when(i % 6 == 1, "who are you?").when(i % 6 == 2, None).otherwise("what of it")
+    return evaluate.decide_intent(e.select(i.alias("id"), said.alias("text"), F.when(i % 7 != 0, F.col("embedding")).alias("v")), c, "0")
 
 
-@query()
-def parse_constitution_structure(spark, d: str) -> DataFrame:
-    articles = F.regexp_replace(statute(F.col("text")), r"^Opening\n[^\n]*", "We\nHERE\nChapter ONE\nGENERAL")
-    return structure.parse_constitutions(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), articles.alias("text")), "HERE")
+@query("""WITH w AS (SELECT doc_id, source AS key FROM documents), c AS (SELECT DISTINCT source AS key FROM documents WHERE doc_id % 40 = 0)
+SELECT w.key, CASE WHEN c.key IS NOT NULL THEN 'kept ' || c.key ELSE 'made ' || w.key END AS value, c.key IS NOT NULL AS hit, count(*) AS n FROM w LEFT JOIN c ON w.key = c.key GROUP BY ALL""")
+def cache_filled(spark, d: str) -> DataFrame:
+    """Wanted keys from a cache, misses computed once a key and added."""
+    docs = table(spark, d, "documents")
+    cache = docs.where("doc_id % 40 = 0").select(F.col("source").alias("key")).distinct().withColumn("value", F.concat(F.lit("kept "), F.col("key")))
+    results, _ = adapters.through_cache(docs.select(F.col("source").alias("key")), cache, lambda missing: missing.select("key", F.concat(F.lit("made "), F.col("key")).alias("value")))
+    return results.groupBy("key", "value", "hit").agg(F.count("*").alias("n"))
+
+
+@query(E_SQL + _top_sql("t", "true", 30) + " SELECT qid, cid, rk AS pos FROM t WHERE rk <= 5")
+def top_k_unranked(spark, d: str) -> DataFrame:
+    """The first five of each query as retrieved, without reranking."""
+    return validate.first_k(_candidates(spark, d), "qid", "pos").select("qid", "cid", "pos")
+
+
+@query("""SELECT document_id, version, status, chunk_count, raw_sha256, cleaned_sha256 FROM (SELECT 'doc-' || doc_id AS document_id, '2024' AS version, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN 'processed' ELSE 'empty' END AS status, sha256(coalesce(text, '')) AS raw_sha256, sha256(replace(coalesce(text, ''), '. ', '.')) AS cleaned_sha256 FROM documents)
+ LEFT JOIN (SELECT document_id AS d_, count(*) AS n_ FROM (""" + CHUNK_SQL + """ SELECT document_id FROM c) GROUP BY 1) ON document_id = d_, LATERAL (SELECT coalesce(n_, 0) AS chunk_count)""")
+def metadata_manifest(spark, d: str) -> DataFrame:
+    t = F.col("text")
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), F.lit("2024").alias("version"), t.alias("raw"), t.alias("extracted"), F.replace(t, F.lit(". "), F.lit(".")).alias("cleaned"))
+    made = io.metadata_manifest(docs, chunk.build_chunks(_units(spark, d)))
+    return made.select("document_id", "version", "processing.status", "processing.chunk_count", "checksums.raw_sha256", "checksums.cleaned_sha256")
 
 
 @query("""WITH f AS (SELECT l_orderkey AS doc, l_returnflag AS unit_type, count(*) AS n FROM lineitem GROUP BY 1, 2), e AS (SELECT o_orderkey AS doc, unnest(['A', 'N', 'R']) AS unit_type, o_orderkey % 3 AS expected FROM orders)

@@ -62,25 +62,23 @@ def remove_running_headers(c: Column, pattern: Column | str) -> Column:
     return F.regexp_replace(c, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(""))
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalise_lines(c: Column) -> Column:
     """Stripped lines; one that equals the last non-blank line goes, blank runs become one blank line.
 
-    A fold over the lines with the kept text, the last kept line and whether a
-    blank line lies in between.
+    Non-blank lines carry how many blank ones came before; a line that differs
+    from the one before it stays, and two that stay are parted by a blank line
+    where that number grew. Every step is one pass over an array.
     """
-    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("last"), F.lit(False).alias("gap"))
-
-    def step(s: Column, raw: Column) -> Column:
-        line = strip(raw)
-        added = F.concat(s["text"], F.when(s["last"].isNull(), F.lit("")).when(s["gap"], F.lit("\n\n")).otherwise(F.lit("\n")), line)
-        blank, same = line == "", line.eqNullSafe(s["last"])
-        return F.struct(
-            F.when(blank | same, s["text"]).otherwise(added).alias("text"),
-            F.when(blank | same, s["last"]).otherwise(line).alias("last"),
-            F.when(blank, F.lit(True)).when(same, s["gap"]).otherwise(F.lit(False)).alias("gap"),
-        )
-
-    return F.aggregate(F.split(c, "\n", -1), start, step, lambda s: s["text"])
+    stripped = F.transform(F.split(c, "\n", -1), lambda x, i: F.struct(strip(x).alias("l"), i.alias("i")))
+    some = F.transform(F.filter(stripped, lambda x: x["l"] != ""), lambda x, j: F.struct(x["l"].alias("l"), (x["i"] - j).alias("blanks")))
+    kept = _let(some, lambda own: F.filter(own, lambda x, j: F.when(j == 0, True).otherwise(x["l"] != F.get(own, j - 1)["l"])))
+    apart = lambda own, x, j: F.when(j == 0, "").when(x["blanks"] > F.get(own, j - 1)["blanks"], "\n\n").otherwise("\n")
+    return _let(kept, lambda own: F.array_join(F.transform(own, lambda x, j: F.concat(apart(own, x, j), x["l"])), ""))
 
 
 def clean(c: Column, start: str | None = None, end: str | None = None, header: str | None = None) -> Column:
@@ -194,11 +192,15 @@ def exact_intent(c: Column) -> Column:
 
 
 # Phrases of a rewrite that name a provision, an instrument or a number are refused.
-NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half double treble"
+NUMBER_WORDS = (
+    "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million",
+    "billion", "half", "double", "treble",
+)
 REFUSED = [
     r"(?i)\b(?:article|art|section|sec|cap|chapter|part|schedule)\.?\s*\(?[0-9]|\bs\.\s*[0-9]|\bconstitution\b",
     r"\b(?:Act|Code)\b",
-    r"(?i)[0-9]|\b(?:" + NUMBER_WORDS.replace(" ", "|") + r")\b",
+    r"(?i)[0-9]|\b(?:" + "|".join(NUMBER_WORDS) + r")\b",
 ]
 
 

@@ -19,10 +19,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def l2_normalise(a: Column) -> Column:
-    """Unit vector; the zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n == 0, doubles(a)).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+def l2_normalise(a: Column, n: Column) -> Column:
+    """Unit vector of ``a``, whose :func:`norm` is the column ``n``; the zero vector stays as it is.
+
+    The norm is asked for as a column made in a step before, so that it is
+    computed once a vector and not once a component.
+    """
+    return F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
 
 
 def sparse_dot(a: Column, b: Column) -> Column:

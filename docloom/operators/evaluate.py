@@ -106,22 +106,37 @@ def promotion_refusal() -> Column:
 
 
 def incomparable_reasons() -> Column:
-    """Ways in which a run and its baseline differ: b_* against the run's own columns."""
-    differ = lambda c: ~F.col(c).eqNullSafe(F.col(f"b_{c}"))
-    names = ["tier", "top_k", "reranked", "rewrite", "corpus"]
-    return F.filter(F.array(*[F.when(differ(c), c) for c in names]), lambda x: x.isNotNull())
+    """Why a run's difference to its baseline (b_* columns) is no plain regression, as a list of names.
+
+    The two models and the collection count where both sides name them, and so
+    does the tier. ``reranked`` counts where this run had it off, whatever the
+    baseline had. Rewriting and the reranker's reading of it count as booleans,
+    an absent one as false.
+    """
+    named = lambda c: F.when((F.coalesce(F.col(c), F.lit("")) != "") & (F.coalesce(F.col(f"b_{c}"), F.lit("")) != "") & (F.col(c) != F.col(f"b_{c}")), c)
+    switched = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)) != F.coalesce(F.col(f"b_{c}"), F.lit(False)), c)
+    found = [*map(named, ("embedding_model", "reranker_model", "collection")), F.when(F.col("tier") != F.col("b_tier"), "tier"), F.when(~F.col("reranked"), "reranked"), *map(switched, ("rewrite", "rerank_rewrites"))]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def verdict_error() -> Column:
+    """A verdict's error: its own, or that its findings are not as many as the claims it was given (``n_claims``)."""
+    n = F.coalesce(F.size("findings"), F.lit(0))
+    counted = F.concat(F.lit("checked "), n.cast("string"), F.lit(" of "), F.col("n_claims").cast("string"), F.lit(" claims"))
+    return F.coalesce(F.col("error"), F.when((F.col("n_claims") > 0) & (n != F.col("n_claims")), counted))
 
 
 def quality() -> Column:
     """A verdict's quality: null on errors or unread verdicts; else responsive, without defect, all claims stated."""
     return F.when(F.col("error").isNotNull() | F.col("responsive").isNull(), F.lit(None).cast("boolean")).otherwise(
-        F.col("responsive") & (F.col("defect") == "none") & F.forall("findings", lambda x: F.coalesce(x == "stated", F.lit(False))))
+        F.col("responsive") & F.coalesce(F.col("defect") == "none", F.lit(False)) & F.forall("findings", lambda x: F.coalesce(x == "stated", F.lit(False))))
 
 
 def headline() -> Column:
-    """The defect to show: an answer's own before the first failing claim's."""
+    """The defect to show: null on errors, an answer's own before the first failing claim's, "none" for a sound answer."""
     bad = F.filter("findings", lambda x: F.coalesce(x != "stated", F.lit(True)))
-    return F.when(F.col("defect") != "none", F.col("defect")).when(~F.col("responsive"), "unresponsive").otherwise(F.try_element_at(bad, F.lit(1)))
+    flaw = F.when(F.coalesce(F.col("defect"), F.lit("none")) != "none", F.col("defect"))
+    return F.when(F.col("error").isNotNull(), F.lit(None).cast("string")).when(flaw.isNotNull(), flaw).when(~F.col("responsive"), "unresponsive").when(F.size(bad) > 0, F.try_element_at(bad, F.lit(1))).otherwise("none")
 
 
 def agreement(checks: DataFrame, by: str = "case") -> DataFrame:
@@ -130,8 +145,10 @@ def agreement(checks: DataFrame, by: str = "case") -> DataFrame:
 
 
 def missing_expected(questions: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(id, expected) that the corpus lacks; ``questions(id, expect_any_of)``, ``corpus(chunk_id)``."""
-    return questions.select("id", F.explode("expect_any_of").alias("expected")).join(corpus, F.col("expected") == F.col("chunk_id"), "left_anti")
+    """(id, expected) that the corpus lacks; ``questions(id, expect_any_of)``, ``corpus(chunk_id)``. An empty corpus has nothing to check against."""
+    some = corpus.select(F.lit(True).alias("some")).limit(1)
+    lacking = questions.select("id", F.explode("expect_any_of").alias("expected")).join(corpus, F.col("expected") == F.col("chunk_id"), "left_anti")
+    return lacking.join(F.broadcast(some)).drop("some")  # one row at most
 
 
 def of_document(questions: DataFrame, document: str) -> DataFrame:
@@ -151,6 +168,25 @@ def question_errors(questions: DataFrame) -> DataFrame:
     return each.unionByName(repeated).unionByName(empty)
 
 
+def decide_intent(inputs: DataFrame, centroids: DataFrame | None, default: str, margin: float = 0.05) -> DataFrame:
+    """(id, intent, by) of ``inputs(id, text, v)``: a known phrase decides first, then the centroids, else ``default``.
+
+    ``by`` is exact, centroid or default. Without centroids (an encoder that
+    failed), and for inputs without a vector, what no phrase decides goes to
+    ``default``; so does an empty text.
+    """
+    from docloom.functions.text import exact_intent
+
+    known = inputs.withColumn("exact", exact_intent(F.coalesce("text", F.lit(""))))
+    if centroids is None:
+        return known.select("id", F.coalesce("exact", F.lit(default)).alias("intent"), F.when(F.col("exact").isNotNull(), "exact").otherwise("default").alias("by"))
+    said = known.where("exact is not null").select("id", F.col("exact").alias("intent"), F.lit("exact").alias("by"))
+    other = known.where("exact is null")
+    near = classify_by_centroid(other.where("v is not null and size(v) > 0").select("id", "v"), centroids, default, margin)
+    far = other.where("v is null or size(v) = 0").select("id", F.lit(default).alias("intent"), F.lit("default").alias("by"))
+    return said.unionByName(near.select("id", "intent", F.lit("centroid").alias("by"))).unionByName(far)
+
+
 def intent_report(rows: DataFrame, default) -> DataFrame:
     """One row over ``rows(expected, got, margin)``: how routing went, and the margins on both sides.
 
@@ -179,10 +215,41 @@ def case_checks(cases: DataFrame) -> DataFrame:
 
 
 def review_sample(rows: DataFrame, limit: int, by: str = "id") -> DataFrame:
-    """Failures first, at most half of ``limit`` (one at least), filled with passes; ``rows`` has ok."""
-    fails = rows.where("not ok").orderBy(by).limit(max(1, limit // 2))
-    took = fails.count()
-    return fails.unionByName(rows.where("ok").orderBy(by).limit(limit - took))
+    """Failures first, at most half of ``limit`` (one at least), filled with passes; ``rows`` has ok.
+
+    The first ``limit`` of each kind are cut where they lie, so the ranking sees twice ``limit`` rows.
+    """
+    fails, passes = rows.where("not ok").orderBy(by).limit(max(1, limit // 2)), rows.where("ok").orderBy(by).limit(limit)
+    rank = F.row_number().over(Window.orderBy("ok", by))
+    return fails.unionByName(passes).withColumn("rank_", rank).where(F.col("rank_") <= limit).drop("rank_")
+
+
+def label_suites(suites: dict[str, DataFrame]) -> DataFrame:
+    """One table of several question sets, each row with the name of its set (``suite``)."""
+    out = None
+    for name, rows in suites.items():
+        own = rows.withColumn("suite", F.lit(name))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def pick_questions(questions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The questions that ``wanted(id)`` names; an id that no question has is an error."""
+    known = wanted.select(F.col("id").alias("want")).distinct().join(questions.select("id", F.lit(True).alias("known")).distinct(), F.col("want") == F.col("id"), "left").select("want", "known")
+    sure = known.select(F.when(F.col("known").isNull(), F.raise_error(F.concat(F.lit("unknown question id "), F.col("want").cast("string")))).otherwise(F.col("want")).alias("want"))
+    return questions.join(sure, F.col("id") == F.col("want"), "left_semi")
+
+
+def latest_runs(runs: DataFrame, by: tuple[str, ...] = ("suite", "tier"), order: str = "at") -> DataFrame:
+    """The last run of each suite and tier; equal times go to the larger run id. A row a group is partly reduced before the shuffle."""
+    newest = F.max_by(F.struct(*[F.col(c) for c in runs.columns]), F.struct(order, "run"))
+    return runs.groupBy(*[F.col(c).alias(f"{c}_") for c in by]).agg(newest.alias("r")).select("r.*")
+
+
+def replace_baselines(stored: DataFrame, runs: DataFrame, by: tuple[str, ...] = ("suite", "tier")) -> DataFrame:
+    """``stored`` baselines, replaced by the promoted ones of ``runs``: those without a ``refusal``, the last of each suite and tier."""
+    new = latest_runs(runs.where("refusal is null"), by).select(*stored.columns)
+    return stored.join(new.select(*by), list(by), "left_anti").select(*stored.columns).unionByName(new)
 
 
 def classify_by_centroid(vectors: DataFrame, centroids: DataFrame, default: str, margin: float = 0.05) -> DataFrame:
@@ -191,10 +258,11 @@ def classify_by_centroid(vectors: DataFrame, centroids: DataFrame, default: str,
     The centroid table has a row a class, so it is gathered into one row and
     broadcast. Ties go to the class first by name.
     """
-    from docloom.functions.vectors import dot, l2_normalise
+    from docloom.functions.vectors import dot, l2_normalise, norm
 
     gathered = centroids.agg(F.array_sort(F.collect_list(F.struct("intent", "c"))).alias("all"))
-    scored = vectors.join(F.broadcast(gathered)).withColumn("u", l2_normalise(F.col("v")))
+    # The norm is a column of its own: inside the lambda it would be summed anew for each component.
+    scored = vectors.withColumn("n_", norm(F.col("v"))).join(F.broadcast(gathered)).withColumn("u", l2_normalise(F.col("v"), F.col("n_")))
     scored = scored.withColumn("s", F.transform("all", lambda x: F.struct(F.round(dot(F.col("u"), x["c"]), 6).alias("sim"), x["intent"].alias("intent"))))
     other = F.filter("s", lambda x: x["intent"] != default)
     best = F.array_max(F.transform(other, lambda x: x["sim"]))
@@ -206,8 +274,8 @@ def classify_by_centroid(vectors: DataFrame, centroids: DataFrame, default: str,
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
     """(by, c): the mean vector of each class at unit length; components meet in partly summed averages."""
-    from docloom.functions.vectors import l2_normalise
+    from docloom.functions.vectors import l2_normalise, norm
 
     parts = vectors.select(by, F.posexplode("v").alias("p", "x")).groupBy(by, "p").agg(F.avg(F.col("x").cast("double")).alias("m"))
     mean = parts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias("c"))
-    return mean.withColumn("c", l2_normalise(F.col("c")))
+    return mean.withColumn("n_", norm(F.col("c"))).withColumn("c", l2_normalise(F.col("c"), F.col("n_"))).drop("n_")

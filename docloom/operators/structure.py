@@ -25,6 +25,8 @@ C_ARTICLE = r"^([0-9]{1,3})\.\s*$"
 C_PARAGRAPH = r"^\(([a-z])\)$"
 C_SCHEDULE = r"(?i)^(FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH) SCHEDULE$"
 REPEALED = r"^(repealed|deleted|spent)"
+#: The line that ends a constitution's preamble, unless said.
+PREAMBLE_END = "HERE"
 
 
 def lines(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
@@ -81,29 +83,30 @@ def parse_acts(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFra
         key, F.row_number().over(Window.partitionBy(key).orderBy("m_sec")).alias("ordinal"), F.lit("section").alias("unit_type"), "number", "title", path.alias("path"), "body")
 
 
-def parse_constitutions(docs: DataFrame, preamble_end: str, key: str = "doc", text: str = "text") -> DataFrame:
-    """As :func:`parse_acts` for constitutions: chapters and articles after the line ``preamble_end``, schedules as units."""
+def parse_constitutions(docs: DataFrame, preamble_end: str = PREAMBLE_END, key: str = "doc", text: str = "text") -> DataFrame:
+    """As :func:`parse_acts` for constitutions: chapters and articles after the line ``preamble_end``, then schedules, numbered as they stand, as units."""
     n = lines(docs, key, text).withColumn("from_", F.min(F.when(F.col("l") == preamble_end, F.col("pos"))).over(Window.partitionBy(key)))
     n = n.where(F.col("pos") > F.col("from_"))
     before = F.coalesce(F.lag("l").over(Window.partitionBy(key).orderBy("pos")), F.lit(""))
     n = n.withColumn("named", before.rlike(C_CHAPTER))  # a chapter's next line is its title, whatever it looks like
     kd = F.when(F.col("l").rlike(C_CHAPTER), "chap").when(F.col("named"), "name").when(F.col("l").rlike(C_SCHEDULE), "sched").when(F.col("l").rlike(C_ARTICLE), "sec").when(F.col("l").rlike(SUBSECTION), "sub").when(F.col("l").rlike(C_PARAGRAPH), "par").otherwise("txt")
     m = _running(n.withColumn("kd", kd), key, ["sched", "chap", "sec", "sub", "par"])
+    m = m.withColumn("schedules", F.count_if(F.col("kd") == "sched").over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     in_schedule = (F.col("m_sched") >= 0) & (F.col("m_sched") > F.col("m_chap"))
-    sched = m.where(in_schedule & (F.col("kd") != "sched")).groupBy(key, "m_sched", "v_sched").agg(F.array_sort(F.collect_list(F.struct("pos", "l"))).alias("p"))
+    sched = m.where(in_schedule & (F.col("kd") != "sched")).groupBy(key, "m_sched", "v_sched", "schedules").agg(F.array_sort(F.collect_list(F.struct("pos", "l"))).alias("p"))
     sched = sched.withColumn("body", strip(F.array_join(F.transform("p", lambda x: x["l"]), "\n"))).where("body <> ''")
-    schedules = sched.select(key, F.col("m_sched").alias("at"), F.lit("schedule").alias("unit_type"), F.row_number().over(Window.partitionBy(key).orderBy("m_sched")).cast("string").alias("number"), F.col("v_sched").alias("title"), F.array("v_sched").alias("path"), "body")
+    schedules = sched.select(key, F.col("m_sched").alias("at"), F.lit("schedule").alias("unit_type"), F.col("schedules").cast("string").alias("number"), F.col("v_sched").alias("title"), F.array("v_sched").alias("path"), "body")
     sa = (F.col("m_sec") > F.col("m_chap")) & (F.col("m_chap") >= 0) & ~in_schedule
     ss = F.col("m_sub") > F.col("m_sec")
     sp = (F.col("m_par") > F.col("m_sub")) & ss
     rows = m.where(sa & ~F.col("kd").isin("chap", "name", "sec", "sched")).withColumns({
-        "number": F.regexp_extract("v_sec", C_ARTICLE, 1), "title": F.col("n_sec"), "chapter": F.concat(F.lit("Chapter "), F.regexp_extract("v_chap", C_CHAPTER, 1)),
+        "number": F.regexp_extract("v_sec", C_ARTICLE, 1).cast("int").cast("string"), "title": F.col("n_sec"), "chapter": F.concat(F.lit("Chapter "), F.regexp_extract("v_chap", C_CHAPTER, 1)),
         "marker": F.col("kd").isin("sub", "par") & ss, "k1": F.when(ss, 0).otherwise(1), "k2": F.when(ss, F.col("m_sub")).otherwise(F.col("pos")), "k3": F.when(sp, F.col("m_par")).otherwise(-1),
     }).where(F.col("marker") | (F.col("k1") == 0) | (F.col("l") != F.col("title")))
     articles = _texts(rows, [key, "m_sec", "number", "title", "chapter"]).where("body <> ''")
     articles = articles.select(key, F.col("m_sec").alias("at"), F.lit("article").alias("unit_type"), "number", "title", F.array("chapter", F.concat(F.lit("Article "), F.col("number"))).alias("path"), "body")
     both = articles.unionByName(schedules)
-    return both.select(key, F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("ordinal"), "unit_type", "number", "title", "path", "body")
+    return both.select(key, F.row_number().over(Window.partitionBy(key).orderBy(F.col("unit_type") == "schedule", "at")).alias("ordinal"), "unit_type", "number", "title", "path", "body")
 
 
 def sequence_gaps(found: DataFrame, key: str, number: str, upto: str) -> DataFrame:

@@ -80,8 +80,50 @@ def html_text(c):
 
 
 def upsert(chunks: DataFrame, path: str, keys: tuple[str, ...] = ("document_id", "version")) -> None:
-    """Replace the partitions of the documents' versions that ``chunks`` holds; others stay."""
-    chunks.dropDuplicates(["point_id"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    """Replace the partitions of the documents' versions that ``chunks`` holds; others stay.
+
+    Of several rows of one point the one of the smallest content is kept, then
+    of the smallest digest of its other columns.
+    """
+    columns = [c for c in chunks.columns if c != "point_id"]
+    least = F.min_by(F.struct(*columns), F.struct("content", F.xxhash64(*columns)))
+    single = chunks.groupBy("point_id").agg(least.alias("r")).select("point_id", "r.*").select(*chunks.columns)
+    single.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def schema_differences(have: DataFrame, want: DataFrame) -> list[tuple[str, str | None, str | None]]:
+    """(column, type there, type wanted) of the columns that a stored table and its next content do not share."""
+    there, wanted = dict(have.dtypes), dict(want.dtypes)
+    return [(c, there.get(c), wanted.get(c)) for c in sorted(there.keys() | wanted.keys()) if there.get(c) != wanted.get(c)]
+
+
+def replace_table(rows: DataFrame, path: str, recreate: bool = False) -> None:
+    """Write ``rows`` over the table at ``path``; with another schema only if ``recreate`` says so.
+
+    The check reads no rows and runs before anything is deleted.
+    """
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not recreate and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        found = schema_differences(spark.read.parquet(path), rows)
+        if found:
+            raise ValueError(f"the table at {path} has another schema: " + ", ".join(f"{c} {a} -> {b}" for c, a, b in found))
+    rows.write.mode("overwrite").parquet(path)
+
+
+def metadata_manifest(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A row a version of a document: its header fields with ``checksums`` of its texts and ``processing`` (status, chunk_count).
+
+    ``documents`` has document_id, version, raw, extracted and cleaned besides
+    its header fields; a version without chunks has the status ``empty``.
+    """
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    counts = chunks.groupBy("document_id", "version").agg(F.count("*").alias("n_"))
+    made = documents.join(counts, ["document_id", "version"], "left").withColumn("n_", F.coalesce("n_", F.lit(0).cast("long")))
+    header = [c for c in documents.columns if c not in ("raw", "extracted", "cleaned")]
+    return made.select(
+        *header, F.struct(digest("raw").alias("raw_sha256"), digest("extracted").alias("extracted_sha256"), digest("cleaned").alias("cleaned_sha256")).alias("checksums"),
+        F.struct(F.when(F.col("n_") > 0, "processed").otherwise("empty").alias("status"), F.col("n_").alias("chunk_count")).alias("processing"))
 
 
 def delete_document(spark: SparkSession, path: str, document_id: str, version: str | None = None) -> None:

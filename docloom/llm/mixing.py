@@ -12,14 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, text_of
+from docloom.llm.common import drop_table, fresh, materialize, text_of
 
 #: Hash bits, and the bits that each refinement resolves.
 BITS, STEP = 60, 10
 #: Rows of each source in the last join are dealt over so many keys.
 SALTS = 64
-#: Rows of a threshold table (one a source) that is broadcast when whole documents are joined.
-BROADCAST_SOURCES = 100_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -123,22 +121,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`mix` takes it; columns stay as they are.
+    """The rows of ``docs``, each as often as :func:`mix` takes it; columns stay as they are, whatever their names.
 
-    The thresholds are broadcast while they are few, which leaves the texts
-    where they lie; beyond that they are joined by salted keys.
+    Rows are joined with the thresholds by source and salt, so a hot source is
+    dealt over many keys; Spark broadcasts the thresholds while their file is
+    under its own limit, which leaves the texts where they lie.
     """
-    _, cuts = _cuts(docs, text, source, id_col, weights, share, cap)
-    cuts = cuts.select(F.col("source").alias("cut_source_"), "full", "below")
-    rows = docs.withColumn("h_", row_hash(F.col(id_col), text_of(text)))
-    same = F.col(source).eqNullSafe(F.col("cut_source_"))
-    if cuts.count() <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(cuts), same)
-    else:
-        dealt = cuts.withColumn("cut_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.join(dealt, same & (F.pmod("h_", F.lit(SALTS)).cast("int") == F.col("cut_salt_")))
-    copies = F.least(F.col("full") + (F.col("h_") < F.col("below")).cast("long"), F.lit(cap).cast("long"))
-    return joined.withColumn("copy_", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    sized, cuts = _cuts(docs, text, source, id_col, weights, share, cap)
+    drop_table(sized)
+    h, cut_source, cut_salt, full, below, copy = fresh(docs.columns, "h", "cut_source", "cut_salt", "full", "below", "copy")
+    dealt = cuts.select(F.col("source").alias(cut_source), F.col("full").alias(full), F.col("below").alias(below), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(cut_salt))
+    rows = docs.withColumn(h, row_hash(F.col(id_col), text_of(text)))
+    joined = rows.join(dealt, F.col(source).eqNullSafe(F.col(cut_source)) & (F.pmod(h, F.lit(SALTS)).cast("int") == F.col(cut_salt)))
+    copies = F.least(F.col(full) + (F.col(h) < F.col(below)).cast("long"), F.lit(cap).cast("long"))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

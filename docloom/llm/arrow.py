@@ -37,7 +37,8 @@ def add_columns(df: DataFrame, column: str, schema: str, make: Callable, keep: l
     about ``limit`` bytes of ``column``.
     """
     added = StructType.fromDDL(schema)
-    names = [c for c in (df.columns if keep is None else keep) if c not in added.names]
+    taken = {c.lower() for c in added.names}
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
     inputs = [*names, *([column] if column not in names else [])]
     at, n_keep = inputs.index(column), len(names)
     out = StructType([df.schema[c] for c in names] + list(added.fields))

@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.arrow import add_columns
-from docloom.llm.common import materialize, text_of
+from docloom.llm.common import fresh, materialize, text_of
 from docloom.llm.toxicity import sample
 
 #: Labelled documents of each class that the document model is fitted on, at most.
 SAMPLE = 2000
-#: Rows of a site table that is broadcast; a larger one is joined by salted keys.
-BROADCAST_SITES, SALTS = 100_000, 64
+#: Rows of each site in the last join are dealt over so many keys.
+SALTS = 64
 #: Documents under this posterior of being good are rejected.
 THRESHOLD = 0.5
 #: Bounds of the strength of a site prior, in documents.
@@ -112,8 +112,20 @@ def evidence(df: DataFrame, model: Logistic, text: str = "text", out: str = "p_d
     return add_columns(df, text, f"`{out}` double", make, keep, lambda: model)
 
 
-def _key(c: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~"))
+def host_of(url: Column | str) -> Column:
+    """The host of a url in lower case, without port and user; null without one."""
+    url = F.col(url) if isinstance(url, str) else url
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+
+
+def path_of(url: Column | str) -> Column:
+    """The first step of a url's path (of ``http://a/b/c?d``: ``b``); empty at the root, null without a host."""
+    url = F.col(url) if isinstance(url, str) else url
+    return F.when(host_of(url).isNotNull(), F.regexp_extract(url, r"^[^:]+://[^/?#]*/([^/?#]*)", 1))
+
+
+def _key(c: Column | str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), (F.col(c) if isinstance(c, str) else c).cast("string")), F.lit("~"))
 
 
 def _strength(rate: Column, prior: Column, n: Column) -> Column:
@@ -144,39 +156,51 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float, float]:
     return sites, rate, by_path
 
 
-def classify(docs: DataFrame, model: Logistic, text: str = "text", host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, model: Logistic, text: str = "text", host: Column | str = "source", path: Column | str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with p_doc, p_site, quality_score and kept.
 
+    ``host`` and ``path`` name the site: columns, or expressions of the columns
+    of ``docs`` (:func:`host_of` and :func:`path_of` take them from a url).
     ``p_site`` is the posterior rate of the document's path without the document
     itself; ``quality_score`` the posterior that the document is good; ``kept``
     whether it reaches ``threshold``. Null and empty texts count as texts
     without words. A null host or path is a site of its own. Repeated rows each
     count. An empty table gives an empty table; columns of these four names are
-    replaced. The text is read twice, for the sites' sums and for the result.
+    replaced, all others stay whatever their names. The text is read twice, for
+    the sites' sums and for the result. Rows meet their site by site and salt,
+    so a hot site is dealt over many keys; Spark broadcasts the sites while
+    their file is under its own limit.
     """
-    docs = docs.drop("p_doc", "p_site", "quality_score", "kept")
-    keyed = docs.withColumns({"site_host": _key(host), "site_path": _key(path)})
-    scored = evidence(keyed.withColumn("site_text", text_of(text)).select("site_host", "site_path", "site_text"), model, "site_text", keep=["site_host", "site_path"])
+    made = ("p_doc", "p_site", "quality_score", "kept")
+    site_host, site_path, body, good, n, host_rate, salt, h, q, s = fresh([*docs.columns, *made], "site_host", "site_path", "body", "good", "n", "host_rate", "salt", "h", "q", "s")
+    keyed = docs.withColumns({site_host: _key(host), site_path: _key(path)}).drop(*made)
+    names = [c for c in docs.columns if c.lower() not in made]
+    scored = evidence(keyed.select(F.col(site_host).alias("site_host"), F.col(site_path).alias("site_path"), text_of(text).alias("body")), model, "body", keep=["site_host", "site_path"])
     sites, rate, strength = site_posteriors(scored)
-    sites = materialize(sites.select(F.col("site_host").alias("h_"), F.col("site_path").alias("q_"), "good", "n", "host_rate"), "sites")
-    rows = evidence(keyed.withColumn("site_text", text_of(text)), model, "site_text")
-    if sites.count() <= BROADCAST_SITES:
-        joined = rows.join(F.broadcast(sites), (F.col("site_host") == F.col("h_")) & (F.col("site_path") == F.col("q_")))
-    else:
-        salted = sites.withColumn("s_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt_", F.pmod(F.xxhash64("p_doc", text), F.lit(SALTS)).cast("int")).join(
-            salted, (F.col("site_host") == F.col("h_")) & (F.col("site_path") == F.col("q_")) & (F.col("salt_") == F.col("s_"))
-        )
+    sites = materialize(sites.select(F.col("site_host").alias(h), F.col("site_path").alias(q), F.col("good").alias(good), F.col("n").alias(n), F.col("host_rate").alias(host_rate)), "sites")
+    salted = sites.withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = evidence(keyed.withColumn(body, text_of(text)), model, body)
+    plain = [c for c, kind in docs.dtypes if c in names and not kind.startswith(("map", "variant"))]
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64("p_doc", *plain), F.lit(SALTS)).cast("int"))
+    joined = rows.join(salted, (F.col(site_host) == F.col(h)) & (F.col(site_path) == F.col(q)) & (F.col(salt) == F.col(s)))
     logit = lambda p: F.log(p / (1 - p))
-    site = (F.greatest(F.col("good") - F.col("p_doc"), F.lit(0.0)) + strength * F.col("host_rate")) / (F.col("n") - 1 + strength)
+    site = (F.greatest(F.col(good) - F.col("p_doc"), F.lit(0.0)) + strength * F.col(host_rate)) / (F.col(n) - 1 + strength)
     site = F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6))
     score = 1 / (1 + F.exp(-(logit(F.col("p_doc")) + logit(F.col("p_site")) - logit(F.lit(min(max(rate, 1e-6), 1 - 1e-6))))))
     return (
         joined.withColumn("p_site", site).withColumn("quality_score", score).withColumn("kept", F.col("quality_score") >= threshold)
-        .select(*docs.columns, "p_doc", "p_site", "quality_score", "kept")
+        .select(*names, *made)
     )
 
 
+def good(docs: DataFrame, model: Logistic, text: str = "text", host: Column | str = "source", path: Column | str = "lang", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` keeps; columns and their order stay, whatever their names."""
+    clash = [c for c in docs.columns if c.lower() in ("p_doc", "p_site", "quality_score", "kept")]
+    away = dict(zip(clash, fresh([*docs.columns, "p_doc", "p_site", "quality_score", "kept"], *clash), strict=True))
+    held = classify(docs.withColumnsRenamed(away), model, text, host, path, threshold).where("kept")
+    return held.select(*[F.col(away.get(c, c)).alias(c) for c in docs.columns])
+
+
 def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Logistic:
     """The document model, fitted on up to ``bound`` labelled rows of each class outside fold 0."""
     return fit(*sample(docs, labels, "quality", bound=bound))

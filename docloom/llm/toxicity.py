@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.arrow import add_columns
+from docloom.llm.arrow import BLOCK_BYTES, add_columns
 from docloom.llm.common import text_of
 
 WORDS = re.compile(r"\w+").findall
@@ -302,7 +302,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", i
 
     Held-out rows (fold 0) take no part. Ids are chosen from the label table
     alone; the join then carries at most twice ``bound`` ids, so it may be
-    broadcast. Rows with a null label or id are passed over.
+    broadcast. Each id gives one row, of its smallest label and text, before
+    anything reaches the driver, so repeated rows cost nothing there. Rows with
+    a null label or id are passed over.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(fold(F.col("id")) != 0)
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -311,8 +313,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", i
     for y in (0, 1):
         own = rows.where(F.col("y") == y).orderBy(key, "id").limit(bound)
         pick = own if pick is None else pick.unionByName(own)
-    found = docs.select(F.col(id_col).alias("doc"), text_of(text).alias("t")).join(F.broadcast(pick), F.col("doc") == F.col("id")).select("id", "y", "t").collect()
-    found = sorted(found, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["y"], r["t"]))[: 2 * bound]
+    texts = docs.select(F.col(id_col).alias("doc"), text_of(text).alias("t")).join(F.broadcast(pick), F.col("doc") == F.col("id"))
+    found = texts.groupBy("id").agg(F.min(F.struct("y", "t")).alias("r")).select("id", "r.y", "r.t").collect()
+    found = sorted(found, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
     got = np.bincount([r["y"] for r in found], minlength=2) if found else np.zeros(2)
     weight = tuple(float(counts.get(y, 0) / got[y]) if got[y] else 1.0 for y in (0, 1))
     return [r["t"] for r in found], [r["y"] for r in found], weight
@@ -329,7 +332,7 @@ def score(df: DataFrame, net: BiGRU, text: str = "text", out: str = "score", kee
     def make(values, net):
         return [pa.array(net.probability(net.text_scores(values.to_pylist())), pa.float64())]
 
-    return add_columns(df.withColumn(text, text_of(text)), text, f"`{out}` double", make, keep, lambda: net)
+    return add_columns(df.withColumn(text, text_of(text)), text, f"`{out}` double", make, keep, lambda: net, 4 * BLOCK_BYTES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Secret scans: fixed patterns, and a character convolutional network.
 
-The network reads every candidate, a long token of key characters with a
-digit, what base spans leave of one, or a match of a fixed pattern, with the characters around it. It is trained in
-numpy on labelled findings, which are made by rule: keys, digests, tokens and
-passwords in settings, headers and prose against dates, paths, versions, phone
-numbers, identifiers and rulers in the same places. Scores are calibrated on
-findings held out of the training, and the threshold is the highest with which
-the scan keeps the demanded recall there, its candidates included.
+The network reads every candidate, a long token of key characters, what base
+spans leave of one, or a match of a fixed pattern, with the characters around
+it. It is trained in numpy on labelled findings of two kinds. Those made by rule
+are keys, digests, tokens and passwords in settings, headers and prose against
+dates, paths, versions, phone numbers, identifiers and rulers in the same
+places. Those of documents are candidates of a bounded sample that no fixed
+pattern marks, as harmless ones, and made secrets in such documents' own
+surroundings. Scores are calibrated on findings held out of the training, and
+the threshold is the highest with which the scan keeps the demanded recall
+there, its candidates included.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import random
 import re
 import string
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -38,13 +42,14 @@ ASSIGN = re.compile("(" + "|".join(map(_either, ("password", "passwd", "secret",
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
 TOKEN = re.compile("[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile("[0-9]")
 HINTS = ("password", "passwd", "secret", "token", "api")
 
 #: Characters before and after a candidate, and of the candidate, that one window shows.
 AROUND, INSIDE = 20, 48
 LENGTH = 2 * AROUND + INSIDE
 RECALL = 0.98
+#: Documents (about) and findings in them that the network is fitted on, at most.
+DOCUMENTS, FINDINGS = 4000, 4000
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
@@ -54,8 +59,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
         a, b = m.span()
         if b - a >= 32:
             found += [(*h.span(), "hex") for h in HEX.finditer(text, a, b)]
-        if DIGIT.search(text, a, b):
-            tokens.append((a, b))
+        tokens.append((a, b))
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     low = text.lower()
@@ -164,9 +168,35 @@ class CharCNN:
         return 1 / (1 + np.exp(-np.clip(self.scale * np.concatenate(raw) + self.shift, -30, 30))) if raw else np.zeros(0)
 
 
-def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
-    """(text, start, stop, label) made by rule; half are secrets."""
+def findings_in(docs: DataFrame, text: str = "text", documents: int = DOCUMENTS, bound: int = FINDINGS) -> list[tuple[str, str, str]]:
+    """(before, token, after) of candidates of a sample that no fixed pattern touches, and of places between words (an empty token).
+
+    Documents are sampled by a hash of their text, about ``documents`` of them;
+    of what they hold, the ``bound`` findings with the lowest hashes are taken.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for t in batch.column(0).to_pylist():
+                base, tokens = base_spans(t)
+                rows += [(t[max(0, a - AROUND) : a], t[a : min(b, a + 2 * INSIDE)], t[b : b + AROUND]) for a, b in tokens if not any(c < b and a < d for c, d, _ in base)]
+                at = t.find(" ", zlib.crc32(t.encode("utf-8", "surrogatepass")) % max(1, len(t)))
+                if at >= 0:
+                    rows.append((t[max(0, at + 1 - AROUND) : at + 1], "", t[at : at + AROUND]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in range(3)], names=["before", "token", "after"])
+
+    n = docs.count()
+    near = int(min(1.0, documents / max(1, n)) * (1 << 40))
+    picked = docs.select(text_of(text).alias("t")).where((F.col("t") != "") & (F.pmod(F.xxhash64("t"), F.lit(1 << 40)) < near))
+    found = picked.mapInArrow(run, "before string, token string, after string").distinct()
+    return [tuple(x) for x in found.orderBy(F.xxhash64("before", "token", "after"), "before", "token", "after").limit(bound).collect()]
+
+
+def labelled_findings(n: int, seed: int, found: list[tuple[str, str, str]] | tuple = ()) -> list[tuple[str, int, int, int]]:
+    """(text, start, stop, label); half are secrets, and half have tokens or surroundings of ``found`` if there are any."""
     r = random.Random(seed)
+    harmless, places = [x for x in found if x[1]], [x for x in found if not x[1]]
     low, alnum = string.ascii_lowercase, string.ascii_letters + string.digits
     pick = lambda chars, a, b=None: "".join(r.choice(chars) for _ in range(r.randint(a, b or a)))
     word = lambda: "".join(r.choice(("the", "re", "ion", "an", "ei", "gen", "ou", "que", "la", "st", "ma", "nt", "er", "lo", "ti")) for _ in range(r.randint(1, 4)))
@@ -201,17 +231,27 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         if not secret and r.random() < 0.15:  # the host of a mail address
             before = f"{prose(2)} {word()}.{r.randint(1, 99)}@"
             token = f"{word()}{r.randint(1, 9)}.{word()}{word()}.{r.choice(('com', 'org', 'net', 'de'))}"
-        text = before + token + r.choice((" " + prose(r.randint(1, 8)), "", "\n" + prose(3), '",', ". " + prose(2)))
+        after = r.choice((" " + prose(r.randint(1, 8)), "", "\n" + prose(3), '",', ". " + prose(2)))
+        if places and r.random() < 0.5:
+            before, _, after = r.choice(places)
+        if not secret and harmless and r.random() < 0.5:
+            before, token, after = r.choice(harmless)
+        text = before + token + after
         out.append((text, len(before), len(before) + len(token), int(secret)))
     return out
 
 
-@lru_cache(maxsize=2)
-def trained(recall: float = RECALL, n: int = 4000, epochs: int = 5, seed: int = 7) -> CharCNN:
-    """A network fitted on ``n`` labelled findings; calibration and threshold come from ``n // 2`` others."""
+@lru_cache(maxsize=4)
+def trained(recall: float = RECALL, found: tuple[tuple[str, str, str], ...] = (), n: int = 4000, epochs: int = 5, seed: int = 7) -> CharCNN:
+    """A network fitted on ``n`` labelled findings; calibration and threshold come from ``n // 2`` others.
+
+    Every other one of ``found`` serves the fit, the rest the calibration.
+    ``held_out`` tells the recall there, the share of harmless findings that are
+    marked, and that share among the documents' own (None without any).
+    """
 
     def data(count, seed):
-        rows = labelled_findings(count, seed)
+        rows = labelled_findings(count, seed, found[seed % 2 :: 2])
         made = [windows(t, [(a, b)]) for t, a, b, _ in rows]
         y = np.repeat([row[3] for row in rows], [len(m[0]) for m in made]).astype(np.float32)
         row = np.repeat(np.arange(count), [len(m[0]) for m in made])
@@ -239,15 +279,23 @@ def trained(recall: float = RECALL, n: int = 4000, epochs: int = 5, seed: int =
         net.scale -= 0.05 * float(((p - y) * raw).mean())
         net.shift -= 0.05 * float((p - y).mean())
     # The threshold is set on what the scan itself finds of the held-out secrets: lost candidates count as missed.
-    rows = labelled_findings(n // 2, seed + 1)
+    rows = labelled_findings(n // 2, seed + 1, found[(seed + 1) % 2 :: 2])
     scored = candidates([r[0] for r in rows], net)
     best = np.array([certainty(own, a, b) for own, (_, a, b, secret) in zip(scored, rows, strict=True) if secret])
     net.threshold = float(np.clip(np.quantile(best, 1 - recall, method="lower"), 0, 1))
-    wrong = [any(c < b and a < d and (kind != "neural" or score >= net.threshold) for kind, c, d, score in own) for own, (_, a, b, secret) in zip(scored, rows, strict=True) if not secret]
-    net.held_out = {"recall": float((best >= net.threshold).mean()), "false": float(np.mean(wrong))}
+    marked = lambda own, a, b: any(c < b and a < d and (kind != "neural" or score >= net.threshold) for kind, c, d, score in own)
+    wrong = [marked(own, a, b) for own, (_, a, b, secret) in zip(scored, rows, strict=True) if not secret]
+    theirs = [x for x in found[(seed + 1) % 2 :: 2] if x[1]]
+    false = [marked(own, len(x[0]), len(x[0]) + len(x[1])) for own, x in zip(candidates(["".join(x) for x in theirs], net), theirs, strict=True)]
+    net.held_out = {"recall": float((best >= net.threshold).mean()), "false": float(np.mean(wrong)), "false_in_documents": float(np.mean(false)) if false else None}
     return net
 
 
+def fitted(docs: DataFrame, text: str = "text", recall: float = RECALL) -> CharCNN:
+    """The network, fitted on findings made by rule and on those of a bounded sample of ``docs``."""
+    return trained(recall, tuple(findings_in(docs, text)))
+
+
 def candidates(texts: list[str], net: CharCNN) -> list[list[list]]:
     """[kind, start, stop, score] of each text's base spans and of all that the network judges."""
     spans, chars, marks, owner = [], [], [], []
@@ -283,15 +331,16 @@ def find(texts: list[str], net: CharCNN) -> list[list[tuple[str, int, int, float
     return [sorted((tuple(x) for x in own if x[0] != "neural" or x[3] >= net.threshold), key=order) for own in spans]
 
 
-def scan(df: DataFrame, text: str = "text", found: str = "found", keep: list[str] | None = None, recall: float = RECALL) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", found: str = "found", keep: list[str] | None = None, net: CharCNN | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with ``found``: kind, start, stop and score of each secret.
 
     Places are code points of the whole text, the end exclusive. Base spans
     always stay, whatever their score. Null and empty texts have none; spans of
     different kinds may overlap; equal texts have equal spans; an empty table
-    gives an empty table. A column named as ``found`` is replaced.
+    gives an empty table. A column named as ``found`` is replaced. Without
+    ``net`` the network knows findings made by rule only.
     """
-    net = trained(recall)
+    net = net or trained()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
 
     def make(values, net):
@@ -301,12 +350,14 @@ def scan(df: DataFrame, text: str = "text", found: str = "found", keep: list[str
     return add_columns(df.withColumn(text, text_of(text)), text, f"`{found}` {FOUND}", make, keep, lambda: net)
 
 
-def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]", recall: float = RECALL) -> DataFrame:
+def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]", net: CharCNN | None = None) -> DataFrame:
     """``df`` with every found span of ``text`` replaced by ``mask`` (overlapping spans by one).
 
-    Columns and their order stay; a text without secrets, null too, stays as it is.
+    Columns and their order stay, whatever their names; a text without secrets,
+    null too, stays as it is. An empty table gives an empty table; repeated rows
+    each get their row.
     """
-    net = trained(recall)
+    net = net or trained()
 
     def make(values, net):
         texts = values.to_pylist()
@@ -334,7 +385,7 @@ def _joined(spans) -> F.Column:
 def query(spark, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts of the base kinds, their digest, and all spans."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = scan(docs.select("doc_id", "text"), keep=["doc_id"])
+    found = scan(docs.select("doc_id", "text"), keep=["doc_id"], net=fitted(docs))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),

@@ -3,10 +3,12 @@
 A byte goes when it lies in a string of ``length`` bytes that also starts in a
 document with a smaller id. Every such string is dealt by its anchor, the
 smallest hash among its grams, so equal strings meet in one bucket: neighbouring
-strings with one anchor form a stretch. Equal stretches are one suffix class;
-where an anchor has different stretches, the suffixes of the distinct ones are
-sorted: Lyndon-prefix groups are made in descending order with previous-smaller
-pointers, and each group's order is then emitted in one ascending pass.
+strings with one anchor form a stretch. Hashes only bring stretches together.
+Every stretch whose anchor occurs in several documents is spelled out, and
+stretches of equal bytes are one suffix class. Where classes of an anchor may
+share a string, their suffixes are sorted: Lyndon-prefix groups are made in
+descending order with previous-smaller pointers, and each group's order is then
+emitted in one ascending pass.
 
 An anchor with very many stretches, found in a sample, meets nowhere: its
 stretches stay with their documents, and its strings are dealt one by one by a
@@ -145,14 +147,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Stretches:
-    """Stretches of a block of texts: document, first start, bytes, anchor, its place in the stretch, and content hash."""
+    """Stretches of a block of texts: document, first start, bytes, anchor and its place in the stretch."""
 
     def __init__(self, texts: list[bytes], length: int, gram: int):
         sizes = np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         n, window = len(data), length - gram + 1
         self.doc = self.start = self.size = self.at = np.zeros(0, np.int64)
-        self.anchor = self.content = np.zeros(0, np.uint64)
+        self.anchor = np.zeros(0, np.uint64)
         if n < length:
             return
         power = np.full(n + 1, _BASE, np.uint64)
@@ -166,8 +168,8 @@ class Stretches:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(value, out=sums[1:])
         del value, inverse
-        # Position in the low bits: of equal hashes the leftmost is the least.
-        bits = np.uint64(max(1, int(n).bit_length()))
+        # Position in the low bits: of equal hashes the leftmost is the least. The cut is the same in all blocks, so equal strings have one anchor.
+        bits = np.uint64(32)
         g = _mix((sums[gram:] - sums[:-gram]) * power[: n - gram + 1])
         key = ((g >> bits) << bits) | np.arange(len(g), dtype=np.uint64)
         low, k = key, 1
@@ -187,7 +189,6 @@ class Stretches:
         self.doc, first = doc[edge], edge
         self.start, self.size = first - begin[self.doc], stop - first + length
         self.anchor, self.at = g[at[edge]], at[edge] - first
-        self.content = _mix((sums[stop + length] - sums[first]) * power[first] + self.size.astype(np.uint64))
 
 
 def _blocks(batches, column: int):
@@ -198,7 +199,7 @@ def _blocks(batches, column: int):
         yield from blocks(batch, column, BLOCK)
 
 
-# What a mark tells: a removed span, a stretch to sort, a stretch of a hot anchor, or a string's owner (least in ord, digest in th, start and size).
+# What a mark tells: a removed span, a stretch to spell and sort, a stretch of a hot anchor, or a string's owner (least in ord, digest in th, start and size).
 GONE, SORT, FAR, OWNER = range(4)
 #: The place that says that a stretch's anchor is hot; others are at most 200.
 FAR_AT = 255
@@ -232,15 +233,14 @@ def _anchored(length: int, gram: int, buckets: int, hot: np.ndarray):
                 s.at[far] = FAR_AT
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
-            names, cols = [], [[] for _ in range(8)]
+            names, cols = [], [[] for _ in range(7)]
             for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True) if len(order) else ():
                 x = order[a:b]
                 docs, local = np.unique(s.doc[x], return_inverse=True)
                 names.append(int(bucket[x[0]]))
-                content = s.content[x]
-                for col, v in zip(cols, (ords[docs], ths[docs], local.astype(np.uint16), s.start[x].astype(np.uint32), s.size[x].astype(np.uint8), s.anchor[x].astype(np.uint32), s.at[x].astype(np.uint8), np.concatenate([content.astype(np.uint32).view(np.uint8), (content >> np.uint64(32)).astype(np.uint16).view(np.uint8)])), strict=True):
+                for col, v in zip(cols, (ords[docs], ths[docs], local.astype(np.uint32), s.start[x].astype(np.uint32), s.size[x].astype(np.uint16), s.anchor[x].astype(np.uint32), s.at[x].astype(np.uint8)), strict=True):
                     col.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "ords", "ths", "doc", "start", "size", "anchor", "at", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "ords", "ths", "doc", "start", "size", "anchor", "at"])
 
     return run
 
@@ -275,31 +275,22 @@ def _part(ord_: np.ndarray, th: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _judged(parts: int):
-    """Stretches of a bucket to marks: removed ones, and those whose suffixes must be sorted."""
+    """Stretches of a bucket to marks: those whose anchor occurs in several documents, and those of hot anchors."""
 
     def run(batches):
         for _, rows in _grouped(batches):
-            arrays = [[np.frombuffer(r[k], t) for r in rows] for k, t in enumerate((np.int64, np.int64, np.uint16, np.uint32, np.uint8, np.uint32, np.uint8))]
-            content = np.concatenate([np.frombuffer(r[7], np.uint32, len(d)).astype(np.uint64) | np.frombuffer(r[7], np.uint16, len(d), 4 * len(d)).astype(np.uint64) << np.uint64(32) for r, d in zip(rows, arrays[2], strict=True)])
+            arrays = [[np.frombuffer(r[k], t) for r in rows] for k, t in enumerate((np.int64, np.int64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint8))]
             ords = np.concatenate([o[d] for o, d in zip(arrays[0], arrays[2], strict=True)])
             ths = np.concatenate([o[d] for o, d in zip(arrays[1], arrays[2], strict=True)])
             start, size, anchor, at = (np.concatenate(arrays[k]) for k in (3, 4, 5, 6))
             near, far = np.flatnonzero(at != FAR_AT), np.flatnonzero(at == FAR_AT)
-            if not len(near):
-                yield _dealt(_marked(ords, ths, start, size, anchor, at, far, FAR), parts)
-                continue
-            order = near[np.lexsort((content[near], anchor[near]))]
-            a, c, o = anchor[order], content[order], ords[order]
-            new_a = np.append(True, a[1:] != a[:-1])
-            new_c = new_a | np.append(True, c[1:] != c[:-1])
-            at_a, at_c = np.flatnonzero(new_a), np.flatnonzero(new_c)
-            shared = np.minimum.reduceat(o, at_a) != np.maximum.reduceat(o, at_a)
-            classes = np.add.reduceat(new_c.astype(np.int64), at_a)
-            of_a, of_c = new_a.cumsum() - 1, new_c.cumsum() - 1
-            sort = (shared & (classes > 1))[of_a]
-            gone = ~sort & (o > np.minimum.reduceat(o, at_c)[of_c])
-            x, kinds = np.append(order[sort | gone], far), np.append(np.where(sort[sort | gone], SORT, GONE), np.full(len(far), FAR))
-            yield _dealt(_marked(ords, ths, start, size, anchor, at, x, kinds), parts)
+            if len(near):
+                near = near[np.argsort(anchor[near], kind="stable")]
+                a, o = anchor[near], ords[near]
+                new = np.append(True, a[1:] != a[:-1])
+                first = np.flatnonzero(new)
+                near = near[(np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first))[new.cumsum() - 1]]
+            yield _dealt(_marked(ords, ths, start, size, anchor, at, np.append(near, far), np.repeat([SORT, FAR], [len(near), len(far)])), parts)
 
     return run
 
@@ -454,7 +445,7 @@ def _spelled(tasks: int, far_tasks: int, length: int):
     return run
 
 
-def _related(classes: dict[bytes, list[int]], place: np.ndarray, length: int, gram: int) -> tuple[list[tuple[bytes, list[int]]], list[list[int]]]:
+def _related(classes: dict[bytes, list[int]], place: list[int], length: int, gram: int) -> tuple[list[tuple[bytes, list[int]]], list[list[int]]]:
     """An anchor's stretches that can share ``length`` bytes with another one, and the rows of those that can't but occur twice.
 
     Such bytes hold the anchor, ``l`` bytes before it and the rest behind it.
@@ -467,7 +458,7 @@ def _related(classes: dict[bytes, list[int]], place: np.ndarray, length: int, gr
     seen: dict[tuple[int, bytes], int] = {}
     own = []
     for x, rows in classes.items():
-        keys = {(k, x[at - before : at + gram + behind]) for at in {int(place[i]) for i in rows} for k, (before, behind) in enumerate(sides) if before <= at and at + gram + behind <= len(x)}
+        keys = {(k, x[at - before : at + gram + behind]) for at in {place[i] for i in rows} for k, (before, behind) in enumerate(sides) if before <= at and at + gram + behind <= len(x)}
         own.append(keys)
         for key in keys:
             seen[key] = seen.get(key, 0) + 1
@@ -491,7 +482,8 @@ def _sorted(length: int, gram: int, parts: int):
             marks = np.concatenate([np.frombuffer(r[0], MARK) for r in rows])
             data, at = b"".join([r[1] for r in rows]), 0
             groups: dict[int, dict[bytes, list[int]]] = {}
-            for i, (anchor, n) in enumerate(zip(marks["anchor"].tolist(), marks["size"].tolist(), strict=True)):
+            sizes, order, place = marks["size"].tolist(), marks["ord"].tolist(), marks["at"].tolist()
+            for i, (anchor, n) in enumerate(zip(marks["anchor"].tolist(), sizes, strict=True)):
                 groups.setdefault(anchor, {}).setdefault(data[at : at + n], []).append(i)
                 at += n
             out: list[np.ndarray] = []
@@ -521,11 +513,10 @@ def _sorted(length: int, gram: int, parts: int):
 
             held_bytes = 0
             for classes in groups.values():
-                related, alone = _related(classes, marks["at"], length, gram)
+                related, alone = _related(classes, place, length, gram) if len(classes) > 1 else ([], list(classes.values()))
                 for own in alone:
-                    own_ords = ords[own].tolist()
-                    least = min(own_ords)
-                    single += [(i, 0, int(marks["size"][i]) - length) for i, o in zip(own, own_ords, strict=True) if o > least]
+                    least = min([order[i] for i in own])
+                    single += [(i, 0, sizes[i] - length) for i in own if order[i] > least]
                 held += related
                 held_bytes += sum(len(x) + 1 for x, _ in related)
                 if held_bytes >= SORTED:
@@ -591,14 +582,14 @@ def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", len
     An empty table gives an empty result; other columns are not read. Integer ids.
     """
     if not 0 < gram < length or length - gram > 200:
-        raise ValueError("0 < gram < length")
+        raise ValueError("0 < gram < length <= gram + 200")
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text).alias("text"))
     base = base.withColumns({"ord": F.coalesce("id", F.lit(LAST)), "th": F.xxhash64("text")})
     total = base.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     parts, buckets = max(1, -(-total // (2 * BLOCK))), max(1, -(-total // (8 * BUCKET)))
     tasks = max(1, -(-total // (4 * TASK)))
 
-    packed = "bucket int, ords binary, ths binary, doc binary, start binary, size binary, anchor binary, at binary, content binary"
+    packed = "bucket int, ords binary, ths binary, doc binary, start binary, size binary, anchor binary, at binary"
     # Few anchors are hot: no more than all stretches divided by HOT.
     hot, n_hot = np.zeros(0, np.uint64), 0
     if total >= HOT:

@@ -56,6 +56,20 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, blocks):
     assert suffixes.deduplicate(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [30, 50, 150, 200])
+def test_substring_dedup_of_other_lengths(spark, monkeypatch, length):
+    monkeypatch.setattr(suffixes, "BLOCK", 4000)
+    r = random.Random(length)
+    pick = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    passage, long = pick(400), pick(30_000)
+    rows = [(i, pick(r.randint(0, 60)) + passage + pick(r.randint(0, 60))) for i in range(25)]
+    rows += [(30, pick(50) + long), (31, long[:20_000] + pick(9)), (32, pick(700)), (33, passage[:length]), (34, passage[: length - 1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = suffixes.deduplicate(docs, length=length).collect()
+    got = sorted((x.id, len(x.text.encode()), sum(s.stop - s.start for s in x.spans), len(x.spans), hashlib.sha256(x.kept).hexdigest()) for x in made)
+    assert got == deduplicated([(i, t.encode()) for i, t in rows], length)
+
+
 def test_one_hot_anchor_is_dealt_by_strings(spark, monkeypatch):
     r = random.Random(5)
     pick = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))

@@ -87,7 +87,11 @@ def candidates(x: np.ndarray, y: np.ndarray, threshold: float, same: bool, least
 
 
 def link_blocks(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Verified index pairs with cosine of ``threshold`` or more, in double precision."""
+    """Verified index pairs with cosine of ``threshold`` or more, in double precision.
+
+    Each vector is first scaled by a power of two, which is exact and keeps squares of very large and very small components in range.
+    """
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=1e-300))[1][:, None]) for v in (x, y))
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     i, j = candidates(x / nx[:, None], y / ny[:, None], threshold, same, least_collisions())
     kept_i, kept_j = [], []

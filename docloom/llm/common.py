@@ -51,10 +51,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialize`."""
+    """Delete the files of a table made by :func:`materialize` in this application; other files stay."""
     spark = df.sparkSession
+    own = f"/docloom/{spark.sparkContext.applicationId}/"
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/docloom/" in path:
+        if own in path:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 

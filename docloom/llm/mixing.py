@@ -32,6 +32,27 @@ def row_hash(id_col: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long")
 
 
+def in_order(df: DataFrame, by: list[Column], sums: list[str]) -> DataFrame:
+    """``df`` with ``rank`` (from 1) in the order ``by``, and for each of ``sums`` its total ``before`` the row.
+
+    Rows are dealt by ranges of the order and written, so that their parts stay
+    as they are. A row's place is its place in its part and what the parts
+    before it hold; only the parts' totals, a row a part, pass one task.
+    """
+    names = [f"by_{k}" for k in range(len(by))]
+    dealt = df.withColumns(dict(zip(names, by, strict=True))).repartitionByRange(*names).withColumn("part", F.spark_partition_id())
+    dealt = materialize(dealt, "ordered")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    each = dealt.groupBy("part").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
+    parts = each.select(F.col("part").alias("part_"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"from_{c}") for c in ("n", *(f"sum_{c}" for c in sums))])
+    own = Window.partitionBy("part").orderBy(*names)
+    above = own.rowsBetween(Window.unboundedPreceding, -1)
+    # A row a part of the shuffle before: as few as the session's shuffle partitions.
+    placed = dealt.join(F.broadcast(parts), F.col("part") == F.col("part_"))
+    before = {f"before_{c}": F.col(f"from_sum_{c}") + F.coalesce(F.sum(c).over(above), F.lit(0)) for c in sums}
+    return placed.withColumns({"rank": F.col("from_n") + F.row_number().over(own), **before}).select(*df.columns, "rank", *before)
+
+
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
     """(source, source_size, target) from (source, source_size): one row a source.
 
@@ -39,26 +60,25 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     last, weigh ``weights`` in turn. A target above ``cap`` times its source's
     size stops there and the excess goes to the others by weight: in the order
     of size by weight the capped sources are a prefix, so running sums give the
-    level at which the rest stand.
+    level at which the rest stand. Both orders are made by :func:`in_order`, so
+    sources may be as many as hosts; the driver sees three sums.
     """
     num, den = share
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
+    named = [F.col("source").isNull(), F.col("source")]
     w = F.lit(None).cast("long")
     for k, x in enumerate(weights):
-        w = F.when(F.pmod(F.col("n") - 1, F.lit(len(weights))) == k, F.lit(x).cast("long")).otherwise(w)
-    level = (
-        totals.withColumn("n", F.row_number().over(order)).withColumn("w", w)
-        .withColumn("up", num * F.sum("source_size").over(whole) - den * cap * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("down", den * (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0))))
-        .withColumn("k", F.row_number().over(by_ratio))
-        .withColumn("open", F.col("w") * F.col("up") <= cap * F.col("source_size") * F.col("down"))
-        .withColumn("at", F.min(F.when(F.col("open"), F.struct("k", "up", "down"))).over(whole))
-    )
-    uncapped = (F.col("w") * F.col("at.up")).cast("double") / F.col("at.down").cast("double")
-    return level.select("source", "source_size", F.when(F.col("k") >= F.col("at.k"), uncapped).otherwise((cap * F.col("source_size")).cast("double")).alias("target"))
+        w = F.when(F.pmod(F.col("rank") - 1, F.lit(len(weights))) == k, F.lit(x).cast("long")).otherwise(w)
+    weighed = in_order(totals, named, []).withColumn("w", w).drop("rank")
+    ranked = materialize(in_order(weighed, [F.col("source_size") / F.col("w"), *named], ["source_size", "w"]), "ranked")
+    whole = ranked.agg(F.sum("source_size").alias("s"), F.sum("w").alias("w")).first()
+    level = ranked.withColumns({"up": num * (whole["s"] or 0) - den * cap * F.col("before_source_size"), "down": den * ((whole["w"] or 0) - F.col("before_w"))})
+    level = level.withColumn("open", F.col("w") * F.col("up") <= cap * F.col("source_size") * F.col("down"))
+    at = level.where("open").agg(F.min(F.struct("rank", "up", "down")).alias("at")).select("at.*").first()
+    full = (cap * F.col("source_size")).cast("double")
+    if at is None or at["rank"] is None:
+        return ranked.select("source", "source_size", full.alias("target"))
+    uncapped = (F.col("w") * F.lit(at["up"])).cast("double") / F.lit(float(at["down"]))
+    return ranked.select("source", "source_size", F.when(F.col("rank") >= at["rank"], uncapped).otherwise(full).alias("target"))
 
 
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:

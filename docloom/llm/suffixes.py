@@ -579,10 +579,13 @@ def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", len
     Texts are taken as UTF-8 bytes, null as empty; spans are maximal. Rows of
     one id are not smaller than each other; a null id is larger than all others.
     Repeated rows each get their row. Texts under ``length`` bytes stay whole.
-    An empty table gives an empty result; other columns are not read. Integer ids.
+    An empty table gives an empty result; other columns are not read. Ids that
+    are no integers are an error.
     """
     if not 0 < gram < length or length - gram > 200:
         raise ValueError("0 < gram < length <= gram + 200")
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} is no integer column")
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text).alias("text"))
     base = base.withColumns({"ord": F.coalesce("id", F.lit(LAST)), "th": F.xxhash64("text")})
     total = base.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]

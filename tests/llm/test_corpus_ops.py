@@ -54,6 +54,8 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, blocks):
     got = sorted((suffixes.LAST if x.id is None else x.id, len((x.text or "").encode()), sum(s.stop - s.start for s in x.spans), len(x.spans), hashlib.sha256(x.kept).hexdigest()) for x in made)
     assert got == deduplicated([(suffixes.LAST if i is None else i, (t or "").encode()) for i, t in rows], 30)
     assert suffixes.deduplicate(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="integer"):
+        suffixes.deduplicate(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 @pytest.mark.parametrize("length", [30, 50, 150, 200])

@@ -154,6 +154,30 @@ def test_mixed_keeps_clashing_columns(spark, broadcast):
     assert Counter(x.doc_id for x in got) == +want
 
 
+def test_order_and_targets_of_many_sources(spark):
+    r = random.Random(9)
+    sizes = {f"h{k}.example": r.choice((0, 1, 5, 40, 1000, 90_000)) for k in range(500)} | {None: 7, "": 3}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    got = {x.source: x for x in mixing.in_order(df, [F.col("source").isNull(), F.col("source")], ["source_size"]).collect()}
+    names, total = sorted(s for s in sizes if s is not None) + [None], 0
+    for k, s in enumerate(names):
+        assert (got[s]["rank"], got[s].before_source_size) == (k + 1, total)
+        total += sizes[s]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    capped: dict = {}
+    while True:
+        free = [s for s in names if s not in capped]
+        level = (1.5 * total - sum(capped.values())) / sum(weight[s] for s in free)
+        over = [s for s in free if weight[s] * level > 2 * sizes[s]]
+        if not over:
+            break
+        capped |= {s: 2.0 * sizes[s] for s in over}
+    want = {s: capped.get(s, weight[s] * level) for s in names}
+    made = {x.source: x.target for x in mixing.source_targets(df).collect()}
+    assert made.keys() == want.keys() and all(abs(made[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+    assert mixing.source_targets(df.limit(0)).count() == 0
+
+
 def test_deduplicate_keeps_clashing_columns(spark):
     rows = [(1, "one two three four five six"), (2, "one two three four five six"), (3, ""), (4, "!!"), (5, "!!"), (5, "!!"), (None, "!!"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import jaccard, mixing, pieces, quality, secrets
-from docloom.llm.common import materialize
+from docloom.llm.common import drop_table, materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``: a row for each time the mix takes a document.
+
+    Null and empty texts pass all stages; repeated rows are near-duplicates of
+    each other but for empty ones, which all stay; an empty table gives an empty
+    result; other columns of documents, whatever their names, reach the last
+    stage. A stage's table goes once the next one is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0])
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        done = materialize(stage(spark, docs, sf_dir), name.split()[0])
+        if k:
+            drop_table(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

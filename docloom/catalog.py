@@ -65,13 +65,15 @@ def knn_filtered_topk(spark, d: str) -> DataFrame:
 @query(E_SQL + _top_sql("a", "label % 2 = 0", 30) + _top_sql("b", "label % 3 = 0", 30) + _fused_sql("a", "b") + " SELECT qid, cid, score, rk FROM o WHERE rk <= 30")
 def rrf_fuse_two_branches(spark, d: str) -> DataFrame:
     q, c = _vectors(spark, d)
-    return search.fuse([search.knn(q, c.where("label % 2 = 0")), search.knn(q, c.where("label % 3 = 0"))])
+    even, third = F.col("label") % 2 == 0, F.col("label") % 3 == 0
+    return search.fuse([search.knn_branches(q, c, [(even, search.DENSE_K), (third, search.DENSE_K)])])
 
 
 @query(E_SQL + _top_sql("a", "true", 30) + _top_sql("b", "label % 2 = 0", 5) + _top_sql("c", "label % 3 = 0", 5) + _fused_sql("a", "b", "c") + " SELECT qid, cid, score, rk FROM o WHERE rk <= 30")
 def rrf_asymmetric_budgets(spark, d: str) -> DataFrame:
     q, c = _vectors(spark, d)
-    return search.fuse([search.knn(q, c, search.DENSE_K), search.knn(q, c.where("label % 2 = 0"), search.SPARSE_K), search.knn(q, c.where("label % 3 = 0"), search.REWRITE_K)])
+    branches = [(F.lit(True), search.DENSE_K), (F.col("label") % 2 == 0, search.SPARSE_K), (F.col("label") % 3 == 0, search.REWRITE_K)]
+    return search.fuse([search.knn_branches(q, c, branches)])
 
 
 def _candidates(spark, d: str) -> DataFrame:
@@ -631,11 +633,11 @@ def registry_resolve(spark, d: str) -> DataFrame:
     return registry.resolve(refs, _registry(spark, d))
 
 
-@query("""WITH p AS (SELECT source, sha256(doc_id || '|' || md5(coalesce(text, ''))) AS d FROM documents), b AS (SELECT source, substr(d, 1, 2) AS b, substr(d, 3, 2) AS b2, sha256(string_agg(d, ',' ORDER BY d)) AS d, count(*) AS n FROM p GROUP BY 1, 2, 3)
+@query("""WITH p AS (SELECT source, sha256(doc_id || '|' || coalesce(md5(text), 'unreadable') || '|' || coalesce(CAST(n_chars AS VARCHAR), '')) AS d FROM documents), b AS (SELECT source, substr(d, 1, 2) AS b, substr(d, 3, 2) AS b2, sha256(string_agg(d, ',' ORDER BY d)) AS d, count(*) AS n FROM p GROUP BY 1, 2, 3)
 SELECT source, sha256(string_agg(d, ',' ORDER BY b, b2)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY source""")
 def corpus_fingerprint(spark, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("source", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("checksum"))
-    return registry.fingerprint(rows, "source", "doc_id", "checksum")
+    rows = table(spark, d, "documents").select("source", "doc_id", F.md5("text").alias("checksum"), F.col("n_chars").alias("chunks"))
+    return registry.fingerprint(rows, "source", "doc_id", "checksum", "chunks")
 
 
 @query("""WITH w AS (SELECT doc_id, substr(sha256('["' || doc_id || '","' || coalesce(source, '') || '"]'), 1, 24) AS key FROM documents), c AS (SELECT key, doc_id * 10 AS value FROM w WHERE doc_id % 3 = 0) SELECT w.key, doc_id, value, c.key IS NOT NULL AS hit FROM w LEFT JOIN c USING (key)""")
@@ -918,6 +920,46 @@ def metadata_manifest(spark, d: str) -> DataFrame:
     return made.select("document_id", "version", "processing.status", "processing.chunk_count", "checksums.raw_sha256", "checksums.cleaned_sha256")
 
 
+@query(SPARSE_SQL + """ SELECT qid, list(DISTINCT 'c' || cid ORDER BY 'c' || cid)[1] AS first_cited, count(*) AS considered, CAST(sum(length(substr(coalesce(text, ''), 1, 800))) AS BIGINT) AS shown, count(DISTINCT source) AS documents FROM o JOIN documents ON cid = doc_id WHERE rk <= 5 GROUP BY qid""")
+def answer_responses(spark, d: str) -> DataFrame:
+    """Responses with their sources, from retrieved passages in order."""
+    passages = table(spark, d, "documents").select(F.col("doc_id").alias("cid"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("title"), "text")
+    found = _sparse(spark, d, search.SPARSE_K).join(passages, "cid").withColumn("content", T.excerpt(F.coalesce("text", F.lit("")), 800))
+    claim = F.struct(F.col("chunk_id").alias("text"), "chunk_id")
+    answers = found.groupBy("qid").agg(F.collect_list(claim).alias("statements"), F.collect_list(grounding.source_of(found.columns)).alias("considered"))
+    none = F.array().cast("array<struct<text:string,chunk_id:string>>")
+    made = answers.select("qid", grounding.response(F.lit("LEGAL"), F.lit(""), F.lit(True), F.col("statements"), none, none, F.col("considered")).alias("r"))
+    size = F.aggregate(F.transform("r.considered", lambda x: F.length(x["content"])), F.lit(0).cast("long"), lambda a, x: a + x)
+    return made.select("qid", F.array_min(grounding.cited_ids(F.col("r.statements"), none)).alias("first_cited"), F.size("r.considered").cast("long").alias("considered"), size.alias("shown"), F.size(F.array_distinct(F.transform("r.considered", lambda x: x["document"]))).cast("long").alias("documents"))
+
+
+@query("""WITH c AS (SELECT item_id AS "case", unnest(['c-' || item_id, 'c-' || (item_id * 7)]) AS cite FROM benchmark), k AS (SELECT 'c-' || doc_id AS cite FROM documents WHERE doc_id % 3 <> 0)
+SELECT "case", cite, cite IN (SELECT cite FROM k) AS known FROM c""")
+def case_cites_checked(spark, d: str) -> DataFrame:
+    """Citations of judged cases, and which of them the corpus lacks."""
+    name = lambda c: F.concat(F.lit("c-"), c.cast("string"))
+    cites = table(spark, d, "benchmark").select(F.col("item_id").alias("case"), F.explode(F.array(name(F.col("item_id")), name(F.col("item_id") * 7))).alias("cite"))
+    kept, unknown = validate.known_only(cites, table(spark, d, "documents").where("doc_id % 3 <> 0").select(name(F.col("doc_id")).alias("cite")), "cite")
+    lost = cites.join(unknown, "cite", "left_semi").select("case", "cite")
+    return kept.withColumn("known", F.lit(True)).unionByName(lost.withColumn("known", F.lit(False)))
+
+
+@query(RESULT_SQL + """, q AS (SELECT item_id AS id, 'bench' AS own FROM benchmark WHERE item_id % 2 = 0)
+SELECT coalesce(own, 'statutory') AS suite, count(*) AS n, count(*) FILTER (retrieval_hit) AS hits FROM r LEFT JOIN q USING (id) GROUP BY 1""")
+def suite_tags(spark, d: str) -> DataFrame:
+    """Results under the suite of their question, or the default one."""
+    q = table(spark, d, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("id"), F.lit("bench").alias("suite"))
+    return evaluate.tag_suites(_results(spark, d).drop("suite"), q).groupBy("suite").agg(F.count("*").alias("n"), F.count_if("retrieval_hit").alias("hits"))
+
+
+@query("""SELECT doc_id, regexp_replace('/data/' || coalesce(source, '') || '/x.json', '^/data/', '') AS path, CAST(greatest(0.0, doc_id % 7 - 3.5) AS DOUBLE) AS active, regexp_matches(lower(trim(CASE doc_id % 4 WHEN 0 THEN ' O1-mini' WHEN 1 THEN 'gpt' WHEN 2 THEN 'o' ELSE 'o3' END)), '^o[0-9]') AS reasoning FROM documents""")
+def small_rules(spark, d: str) -> DataFrame:
+    """Paths under a root, activations of a linear head, and names of reasoning models."""
+    i = F.col("doc_id")
+    name = F.when(i % 4 == 0, " O1-mini").when(i % 4 == 1, "gpt").when(i % 4 == 2, "o").otherwise("o3")
+    return table(spark, d, "documents").select("doc_id", T.relative_path(F.concat(F.lit("/data/"), F.coalesce("source", F.lit("")), F.lit("/x.json")), "/data/").alias("path"), V.relu(i % 7 - 3.5).alias("active"), T.is_reasoning_model(name).alias("reasoning"))
+
+
 @query("""WITH f AS (SELECT l_orderkey AS doc, l_returnflag AS unit_type, count(*) AS n FROM lineitem GROUP BY 1, 2), e AS (SELECT o_orderkey AS doc, unnest(['A', 'N', 'R']) AS unit_type, o_orderkey % 3 AS expected FROM orders)
 SELECT e.doc, e.unit_type, expected, coalesce(n, 0) AS found FROM e LEFT JOIN f ON e.doc = f.doc AND e.unit_type = f.unit_type WHERE expected <> coalesce(n, 0)""")
 def structure_counts(spark, d: str) -> DataFrame:

@@ -240,3 +240,18 @@ def source_block(sources: Column) -> Column:
 def cache_key(*parts: Column, digits: int = 24) -> Column:
     """Leading hex digits of the digest of a JSON list."""
     return F.substring(F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256), 1, digits)
+
+
+def excerpt(c: Column, limit: int = 8000) -> Column:
+    """The first ``limit`` characters: what a judge is shown of a section."""
+    return F.substring(c, 1, limit)
+
+
+def relative_path(c: Column, root: str) -> Column:
+    """A path without ``root`` before it."""
+    return F.when(F.startswith(c, F.lit(root)), F.substr(c, F.lit(len(root) + 1))).otherwise(c)
+
+
+def is_reasoning_model(c: Column) -> Column:
+    """Whether a model's name is that of a reasoning model: an o and a digit."""
+    return F.lower(strip(c)).rlike("^o[0-9]")

@@ -31,3 +31,8 @@ def l2_normalise(a: Column, n: Column) -> Column:
 def sparse_dot(a: Column, b: Column) -> Column:
     """Inner product of two term-to-weight maps over their shared terms."""
     return F.aggregate(F.array_intersect(F.map_keys(a), F.map_keys(b)), F.lit(0.0), lambda s, k: s + F.element_at(a, k) * F.element_at(b, k))
+
+
+def relu(c: Column) -> Column:
+    """An activation without its negative part."""
+    return F.greatest(F.lit(0.0), c)

@@ -233,6 +233,16 @@ def label_suites(suites: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def tag_suites(results: DataFrame, questions: DataFrame, default: str = "statutory") -> DataFrame:
+    """``results(id, ...)`` with the suite of their question; those of none are ``default``'s."""
+    return results.join(questions.select("id", "suite").dropDuplicates(["id"]), "id", "left").withColumn("suite", F.coalesce("suite", F.lit(default)))
+
+
+def of_suite(results: DataFrame, suite: str) -> DataFrame:
+    """One suite's share of a run, in the shape of a whole run."""
+    return results.where(F.col("suite") == suite)
+
+
 def pick_questions(questions: DataFrame, wanted: DataFrame) -> DataFrame:
     """The questions that ``wanted(id)`` names; an id that no question has is an error."""
     known = wanted.select(F.col("id").alias("want")).distinct().join(questions.select("id", F.lit(True).alias("known")).distinct(), F.col("want") == F.col("id"), "left").select("want", "known")

@@ -107,3 +107,26 @@ def cited_order(verified: DataFrame) -> DataFrame:
     order = F.struct(F.when(F.col("kind") == "statement", 0).otherwise(1), "pos")
     first = verified.where(F.col("failure").isNull() & (F.col("chunk_id") != "")).groupBy("answer", "chunk_id").agg(F.min(order).alias("o"))
     return first.withColumn("rk", F.row_number().over(Window.partitionBy("answer").orderBy("o"))).drop("o")
+
+
+#: Fields of a source as readers see it, each with the chunk's column it comes from.
+SOURCE_FIELDS = {"chunk_id": "chunk_id", "document": "title"} | {c: c for c in ("document_type", "citation", "unit_title", "content", "version", "in_force", "as_at", "source_name", "source_url", "rerank_score")}
+
+
+def source_of(columns: list[str]) -> Column:
+    """A chunk's row as a source: ``title`` becomes ``document``; fields that the row lacks are null."""
+    kinds = {"in_force": "boolean", "rerank_score": "double"}
+    return F.struct(*[(F.col(c) if c in columns else F.lit(None).cast(kinds.get(name, "string"))).alias(name) for name, c in SOURCE_FIELDS.items()])
+
+
+def cited_ids(statements: Column, qualifications: Column) -> Column:
+    """Ids of the cited chunks in the order of their first citation, statements before qualifications."""
+    return F.array_distinct(F.filter(F.transform(F.concat(statements, qualifications), lambda x: x["chunk_id"]), lambda x: F.coalesce(x, F.lit("")) != ""))
+
+
+def response(intent: Column, answer: Column, sufficient: Column, statements: Column, qualifications: Column, ungrounded: Column, considered: Column) -> Column:
+    """An answer as a reader gets it: texts of its qualifications, the sources it cites among those considered, and how many claims were dropped."""
+    cited = cited_ids(statements, qualifications)
+    return F.struct(
+        intent.alias("intent"), answer.alias("answer"), sufficient.alias("sufficient"), statements.alias("statements"), F.transform(qualifications, lambda x: x["text"]).alias("qualifications"),
+        F.filter(considered, lambda x: F.array_contains(cited, x["chunk_id"])).alias("sources"), considered.alias("considered"), F.size(ungrounded).alias("ungrounded_claims"))

@@ -33,13 +33,16 @@ def as_of(registry: DataFrame, day: str) -> DataFrame:
     return registry.where((F.coalesce("effective_from", d) <= d) & F.coalesce(F.col("effective_to") > d, F.lit(True)))
 
 
-def fingerprint(rows: DataFrame, group: str, key: str, checksum: str) -> DataFrame:
-    """(group, fingerprint, n): the same for the same set of (key, checksum), whatever the order.
+def fingerprint(rows: DataFrame, group: str, key: str, checksum: str, count: str | None = None) -> DataFrame:
+    """(group, fingerprint, n): the same for the same set of (key, checksum, count), whatever the order.
 
+    ``count`` is a document's number of chunks; a null checksum (a document that
+    could not be read) counts as ``unreadable``.
     The digests of pairs are first combined by a bucket of the key, then over
     the sorted bucket digests, so no group's pairs meet in one row.
     """
-    pair = F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.col(checksum)), 256)
+    parts = [F.col(key).cast("string"), F.coalesce(checksum, F.lit("unreadable")), *([F.coalesce(F.col(count).cast("string"), F.lit(""))] if count else [])]
+    pair = F.sha2(F.concat_ws("|", *parts), 256)
     bucket = F.substring(pair, 1, 2)
     first = rows.select(group, bucket.alias("b"), pair.alias("d")).groupBy(group, "b", F.substring("d", 3, 2).alias("b2")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("d"), F.count("*").alias("n"))
     return first.groupBy(group).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "b2", "d"))), lambda x: x["d"]), ","), 256).alias("fingerprint"), F.sum("n").alias("n"))

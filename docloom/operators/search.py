@@ -19,39 +19,57 @@ LEXICAL_QUERIES, LEXICAL_POSTINGS, PRODUCTS = 256, 500_000, 1 << 20
 DENSE_K, SPARSE_K, REWRITE_K = 30, 5, 5
 
 
-def _top(k: int, columns: list[str]):
+def _top(budgets: list[int]):
+    """Scores of one block of queries with one block of passages; the best of each branch stay, as many as its budget."""
+
     def score(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({x: [] for x in columns})
-        a, b = np.array(q["v"].tolist(), float), np.array(c["v"].tolist(), float)
-        na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            s = np.nan_to_num(np.round(a @ b.T / (na[:, None] * nb), 6))
-        ids = c["cid"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        best = np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), best.shape[1])
-        hit = order[best.ravel()]
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "cid": ids[hit], "score": s[rows, hit]})
+        found = [pd.DataFrame({"branch": pd.Series(dtype="int32"), "qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})]
+        if len(q) and len(c):
+            c = c.sort_values("cid", kind="stable")
+            a, b = np.array(q["v"].tolist(), float), np.array(c["v"].tolist(), float)
+            na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = np.nan_to_num(np.round(a @ b.T / (na[:, None] * nb), 6))
+            ids, flags = c["cid"].to_numpy(), c["flags"].to_numpy()
+            for n, k in enumerate(budgets):
+                own = np.flatnonzero(flags >> n & 1)
+                best = np.argsort(-s[:, own], axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(len(q)), best.shape[1])
+                hit = own[best.ravel()]
+                found.append(pd.DataFrame({"branch": np.full(len(hit), n, np.int32), "qid": q["qid"].to_numpy()[rows], "cid": ids[hit], "score": s[rows, hit]}))
+        return pd.concat(found)
 
     return score
 
 
-def knn(queries: DataFrame, passages: DataFrame, k: int = DENSE_K) -> DataFrame:
-    """(qid, cid, score, rk): the k passages of the highest cosine for each query.
+def knn_branches(queries: DataFrame, passages: DataFrame, branches: list[tuple[Column, int]]) -> DataFrame:
+    """(branch, qid, cid, score, rk): for each query and branch (which passages, how many) those of the highest cosine.
 
-    ``queries`` is (qid, v), ``passages`` (cid, v); filter passages before.
-    Scores are rounded to six places; ties go to the lower id. A zero vector
-    scores 0 with all.
+    ``queries`` is (qid, v), ``passages`` (cid, v) with the columns that the
+    branches ask for. All branches share one meeting of the blocks. Scores are
+    rounded to six places; ties go to the lower id. A zero vector scores 0 with
+    all.
     """
-    if k < 1:
+    if not branches or min(k for _, k in branches) < 1:
         raise ValueError("k is 1 or more")
+    flags = F.lit(0)
+    for n, (which, _) in enumerate(branches):
+        flags = flags + F.when(which, 1 << n).otherwise(0)
+    passages = passages.select("cid", "v", flags.alias("flags")).where("flags <> 0")
     nq, nc = queries.count(), passages.count()
     bq, bc = max(1, -(-nq // QUERY_BLOCK)), max(1, -(-nc // PASSAGE_BLOCK))
     q = queries.select(F.col("qid").cast("long"), "v", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("y"))
-    c = passages.select(F.col("cid").cast("long"), "v", F.pmod(F.xxhash64("cid"), F.lit(bc)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("x"))
-    hits = q.groupBy("x", "y").cogroup(c.groupBy("x", "y")).applyInPandas(_top(k, ["qid", "cid", "score"]), "qid long, cid long, score double")
-    return top_k(hits, k)
+    c = passages.select(F.col("cid").cast("long"), "v", "flags", F.pmod(F.xxhash64("cid"), F.lit(bc)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("x"))
+    budgets = [k for _, k in branches]
+    hits = q.groupBy("x", "y").cogroup(c.groupBy("x", "y")).applyInPandas(_top(budgets), "branch int, qid long, cid long, score double")
+    limit = F.try_element_at(F.array(*[F.lit(k) for k in budgets]), F.col("branch") + 1)
+    w = Window.partitionBy("branch", "qid").orderBy(F.col("score").desc(), "cid")
+    return hits.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= limit)
+
+
+def knn(queries: DataFrame, passages: DataFrame, k: int = DENSE_K) -> DataFrame:
+    """(qid, cid, score, rk): the k passages of the highest cosine for each query, as :func:`knn_branches` with one branch of all."""
+    return knn_branches(queries, passages, [(F.lit(True), k)]).drop("branch")
 
 
 def top_k(hits: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -125,7 +143,10 @@ def sparse_search(queries: DataFrame, passages: DataFrame, k: int = SPARSE_K) ->
 
 
 def fuse(branches: list[DataFrame], k: int = DENSE_K) -> DataFrame:
-    """Reciprocal rank fusion: (qid, cid, score, rk) with the sum of 1 / (rank + 1) over branches."""
+    """Reciprocal rank fusion: (qid, cid, score, rk) with the sum of 1 / (rank + 1) over branches.
+
+    A table may hold one branch, or several as :func:`knn_branches` gives them.
+    """
     rows = None
     for b in branches:
         b = b.select("qid", "cid", (1.0 / (F.col("rk") + 1)).alias("part"))

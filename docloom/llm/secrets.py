@@ -201,6 +201,8 @@ def labelled_findings(n: int, seed: int, found: list[tuple[str, str, str]] | tup
     pick = lambda chars, a, b=None: "".join(r.choice(chars) for _ in range(r.randint(a, b or a)))
     word = lambda: "".join(r.choice(("the", "re", "ion", "an", "ei", "gen", "ou", "que", "la", "st", "ma", "nt", "er", "lo", "ti")) for _ in range(r.randint(1, 4)))
     prose = lambda k: " ".join(word() for _ in range(k))
+    onset, vowel, coda = "b d f g h k l m n p r s t v w z sch st th ch br tr pl gr".split(), "a e i o u ei au ie ou ea y".split(), ["", "", "", "n", "r", "s", "t", "ng", "ck", "l", "m", "ft", "cht", "x", "mpf", "hrt", "ff", "nd", "rst", "lk", "ph", "ll", "tz", "bst"]
+    spoken = lambda a, b: "".join(r.choice(onset) + r.choice(vowel) + r.choice(coda) for _ in range(r.randint(a, b)))
     good = [
         lambda: pick("0123456789abcdef", r.choice((32, 40, 64))),
         lambda: pick(alnum + "+/", 24, 64) + r.choice(("", "=", "==")),
@@ -222,6 +224,15 @@ def labelled_findings(n: int, seed: int, found: list[tuple[str, str, str]] | tup
         lambda: word() + word() + word() + word() + word() + str(r.randint(0, 99)),
         lambda: "".join(word().capitalize() for _ in range(6)) + str(r.randint(1, 9)),
         lambda: ".".join(word() for _ in range(5)) + str(r.randint(1, 99)),
+        lambda: spoken(6, 12),
+        lambda: spoken(5, 10).capitalize() + r.choice(("", ".", "...")),
+        lambda: spoken(5, 10).upper(),
+        lambda: "".join(spoken(1, 3).capitalize() for _ in range(r.randint(3, 6))),
+        lambda: r.choice("-_/.").join(spoken(1, 3) for _ in range(r.randint(3, 6))),
+        lambda: spoken(3, 5) + "." + spoken(3, 5).capitalize(),
+        lambda: "www." + spoken(2, 4) + r.choice((".com", ".org/", ".de/")) + spoken(1, 3),
+        lambda: r.choice(string.ascii_letters + "-=._+/") * r.randint(16, 90),
+        lambda: (spoken(1, 1) or "ha") * r.randint(8, 20),
     ]
     out = []
     for k in range(n):
@@ -242,7 +253,7 @@ def labelled_findings(n: int, seed: int, found: list[tuple[str, str, str]] | tup
 
 
 @lru_cache(maxsize=4)
-def trained(recall: float = RECALL, found: tuple[tuple[str, str, str], ...] = (), n: int = 4000, epochs: int = 5, seed: int = 7) -> CharCNN:
+def trained(recall: float = RECALL, found: tuple[tuple[str, str, str], ...] = (), n: int = 4000, epochs: int = 8, seed: int = 7) -> CharCNN:
     """A network fitted on ``n`` labelled findings; calibration and threshold come from ``n // 2`` others.
 
     Every other one of ``found`` serves the fit, the rest the calibration.

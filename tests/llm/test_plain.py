@@ -289,15 +289,16 @@ def test_tables_need_a_shared_folder(spark):
     assert common.fresh(["A", "b", "b_"], "a", "b", "c") == ["a_", "b__", "c"]
 
 
+@pytest.fixture(scope="module")
+def db():
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 class TestQueries:
-    @pytest.fixture(scope="class")
-    def db(self):
-        c = duckdb.connect()
-        for t in ("documents", "embeddings", "labels"):
-            c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-        return c
-
     @pytest.mark.parametrize("name", sorted(queries.ORACLES))
     def test_query_equals_sql(self, spark, db, name):
         got, want = queries.QUERIES[name](spark, SF), db.sql(queries.ORACLES[name])

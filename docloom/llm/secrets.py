@@ -48,6 +48,8 @@ HINTS = ("password", "passwd", "secret", "token", "api")
 AROUND, INSIDE = 20, 48
 LENGTH = 2 * AROUND + INSIDE
 RECALL = 0.98
+#: The first step size of the fit.
+RATE = 0.008
 #: Documents (about) and findings in them that the network is fitted on, at most.
 DOCUMENTS, FINDINGS = 4000, 4000
 
@@ -119,7 +121,7 @@ def windows(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.nda
 class CharCNN:
     """Embedding, one convolution, maximum and mean over the candidate and its surroundings, two dense layers."""
 
-    EMBED, WIDTH, FILTERS, HIDDEN = 10, 5, 24, 16
+    EMBED, WIDTH, FILTERS, HIDDEN = 10, 5, 32, 16
 
     def __init__(self, seed: int = 7):
         g = np.random.default_rng(seed)
@@ -226,7 +228,7 @@ def labelled_findings(n: int, seed: int, found: list[tuple[str, str, str]] | tup
         lambda: ".".join(word() for _ in range(5)) + str(r.randint(1, 99)),
         lambda: spoken(6, 12),
         lambda: spoken(5, 10).capitalize() + r.choice(("", ".", "...")),
-        lambda: spoken(5, 10).upper(),
+        lambda: spoken(5, 10).upper() + r.choice(("", ".", "...")),
         lambda: "".join(spoken(1, 3).capitalize() for _ in range(r.randint(3, 6))),
         lambda: r.choice("-_/.").join(spoken(1, 3) for _ in range(r.randint(3, 6))),
         lambda: spoken(3, 5) + "." + spoken(3, 5).capitalize(),
@@ -253,7 +255,7 @@ def labelled_findings(n: int, seed: int, found: list[tuple[str, str, str]] | tup
 
 
 @lru_cache(maxsize=4)
-def trained(recall: float = RECALL, found: tuple[tuple[str, str, str], ...] = (), n: int = 4000, epochs: int = 8, seed: int = 7) -> CharCNN:
+def trained(recall: float = RECALL, found: tuple[tuple[str, str, str], ...] = (), n: int = 4000, epochs: int = 10, seed: int = 7) -> CharCNN:
     """A network fitted on ``n`` labelled findings; calibration and threshold come from ``n // 2`` others.
 
     Every other one of ``found`` serves the fit, the rest the calibration.
@@ -279,10 +281,11 @@ def trained(recall: float = RECALL, found: tuple[tuple[str, str, str], ...] = ()
             raw, kept = net.forward(chars[at], marks[at])
             grads = net.backward(chars[at], kept, ((1 / (1 + np.exp(-raw)) - y[at]) / len(at)).astype(np.float32))
             step += 1
+            rate = RATE * (1 - 0.95 * step / (epochs * -(-len(y) // 128)))  # falls, so that the last batches don't sway the result
             for k, d in grads.items():
                 m1[k] = 0.9 * m1[k] + 0.1 * d
                 m2[k] = 0.999 * m2[k] + 0.001 * d * d
-                net.w[k] = (net.w[k] - 0.004 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+                net.w[k] = (net.w[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
     chars, marks, y, _ = data(n // 2, seed + 1)
     raw = np.concatenate([net.forward(chars[i : i + 1024], marks[i : i + 1024])[0] for i in range(0, len(y), 1024)]).astype(np.float64)
     for _ in range(300):  # calibration: a logistic line through held-out scores

@@ -191,6 +191,16 @@ class Stretches:
         self.anchor, self.at = g[at[edge]], at[edge] - first
 
 
+def packed(rows: np.ndarray) -> bytes:
+    """Values as bytes, the first bytes of all of them first: what is alike in many values lies together, so shuffles and tables compress it."""
+    return rows.view(np.uint8).reshape(len(rows), rows.dtype.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def _blocks(batches, column: int):
     """Arrow batches cut to about BLOCK bytes of a column."""
     from docloom.llm.arrow import blocks
@@ -239,7 +249,7 @@ def _anchored(length: int, gram: int, buckets: int, hot: np.ndarray):
                 docs, local = np.unique(s.doc[x], return_inverse=True)
                 names.append(int(bucket[x[0]]))
                 for col, v in zip(cols, (ords[docs], ths[docs], local.astype(np.uint32), s.start[x].astype(np.uint32), s.size[x].astype(np.uint16), s.anchor[x].astype(np.uint32), s.at[x].astype(np.uint8)), strict=True):
-                    col.append(v.tobytes())
+                    col.append(packed(v))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "ords", "ths", "doc", "start", "size", "anchor", "at"])
 
     return run
@@ -264,10 +274,10 @@ def _dealt(marks: np.ndarray, parts: int, part: np.ndarray | None = None):
     if not len(marks):
         return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["part", "marks"])
     part = _part(marks["ord"], marks["th"], parts) if part is None else part
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((marks["ord"], part))
     cut = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(order) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(order))
-    return pa.RecordBatch.from_arrays([pa.array([int(part[order[a]]) for a in cut], pa.int32()), pa.array([marks[order[a:b]].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["part", "marks"])
+    return pa.RecordBatch.from_arrays([pa.array([int(part[order[a]]) for a in cut], pa.int32()), pa.array([packed(marks[order[a:b]]) for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["part", "marks"])
 
 
 def _part(ord_: np.ndarray, th: np.ndarray, parts: int) -> np.ndarray:
@@ -279,7 +289,7 @@ def _judged(parts: int):
 
     def run(batches):
         for _, rows in _grouped(batches):
-            arrays = [[np.frombuffer(r[k], t) for r in rows] for k, t in enumerate((np.int64, np.int64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint8))]
+            arrays = [[unpacked(r[k], t) for r in rows] for k, t in enumerate((np.int64, np.int64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint8))]
             ords = np.concatenate([o[d] for o, d in zip(arrays[0], arrays[2], strict=True)])
             ths = np.concatenate([o[d] for o, d in zip(arrays[1], arrays[2], strict=True)])
             start, size, anchor, at = (np.concatenate(arrays[k]) for k in (3, 4, 5, 6))
@@ -302,7 +312,7 @@ def _marked(ords, ths, start, size, anchor, at, x, kinds) -> np.ndarray:
 
 
 def _marks(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("marks").to_pylist()), MARK)
+    return np.concatenate([np.zeros(0, MARK), *(unpacked(x, MARK) for x in table.column("marks").to_pylist())])
 
 
 def _by_document(table: pa.Table, marks: np.ndarray):
@@ -372,12 +382,12 @@ def _spelled_far(docs: pa.Table, found: np.ndarray, length: int, tasks: int, far
     order = np.argsort(task, kind="stable")
     cut = np.flatnonzero(np.append(True, np.diff(task[order]) != 0)[: len(order)])
     group = np.int32(docs.column("part")[0].as_py()).tobytes()
-    return [(tasks + int(task[order[i]]), b"", group + made[order[i:j]].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True)]
+    return [(tasks + int(task[order[i]]), b"", group + packed(made[order[i:j]])) for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True)]
 
 
 def _owners(rows: list[list[bytes]], parts: int):
     """Strings of hot anchors from all groups to what a group must be told: owners smaller than its own."""
-    made = np.concatenate([np.frombuffer(r[1], STRING, offset=4) for r in rows])
+    made = np.concatenate([unpacked(r[1][4:], STRING) for r in rows])
     part = np.repeat([int(np.frombuffer(r[1], np.int32, 1)[0]) for r in rows], [(len(r[1]) - 4) // STRING.itemsize for r in rows])
     order, first, of = _owned(made["a"], made["b"], made["ord"])
     least = made["ord"][order[first]][of]
@@ -408,7 +418,7 @@ def _gone_far(docs: pa.Table, found: np.ndarray, told: np.ndarray, length: int)
 
 
 def _spelled(tasks: int, far_tasks: int, length: int):
-    """The bytes of the stretches to sort, packed by sorting task, and the strings of hot anchors."""
+    """The bytes of the stretches to sort, packed and compressed by sorting task, and the strings of hot anchors."""
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         found = _marks(marks)
@@ -438,8 +448,8 @@ def _spelled(tasks: int, far_tasks: int, length: int):
         cut = np.flatnonzero(np.append(True, np.diff(task[order]) != 0))
         ends = np.append(cut[1:], len(order))
         return pa.table([
-            pa.array([int(task[order[a]]) for a in cut], pa.int32()), pa.array([picked[order[a:b]].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
-            pa.array([b"".join([data[i] for i in order[a:b].tolist()]) for a, b in zip(cut, ends, strict=True)], pa.binary()),
+            pa.array([int(task[order[a]]) for a in cut], pa.int32()), pa.array([packed(picked[order[a:b]]) for a, b in zip(cut, ends, strict=True)], pa.binary()),
+            pa.array([pa.compress(b"".join([data[i] for i in order[a:b].tolist()]), codec="zstd", asbytes=True) for a, b in zip(cut, ends, strict=True)], pa.binary()),
         ], names=names)
 
     return run
@@ -479,8 +489,9 @@ def _sorted(length: int, gram: int, parts: int):
             if not rows[0][0]:
                 yield _owners(rows, parts)
                 continue
-            marks = np.concatenate([np.frombuffer(r[0], MARK) for r in rows])
-            data, at = b"".join([r[1] for r in rows]), 0
+            each = [unpacked(r[0], MARK) for r in rows]
+            data, at = b"".join([pa.decompress(r[1], int(m["size"].sum()), codec="zstd", asbytes=True) for r, m in zip(rows, each, strict=True)]), 0
+            marks = np.concatenate(each)
             groups: dict[int, dict[bytes, list[int]]] = {}
             sizes, order, place = marks["size"].tolist(), marks["ord"].tolist(), marks["at"].tolist()
             for i, (anchor, n) in enumerate(zip(marks["anchor"].tolist(), sizes, strict=True)):
@@ -587,7 +598,8 @@ def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", len
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise ValueError(f"{id_col} is no integer column")
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text).alias("text"))
-    base = base.withColumns({"ord": F.coalesce("id", F.lit(LAST)), "th": F.xxhash64("text")})
+    # 48 bits tell apart the texts of repeated ids.
+    base = base.withColumns({"ord": F.coalesce("id", F.lit(LAST)), "th": F.shiftrightunsigned(F.xxhash64("text"), 16)})
     total = base.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     parts, buckets = max(1, -(-total // (2 * BLOCK))), max(1, -(-total // (8 * BUCKET)))
     tasks = max(1, -(-total // (4 * TASK)))

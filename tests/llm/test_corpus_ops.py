@@ -88,7 +88,7 @@ def test_one_hot_anchor_is_dealt_by_strings(spark, monkeypatch):
     made = suffixes.deduplicate(docs, length=30, gram=12).collect()
     got = sorted((suffixes.LAST if x.id is None else x.id, len(x.text.encode()), sum(s.stop - s.start for s in x.spans), len(x.spans), hashlib.sha256(x.kept).hexdigest()) for x in made)
     assert got == deduplicated([(suffixes.LAST if i is None else i, t.encode()) for i, t in rows], 30)
-    marks = np.concatenate([np.frombuffer(x.marks, suffixes.MARK) for x in written["judged"].collect()])
+    marks = np.concatenate([suffixes.unpacked(x.marks, suffixes.MARK) for x in written["judged"].collect()])
     assert Counter(marks["anchor"][marks["sort"] == 1].tolist()).most_common(1)[0][1] < 2 * 40  # stretches for one suffix array
 
 

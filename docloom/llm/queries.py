@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import embeddings, jaccard, licenses, media, mixing, pieces, quality, secrets, suffixes, toxicity
+from docloom.llm import embeddings, jaccard, licenses, media, mixing, packing, pieces, quality, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_suffix_array": suffixes.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_source_mixing": mixing.query,
     "op10_quality": quality.query,
+    "op11_packing": packing.query,
 }
 ORACLES = {
     "op6_license_scan": licenses.ORACLE,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import embeddings, jaccard, licenses, media, mixing, negatives, packing, pieces, quality, secrets, suffixes, toxicity
+from docloom.llm import embeddings, jaccard, licenses, media, mixing, negatives, packing, phrases, pieces, quality, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_suffix_array": suffixes.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_source_mixing": mixing.query,
     "op10_quality": quality.query,
     "op11_packing": packing.query,
+    "op12_collocations": phrases.query,
     "op13_hard_negatives": negatives.query,
 }
 ORACLES = {
     "op6_license_scan": licenses.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
+    "op12_collocations": phrases.ORACLE,
     "op13_hard_negatives": negatives.ORACLE,
 }

@@ -8,6 +8,7 @@ A window that no partition holds whole is put together from boundary records.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -25,13 +26,17 @@ from docloom.llm.common import materialize, text_of
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END = 4096, 2
-#: Tokens that a task remembers of words met before; beyond it the memory starts anew.
-MEMORY = 1 << 22
+#: Tokens of words that a task remembers; beyond it the memory starts anew.
+MEMORY = 1 << 21
+#: Words that the library is asked for in one text.
+JOINED = 32
 #: Partitions whose totals are summed in one group of the second prefix sum.
 FAN = 1024
 
-# How the vocabulary's file splits ASCII text into words.
-WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
+# How the vocabulary's file splits lower-case text of ASCII and the letters of Latin-1 into words, what is left to the library, and its mark of a word's end.
+WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\x09-\x0d\x20a-z0-9\xdf-\xf6\xf8-\xff]+")
+OTHER = re.compile(r"[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\|")
+LAST = "</w>"
 
 
 def default_vocabulary() -> str:
@@ -41,13 +46,29 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Words(dict):
+    """Numbers of words; a word that was not met before gets the next one and waits in ``new``."""
+
+    new: list[str]
+
+    def __init__(self, known: dict):
+        super().__init__(known)
+        self.new = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Ids of texts as ``tokenizers`` gives them, each followed by the end id.
 
-    Nothing in this vocabulary spans white space, so a text is the sequence of
-    its chunks between spaces, tabs and line feeds, and equal chunks are encoded
-    once. Chunks in ASCII fall into words by a plain pattern; others, and those
-    that may hold a special token, go to the library whole.
+    Words are encoded one by one in this vocabulary, so equal words are encoded
+    once, many in one text, cut at the tokens that end a word. Where a text has
+    characters whose rules are the library's (or what may be a special token),
+    the stretches between spaces, tabs and line feeds that have them go to the
+    library whole: nothing spans white space.
     """
 
     def __init__(self, path: str, end: int = END):
@@ -55,28 +76,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.end = Tokenizer.from_file(path), end
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[n for token, n in vocabulary.items() if token.endswith(LAST)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str | None, int] = {None: 0, "": 1}
-        self.flat, self.start, self.count = np.array([self.end], np.int32), np.array([0, 1]), np.array([1, 0])
+        self.words = Words({None: 0})
+        self.flat, self.start, self.count = np.array([self.end], np.int32), np.array([0]), np.array([1])
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of each text's)."""
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for own in ids for i in own), np.int32, int(count.sum())), count
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _add(self, flat: np.ndarray, count: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.flat) + count.cumsum() - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, flat])
 
     def _learn(self, new: list[str]) -> None:
-        plain = [x.isascii() and "<|" not in x for x in new]
-        split = [WORDS.findall(x.lower()) if p else () for x, p in zip(new, plain, strict=True)]
-        unknown = list({w for own in split for w in own} - self.words.keys())
-        self.words.update(zip(unknown, self._library(unknown), strict=True))
-        whole = iter(self._library([x for x, p in zip(new, plain, strict=True) if not p]))
-        ids = [[i for w in own for i in self.words[w]] if p else next(whole) for own, p in zip(split, plain, strict=True)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.chunks.update(zip(new, range(len(self.start), len(self.start) + len(new)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + counts.cumsum() - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for own in ids for i in own), np.int32, int(counts.sum()))])
+        other = np.array([not w.isascii() and OTHER.search(w) is not None or "<|" in w for w in new])
+        plain = [w for w, o in zip(new, other.tolist(), strict=True) if not o]
+        flat, _ = self._each([" ".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)])
+        ends = np.flatnonzero(self.last[flat])
+        if other.any() or len(ends) != len(plain):  # or a vocabulary without marks
+            self._add(*self._each(new))
+        else:
+            self._add(flat, np.diff(np.append(-1, ends)))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
@@ -85,13 +113,20 @@ class Encoder:
         words: list[str | None] = []
         ends = np.empty(len(texts), np.int64)
         for k, t in enumerate(texts):
-            words += t.replace("\n", " ").replace("\t", " ").split(" ")
+            if "<|" in t or not t.isascii() and OTHER.search(t):
+                for own in t.replace("\n", " ").replace("\t", " ").split(" "):
+                    if OTHER.search(own):
+                        words.append(own)
+                    else:
+                        words += WORDS.findall(own.lower())
+            else:
+                words += WORDS.findall(t.lower())
             words.append(None)
             ends[k] = len(words)
-        new = set(words) - self.chunks.keys()
-        if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.chunks.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if self.words.new:
+            self._learn(self.words.new)
+            self.words.new = []
         count = self.count[at]
         last = count.cumsum()
         total = int(last[-1]) if len(last) else 0
@@ -99,6 +134,12 @@ class Encoder:
         return flat, np.diff(np.append(0, last[ends - 1]))
 
 
+@functools.cache
+def encoder(path: str, end: int) -> Encoder:
+    """A worker's encoder, kept from task to task."""
+    return Encoder(path, end)
+
+
 def prefix_sums(totals: DataFrame, part: str = "part", total: str = "total") -> DataFrame:
     """(part, base): what the parts before each part hold, from (part, total).
 
@@ -123,7 +164,7 @@ def encoded(docs: DataFrame, text: str = "text", id_col: str = "doc_id", vocabul
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = Encoder(path, end), TaskContext.get().partitionId(), 0
+        encode, part, seen = encoder(path, end), TaskContext.get().partitionId(), 0
         for batch in batches:
             for own in blocks(batch, 1):
                 flat, count = encode(own.column(1).to_pylist())

@@ -26,7 +26,7 @@ def plain(library, texts):
 def test_encoder_equals_library(library, monkeypatch):
     monkeypatch.setattr(packing, "MEMORY", 4000)  # forgets now and then
     r = random.Random(1)
-    letters = [*"abS's  \n\t\r\x0b\x1c\x85\xa0 é́ͅſKİΣσ½²٣中가ᄀ09_!?.😀‍﻿\x00", "<|endoftext|>", "'ll", "'RE", "<|startoftext|>", "<|"]
+    letters = [*"abS's  \n\t\r\x0b\x1c\x85\xa0 é́ͅſKİΣσ½²٣中가ᄀ09_!?.😀‍﻿\x00", "<|endoftext|>", "'ll", "'RE", "<|startoftext|>", "<|", *"Àßÿ×÷ºÅ"]
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(3000)]
     encode, got = packing.Encoder(packing.default_vocabulary()), []
     for k in range(0, len(texts), 100):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import vectors as V
-from docloom.operators import adapters, chunk, evaluate, grounding, registry, rerank, search, structure, validate
+from docloom.operators import adapters, chunk, evaluate, grounding, registry, rerank, search, structure, validate, vector_index
 from docloom.session import table
 from docloom.sources import io
 from docloom.streaming import ingest
@@ -56,6 +56,14 @@ def knn_topk_cosine(spark, d: str) -> DataFrame:
     return search.knn(q, c)
 
 
+@query(E_SQL + _top_sql("t", "true", 30) + " SELECT qid, cid, score, rk FROM t")
+def knn_indexed(spark, d: str) -> DataFrame:
+    """The same hits through a stored index: cells whose bound is under a query's k-th score are not read."""
+    q, c = _vectors(spark, d)
+    dim = c.agg(F.max(F.size("v"))).first()[0]
+    return vector_index.search(q, vector_index.build(c, dim), dim, search.DENSE_K)[0]
+
+
 @query(E_SQL + _top_sql("t", "label % 2 = 0", 30) + " SELECT qid, cid, score, rk FROM t")
 def knn_filtered_topk(spark, d: str) -> DataFrame:
     q, c = _vectors(spark, d)

@@ -19,6 +19,45 @@ LEXICAL_QUERIES, LEXICAL_POSTINGS, PRODUCTS = 256, 500_000, 1 << 20
 DENSE_K, SPARSE_K, REWRITE_K = 30, 5, 5
 
 
+def usable(v: Column) -> Column:
+    """Whether a vector is not null or empty and has neither null nor non-finite components."""
+    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k highest values of each row, ties by smaller column; only what reaches a row's k-th value is sorted."""
+    if s.shape[1] > k:
+        row, column = np.nonzero(s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
+    else:
+        row, column = np.divmod(np.arange(s.size), max(1, s.shape[1]))
+    order = np.lexsort((column, -s[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+def cosines(q: pd.Series, c: pd.Series) -> np.ndarray:
+    """Cosines of all vectors of two blocks to six places; a zero vector has 0 with all."""
+    a, b = np.array(q.tolist(), float), np.array(c.tolist(), float)
+    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.nan_to_num(np.round(a @ b.T / (na[:, None] * nb), 6))
+
+
+def score_blocks(k: int):
+    """The k best passages for each query of one block of queries and one of passages."""
+
+    def score(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
+        c = c.sort_values("cid", kind="stable")
+        s = cosines(q["v"], c["v"])
+        row, hit = best(s, k)
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[row], "cid": c["cid"].to_numpy()[hit], "score": s[row, hit]})
+
+    return score
+
+
 def _top(budgets: list[int]):
     """Scores of one block of queries with one block of passages; the best of each branch stay, as many as its budget."""
 
@@ -26,17 +65,13 @@ def _top(budgets: list[int]):
         found = [pd.DataFrame({"branch": pd.Series(dtype="int32"), "qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})]
         if len(q) and len(c):
             c = c.sort_values("cid", kind="stable")
-            a, b = np.array(q["v"].tolist(), float), np.array(c["v"].tolist(), float)
-            na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = np.nan_to_num(np.round(a @ b.T / (na[:, None] * nb), 6))
+            s = cosines(q["v"], c["v"])
             ids, flags = c["cid"].to_numpy(), c["flags"].to_numpy()
             for n, k in enumerate(budgets):
                 own = np.flatnonzero(flags >> n & 1)
-                best = np.argsort(-s[:, own], axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(q)), best.shape[1])
-                hit = own[best.ravel()]
-                found.append(pd.DataFrame({"branch": np.full(len(hit), n, np.int32), "qid": q["qid"].to_numpy()[rows], "cid": ids[hit], "score": s[rows, hit]}))
+                if len(own):
+                    row, hit = best(s if len(own) == len(c) else s[:, own], k)
+                    found.append(pd.DataFrame({"branch": np.full(len(hit), n, np.int32), "qid": q["qid"].to_numpy()[row], "cid": ids[own[hit]], "score": s[row, own[hit]]}))
         return pd.concat(found)
 
     return score
@@ -48,20 +83,22 @@ def knn_branches(queries: DataFrame, passages: DataFrame, branches: list[tuple[C
     ``queries`` is (qid, v), ``passages`` (cid, v) with the columns that the
     branches ask for. All branches share one meeting of the blocks. Scores are
     rounded to six places; ties go to the lower id. A zero vector scores 0 with
-    all.
+    all. Vectors match those of their own length alone; null and empty ones and
+    those with a null or non-finite component match nothing.
     """
     if not branches or min(k for _, k in branches) < 1:
         raise ValueError("k is 1 or more")
     flags = F.lit(0)
     for n, (which, _) in enumerate(branches):
         flags = flags + F.when(which, 1 << n).otherwise(0)
-    passages = passages.select("cid", "v", flags.alias("flags")).where("flags <> 0")
+    passages = passages.where(usable(F.col("v"))).select("cid", "v", flags.alias("flags")).where("flags <> 0")
+    queries = queries.where(usable(F.col("v")))
     nq, nc = queries.count(), passages.count()
     bq, bc = max(1, -(-nq // QUERY_BLOCK)), max(1, -(-nc // PASSAGE_BLOCK))
-    q = queries.select(F.col("qid").cast("long"), "v", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("y"))
-    c = passages.select(F.col("cid").cast("long"), "v", "flags", F.pmod(F.xxhash64("cid"), F.lit(bc)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("x"))
+    q = queries.select(F.col("qid").cast("long"), "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("y"))
+    c = passages.select(F.col("cid").cast("long"), "v", F.size("v").alias("dim"), "flags", F.pmod(F.xxhash64("cid"), F.lit(bc)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("x"))
     budgets = [k for _, k in branches]
-    hits = q.groupBy("x", "y").cogroup(c.groupBy("x", "y")).applyInPandas(_top(budgets), "branch int, qid long, cid long, score double")
+    hits = q.groupBy("dim", "x", "y").cogroup(c.groupBy("dim", "x", "y")).applyInPandas(_top(budgets), "branch int, qid long, cid long, score double")
     limit = F.try_element_at(F.array(*[F.lit(k) for k in budgets]), F.col("branch") + 1)
     w = Window.partitionBy("branch", "qid").orderBy(F.col("score").desc(), "cid")
     return hits.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= limit)

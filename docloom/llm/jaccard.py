@@ -187,11 +187,13 @@ def partners(meeting: np.ndarray, left: np.ndarray, same: np.ndarray) -> tuple[n
     return i, np.repeat(low - (width.cumsum() - width), width) + np.arange(len(i))
 
 
-def link_meetings(rows: list[tuple], n: int, threshold: float) -> tuple[list[bytes], list[bytes], list[int]]:
-    """(key, root key, linked documents) of the classes of some meetings that have a link.
+def link_meetings(rows: list[tuple], n: int, threshold: float) -> tuple[list[bytes], list[bytes | None], list[int]]:
+    """(key, null, linked documents) of the classes of some meetings that have a link, and (label, root label, 0) of the labels that links join.
 
     ``rows``: (number of the meeting, whether it is of one block, whether the row
-    is on the right, key, copies, text), each class once a meeting and side.
+    is on the right, key, copies, text, label), each class once a meeting and
+    side. Classes of one label are known to be connected, so that links give an
+    edge for each label that they join, not for each class.
     """
     rows.sort(key=lambda r: (r[0], r[2], r[3]))
     meeting, same, right = (np.array([r[k] for r in rows], t) for k, t in ((0, np.int64), (1, bool), (2, bool)))
@@ -206,13 +208,21 @@ def link_meetings(rows: list[tuple], n: int, threshold: float) -> tuple[list[byt
     count = np.bincount(owner, minlength=len(rows)).astype(np.int64)
     i, j = similar_pairs(sig, flat, count, *partners(meeting, ~right, same), threshold)
     links = np.bincount(i, weights=weight[j], minlength=len(rows)) + np.bincount(j, weights=weight[i], minlength=len(rows))
-    root = roots(len(rows), i, j)
     some = np.flatnonzero(links)
-    return [keys[x] for x in some], [keys[root[x]] for x in some], links[some].astype(np.int64).tolist()
+    labels = sorted({r[6] for r in rows})
+    at = {x: k for k, x in enumerate(labels)}
+    label = np.array([at[r[6]] for r in rows], np.int64)
+    root = roots(len(labels), label[i], label[j])
+    joined = np.flatnonzero(root != np.arange(len(labels))).tolist()
+    return (
+        [keys[x] for x in some] + [labels[x] for x in joined],
+        [None] * len(some) + [labels[root[x]] for x in joined],
+        links[some].astype(np.int64).tolist() + [0] * len(joined),
+    )
 
 
 def _linked(batches, n: int, threshold: float):
-    """Streams (cluster, x, y, right, key, copies, text) sorted by meeting (cluster, x, y); some meetings are compared at a time."""
+    """Streams (cluster, x, y, right, key, copies, label, text) sorted by meeting (cluster, x, y); some meetings are compared at a time."""
     held, number, rows, own, seen, chars, pairs = None, 0, [], [], set(), 0, 0
 
     def ended():
@@ -232,8 +242,8 @@ def _linked(batches, n: int, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["a", "b", "links"])
 
     for batch in batches:
-        for part in blocks(batch, 6):
-            for c, x, y, r, k, w, t in zip(*(col.to_pylist() for col in part.columns), strict=True):
+        for part in blocks(batch, 7):
+            for c, x, y, r, k, w, label, t in zip(*(col.to_pylist() for col in part.columns), strict=True):
                 if (c, x, y) != held:
                     ended()
                     if chars >= GATHER_CHARS or pairs >= GATHER_PAIRS:
@@ -241,7 +251,7 @@ def _linked(batches, n: int, threshold: float):
                     held = c, x, y
                 if (r, k) not in seen:  # a repeated row has one part in it
                     seen.add((r, k))
-                    own.append((number, x == y, r, k, w, t))
+                    own.append((number, x == y, r, k, w, t, label))
     ended()
     if rows:
         yield compared()
@@ -318,15 +328,24 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = G
     several = several.withColumns({"own": F.struct("group", "part"), "its": F.struct(F.col("other").alias("group"), F.col("q").alias("part"))})
     place = lambda c: F.xxhash64(c["group"], c["part"])
     several = several.select("key", "first_id", "copies", "cluster", place(F.least("own", "its")).alias("x"), place(F.greatest("own", "its")).alias("y"), (F.col("own") > F.col("its")).alias("right"))
-    meetings = alone.unionByName(several)
-    # Shuffled at every size: what is joined grows with the documents, so a plan that broadcasts it holds for small ones only.
-    members = base.join(meetings.withColumnsRenamed({"key": "k_", "first_id": "f_"}).hint("merge"), (F.col("key") == F.col("k_")) & F.col("id").eqNullSafe(F.col("f_")))
-    dealt = members.select("cluster", "x", "y", "right", "key", "copies", "text").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
-    found = materialize(dealt.mapInArrow(lambda batches: _linked(batches, n, threshold), "a binary, b binary, links long"), "found")
+
+    def compared(meetings: DataFrame, name: str) -> DataFrame:
+        # Shuffled at every size: what is joined grows with the documents, so a plan that broadcasts it holds for small ones only.
+        members = base.join(meetings.withColumnsRenamed({"key": "k_", "first_id": "f_"}).hint("merge"), (F.col("key") == F.col("k_")) & F.col("id").eqNullSafe(F.col("f_")))
+        dealt = members.select("cluster", "x", "y", "right", "key", "copies", "label", "text").repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+        made = dealt.mapInArrow(lambda batches: _linked(batches, n, threshold), "a binary, b binary, links long")
+        return materialize(made.groupBy("a", "b").agg(F.sum("links").alias("links")), name)
+
+    # Blocks by themselves first: the classes that they connect are one label when blocks meet each other.
+    within = compared(alone.unionByName(several.where("x = y")).withColumn("label", F.col("key")), "within")
+    label = within.where("b IS NOT NULL").select(F.col("a").alias("l_"), F.col("b").alias("label"))
+    across = several.where("x <> y").join(label, F.col("key") == F.col("l_"), "left").withColumn("label", F.coalesce("label", "key")).drop("l_")
+    across = compared(across, "across")
+    found = within.unionByName(across)
 
     ids = reps.select("key", "first_id", "copies", (F.col("chars") > 0).alias("some"))
     out = link_classes(ids, found)
-    for used in (reps, shared, near, cluster, placed, meet, found):
+    for used in (reps, shared, near, cluster, placed, meet, within, across):
         drop_table(used)
     return out, rows.select("id", "key")
 

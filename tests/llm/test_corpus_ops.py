@@ -292,3 +292,23 @@ def test_pipeline_over_an_empty_table(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, folder)
     assert empty.count() == 0
+
+
+def test_edges_of_a_group_of_near_copies_follow_its_size(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    seen = []
+    classes = jaccard.link_classes
+
+    def counted(reps, found):
+        seen.append((found.where("b IS NOT NULL").count(), found.where("b IS NULL").count()))
+        return classes(reps, found)
+
+    monkeypatch.setattr(jaccard, "link_classes", counted)
+    base = [f"w{k}" for k in range(120)]
+    for n in (128, 256, 512):
+        docs = spark.createDataFrame([(k, " ".join([*base, f"x{k}"])) for k in range(n)], "doc_id long, text string")
+        got = jaccard.near_duplicates(docs).collect()
+        assert all(x.component_id == 0 and x.n_links == n - 1 for x in got) and len(got) == n
+    # All classes are alike: an edge for each class of a block, and one for each two blocks that meet.
+    assert all(edges <= n + (n / 16) ** 2 / 2 and rows <= 2 * n for (edges, rows), n in zip(seen, (128, 256, 512), strict=True)), seen
+    print(seen)

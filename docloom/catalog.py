@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import vectors as V
-from docloom.operators import adapters, chunk, evaluate, grounding, registry, rerank, search, structure, validate, vector_index
+from docloom.operators import adapters, chunk, evaluate, grounding, inverted, registry, rerank, search, structure, validate, vector_index
 from docloom.session import table
 from docloom.sources import io
 from docloom.streaming import ingest
@@ -368,7 +368,8 @@ o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS
 
 def _sparse(spark, d: str, k: int) -> DataFrame:
     q = search.postings(table(spark, d, "benchmark").withColumnRenamed("item_id", "qid"), "qid")
-    return search.sparse_search(q, search.postings(table(spark, d, "documents").withColumnRenamed("doc_id", "cid"), "cid"), k)
+    index = inverted.build(table(spark, d, "documents").withColumnRenamed("doc_id", "cid"))
+    return inverted.search(q, index, k)[0]
 
 
 @query(SPARSE_SQL + " SELECT qid, cid, score, rk FROM o WHERE rk <= 5")

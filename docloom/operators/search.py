@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of queries and of passages.
 QUERY_BLOCK, PASSAGE_BLOCK = 1024, 16384
-#: Queries and postings of a block of a lexical search, and products that are held at once.
-LEXICAL_QUERIES, LEXICAL_POSTINGS, PRODUCTS = 256, 500_000, 1 << 20
 DENSE_K, SPARSE_K, REWRITE_K = 30, 5, 5
 
 
@@ -130,55 +128,6 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return words.groupBy(key, "term").agg(F.round(F.max(1.0 / (1.0 + F.log1p(F.col("p").cast("double")))), 6).alias("weight")).where("weight > 0")
 
 
-def _lexical(k: int):
-    """Scores of one block of queries with one block of passages: products are summed passage by passage, k a query stay."""
-
-    def score(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
-        if not len(q) or not len(c):
-            return none
-        words, word = np.unique(q["h"].to_numpy(), return_inverse=True)
-        qids, row = np.unique(q["qid"].to_numpy(), return_inverse=True)
-        weight = np.zeros((len(words), len(qids)))
-        weight[word, row] = q["weight"].to_numpy()
-        h = c["h"].to_numpy()
-        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        mine = np.flatnonzero(words[at] == h)
-        if not len(mine):
-            return none
-        mine = mine[np.argsort(c["cid"].to_numpy()[mine], kind="stable")]
-        cid, at, w = c["cid"].to_numpy()[mine], at[mine], c["weight"].to_numpy()[mine]
-        first = np.flatnonzero(np.append(True, cid[1:] != cid[:-1]))
-        s, ends, a = np.empty((len(first), len(qids))), np.append(first[1:], len(cid)), 0
-        while a < len(first):  # some passages at a time, so that their products stay small
-            b = max(a + 1, int(np.searchsorted(ends, first[a] + PRODUCTS // len(qids), side="right")))
-            x = slice(first[a], ends[b - 1])
-            s[a:b] = np.add.reduceat(weight[at[x]] * w[x, None], first[a:b] - first[a])
-            a = b
-        s = np.round(s.T, 6)
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(qids)), best.shape[1])
-        got = pd.DataFrame({"qid": qids[rows], "cid": cid[first][best.ravel()], "score": s[rows, best.ravel()]})
-        return got[got["score"] > 0]
-
-    return score
-
-
-def sparse_search(queries: DataFrame, passages: DataFrame, k: int = SPARSE_K) -> DataFrame:
-    """(qid, cid, score, rk) by the inner product of postings: (qid, term, weight) and (cid, term, weight), weights over 0.
-
-    Blocks of queries and passages meet as in :func:`knn`: a frequent term is no
-    key, and a task passes on k hits a query. Terms meet by a hash of 64 bits.
-    """
-    nq, nc = queries.select("qid").distinct().count(), passages.count()
-    bq, bc = max(1, -(-nq // LEXICAL_QUERIES)), max(1, -(-nc // LEXICAL_POSTINGS))
-    h = F.xxhash64("term").alias("h")
-    q = queries.select(F.col("qid").cast("long"), h, "weight", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("y"))
-    c = passages.select(F.col("cid").cast("long"), h, "weight", F.pmod(F.xxhash64("cid"), F.lit(bc)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("x"))
-    hits = q.groupBy("x", "y").cogroup(c.groupBy("x", "y")).applyInPandas(_lexical(k), "qid long, cid long, score double")
-    return top_k(hits, k)
-
-
 def fuse(branches: list[DataFrame], k: int = DENSE_K) -> DataFrame:
     """Reciprocal rank fusion: (qid, cid, score, rk) with the sum of 1 / (rank + 1) over branches.
 

@@ -1,12 +1,14 @@
 """Stored indexes against plain search over all passages."""
 
 import math
+import random
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from docloom.operators import search, vector_index
+from docloom.operators import inverted, search, vector_index
 
 
 def plain_knn(queries, passages, k):
@@ -86,3 +88,37 @@ def test_bounds_hold():
     top = vector_index.bounds(q, c, radius)
     cosine = vector_index._unit(q) @ vector_index._unit(x).T
     assert (cosine <= top[:, cell] + 1e-9).all()
+
+
+def plain_lexical(queries, docs, k):
+    weigh = lambda t: {w: round(1 / (1 + math.log1p(p)), 6) for p, w in reversed(list(enumerate(re.findall("[a-z0-9]+", (t or "").lower()))))}
+    held, out = {c: weigh(t) for c, t in docs}, []
+    for qid, text in queries:
+        q = weigh(text)
+        scores = sorted((-round(sum(w * d[t] for t, w in q.items() if t in d), 6), c) for c, d in held.items())
+        out += [(qid, c, -s, r + 1) for r, (s, c) in enumerate([x for x in scores if x[0] < 0][:k])]
+    return sorted(out)
+
+
+def test_inverted_index_is_exact_and_skips_ranges(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "RANGE_DOCS", 5)
+    monkeypatch.setattr(inverted, "RANGE_POSTINGS", 60)
+    r = random.Random(7)
+    topic = [[f"t{k}x{j}" for j in range(12)] for k in range(20)]
+    docs = [(100 * k + j, " ".join(r.choice(topic[k] + ["the", "of"]) for _ in range(r.randint(1, 25)))) for k in range(20) for j in range(10)]
+    docs += [(5000, None), (5001, ""), (5002, "THE Of É the" + " zz" * 300), (5003, docs[3][1]), (5004, docs[3][1])]
+    queries = [(k, " ".join(r.sample(topic[k % 20], 4)) + r.choice(("", " the"))) for k in range(30)] + [(90, ""), (91, None), (92, "nowhere"), (93, "the")]
+    d = spark.createDataFrame(docs, "cid long, text string").coalesce(1)
+    q = search.postings(spark.createDataFrame(queries, "qid long, text string"), "qid")
+    hits, read = inverted.search(q, inverted.build(d), 4)
+    want = plain_lexical(queries, docs, 4)
+    close(rows(hits), want)
+    alone, _ = inverted.search(q.where("qid < 20"), inverted.build(d), 4)
+    seen = inverted.search(q.where("qid = 1"), inverted.build(d), 4)[1].first()
+    assert 0 < seen.scored < 0.5 * seen.postings and read.first().scored <= read.first().postings
+    monkeypatch.setattr(inverted, "QUERY_POSTINGS", 30)  # several groups of queries
+    close(rows(inverted.search(q, inverted.build(d.repartition(4)), 4)[0]), want)
+    close(rows(alone), [x for x in want if x[0] < 20])
+    assert inverted.search(q.limit(0), inverted.build(d), 4)[0].count() == 0
+    none, read = inverted.search(q, inverted.build(d.limit(0)), 4)
+    assert none.count() == 0 and tuple(read.first()) == (0, 0)

@@ -79,6 +79,7 @@ class Encoder:
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[n for token, n in vocabulary.items() if token.endswith(LAST)]] = True
+        self.stored = np.dtype("<u2" if max(len(self.last) - 1, end) < 1 << 16 else "<u4")
         self._forget()
 
     def _forget(self) -> None:
@@ -157,7 +158,8 @@ def prefix_sums(totals: DataFrame, part: str = "part", total: str = "total") ->
 def encoded(docs: DataFrame, text: str = "text", id_col: str = "doc_id", vocabulary: str | None = None, end: int = END) -> DataFrame:
     """(doc_id, ids, tokens, position) of each row, as a written table: ``position`` counts the tokens before the row's in one stream of all.
 
-    Rows follow each other as they lie in partitions, partitions by number. The
+    ``ids`` are little-endian bytes, two an id where the vocabulary has no more
+    than 65,536 ids, else four. Rows follow each other as they lie in partitions, partitions by number. The
     order is written with the ids, so a lost task changes nothing behind it.
     """
     path = vocabulary or default_vocabulary()
@@ -169,11 +171,12 @@ def encoded(docs: DataFrame, text: str = "text", id_col: str = "doc_id", vocabul
             for own in blocks(batch, 1):
                 flat, count = encode(own.column(1).to_pylist())
                 ends = count.cumsum()
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat, pa.int32()))
+                raw, width = flat.astype(encode.stored).tobytes(), encode.stored.itemsize
+                ids = pa.array([raw[width * (b - n) : width * b] for n, b in zip(count.tolist(), ends.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([own.column(0), ids, pa.array(count), pa.array(np.full(len(count), part, np.int64)), pa.array(seen + ends - count)], names=["doc_id", "ids", "tokens", "part", "before"])
                 seen += int(ends[-1])
 
-    schema = StructType([StructField("doc_id", kind), *StructType.fromDDL("ids array<int>, tokens long, part long, before long").fields])
+    schema = StructType([StructField("doc_id", kind), *StructType.fromDDL("ids binary, tokens long, part long, before long").fields])
     coded = materialize(docs.select(F.col(id_col).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, schema), "encoded")
     base = materialize(prefix_sums(coded.groupBy("part").agg(F.sum("tokens").alias("total"))), "bases")
     # A row a partition of the scan: Spark broadcasts the written table while it is under its own limit.
@@ -183,8 +186,9 @@ def encoded(docs: DataFrame, text: str = "text", id_col: str = "doc_id", vocabul
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids one after another, tokens and position of the rows of a batch (columns ids, tokens, position at 1, 2, 3)."""
-    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<u4")
-    return flat, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw, tokens = b"".join(batch.column(1).to_pylist()), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.frombuffer(raw, f"<u{len(raw) // max(1, int(tokens.sum()))}" if raw else "<u4").astype("<u4")
+    return flat, tokens, batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _cut(flat: np.ndarray, tokens: np.ndarray, position: np.ndarray, length: int):

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import namedtuple
 
 import numpy as np
 import pytest
@@ -41,7 +42,8 @@ def test_pieces_and_sequences(spark, library):
     rows = [(k, t, "x", 1) for k, t in enumerate(texts)] + [(7, texts[7], "x", 1)] * 2 + [(None, None, None, 2), (500, "word " * 900, "y", 3), (501, None, "y", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, part long").repartition(7)
     coded = packing.encoded(docs)
-    stream = {x.position: x for x in coded.collect()}
+    Row = namedtuple("Row", "doc_id ids tokens position")
+    stream = {x.position: Row(x.doc_id, np.frombuffer(x.ids, "<u2").tolist(), x.tokens, x.position) for x in coded.collect()}
     assert [p + stream[p].tokens for p in sorted(stream)][:-1] == sorted(stream)[1:] and min(stream) == 0
     key = lambda i, ids: (-1 if i is None else i, ids)
     assert sorted(key(x.doc_id, x.ids) for x in stream.values()) == sorted(key(i, ids) for (i, *_), ids in zip(rows, plain(library, [t for _, t, *_ in rows]), strict=True))

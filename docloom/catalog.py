@@ -9,7 +9,7 @@ from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.operators import adapters, chunk, evaluate, grounding, inverted, registry, rerank, search, structure, validate, vector_index
 from docloom.session import table
-from docloom.sources import io
+from docloom.sources import io, store
 from docloom.streaming import ingest
 
 QUERIES: dict = {}
@@ -914,6 +914,26 @@ def cache_filled(spark, d: str) -> DataFrame:
     return results.groupBy("key", "value", "hit").agg(F.count("*").alias("n"))
 
 
+@query("""WITH w AS (SELECT doc_id, CASE WHEN doc_id % 50 <> 0 THEN sha256(coalesce(text, '')) END AS key, CAST(length(coalesce(text, '')) AS VARCHAR) AS size FROM documents),
+k AS (SELECT key, size, min(doc_id) AS least FROM w WHERE key IS NOT NULL GROUP BY ALL),
+f AS (SELECT min(size) AS size FROM (SELECT size FROM w WHERE key IS NULL ORDER BY doc_id LIMIT 1))
+SELECT doc_id, CASE WHEN w.key IS NULL THEN 'made ' || f.size WHEN k.least % 4 = 0 AND k.least % 12 <> 0 THEN CASE WHEN k.least % 8 = 0 THEN 'second ' ELSE 'first ' END || k.size ELSE 'made ' || w.size END AS value,
+  w.key IS NOT NULL AND k.least % 4 = 0 AND k.least % 12 <> 0 AS hit FROM w LEFT JOIN k USING (key) CROSS JOIN f""")
+def cache_stored(spark, d: str) -> DataFrame:
+    """Results by the digest of a text through a stored cache: entries written twice, damaged ones, repeated and null keys."""
+    docs = table(spark, d, "documents").withColumn("t", F.coalesce("text", F.lit("")))
+    wanted = docs.select(F.when(F.col("doc_id") % 50 != 0, F.sha2("t", 256)).alias("key"), "doc_id", F.length("t").cast("string").alias("size"))
+    keys = wanted.where("key IS NOT NULL").groupBy("key", "size").agg(F.min("doc_id").alias("least")).where("least % 4 = 0")
+    entry = lambda rows, name: rows.select("key", F.concat(F.lit(f"{name} "), "size").alias("value"))
+    cache = store.open_store(spark, buckets=16)
+    store.append(cache, entry(keys.where("least % 12 <> 0"), "first"), at=1)
+    store.append(cache, entry(keys.where("least % 8 = 0 AND least % 12 <> 0"), "second"), at=2)
+    damaged = entry(keys.where("least % 12 = 0"), "damaged").select("key", "value", F.lit(3).cast("long").alias("at"), F.lit("").alias("proof"))
+    damaged.write.mode("append").format("parquet").bucketBy(cache.buckets, "key").sortBy("key").option("path", cache.path).saveAsTable(cache.table)
+    made = store.through_store(wanted, cache, lambda missing: missing.select("key", F.concat(F.lit("made "), "size").alias("value")))
+    return made.select("doc_id", "value", "hit")
+
+
 @query(E_SQL + _top_sql("t", "true", 30) + " SELECT qid, cid, rk AS pos FROM t WHERE rk <= 5")
 def top_k_unranked(spark, d: str) -> DataFrame:
     """The first five of each query as retrieved, without reranking."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import structure
+from docloom.sources.stored import written
 
 #: Parsers by document type: functions of (docs, key, text) that give units. More are added by assignment.
 PARSERS: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {
@@ -77,16 +78,21 @@ def index_chunks(chunks: DataFrame, encode: Callable[[Column], Column], document
 def through_cache(wanted: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame], read: bool = True, write: bool = True) -> tuple[DataFrame, DataFrame]:
     """(results, new entries) of ``wanted(key, ...)``: values of the cache, and computed ones for the keys it lacks.
 
-    ``compute`` gets the missing rows, a row a key, and gives (key, value).
-    ``read`` off computes all; ``write`` off gives no entries. Results have
-    (key, value, hit), a row a wanted row.
+    ``compute`` gets one row of each missing key (of several, that of the smallest
+    other columns), runs once, and gives (key, value). Of several entries of a
+    key in the cache, or made, the one of the largest value counts. A null key is
+    a key like others. ``read`` off computes all; ``write`` off gives no entries.
+    Results have (key, value, hit), a row a wanted row.
     """
-    keys = wanted.dropDuplicates(["key"])
-    have = cache.select("key", "value") if read else cache.select("key", "value").limit(0)
-    missing = keys.join(have.select("key"), "key", "left_anti")
-    made = compute(missing).select("key", "value")
-    every = have.withColumn("hit", F.lit(True)).unionByName(made.withColumn("hit", F.lit(False)))
-    return wanted.select("key").join(every, "key", "left").select("key", "value", F.coalesce("hit", F.lit(False)).alias("hit")), made if write else made.limit(0)
+    others = [c for c in wanted.columns if c != "key"]
+    keys = wanted.groupBy("key").agg(F.min(F.struct(F.lit(0).alias("none_"), *others)).alias("r_")).select("key", *[F.col(f"r_.{c}").alias(c) for c in others])
+    single = lambda df: df.groupBy("key").agg(F.max("value").alias("value"))
+    have = single(cache) if read else single(cache).limit(0)
+    missing = keys.join(have.select(F.col("key").alias("k_")), F.col("key").eqNullSafe(F.col("k_")), "left_anti")
+    made = written(single(compute(missing)), "made")
+    every = have.withColumn("hit", F.lit(True)).unionByName(made.withColumn("hit", F.lit(False))).withColumnRenamed("key", "k_")
+    found = wanted.select("key").join(every, F.col("key").eqNullSafe(F.col("k_")), "left")
+    return found.select("key", "value", F.coalesce("hit", F.lit(False)).alias("hit")), made if write else made.limit(0)
 
 
 def cache_counts(results: DataFrame) -> DataFrame:

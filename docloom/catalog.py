@@ -9,7 +9,7 @@ from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.operators import adapters, chunk, evaluate, grounding, inverted, registry, rerank, search, structure, validate, vector_index
 from docloom.session import table
-from docloom.sources import io, store
+from docloom.sources import io, pdf, store
 from docloom.streaming import ingest
 
 QUERIES: dict = {}
@@ -934,6 +934,18 @@ def cache_stored(spark, d: str) -> DataFrame:
     return made.select("doc_id", "value", "hit")
 
 
+@query("""WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), p AS (SELECT doc_id, l, unnest(range(0, CAST((len(l) - 1) // 30 AS BIGINT) + 1)) AS k FROM x),
+t AS (SELECT doc_id, k, array_to_string(l[k * 30 + 1 : k * 30 + 30], chr(10)) AS page FROM p)
+SELECT doc_id, md5(string_agg(chr(10) || '--- PAGE ' || (k + 1) || ' ---' || chr(10) || chr(10) || page, chr(10) ORDER BY k)) AS digest, count(*) AS pages FROM t GROUP BY doc_id""")
+def pdf_pages(spark, d: str) -> DataFrame:
+    """Documents as PDF files of 30 lines a page, their pages read back and put together under markers."""
+    docs = table(spark, d, "documents").select("doc_id", pdf.pdf_of(pdf.paged(F.coalesce("text", F.lit("")), 30)).alias("content"))
+    pages = pdf.read_pages(docs, "doc_id")
+    sure = pages.withColumn("page", F.when(F.col("error").isNull(), F.col("page")).otherwise(F.raise_error(F.concat("path", F.lit(": "), "error"))))
+    whole = io.pages_to_text(sure, "path", "page", "text")
+    return whole.select(F.col("path").cast("long").alias("doc_id"), F.md5("text").alias("digest"), F.col("pages").cast("long").alias("pages"))
+
+
 @query(E_SQL + _top_sql("t", "true", 30) + " SELECT qid, cid, rk AS pos FROM t WHERE rk <= 5")
 def top_k_unranked(spark, d: str) -> DataFrame:
     """The first five of each query as retrieved, without reranking."""

@@ -25,8 +25,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets masked and its length counted anew."""
+    """Every document, its secrets masked and its length counted anew, where there is a column for it."""
     clean = secrets.redact(docs, net=secrets.fitted(docs))
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
@@ -36,14 +38,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids, decoded_sha256, exact) of every row.
+    """(doc_id, lang, source, n_tokens, ids, decoded_sha256, exact) of every row; lang and source where there are such columns.
 
     ``exact`` tells whether decoding gives the text back (it does unless the text
     holds U+2581, which stands for a space).
     """
-    coded = pieces.encode(docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("was"), "text"), keep=["doc_id", "lang", "source", "was"])
+    held = ["doc_id", *[c for c in ("lang", "source") if c in docs.columns]]
+    coded = pieces.encode(docs.select(*held, F.sha2(F.coalesce("text", F.lit("")), 256).alias("was"), "text"), keep=[*held, "was"])
     back = pieces.decode(coded)
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("was")).alias("exact"))
+    return back.select(*held, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("was")).alias("exact"))
 
 
 STAGES = [
@@ -64,7 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null and empty texts pass all stages; repeated rows are near-duplicates of
     each other but for empty ones, which all stay; an empty table gives an empty
     result; other columns of documents, whatever their names, reach the last
-    stage. A stage's table goes once the next one is written.
+    stage, which leaves them. doc_id, text and source are needed. A stage's table goes once the next one is written.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES[:-1]):

@@ -312,3 +312,18 @@ def test_edges_of_a_group_of_near_copies_follow_its_size(spark, monkeypatch):
     # All classes are alike: an edge for each class of a block, and one for each two blocks that meet.
     assert all(edges <= n + (n / 16) ** 2 / 2 and rows <= 2 * n for (edges, rows), n in zip(seen, (128, 256, 512), strict=True)), seen
     print(seen)
+
+
+def test_pipeline_stages_need_few_columns(spark):
+    docs = spark.createDataFrame([(1, "password=abcdefgh12", "s"), (2, None, None)], "doc_id long, text string, source string")
+    masked = corpus_pipeline.mask_secrets(spark, docs, "")
+    assert masked.columns == docs.columns and masked.count() == 2
+    coded = corpus_pipeline.encode(spark, docs, "")
+    assert coded.columns == ["doc_id", "source", "n_tokens", "ids", "decoded_sha256", "exact"] and coded.count() == 2
+
+
+def test_embedding_links_of_null_ids_and_repeated_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.01]), (None, [0.0, 1.0]), (3, None), (3, None), (4, [0.0, 1.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in got if x.vec_id is not None) == [(1, 2, 1, True), (1, 2, 1, True), (3, 0, 3, True), (3, 0, 3, True), (4, 1, 4, True)]
+    assert sorted((x.n_links, x.component_id, x.kept) for x in got if x.vec_id is None) == [(1, 4, False), (2, 1, False)]

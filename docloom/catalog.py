@@ -433,6 +433,38 @@ def quote_verification(spark, d: str) -> DataFrame:
     return _claims(spark, d).select("answer", "pos", "kind", "chunk_id", "failure")
 
 
+WIDE = "０１２３４５６７８９"
+QUOTED_SQL = "replace(replace(translate(upper(replace({x}, 'ß', 'ẞ')), '0123456789-', '" + WIDE + "—'), 'FI', 'ﬁ'), 'É', 'E' || chr(769))"
+FULL_SQL = "replace(" + NORM_SQL.format(x="nfc_normalize(translate(replace({x}, 'ﬁ', 'fi'), '" + WIDE + "', '0123456789'))").replace("{{", "{").replace("}}", "}") + ", 'ß', 'ss')"
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM benchmark), d AS (SELECT doc_id, doc_id % n AS answer, coalesce(text, '') AS content, CAST(length(coalesce(text, '')) AS BIGINT) AS size FROM documents, n),
+c AS (SELECT answer, doc_id, CASE doc_id % 4 WHEN 3 THEN doc_id + 1 ELSE doc_id END AS cited, content, CASE doc_id % 4
+  WHEN 1 THEN substr(content, size // 4 + 1, 30) || '…' || substr(content, 3 * size // 4 + 1, 30) WHEN 2 THEN substr(content, 3 * size // 4 + 1, 30) || ' ... ' || substr(content, size // 4 + 1, 30)
+  ELSE """ + QUOTED_SQL.format(x="substr(content, size // 2 + 1, 60)") + """ END AS quote FROM d),
+j AS (SELECT c.answer, c.doc_id, c.quote, s.content AS source, s.doc_id IS NOT NULL AS known FROM c LEFT JOIN d s ON s.doc_id = c.cited AND s.answer = c.answer),
+k AS (SELECT *, list_filter(list_transform(regexp_split_to_array(quote, '\\s*(?:\\.\\.\\.+|…)\\s*'), lambda x: trim(regexp_replace(trim(x, ' ' || chr(10)), '[.;,:]+$', ''), ' ' || chr(10))), lambda x: x <> '') AS parts FROM j),
+m AS (SELECT *, """ + FULL_SQL.replace("{x}", "source") + """ AS hay, list_transform(parts, lambda x: """ + FULL_SQL.replace("{x}", "x") + """) AS nd FROM k)
+SELECT answer, doc_id AS pos, CASE WHEN NOT known THEN 'unknown_source'
+  WHEN len(parts) BETWEEN 1 AND 3 AND list_sum(list_transform(parts, lambda x: length(x))) >= 40 AND list_min(list_transform(parts, lambda x: length(x))) >= 10
+    AND strpos(hay, nd[1]) > 0 AND (len(nd) < 2 OR strpos(substr(hay, strpos(hay, nd[1]) + length(nd[1])), nd[2]) > 0)
+    AND (len(nd) < 3 OR strpos(substr(substr(hay, strpos(hay, nd[1]) + length(nd[1])), strpos(substr(hay, strpos(hay, nd[1]) + length(nd[1])), nd[2]) + length(nd[2])), nd[3]) > 0) THEN NULL ELSE 'unsupported_quote' END AS failure FROM m""")
+def quotes_over_documents(spark, d: str) -> DataFrame:
+    """Answers that are given many documents each, with quotes in other letters, wide digits, ligatures, combining marks and fragments."""
+    n = table(spark, d, "benchmark").count()
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % n).alias("answer"), F.coalesce("text", F.lit("")).alias("content"))
+    size = F.length("content")
+    part = lambda k, width: F.substr(F.col("content"), (k * size / 4).cast("int") + 1, F.lit(width))
+    altered = F.translate(F.upper(F.replace(part(2, 60), F.lit("ß"), F.lit("ẞ"))), "0123456789-", WIDE + "—")
+    altered = F.replace(F.replace(altered, F.lit("FI"), F.lit("ﬁ")), F.lit("É"), F.lit("E\u0301"))
+    quote = F.when(F.col("doc_id") % 4 == 1, F.concat(part(1, 30), F.lit("…"), part(3, 30))).when(F.col("doc_id") % 4 == 2, F.concat(part(3, 30), F.lit(" ... "), part(1, 30))).otherwise(altered)
+    chunk = lambda c: F.concat(F.lit("d-"), c.cast("string"))
+    cited = chunk(F.when(F.col("doc_id") % 4 == 3, F.col("doc_id") + 1).otherwise(F.col("doc_id")))
+    claims = docs.select("answer", F.col("doc_id").alias("pos"), F.lit("statement").alias("kind"), cited.alias("chunk_id"), quote.alias("quote"))
+    passages = docs.select(chunk(F.col("doc_id")).alias("chunk_id"), "answer", "content")
+    return grounding.verify(claims, passages.select("answer", "chunk_id"), passages.select("chunk_id", "content")).select("answer", "pos", "failure")
+
+
 @query(VERIFY_SQL + """, n AS (SELECT answer, count(*) FILTER (failure IS NULL) AS kept, count(*) FILTER (failure IS NOT NULL) AS lost FROM v WHERE kind = 'statement' GROUP BY answer)
 SELECT item_id AS answer, item_id % 5 <> 0 AND NOT (item_id % 5 <> 0 AND coalesce(kept, 0) <= coalesce(lost, 0)) AS sufficient, coalesce(kept, 0) AS kept, coalesce(lost, 0) AS lost, item_id % 5 <> 0 AND coalesce(kept, 0) <= coalesce(lost, 0) AS refused
 FROM benchmark LEFT JOIN n ON item_id = answer""")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from docloom.functions.text import BLANK, strip
 
@@ -21,35 +17,19 @@ ENUMERATOR = r"\((?:[a-z]{1,3}|[ivxl]{1,6}|[0-9]{1,2})\)"
 ELLIPSIS = r"\s*(?:\.\.\.+|…)\s*"
 
 
-@F.pandas_udf(StringType())
-def _nfkc(x: pd.Series) -> pd.Series:
-    return x.str.normalize("NFKC")
-
-
-@F.pandas_udf(StringType())
-def _casefold(x: pd.Series) -> pd.Series:
-    return x.str.casefold()
-
+def nfkc(c: Column) -> Column:
+    """Compatibility composition (NFKC) by the Unicode library that Spark carries; null stays null."""
+    return F.when(c.isNotNull(), F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True)))
 
-@F.pandas_udf(ArrayType(StringType()))
-def _nfkc_each(x: pd.Series) -> pd.Series:
-    return x.map(lambda own: None if own is None else [None if p is None else unicodedata.normalize("NFKC", p) for p in own])
 
+def casefold(c: Column) -> Column:
+    """Full case folding by the Unicode library that Spark carries; null stays null."""
+    return F.when(c.isNotNull(), F.call_function("java_method", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True)))
 
-@F.pandas_udf(ArrayType(StringType()))
-def _casefold_each(x: pd.Series) -> pd.Series:
-    return x.map(lambda own: None if own is None else [None if p is None else p.casefold() for p in own])
 
-
-def normalise_for_match(c: Column, unicode: bool = True) -> Column:
-    """What a comparison of quotes looks at: dashes, quotes, enumerators, spacing and case set aside.
-
-    ``unicode`` applies NFKC and case folding, which Spark lacks, in Arrow
-    batches; without it the whole expression stays in the JVM (texts in ASCII
-    compare alike).
-    """
-    c = _plain(_nfkc(c) if unicode else c)
-    return _casefold(c) if unicode else F.lower(c)
+def normalise_for_match(c: Column) -> Column:
+    """What a comparison of quotes looks at: compatibility forms, dashes, quotes, enumerators, spacing and case set aside; all of it in the JVM."""
+    return casefold(_plain(nfkc(c)))
 
 
 def _plain(c: Column) -> Column:
@@ -64,35 +44,43 @@ def fragments(quote: Column) -> Column:
     return F.filter(F.transform(F.split(quote, ELLIPSIS), lambda x: strip(F.regexp_replace(strip(x), r"[.;,:]+$", ""))), lambda x: x != "")
 
 
-def supports(quote: Column, content: Column) -> Column:
-    """Whether every fragment occurs in the content, in order, as :func:`normalise_for_match` sees them."""
+def needles(quote: Column) -> Column:
+    """The fragments of a quote as they are searched for; null where their number or lengths rule the quote out."""
     parts = fragments(quote)
     sizes = F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x))
     fit = (F.size(parts) > 0) & (F.size(parts) <= MAX_FRAGMENTS) & (sizes >= MIN_QUOTE) & F.forall(parts, lambda x: F.length(x) >= MIN_FRAGMENT)
-    hay = normalise_for_match(content)
-    return fit & _in_order(parts, hay)
+    return F.when(fit, F.transform(parts, normalise_for_match))
 
 
-def _in_order(parts: Column, hay: Column) -> Column:
-    """A fold that cuts the text after each fragment; null once one is missing."""
-    # Python functions take whole arrays: Spark calls none inside a lambda.
-    needles = _casefold_each(F.transform(_nfkc_each(parts), _plain))
+def in_order(found: Column, hay: Column) -> Column:
+    """Whether all ``found`` fragments occur in ``hay``, each behind the one before; false for null."""
     rest = F.aggregate(
-        needles, hay.cast("string"),
+        found, hay.cast("string"),
         lambda s, x: F.when((x != "") & (F.instr(s, x) > 0), F.substr(s, F.instr(s, x) + F.length(x))),
     )
     return rest.isNotNull()
 
 
-def verify(claims: DataFrame, sources: DataFrame) -> DataFrame:
+def supports(quote: Column, content: Column) -> Column:
+    """Whether every fragment occurs in the content, in order, as :func:`normalise_for_match` sees them."""
+    return in_order(needles(quote), normalise_for_match(content))
+
+
+def verify(claims: DataFrame, sources: DataFrame, passages: DataFrame | None = None) -> DataFrame:
     """``claims(answer, pos, kind, text, chunk_id, quote)`` with ``failure``: null, unknown_source or unsupported_quote.
 
-    ``sources(answer, chunk_id, content)`` are the passages that the answer was given.
+    ``sources(answer, chunk_id, content)`` are the passages that the answer was
+    given; with ``passages(chunk_id, content)`` sources need only (answer,
+    chunk_id). A passage is normalised once, before any claim meets it.
     """
-    known = sources.select("answer", "chunk_id", "content", F.lit(True).alias("known"))
-    joined = claims.join(known, ["answer", "chunk_id"], "left")
-    failure = F.when(F.col("known").isNull(), "unknown_source").when(~F.coalesce(supports(F.col("quote"), F.col("content")), F.lit(False)), "unsupported_quote")
-    return joined.withColumn("failure", failure).drop("content", "known")
+    if passages is None:
+        known = sources.select("answer", "chunk_id", normalise_for_match(F.col("content")).alias("hay_"), F.lit(True).alias("known_"))
+    else:
+        hay = passages.select("chunk_id", normalise_for_match(F.col("content")).alias("hay_"))
+        known = sources.select("answer", "chunk_id").distinct().join(hay, "chunk_id").select("answer", "chunk_id", "hay_", F.lit(True).alias("known_"))
+    joined = claims.withColumn("needles_", needles(F.col("quote"))).join(known, ["answer", "chunk_id"], "left")
+    failure = F.when(F.col("known_").isNull(), "unknown_source").when(~F.coalesce(in_order(F.col("needles_"), F.col("hay_")), F.lit(False)), "unsupported_quote")
+    return joined.withColumn("failure", failure).drop("hay_", "known_", "needles_")
 
 
 def downgrade(verified: DataFrame, answers: DataFrame) -> DataFrame:

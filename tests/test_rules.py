@@ -149,3 +149,27 @@ def test_unicode_quotes(spark):
     claims = spark.createDataFrame([(1, 0, "statement", "c", "official salary of the STRASSE debtor is due"), (1, 1, "statement", "c", "official salary of the debtor is due on the")], "answer int, pos int, kind string, chunk_id string, quote string")
     got = grounding.verify(claims, spark.createDataFrame([(1, "c", content)], "answer int, chunk_id string, content string")).orderBy("pos").collect()
     assert [x.failure for x in got] == [None, "unsupported_quote"]
+
+
+def test_unicode_forms_in_the_jvm(spark):
+    """NFKC and case folding of all assigned characters, and of strings of marks, jamo and ligatures."""
+    import random
+    import unicodedata
+
+    r = random.Random(5)
+    letters = [*"aeßẞﬁＡ①Å가각각\u0301\u0323\u0307\u0327½㌔İſςǰ\u0345ᾳ"]
+    rows = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    rows += ["".join(r.choice(letters) for _ in range(r.randint(0, 12))) for _ in range(20000)]
+    made = spark.createDataFrame([(x,) for x in rows] + [(None,)], "s string").select("s", grounding.nfkc(F.col("s")).alias("n"), grounding.casefold(F.col("s")).alias("c")).collect()
+    assert all(x.n == unicodedata.normalize("NFKC", x.s) and x.c == x.s.casefold() for x in made if x.s is not None)
+    assert [tuple(x) for x in made if x.s is None] == [(None, None, None)]
+
+
+def test_verification_runs_no_python(spark):
+    claims = spark.createDataFrame([(1, 0, "statement", "c", "ＴＨＥ ﬁrst part of the long quoted sentence")], "answer int, pos int, kind string, chunk_id string, quote string")
+    sources = spark.createDataFrame([(1, "c"), (1, "c")], "answer int, chunk_id string")
+    passages = spark.createDataFrame([("c", "Of the first part of the long quoted sentence."), ("d", None)], "chunk_id string, content string")
+    made = grounding.verify(claims, sources, passages)
+    assert [x.failure for x in made.collect()] == [None]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -9,7 +9,7 @@ from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.operators import adapters, chunk, evaluate, grounding, inverted, registry, rerank, search, structure, validate, vector_index
 from docloom.session import table
-from docloom.sources import io, pdf, store
+from docloom.sources import io, pdf, store, stored
 from docloom.streaming import ingest
 
 QUERIES: dict = {}
@@ -978,6 +978,26 @@ def pdf_pages(spark, d: str) -> DataFrame:
     return whole.select(F.col("path").cast("long").alias("doc_id"), F.md5("text").alias("digest"), F.col("pages").cast("long").alias("pages"))
 
 
+@query("""WITH b AS (SELECT item_id, text, 'suite' || (item_id % 3) AS suite FROM benchmark), r AS (SELECT *, row_number() OVER (PARTITION BY suite ORDER BY item_id) - 1 AS row FROM b)
+SELECT suite, row, 'q' || item_id AS id, CASE WHEN item_id % 5 <> 0 THEN md5(text) END AS question, CASE WHEN item_id % 7 <> 0 THEN item_id % 2 = 0 END AS answerable, CASE WHEN item_id % 4 <> 0 THEN item_id % 4 END AS expected,
+  CASE WHEN item_id % 5 = 0 AND item_id % 7 = 0 THEN 'question is missing; answerable is no boolean' WHEN item_id % 5 = 0 THEN 'question is missing' WHEN item_id % 7 = 0 THEN 'answerable is no boolean' END AS error FROM r
+UNION ALL SELECT 'suite9', NULL, NULL, NULL, NULL, NULL, 'unreadable: ParserError'""")
+def yaml_suites(spark, d: str) -> DataFrame:
+    """Question sets written as YAML files, one of them broken, read back with what is wrong with each entry."""
+    path = stored.new_path(spark, "suites")
+    b = table(spark, d, "benchmark")
+    i = F.col("item_id")
+    answerable = F.when(i % 7 == 0, F.lit('"perhaps"')).otherwise((i % 2 == 0).cast("string"))
+    fields = F.to_json(F.struct(F.concat(F.lit("q"), i.cast("string")).alias("id"), F.when(i % 5 != 0, F.col("text")).alias("question"), F.when(i % 4 != 0, F.array_repeat(F.lit("chunk"), (i % 4).cast("int"))).alias("expect_any_of")))
+    entry = F.concat(F.lit("- "), F.regexp_replace(fields, r"\}$", ""), F.lit(', "answerable": '), answerable, F.lit("}"))
+    lines = b.select(F.concat(F.lit("suite"), (i % 3).cast("string")).alias("suite"), i.alias("at"), entry.alias("line"))
+    heads = lines.select("suite").distinct().select("suite", F.lit(-1).cast("long").alias("at"), F.lit("questions:").alias("line"))
+    broken = spark.range(1).select(F.lit("suite9").alias("suite"), F.lit(0).cast("long").alias("at"), F.lit("questions: [{").alias("line"))
+    lines.unionByName(heads).unionByName(broken).repartition("suite").sortWithinPartitions("suite", "at").select("suite", "line").write.partitionBy("suite").text(path)
+    read = io.read_yaml_lists(spark, path, "id string, question string, answerable boolean, expect_any_of array<string>", "questions", ("id", "question", "answerable"))
+    return read.select("suite", F.col("row").cast("long").alias("row"), "id", F.md5("question").alias("question"), "answerable", F.when(F.col("expect_any_of").isNotNull(), F.size("expect_any_of")).cast("long").alias("expected"), "error")
+
+
 @query(E_SQL + _top_sql("t", "true", 30) + " SELECT qid, cid, rk AS pos FROM t WHERE rk <= 5")
 def top_k_unranked(spark, d: str) -> DataFrame:
     """The first five of each query as retrieved, without reranking."""

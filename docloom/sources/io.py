@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -31,6 +33,65 @@ def read_yaml_rows(spark: SparkSession, path: str, schema: str, section: str) ->
     return spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], schema)
 
 
+def read_yaml_lists(spark: SparkSession, path: str, schema: str, section: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """(suite, row, fields of ``schema``..., error): the entries of YAML lists, each file (or folder ``suite=...``) a suite of its own.
+
+    Files are found and read by Spark, one a row, and parsed in tasks. The rows of
+    a file count from 0. An entry that is no mapping, lacks a field of
+    ``required`` (or has it null) or has one of another type is a row with an
+    error and what could be read; a file that can't be parsed, or whose section
+    is no list, is one row without a number. Other fields are left out.
+    """
+    import yaml
+
+    fields = StructType.fromDDL(schema).fields
+    kinds = {"string": (str,), "boolean": (bool,), "int": (int,), "bigint": (int,), "double": (float, int)}
+
+    def fits(kind: str, v) -> bool:
+        if kind.startswith("array<"):
+            return isinstance(v, list) and all(x is None or fits(kind[6:-1], x) for x in v)
+        return isinstance(v, kinds[kind]) and (kind == "boolean" or not isinstance(v, bool))
+
+    unknown = [f.dataType.simpleString() for f in fields if re.sub(r"^(array<)*|>*$", "", f.dataType.simpleString()) not in kinds]
+    if unknown:
+        raise ValueError(f"types that YAML entries can't have here: {', '.join(unknown)}")
+
+    def entry(own) -> tuple[list, str | None]:
+        if not isinstance(own, dict):
+            return [None] * len(fields), "no mapping"
+        values, wrong = [], []
+        for f in fields:
+            v = own.get(f.name)
+            if v is None:
+                wrong += [f"{f.name} is missing"] if f.name in required else []
+            elif not fits(f.dataType.simpleString(), v):
+                wrong.append(f"{f.name} is no {f.dataType.simpleString()}")
+                v = None
+            values.append(float(v) if v is not None and f.dataType.simpleString() == "double" else v)
+        return values, "; ".join(wrong) or None
+
+    def run(batches):
+        for batch in batches:
+            for suite, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                none = [None] * len(fields)
+                try:
+                    whole = yaml.safe_load(content.decode())
+                    listed = (whole or {}).get(section) or []
+                    if not isinstance(listed, list):
+                        raise ValueError(f"{section} is no list")
+                    rows = [(suite, k, *values, error) for k, own in enumerate(listed) for values, error in [entry(own)]]
+                except Exception as wrong:  # noqa: BLE001  a broken file is a row
+                    rows = [(suite, None, *none, f"unreadable: {type(wrong).__name__}")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(arrow.types)], names=arrow.names)
+
+    out = StructType([StructField("suite", StringType()), StructField("row", IntegerType()), *fields, StructField("error", StringType())])
+    arrow = to_arrow_schema(out)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    folder = F.regexp_extract("path", r"/suite=([^/]+)/", 1)
+    return files.select(F.when(folder != "", folder).otherwise(name).alias("suite"), "content").mapInArrow(run, out)
+
+
 def pages_to_text(pages: DataFrame, doc: str, number: str, text: str) -> DataFrame:
     """(doc, text, pages): pages in order, each under its marker."""
     part = F.concat(F.lit("\n--- PAGE "), F.col(number).cast("string"), F.lit(" ---\n\n"), F.coalesce(text, F.lit("")))

@@ -9,7 +9,7 @@ from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.operators import adapters, chunk, evaluate, grounding, inverted, registry, rerank, search, structure, validate, vector_index
 from docloom.session import table
-from docloom.sources import io, pdf, store, stored
+from docloom.sources import io, pdf, snapshots, store, stored
 from docloom.streaming import ingest
 
 QUERIES: dict = {}
@@ -998,6 +998,20 @@ def yaml_suites(spark, d: str) -> DataFrame:
     return read.select("suite", F.col("row").cast("long").alias("row"), "id", F.md5("question").alias("question"), "answerable", F.when(F.col("expect_any_of").isNotNull(), F.size("expect_any_of")).cast("long").alias("expected"), "error")
 
 
+@query("""WITH r AS (SELECT lang, source, doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS size FROM documents),
+u AS (SELECT lang, source, doc_id, -size AS size FROM r WHERE doc_id % 97 = 0 OR source = 'src2')
+SELECT lang, source, doc_id, size FROM r WHERE source IS DISTINCT FROM 'src3' AND NOT EXISTS (SELECT 1 FROM u WHERE u.lang IS NOT DISTINCT FROM r.lang AND u.source IS NOT DISTINCT FROM r.source)
+UNION ALL SELECT * FROM u WHERE source IS DISTINCT FROM 'src3'""")
+def snapshot_upserts(spark, d: str) -> DataFrame:
+    """Documents in a table of versions: written, some groups replaced, one deleted, compacted and read."""
+    rows = table(spark, d, "documents").select("lang", "source", F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    t = snapshots.Table(spark, stored.new_path(spark, "snapshots"), ("lang", "source"), "lang string, source string, doc_id long, size long")
+    t.upsert(rows)
+    t.upsert(rows.where("doc_id % 97 = 0 OR source = 'src2'").withColumn("size", -F.col("size")))
+    t.delete(rows.where("source = 'src3'"))
+    return t.read(t.compact())
+
+
 @query(E_SQL + _top_sql("t", "true", 30) + " SELECT qid, cid, rk AS pos FROM t WHERE rk <= 5")
 def top_k_unranked(spark, d: str) -> DataFrame:
     """The first five of each query as retrieved, without reranking."""

@@ -9,7 +9,7 @@ from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.operators import adapters, chunk, evaluate, grounding, inverted, registry, rerank, search, structure, validate, vector_index
 from docloom.session import table
-from docloom.sources import io, pdf, snapshots, store, stored
+from docloom.sources import io, lookup, pdf, snapshots, store, stored
 from docloom.streaming import ingest
 
 QUERIES: dict = {}
@@ -1012,6 +1012,48 @@ def snapshot_upserts(spark, d: str) -> DataFrame:
     return t.read(t.compact())
 
 
+@query("""WITH x AS (SELECT item_id, item_id % 8 AS k, text FROM benchmark), e AS (SELECT *, CASE k WHEN 4 THEN 'statements is no array' WHEN 5 THEN 'a claim of qualifications is no object' WHEN 6 THEN 'missing verdict,missing' WHEN 7 THEN 'no JSON object' END AS error FROM x)
+SELECT item_id, error, CASE WHEN error IS NULL THEN k <> 2 END AS sufficient, CASE WHEN error IS NULL THEN CASE k WHEN 2 THEN 'True' WHEN 3 THEN 'None' ELSE 'see ' || item_id END END AS missing,
+  CASE WHEN error IS NULL THEN md5(trim(substr(text, 11, 60), ' ' || chr(10))) END AS first_quote, CASE WHEN error IS NULL THEN CASE WHEN k = 3 THEN '12.5' ELSE 'c-' || item_id END END AS first_chunk,
+  CASE WHEN error IS NULL THEN 1 + item_id % 3 END AS statements, CASE WHEN error IS NULL THEN CASE WHEN k = 1 THEN 1 ELSE 0 END END AS qualifications FROM e""")
+def model_answers_parsed(spark, d: str) -> DataFrame:
+    """Answers as a model might give them, made of every item's text: sound ones, other types, claims of the wrong form, and broken JSON."""
+    i, k = F.col("item_id"), F.col("item_id") % 8
+    name = F.concat(F.lit("c-"), i.cast("string"))
+    claim = F.to_json(F.struct(F.substring("text", 1, 40).alias("text"), name.alias("chunk_id"), F.concat(F.lit(" "), F.substring("text", 11, 60), F.lit("\n")).alias("quote")))
+    claim = F.when(k == 3, F.replace(claim, F.concat(F.lit('"'), name, F.lit('"')), F.lit("12.5"))).otherwise(claim)
+    many = F.concat(F.lit("["), F.array_join(F.array_repeat(claim, (i % 3 + 1).cast("int")), ","), F.lit("]"))
+    parts = F.concat(
+        F.lit('{"question_type": "polar", "sufficient": '), F.when(k == 1, '"yes"').when(k == 2, "0").otherwise("true"), F.lit(', "statements": '), F.when(k == 4, '"none"').otherwise(many),
+        F.lit(', "qualifications": '), F.when(k == 1, '[{"text": "but"}]').when(k == 5, '["x"]').otherwise("[]"),
+        F.when(k == 6, "").otherwise(F.concat(F.lit(', "verdict": "yes", "missing": '), F.when(k == 2, "true").when(k == 3, "null").otherwise(F.concat(F.lit('" see '), i.cast("string"), F.lit(' "'))))), F.when(k == 7, "").otherwise("}"))
+    made = validate.answers_from_json(table(spark, d, "benchmark").select("item_id", parts.alias("raw")), "raw")
+    return made.select("item_id", "error", "sufficient", "missing", F.md5(F.col("statements")[0]["quote"]).alias("first_quote"), F.col("statements")[0]["chunk_id"].alias("first_chunk"), F.when(F.col("error").isNull(), F.size("statements")).cast("long").alias("statements"), F.when(F.col("error").isNull(), F.size("qualifications")).cast("long").alias("qualifications"))
+
+
+@query(CHUNK_SQL + """ SELECT c.chunk_id, c.document_id, CASE WHEN doc_id % 2 = 0 THEN 'act' ELSE 'constitution' END AS document_type, source AS title, 'here' AS jurisdiction, lang AS language, '2024' AS version, '2020-01-01' AS effective_from,
+  CASE WHEN doc_id % 3 = 0 THEN '2023-12-31' END AS effective_to, doc_id % 3 <> 0 AS in_force, '2024-05-01' AS as_at, 'gazette' AS source_name, 'https://example.org/' || doc_id AS source_url, 'section' AS unit_type, CAST(doc_id AS VARCHAR) AS unit_number, 'Title ' || doc_id AS unit_title,
+  'Part 1/Section ' || doc_id AS path, 'Part 1 — Section ' || doc_id AS citation, part, part_count, md5(content) AS content FROM c JOIN documents ON document_id = 'doc-' || doc_id""")
+def chunk_rows(spark, d: str) -> DataFrame:
+    """Chunks with all 21 fields of their document, unit and place."""
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").withColumns({"document_id": F.concat(F.lit("doc-"), i.cast("string")), "version": F.lit("2024")})
+    registry = docs.select("document_id", "version", F.when(i % 2 == 0, "act").otherwise("constitution").alias("document_type"), F.col("source").alias("title"), F.lit("here").alias("jurisdiction"), F.col("lang").alias("language"), F.lit("2020-01-01").alias("effective_from"), F.when(i % 3 == 0, "2023-12-31").alias("effective_to"), (i % 3 != 0).alias("in_force"), F.lit("gazette").alias("source_name"), F.concat(F.lit("https://example.org/"), i.cast("string")).alias("source_url"))
+    units = docs.select("document_id", "version", F.lit("section").alias("unit_type"), i.cast("string").alias("unit_number"), F.concat(F.lit("Title "), i.cast("string")).alias("unit_title"), F.array(F.lit("Part 1"), F.concat(F.lit("Section "), i.cast("string"))).alias("path"), "text")
+    rows = chunk.chunk_rows(units, registry, F.lit("2024-05-01"))
+    return rows.withColumns({"path": F.array_join("path", "/"), "part": F.col("part").cast("long"), "part_count": F.col("part_count").cast("long"), "content": F.md5("content")})
+
+
+@query("""WITH a AS (SELECT DISTINCT 'd-' || CAST(item_id * 37 AS VARCHAR) AS chunk_id FROM benchmark) SELECT 'd-' || doc_id AS chunk_id, CAST(length(coalesce(text, '')) AS BIGINT) AS size, (SELECT count(*) FROM documents) AS stored FROM documents WHERE 'd-' || doc_id IN (SELECT chunk_id FROM a)""")
+def chunk_lookup(spark, d: str) -> DataFrame:
+    """Passages that cases cite, looked up in a table sorted by id; the table's rows are counted from its list of files."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("chunk_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    path = stored.new_path(spark, "chunks")
+    lookup.write_sorted(docs, path, "chunk_id")
+    asked = table(spark, d, "benchmark").select(F.concat(F.lit("d-"), (F.col("item_id") * 37).cast("string")).alias("c")).distinct().limit(lookup.MOST + 1).collect()
+    return lookup.look_up(spark, path, "chunk_id", [r["c"] for r in asked]).withColumn("stored", F.lit(lookup.count(spark, path)))
+
+
 @query(E_SQL + _top_sql("t", "true", 30) + " SELECT qid, cid, rk AS pos FROM t WHERE rk <= 5")
 def top_k_unranked(spark, d: str) -> DataFrame:
     """The first five of each query as retrieved, without reranking."""

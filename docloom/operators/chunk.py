@@ -35,6 +35,27 @@ def build_chunks(units: DataFrame, limit: int = T.MAX_CHUNK) -> DataFrame:
     return made.withColumns({"point_id": T.point_id(F.col("chunk_id")), "citation": T.citation(F.col("path"))})
 
 
+# The columns of a stored chunk, in order, and those that come from its document.
+FIELDS = [
+    "chunk_id", "document_id", "document_type", "title", "jurisdiction", "language", "version", "effective_from", "effective_to", "in_force", "as_at",
+    "source_name", "source_url", "unit_type", "unit_number", "unit_title", "path", "citation", "part", "part_count", "content",
+]
+HEADER = ["document_type", "title", "jurisdiction", "language", "effective_from", "effective_to", "in_force", "source_name", "source_url"]
+
+
+def chunk_rows(units: DataFrame, registry: DataFrame, as_at: Column, limit: int = T.MAX_CHUNK) -> DataFrame:
+    """The stored row of each chunk: all of ``FIELDS``.
+
+    ``units`` has document_id, version, unit_type, unit_number, unit_title, path
+    and text; ``registry`` a row of ``HEADER`` for each document_id and version.
+    ``as_at`` is the day of ingestion. Units of a document that the registry
+    lacks keep null fields, which the checks of chunks tell.
+    """
+    chunks = build_chunks(units.select("document_id", "version", "unit_type", "unit_number", "unit_title", "path", "text"), limit)
+    header = registry.select("document_id", "version", *HEADER)
+    return chunks.join(header, ["document_id", "version"], "left").withColumn("as_at", as_at).select(*FIELDS)
+
+
 def chunk_stats(chunks: DataFrame, by: str = "document_id") -> DataFrame:
     """Chunks, split chunks and the longest content of each group."""
     return chunks.groupBy(by).agg(F.count("*").alias("chunks"), F.count_if(F.col("part_count") > 1).alias("split_chunks"), F.max(F.length("content")).alias("longest"))

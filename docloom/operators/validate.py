@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
+
 # Headings on lines of their own.
 SECTION_LINE = r"(?dm)^([0-9]{1,3})\.[ \t]*$"
 LETTERED_LINE = r"(?dm)^([0-9]{1,3}[A-Z]{1,2})\.[ \t]*$"
@@ -95,6 +97,51 @@ def parsed_answers(rows: DataFrame, raw: str, required: list[str]) -> DataFrame:
     return rows.withColumn("error", F.when(keys.isNull(), "no JSON object").when(F.size(lacking) > 0, F.concat(F.lit("missing "), F.array_join(lacking, ","))))
 
 
+# The keys of a model's answer, and those of its claims.
+ANSWER_KEYS = ["sufficient", "question_type", "verdict", "statements", "qualifications", "missing"]
+CLAIM_KEYS = ["text", "chunk_id", "quote"]
+
+
+def _told(value: Column, as_string: Column) -> Column:
+    """A JSON value as text without white space at its ends: strings as they are, others as they are written (True, False and None for their names)."""
+    written = F.to_json(value)
+    plain = F.when(written.startswith('"'), as_string).when(written == "true", "True").when(written == "false", "False").when(F.is_variant_null(value), "None").otherwise(written)
+    return F.when(value.isNull(), "").otherwise(T.strip(plain))
+
+
+def _truth(value: Column) -> Column:
+    """Whether a JSON value counts as true: not false, null, zero or empty."""
+    written = F.to_json(value)
+    return ~(F.is_variant_null(value) | written.isin("false", '""', "[]", "{}") | written.rlike(r"^-?0(\.0+)?([eE][+-]?[0-9]+)?$"))
+
+
+def answers_from_json(rows: DataFrame, raw: str) -> DataFrame:
+    """``rows`` with the fields of a model's answer in column ``raw`` and ``error``.
+
+    statements and qualifications are arrays of (text, chunk_id, quote), each
+    coerced to text, absent ones empty; ``sufficient`` is what the value counts
+    as. An answer that is no JSON object, lacks keys, or has claims that are no
+    array of objects has an error and null fields.
+    """
+    rows = rows.withColumn("v_", F.try_parse_json(F.col(raw)))
+    part = lambda name, kind="variant": F.try_variant_get("v_", f"$.{name}", kind)
+    keys = F.json_object_keys(F.col(raw))
+    lacking = F.array_except(F.array(*[F.lit(k) for k in ANSWER_KEYS]), keys)
+    claim = lambda x: F.struct(*[_told(F.try_variant_get(x, f"$.{k}", "variant"), F.try_variant_get(x, f"$.{k}", "string")).alias(k) for k in CLAIM_KEYS])
+    error = F.when(F.col("v_").isNull() | keys.isNull(), "no JSON object").when(F.size(lacking) > 0, F.concat(F.lit("missing "), F.array_join(lacking, ",")))
+    for name in ("statements", "qualifications"):
+        items = part(name, "array<variant>")
+        error = error.when(items.isNull(), f"{name} is no array").when(F.exists(items, lambda x: ~F.coalesce(F.to_json(x), F.lit("null")).startswith("{")), f"a claim of {name} is no object")
+    rows = rows.withColumn("error", error)
+    sound = lambda c: F.when(F.col("error").isNull(), c)
+    made = {
+        "sufficient": sound(_truth(part("sufficient"))), "question_type": sound(_told(part("question_type"), part("question_type", "string"))), "verdict": sound(_told(part("verdict"), part("verdict", "string"))),
+        "statements": sound(F.transform(part("statements", "array<variant>"), claim)), "qualifications": sound(F.transform(part("qualifications", "array<variant>"), claim)),
+        "missing": sound(_told(part("missing"), part("missing", "string"))),
+    }
+    return rows.withColumns(made).drop("v_")
+
+
 def known_only(rows: DataFrame, known: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows with an id that ``known`` has, ids of ``rows`` that it lacks)."""
     ids = known.select(F.col(id_col).alias("known_")).distinct()

@@ -234,8 +234,8 @@ def label_suites(suites: dict[str, DataFrame]) -> DataFrame:
 
 
 def tag_suites(results: DataFrame, questions: DataFrame, default: str = "statutory") -> DataFrame:
-    """``results(id, ...)`` with the suite of their question; those of none are ``default``'s."""
-    return results.join(questions.select("id", "suite").dropDuplicates(["id"]), "id", "left").withColumn("suite", F.coalesce("suite", F.lit(default)))
+    """``results(id, ...)`` with the suite of their question (of several, the first by name); those of none are ``default``'s."""
+    return results.join(questions.groupBy("id").agg(F.min("suite").alias("suite")), "id", "left").withColumn("suite", F.coalesce("suite", F.lit(default)))
 
 
 def of_suite(results: DataFrame, suite: str) -> DataFrame:

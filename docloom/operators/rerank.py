@@ -35,6 +35,42 @@ def score_pairs(candidates: DataFrame, questions: DataFrame, passages: DataFrame
     return pairs.select("qid", "cid", "pos", scorer(F.coalesce("question", F.lit("")), F.coalesce("passage", F.lit(""))).alias("score"))
 
 
+def score_banded(candidates: DataFrame, questions: DataFrame, passages: DataFrame, model: Callable[[list[str], list[str]], list[float]], batch: int = 64) -> DataFrame:
+    """``candidates(qid, cid, pos)`` with score, size and width: pairs are scored in batches of like length.
+
+    A model pads each pair of a batch to the longest. Pairs are dealt and sorted
+    by their number of terms (``size``), so that a batch's ``width`` is little
+    more; scores go back by key, whatever the batch. Null texts are empty.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    pairs = candidates.select("qid", "cid", "pos").join(questions.select("qid", text("question").alias("question")), "qid").join(passages.select("cid", text("passage").alias("passage")), "cid")
+    sized = pairs.withColumn("size", F.size(terms(F.col("question"))) + F.size(terms(F.col("passage"))))
+
+    def run(parts):
+        held = None
+
+        def scored(rows: pd.DataFrame) -> pd.DataFrame:
+            score = pd.Series(model(rows["question"].tolist(), rows["passage"].tolist()), index=rows.index, dtype=float)
+            return rows.assign(score=score, width=rows["size"].max())[["qid", "cid", "pos", "score", "size", "width"]]
+
+        for part in parts:
+            held = part if held is None else pd.concat([held, part])
+            while len(held) >= batch:
+                yield scored(held.iloc[:batch])
+                held = held.iloc[batch:]
+        if held is not None and len(held):
+            yield scored(held)
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    schema = f"qid {kinds['qid']}, cid {kinds['cid']}, pos {kinds['pos']}, score double, size int, width int"
+    return sized.repartitionByRange("size", "qid", "cid").sortWithinPartitions("size").mapInPandas(run, schema)
+
+
+def padding(scored: DataFrame) -> DataFrame:
+    """(terms, padded): terms of all pairs of :func:`score_banded`, and places that their batches take."""
+    return scored.agg(F.sum(F.col("size").cast("long")).alias("terms"), F.sum(F.col("width").cast("long")).alias("padded"))
+
+
 def tail_cut(scored: DataFrame, ratio: float = TAIL) -> DataFrame:
     """Rows with at least ``ratio`` of their query's best score."""
     best = F.max("score").over(Window.partitionBy("qid"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import vectors as V
-from docloom.operators import adapters, chunk, evaluate, grounding, inverted, registry, rerank, search, structure, validate, vector_index
+from docloom.operators import adapters, chunk, encoders, evaluate, grounding, inverted, registry, rerank, search, structure, validate, vector_index
 from docloom.session import table
 from docloom.sources import io, lookup, pdf, snapshots, store, stored
 from docloom.streaming import ingest
@@ -400,6 +400,29 @@ def rerank_pairs(spark, d: str) -> DataFrame:
     return rerank.score_pairs(_sparse(spark, d, search.SPARSE_K).select("qid", "cid", F.col("rk").alias("pos")), questions, passages)
 
 
+def _head(spark, d: str) -> encoders.Head:
+    """A lexical head fitted on items of the benchmark: their first half belongs to the whole, and not to the next item."""
+    b = table(spark, d, "benchmark").select("item_id", "text", F.substring("text", 1, 120).alias("query"))
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    own = b.select("query", F.col("text").alias("passage"), F.lit(1).alias("label"))
+    return encoders.fit_head(own.unionByName(b.join(other, "item_id").select("query", F.col("next").alias("passage"), F.lit(0).alias("label"))))
+
+
+@query()
+def lexical_head_index(spark, d: str) -> DataFrame:
+    """Terms of all documents with the weights of a fitted lexical head: how many documents have one, and their sum in millionths."""
+    p = encoders.head_postings(table(spark, d, "documents"), "doc_id", _head(spark, d))
+    return p.groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.round(F.col("weight") * 1000000).cast("long")).alias("micro_weight"))
+
+
+@query()
+def encoded_chunks(spark, d: str) -> DataFrame:
+    """Every chunk with its vector under its document's title and heading, by the encoder of subwords."""
+    chunks = chunk.build_chunks(_units(spark, d))
+    made = adapters.index_chunks(chunks, encoders.dense_encoder, F.col("title"), F.element_at("path", -1), F.col("citation"))
+    return made.select("chunk_id", "vector")
+
+
 def _share(questions: list[str], passages: list[str]) -> list[float]:
     """A model in place of a real one: the share of a question's terms that a passage holds."""
     words = lambda t: set(re.findall("[a-z0-9]+", t.lower()))

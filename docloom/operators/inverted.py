@@ -18,12 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.search import best, terms, top_k
+from docloom.operators.search import best, top_k
 from docloom.sources.stored import new_path, written
 
 #: Documents and postings of a range (one document at least), and postings of the queries that are sent out at once.
 RANGE_DOCS, RANGE_POSTINGS = 16, 1 << 16
 QUERY_POSTINGS = 1 << 18
+#: Bytes of text that are indexed at once: bounds a task's memory.
+SLICE = 4 << 20
 #: Terms of a document, the most frequent ones, that its place among the others goes by.
 ALIKE = 24
 #: Ranges that each query scores first.
@@ -34,6 +36,15 @@ SLACK = 5e-7 + 1e-9
 RANGE = "range long, docs int, terms array<string>, tops array<double>, cids array<long>, counts array<int>, numbers array<int>, weights array<double>"
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``SLICE`` bytes in a text column, one row at least."""
+    ends, a = pc.binary_length(batch.column(column)).to_numpy().astype(np.int64).cumsum(), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _alike(doc: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` documents of a batch in an order that puts those with the same frequent terms together, so that a range has few terms and tight bounds."""
     often = np.bincount(code)
@@ -55,13 +66,16 @@ def build(docs: DataFrame, path: str | None = None) -> str:
     texts have no terms; ids are unique and not null. Ranges are numbered by the
     task that wrote them.
     """
-    split = docs.where("cid IS NOT NULL").select(F.col("cid").cast("long").alias("cid"), terms(F.coalesce("text", F.lit(""))).alias("t"))
+    lowered = docs.where("cid IS NOT NULL").select(F.col("cid").cast("long").alias("cid"), F.lower(F.coalesce("text", F.lit(""))).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            word = batch.column(1).flatten().dictionary_encode()
-            size = pc.list_value_length(batch.column(1)).to_numpy()
+        for batch in (own for whole in batches for own in _slices(whole, 1)):
+            words = pc.ascii_split_whitespace(pc.replace_substring_regex(batch.column(1), "[^a-z0-9]+", " "))
+            flat = words.flatten()
+            some = pc.not_equal(flat, "")
+            size = np.bincount(np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())[some.to_numpy(zero_copy_only=False)], minlength=len(words))
+            word = flat.filter(some).dictionary_encode()
             ends = size.cumsum()
             doc = np.repeat(np.arange(len(size)), size)
             code = word.indices.to_numpy().astype(np.int64)
@@ -88,7 +102,7 @@ def build(docs: DataFrame, path: str | None = None) -> str:
                 number, a = number + 1, b
 
     path = path or new_path(docs.sparkSession, "inverted")
-    split.mapInArrow(run, RANGE).write.parquet(path)
+    lowered.mapInArrow(run, RANGE).write.parquet(path)
     return path
 
 

@@ -193,8 +193,8 @@ def normalise_lines(spark, d: str) -> DataFrame:
 
 @query(r"""
 SELECT doc_id, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' ELSE concat_ws(',',
-  CASE WHEN regexp_matches(text, '--- PAGE [0-9]+ ---') THEN 'page markers' END, CASE WHEN regexp_matches(text, '(?m)^Contents$') THEN 'table of contents' END,
-  CASE WHEN contains(text, 'Legislation as at') THEN 'publisher blurb' END, CASE WHEN regexp_matches(text, '(?m)\.{5,}\s+[0-9]+\s*$') THEN 'TOC page leaders' END,
+  CASE WHEN regexp_matches(text, '--- PAGE [0-9]+ ---') THEN 'page markers' END, CASE WHEN regexp_matches(text, '(?m)^Contents$') THEN 'heading of the contents' END,
+  CASE WHEN contains(text, 'Legislation as at') THEN 'imprint of the publisher' END, CASE WHEN regexp_matches(text, '(?m)\.{5,}\s+[0-9]+\s*$') THEN 'dots before page numbers' END,
   CASE WHEN contains(text, 'ﬁ') THEN 'fi ligature' END, CASE WHEN contains(text, 'ﬂ') THEN 'fl ligature' END, CASE WHEN contains(text, 'ﬀ') THEN 'ff ligature' END,
   CASE WHEN contains(text, 'ﬃ') THEN 'ffi ligature' END, CASE WHEN contains(text, 'ﬄ') THEN 'ffl ligature' END,
   CASE WHEN regexp_matches(text, '[\x00-\x08\x0B-\x1F]') THEN 'control characters' END, CASE WHEN regexp_matches(text, '\n\s*\n\s*\n') THEN 'blank lines' END) END AS errors

@@ -11,9 +11,9 @@ from docloom.functions import text as T
 REQUIRED = ["chunk_id", "document_id", "document_type", "title", "jurisdiction", "language", "version", "effective_from", "effective_to", "in_force", "as_at", "source_name", "unit_type", "path", "content"]
 FORBIDDEN = {
     "page markers": r"--- PAGE [0-9]+ ---",
-    "table of contents": r"(?dm)^Contents$",
-    "publisher blurb": r"Legislation as at",
-    "TOC page leaders": r"(?dm)\.{5,}\s+[0-9]+\s*$",
+    "heading of the contents": r"(?dm)^Contents$",
+    "imprint of the publisher": r"Legislation as at",
+    "dots before page numbers": r"(?dm)\.{5,}\s+[0-9]+\s*$",
     "fi ligature": "ﬁ",
     "fl ligature": "ﬂ",
     "ff ligature": "ﬀ",

@@ -262,15 +262,20 @@ def replace_baselines(stored: DataFrame, runs: DataFrame, by: tuple[str, ...] =
     return stored.join(new.select(*by), list(by), "left_anti").select(*stored.columns).unionByName(new)
 
 
+#: Classes that are broadcast, at most.
+CLASSES = 1024
+
+
 def classify_by_centroid(vectors: DataFrame, centroids: DataFrame, default: str, margin: float = 0.05) -> DataFrame:
     """(id, intent, margin_): the nearest class unless ``default`` comes within ``margin``; ``centroids(intent, c)`` are a few unit vectors.
 
     The centroid table has a row a class, so it is gathered into one row and
-    broadcast. Ties go to the class first by name.
+    broadcast; more than ``CLASSES`` rows are an error. Ties go to the class first by name.
     """
     from docloom.functions.vectors import dot, l2_normalise, norm
 
-    gathered = centroids.agg(F.array_sort(F.collect_list(F.struct("intent", "c"))).alias("all"))
+    few = centroids.limit(CLASSES + 1).agg(F.array_sort(F.collect_list(F.struct("intent", "c"))).alias("all"))
+    gathered = few.select(F.when(F.size("all") <= CLASSES, F.col("all")).otherwise(F.raise_error(F.lit(f"more than {CLASSES} classes"))).alias("all"))
     # The norm is a column of its own: inside the lambda it would be summed anew for each component.
     scored = vectors.withColumn("n_", norm(F.col("v"))).join(F.broadcast(gathered)).withColumn("u", l2_normalise(F.col("v"), F.col("n_")))
     scored = scored.withColumn("s", F.transform("all", lambda x: F.struct(F.round(dot(F.col("u"), x["c"]), 6).alias("sim"), x["intent"].alias("intent"))))

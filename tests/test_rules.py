@@ -173,3 +173,12 @@ def test_verification_runs_no_python(spark):
     assert [x.failure for x in made.collect()] == [None]
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_more_classes_than_are_broadcast_are_an_error(spark, monkeypatch):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id int, v array<double>")
+    centroids = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.6, 0.8])], "intent string, c array<double>")
+    assert evaluate.classify_by_centroid(vectors, centroids, "b").first().intent == "a"
+    monkeypatch.setattr(evaluate, "CLASSES", 2)
+    with pytest.raises(Exception, match="more than 2 classes"):
+        evaluate.classify_by_centroid(vectors, centroids, "b").collect()

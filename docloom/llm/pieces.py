@@ -359,6 +359,21 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str |
     return add_columns(df, ids, f"`{text}` string", make, keep, lambda: Vocabulary(path))
 
 
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", model: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with what :func:`encode` gives of each text and :func:`decode` of that, both by one worker a task.
+
+    Nulls, empty and repeated texts, empty tables and columns of these names are as there.
+    """
+    path = model or default_model()
+
+    def make(values, encoder):
+        flat, count = encoder(values.fill_null("").to_pylist())
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], count.cumsum()]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+        return [lists, pa.array(decode_flat(flat, count, encoder.v), pa.string())]
+
+    return add_columns(df.withColumn(text, text_of(text)), text, f"`{ids}` array<int>, `{decoded}` string", make, keep, lambda: Encoder(path))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

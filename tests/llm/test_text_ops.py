@@ -38,6 +38,8 @@ def test_pieces_equal_the_library(spark, edge):
     assert pieces.decode_flat(np.array(sum(odd, [])), np.array([len(x) for x in odd]), enc.v) == [lib.decode(x) for x in odd]
     got = pieces.decode(pieces.encode(edge)).collect()
     assert sorted((str(x.doc_id), x.ids, x.decoded) for x in got) == sorted((str(i), lib.encode(t or ""), t or "") for i, t in EDGE)
+    assert sorted(map(str, pieces.round_trip(edge).select("doc_id", "ids", "decoded").collect())) == sorted(map(str, pieces.decode(pieces.encode(edge)).select("doc_id", "ids", "decoded").collect()))
+    assert pieces.round_trip(edge.limit(0)).columns == [c for c in edge.columns if c != "ids"] + ["ids", "decoded"]
     assert got[0].found == "s" and pieces.encode(edge.limit(0)).count() == 0
 
 

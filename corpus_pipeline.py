@@ -44,8 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     holds U+2581, which stands for a space).
     """
     held = ["doc_id", *[c for c in ("lang", "source") if c in docs.columns]]
-    coded = pieces.encode(docs.select(*held, F.sha2(F.coalesce("text", F.lit("")), 256).alias("was"), "text"), keep=[*held, "was"])
-    back = pieces.decode(coded)
+    back = pieces.round_trip(docs.select(*held, F.sha2(F.coalesce("text", F.lit("")), 256).alias("was"), "text"), keep=[*held, "was"])
     return back.select(*held, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("was")).alias("exact"))
 
 

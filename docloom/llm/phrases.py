@@ -1,6 +1,6 @@
 """Phrase collocations by double-array tries of candidates.
 
-Words are counted first. A pair of words that are frequent, and a triple of pairs
+Texts are first written as numbers of words, and words are counted. A pair of words that are frequent, and a triple of pairs
 that are, is a candidate; small bitmaps of what is frequent, which let through too
 much but never too little, keep the others from the shuffle. Candidates are dealt
 into shards. Each shard's trie is broadcast, and a task moves the states of all
@@ -10,7 +10,9 @@ counted by shard and summed.
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +26,16 @@ from docloom.llm.common import drop_table, materialize, text_of
 
 #: Least count of a candidate, candidates a language returns, and the share of its count (percent) at which a longer one replaces it.
 LEAST, TOP, SHARE = 10, 2000, 50
-#: Candidates of one trie: bounds what is broadcast at once (about 100 bytes each).
-SHARD = 1 << 20
+#: Candidates of one trie: bounds what is broadcast at once (about 60 bytes each).
+SHARD = 1 << 19
 #: Bits of a bitmap of frequent words or pairs (a power of two); more of them than bits only let more candidates through.
 BITS = 1 << 26
 #: Bytes of text that a task counts at once, and words that it remembers.
-BLOCK, MEMORY = 16 << 20, 1 << 20
+BLOCK, MEMORY = 6 << 20, 1 << 18
+#: Parts of the pairs (a power of two) that are shuffled one after another, which bounds the disk that they take.
+PARTS = 2
+#: Rows of a batch of candidates that a task hands on.
+ROWS = 1 << 16
 #: Seeds of the hash that stands for a word, tried in turn until all words of the corpus differ.
 SEEDS = 8
 
@@ -44,23 +50,19 @@ def word_hash(word: bytes, seed: int) -> int:
 
 
 class Words(dict):
-    """Numbers of words in the order they are met; ``hash`` has the words' hashes. Number 0 is the edge of a piece."""
+    """Numbers of words in the order they are met; :meth:`hash` has the words' hashes. Number 0 is the edge of a piece."""
 
     def __init__(self, seed: int):
         super().__init__({EDGE: 0})
-        self.seed, self.word, self._hash, self._known = seed, [EDGE], [0], np.zeros(1, np.int64)
+        self.seed, self._hash = seed, array("q", [0])
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self._hash)
-        self.word.append(word)
         self._hash.append(word_hash(word, self.seed))
         return n
 
-    @property
     def hash(self) -> np.ndarray:
-        if len(self._known) < len(self._hash):
-            self._known = np.concatenate([self._known, np.array(self._hash[len(self._known) :], np.int64)])
-        return self._known
+        return np.frombuffer(self._hash.tobytes(), np.int64)
 
 
 def flat_words(texts: pa.Array, words: Words) -> np.ndarray:
@@ -69,30 +71,51 @@ def flat_words(texts: pa.Array, words: Words) -> np.ndarray:
     for t in texts:
         split += STOPS.sub(b" \xff ", t.as_buffer().to_pybytes().lower()).split()
         split.append(EDGE)
-    return np.fromiter(map(words.__getitem__, split), np.int64, len(split))
+    return np.fromiter(map(words.__getitem__, split), np.int32, len(split))
 
 
-def _by_lang(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[list[str], list[np.ndarray], Words]]:
-    """(languages, numbers of the words of each, words) of blocks of (lang, text); words are forgotten in time."""
-    words, held, size = Words(seed), {}, 0
+def encoded(texts: DataFrame, seed: int) -> DataFrame:
+    """(lang, words, hashes, flat): blocks of texts of one language, as numbers of the block's words; number 0 is the edge of a piece."""
 
-    def done():
-        return list(held), [np.concatenate(x) for x in held.values()], words
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = Words(seed), {}, 0
 
+        def done():
+            h, met = words.hash(), np.array(list(words), object)
+            for lang, parts in held.items():
+                flat = np.concatenate(parts)
+                seen = np.zeros(len(h), bool)
+                seen[flat] = True
+                used = np.flatnonzero(seen)
+                number = np.zeros(len(h), np.uint16 if len(used) <= 1 << 16 else np.int32)
+                number[used] = np.arange(len(used))
+                own = pa.array([b"", *met[used[1:]]], pa.binary()).cast(pa.string())
+                yield _batch([[lang], pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), [h[used].tobytes()], [number[flat].tobytes()]], [pa.string(), None, pa.binary(), pa.binary()], ["lang", "words", "hashes", "flat"])
+
+        for batch in batches:
+            for own in blocks(batch, 1):
+                langs = own.column(0).to_pylist()
+                edges = np.flatnonzero([True, *(a != b for a, b in zip(langs, langs[1:], strict=False))]).tolist() + [len(langs)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    held.setdefault(langs[a], []).append(flat_words(own.column(1)[a:b], words))
+                size += own.column(1).nbytes
+                if size >= BLOCK or len(words) > MEMORY:
+                    yield from done()
+                    held, size = {}, 0
+                    if len(words) > MEMORY:
+                        words = Words(seed)
+        if held:
+            yield from done()
+
+    return materialize(texts.mapInArrow(run, "lang string, words array<string>, hashes binary, flat binary"), "encoded")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, hashes of the words, numbers) of the blocks of :func:`encoded`."""
     for batch in batches:
-        for own in blocks(batch, 1):
-            langs = own.column(0).to_pylist()
-            edges = np.flatnonzero([True, *(a != b for a, b in zip(langs, langs[1:], strict=False))]).tolist() + [len(langs)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                held.setdefault(langs[a], []).append(flat_words(own.column(1)[a:b], words))
-            size += own.column(1).nbytes
-            if size >= BLOCK or len(words) > MEMORY:
-                yield done()
-                held, size = {}, 0
-                if len(words) > MEMORY:
-                    words = Words(seed)
-    if held:
-        yield done()
+        for lang, hashes, flat in zip(*(batch.column(c) for c in ("lang", "hashes", "flat")), strict=True):
+            h = np.frombuffer(hashes.as_buffer(), np.int64)
+            yield lang.as_py(), h, np.frombuffer(flat.as_buffer(), np.uint16 if len(h) <= 1 << 16 else np.int32).astype(np.int32)
 
 
 def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -100,31 +123,30 @@ def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def _batch(columns: list, kinds: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def count_words(texts: DataFrame, seed: int) -> DataFrame:
+def count_words(coded: DataFrame) -> DataFrame:
     """(lang, h, word, f): occurrences of every word, with its hash."""
 
     def run(batches):
-        for langs, flats, words in _by_lang(batches, seed):
-            for lang, flat in zip(langs, flats, strict=True):
-                n = np.bincount(flat, minlength=1)
-                n[0] = 0
-                at = np.flatnonzero(n)
-                if len(at):
-                    own = pa.array([words.word[k] for k in at.tolist()], pa.binary()).cast(pa.string())
-                    yield _batch([[lang] * len(at), words.hash[at], own, n[at]], [pa.string(), pa.int64(), pa.string(), pa.int64()], ["lang", "h", "word", "f"])
+        for batch in batches:
+            for k, (lang, h, flat) in enumerate(_blocks([batch])):
+                n = np.bincount(flat, minlength=len(h))[1:]
+                if len(n):
+                    yield _batch([pa.repeat(lang, len(n)), h[1:], batch.column("words")[k].values[1:], n], [pa.string(), pa.int64(), pa.string(), pa.int64()], ["lang", "h", "word", "f"])
 
-    return texts.mapInArrow(run, "lang string, h long, word string, f long").groupBy("lang", "h", "word").agg(F.sum("f").alias("f"))
+    return coded.mapInArrow(run, "lang string, h long, word string, f long").groupBy("lang", "h", "word").agg(F.sum("f").alias("f"))
 
 
-def words_counted(texts: DataFrame) -> tuple[DataFrame, int]:
-    """(written table of :func:`count_words`, seed): with the first seed by which no two words of the corpus have one hash."""
+def words_counted(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(:func:`encoded`'s table, written table of :func:`count_words`, seed): with the first seed by which no two words of the corpus have one hash."""
     for seed in range(SEEDS):
-        counted = materialize(count_words(texts, seed), "words")
+        coded = encoded(texts, seed)
+        counted = materialize(count_words(coded), "words")
         if not counted.groupBy("h").agg(F.min("word").alias("a"), F.max("word").alias("b")).where("a <> b").limit(1).count():
-            return counted, seed
+            return coded, counted, seed
+        drop_table(coded)
         drop_table(counted)
     raise RuntimeError("words share hashes under every seed")
 
@@ -167,15 +189,13 @@ def lang_hash(lang: str, seed: int) -> int:
     return word_hash(b"\xff" + lang.encode(), seed)
 
 
-def _pairs(flat: np.ndarray, words: Words, lang: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(flat: np.ndarray, h: np.ndarray, lang: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, numbers) of the pairs of frequent words in one piece: first word times 2^32 and second word."""
-    used = np.unique(flat)
-    good = np.zeros(len(words), bool)
-    good[used] = has(frequent, np.full(len(used), lang), words.hash[used])
+    good = has(frequent, np.full(len(h), lang), h)
     good[0] = False
     ok = good[flat]
     at = np.flatnonzero(ok[:-1] & ok[1:])
-    return at, flat[at] << 32 | flat[at + 1]
+    return at, flat[at].astype(np.int64) << 32 | flat[at + 1]
 
 
 def _capped(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,53 +203,68 @@ def _capped(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.minimum(n, least)
 
 
-def pair_candidates(texts: DataFrame, frequent, seed: int, least: int) -> DataFrame:
-    """(lang, h1, h2): pairs of frequent words that occur ``least`` times, from counts that tasks cap there."""
+def pair_candidates(coded: DataFrame, frequent, seed: int, least: int) -> DataFrame:
+    """(lang, h1, h2): pairs of frequent words that occur ``least`` times, from counts that tasks cap there; each part a written table."""
+    made = [materialize(_pair_part(coded, frequent, seed, least, part), "pairs") for part in range(PARTS)]
+    out = made[0]
+    for other in made[1:]:
+        out = out.unionByName(other)
+    return out
 
-    def run(batches):
-        for langs, flats, words in _by_lang(batches, seed):
-            for lang, flat in zip(langs, flats, strict=True):
-                key, n = _capped(_pairs(flat, words, lang_hash(lang, seed), frequent.value)[1], least)
-                if len(key):
-                    yield _batch([[lang] * len(key), words.hash[key >> 32], words.hash[key & 0xFFFFFFFF], n], [pa.string(), *[pa.int64()] * 3], ["lang", "h1", "h2", "n"])
 
-    found = texts.mapInArrow(run, "lang string, h1 long, h2 long, n long")
+def _pair_part(coded: DataFrame, frequent, seed: int, least: int, part: int) -> DataFrame:
+    parts = PARTS
+
+    def run(batches):
+        for lang, h, flat in _blocks(batches):
+            key, n = _capped(_pairs(flat, h, lang_hash(lang, seed), frequent.value)[1], least)
+            mine = mixed_bits(h[key >> 32], h[key & 0xFFFFFFFF], bits=parts) == part
+            key, n = key[mine], n[mine]
+            for a in range(0, len(key), ROWS):
+                own = key[a : a + ROWS]
+                yield _batch([pa.repeat(lang, len(own)), h[own >> 32], h[own & 0xFFFFFFFF], n[a : a + ROWS]], [pa.string(), *[pa.int64()] * 3], ["lang", "h1", "h2", "n"])
+
+    found = coded.drop("words").mapInArrow(run, "lang string, h1 long, h2 long, n long")
     return found.groupBy("lang", "h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("n")
 
 
-def triple_candidates(texts: DataFrame, frequent, pairs, seed: int, least: int) -> DataFrame:
+def triple_candidates(coded: DataFrame, frequent, pairs, seed: int, least: int) -> DataFrame:
     """(lang, h1, h2, h3): triples whose two pairs are frequent and that occur ``least`` times."""
 
     def run(batches):
-        for langs, flats, words in _by_lang(batches, seed):
-            for lang, flat in zip(langs, flats, strict=True):
-                at, key = _pairs(flat, words, lang_hash(lang, seed), frequent.value)
-                value, inverse = np.unique(key, return_inverse=True)
-                good = has(pairs.value, np.full(len(value), lang_hash(lang, seed)), words.hash[value >> 32], words.hash[value & 0xFFFFFFFF])
-                keep = good[inverse]
-                at, inverse = at[keep], inverse[keep]
-                both = np.flatnonzero(at[1:] == at[:-1] + 1) if len(at) else at
-                key, n = _capped(inverse[both] << 32 | flat[at[both] + 2], least)
-                if len(key):
-                    pair, h = value[key >> 32], words.hash
-                    yield _batch([[lang] * len(key), h[pair >> 32], h[pair & 0xFFFFFFFF], h[key & 0xFFFFFFFF], n], [pa.string(), *[pa.int64()] * 4], ["lang", "h1", "h2", "h3", "n"])
-
-    found = texts.mapInArrow(run, "lang string, h1 long, h2 long, h3 long, n long")
+        for lang, h, flat in _blocks(batches):
+            at, key = _pairs(flat, h, lang_hash(lang, seed), frequent.value)
+            value, inverse = np.unique(key, return_inverse=True)
+            good = has(pairs.value, np.full(len(value), lang_hash(lang, seed)), h[value >> 32], h[value & 0xFFFFFFFF])
+            keep = good[inverse]
+            at, inverse = at[keep], inverse[keep]
+            both = np.flatnonzero(at[1:] == at[:-1] + 1) if len(at) else at
+            key, n = _capped(inverse[both] << 32 | flat[at[both] + 2], least)
+            for a in range(0, len(key), ROWS):
+                own = key[a : a + ROWS]
+                pair = value[own >> 32]
+                yield _batch([pa.repeat(lang, len(own)), h[pair >> 32], h[pair & 0xFFFFFFFF], h[own & 0xFFFFFFFF], n[a : a + ROWS]], [pa.string(), *[pa.int64()] * 4], ["lang", "h1", "h2", "h3", "n"])
+
+    found = coded.drop("words").mapInArrow(run, "lang string, h1 long, h2 long, h3 long, n long")
     return found.groupBy("lang", "h1", "h2", "h3").agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("n")
 
 
 class Trie:
-    """A double-array trie of sequences of symbols: from state s, symbol c leads to ``base[s] + c`` where ``check`` there is s.
+    """A double-array trie of sequences of symbols: from state s, digit c leads to ``base[s] + c`` where ``check`` there is s.
 
     ``accept`` has the number of the sequence that ends in a state, or -1; the
-    root is state 0. Symbols are places in the sorted ``symbols``.
+    root is state 0. Symbols are places in the sorted ``symbols``, and each is
+    read as two digits, so that a state has few children close to each other
+    and the array is little larger than its states.
     """
 
     def __init__(self, sequences: list[np.ndarray]):
         """``sequences``: an array of rows of hashes for each length; numbers run on from one to the next."""
         self.symbols = np.unique(np.concatenate([s.ravel() for s in sequences]))
-        deep = max((s.shape[1] for s in sequences), default=0)
+        self.digits = max(1, math.ceil(len(self.symbols) ** 0.5))
         coded = [np.searchsorted(self.symbols, s) for s in sequences]
+        coded = [np.stack(np.divmod(s, self.digits), 2).reshape(len(s), 2 * s.shape[1]) for s in coded]
+        deep = max((s.shape[1] for s in coded), default=0)
         # Nodes level by level: each is its parent's node and a symbol.
         at = [np.zeros(len(s), np.int64) for s in sequences]
         parents, symbols, end, n = [np.array([-1])], [np.array([-1])], {}, 1
@@ -251,11 +286,11 @@ class Trie:
 
     def _place(self, parent: np.ndarray, symbol: np.ndarray, accept: np.ndarray) -> None:
         """Give every node its slot: the nodes of most children first, the others in rounds of random bases, a slot for one node."""
-        n, width = len(parent), len(self.symbols)
+        n, width = len(parent), self.digits
         order = np.argsort(parent[1:], kind="stable") + 1
         owner, count = np.unique(parent[order], return_counts=True)
         begin = count.cumsum() - count
-        size = 4 * n + 64
+        size = 2 * n + 64
         used = np.zeros(size + width, bool)
         base, slot = np.zeros(n, np.int64), np.zeros(n, np.int64)
         used[0] = True  # the root's own slot
@@ -264,7 +299,7 @@ class Trie:
         for k in np.flatnonzero(~small)[np.argsort(-count[~small], kind="stable")].tolist():
             own = symbol[order[begin[k] : begin[k] + count[k]]]
             while True:
-                tried = r.integers(1, size, 16)
+                tried = r.integers(1, size, 256)
                 fit = ~used[tried[:, None] + own].any(1)
                 if fit.any():
                     b = int(tried[fit.argmax()])
@@ -294,77 +329,88 @@ class Trie:
         self.base[slot], self.accept[slot] = base, accept
         self.check[slot[1:]] = slot[parent[1:]]
 
+    def _read(self, state: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = self.base[state] + digit
+        on = np.flatnonzero(self.check[to] == state)
+        return on, to[on]
+
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places whose state goes on, their next states)."""
-        to = self.base[state] + symbol
-        to[symbol < 0] = 0
-        on = np.flatnonzero((self.check[to] == state) & (symbol >= 0))
-        return on, to[on]
+        some = np.flatnonzero(symbol >= 0)
+        high, low = np.divmod(symbol[some], np.int32(self.digits))
+        first, half = self._read(state[some], high)
+        second, after = self._read(half, low[first])
+        return some[first[second]], after
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of hashes, -1 for those of none."""
         at = np.minimum(np.searchsorted(self.symbols, hashes), len(self.symbols) - 1)
         return np.where(self.symbols[at] == hashes, at, -1).astype(np.int32)
 
-    def counts(self, flat: np.ndarray, start: int, total: int, deep: int) -> np.ndarray:
-        """How often each sequence begins behind ``start`` and goes on through ``flat``, an array of symbols: all positions move on together."""
-        got = np.zeros(total, np.int64)
+    def add_counts(self, flat: np.ndarray, start: int, got: np.ndarray, deep: int) -> None:
+        """Add to ``got`` how often each sequence begins with ``start`` and goes on through ``flat``, an array of symbols: all positions move on together."""
         on, state = self.step(np.zeros(1, np.int32), np.array([start], np.int32))
         if not len(on):
-            return got
-        at, state = np.arange(len(flat)), np.full(len(flat), state[0], np.int32)
+            return
+        at, state = np.arange(len(flat), dtype=np.int32), np.full(len(flat), state[0], np.int32)
         for level in range(deep):
             inside = np.flatnonzero(at + level < len(flat))
             at, state = at[inside], state[inside]
             on, state = self.step(state, flat[at + level])
             at = at[on]
             done = self.accept[state]
-            got += np.bincount(done[done >= 0], minlength=total)
-        return got
-
-
-def count_phrases(texts: DataFrame, candidates: DataFrame, seed: int) -> DataFrame:
+            got += np.bincount(done[done >= 0], minlength=len(got))
+
+
+def shard_trie(own: pa.Table, seed: int) -> tuple[Trie | None, np.ndarray, list[str]]:
+    """(trie, numbers, languages) of one shard's candidates: the language's place and the symbols of each, -1 for none."""
+    if not own.num_rows:
+        return None, np.empty((0, 4), np.int32), []
+    lang = own.column("lang").combine_chunks().dictionary_encode()
+    names = lang.dictionary.to_pylist()
+    code = lang.indices.to_numpy()
+    three = own.column("h3").is_valid().to_numpy()
+    order = np.argsort(three, kind="stable")
+    pairs = int((~three).sum())
+    h = [own.column(c).fill_null(0).to_numpy()[order] for c in ("h1", "h2", "h3")]
+    first = np.array([lang_hash(x, seed) for x in names], np.int64)[code[order]]
+    trie = Trie([np.stack([x[:pairs] for x in (first, h[0], h[1])], 1), np.stack([x[pairs:] for x in (first, *h)], 1)])
+    symbols = [trie.codes(x) for x in h]
+    symbols[2][:pairs] = -1
+    return trie, np.stack([code[order].astype(np.int32), *symbols], 1), names
+
+
+def count_phrases(coded: DataFrame, candidates: DataFrame, seed: int) -> DataFrame:
     """(lang, h1, h2, h3, a), a written table: exact occurrences of the candidates (h3 null for pairs).
 
     Candidates are dealt by hash into shards of ``SHARD``; the driver holds one
-    shard and its trie at a time, and each shard goes once over the texts.
+    shard and its trie at a time, and each shard goes once over the blocks.
     """
-    spark = texts.sparkSession
+    spark = coded.sparkSession
     key = F.xxhash64("lang", "h1", "h2", "h3")
     shards = max(1, -(-candidates.count() // SHARD))
     out = None
     for shard in range(shards):
-        own = candidates.where(F.pmod(key, F.lit(shards)) == shard).toArrow()
-        if not own.num_rows:
+        trie, numbers, names = shard_trie(candidates.where(F.pmod(key, F.lit(shards)) == shard).toArrow(), seed)
+        if not names:
             continue
-        three = own.column("h3").is_valid().to_numpy()
-        order = np.concatenate([np.flatnonzero(~three), np.flatnonzero(three)])
-        own, pairs = own.take(pa.array(order)), int((~three).sum())
-        langs = own.column("lang").to_pylist()
-        hashes = {x: lang_hash(x, seed) for x in set(langs)}
-        first = np.array([hashes[x] for x in langs], np.int64)
-        h = [own.column(c).fill_null(0).to_numpy() for c in ("h1", "h2", "h3")]
-        trie = Trie([np.stack([x[:pairs] for x in (first, h[0], h[1])], 1), np.stack([x[pairs:] for x in (first, *h)], 1)])
-        sent = spark.sparkContext.broadcast((trie, hashes, own.drop_columns(["lang"]), langs))
+        sent = spark.sparkContext.broadcast((trie, numbers, names))
 
         def run(batches, sent=sent):
-            trie, hashes, own, names = sent.value
-            total = own.num_rows
-            got = np.zeros(total, np.int64)
-            for langs, flats, words in _by_lang(batches, seed):
-                codes = trie.codes(words.hash)
-                codes[0] = -1
-                for lang, flat in zip(langs, flats, strict=True):
-                    if lang in hashes:
-                        start = trie.codes(np.array([hashes[lang]]))[0]
-                        got += trie.counts(codes[flat], int(start), total, 3)
+            trie, numbers, names = sent.value
+            start = {x: int(trie.codes(np.array([lang_hash(x, seed)]))[0]) for x in names}
+            got = np.zeros(len(numbers), np.int64)
+            for lang, h, flat in _blocks(batches):
+                if lang in start:
+                    codes = trie.codes(h)
+                    codes[0] = -1
+                    trie.add_counts(codes[flat], start[lang], got, 3)
             at = np.flatnonzero(got)
-            for a in range(0, len(at), 50_000):
-                k = pa.array(at[a : a + 50_000])
-                part = own.take(k)
-                yield _batch([[names[i] for i in k.to_pylist()], *(part.column(c).combine_chunks() for c in ("h1", "h2", "h3")), got[at[a : a + 50_000]]], [pa.string(), *[pa.int64()] * 4], ["lang", "h1", "h2", "h3", "a"])
+            for k in np.array_split(at, -(-len(at) // 50_000)) if len(at) else ():
+                lang, *h = numbers[k].T
+                yield _batch([[names[i] for i in lang.tolist()], trie.symbols[h[0]], trie.symbols[h[1]], pa.array(trie.symbols[h[2]], mask=h[2] < 0), got[k]], [pa.string(), *[pa.int64()] * 4], ["lang", "h1", "h2", "h3", "a"])
 
-        made = texts.mapInArrow(run, "lang string, h1 long, h2 long, h3 long, a long").groupBy("lang", "h1", "h2", "h3").agg(F.sum("a").alias("a"))
+        made = coded.drop("words").mapInArrow(run, "lang string, h1 long, h2 long, h3 long, a long").groupBy("lang", "h1", "h2", "h3").agg(F.sum("a").alias("a"))
         made = materialize(made, "phrases")
         sent.destroy()
         out = made if out is None else out.unionByName(made)
@@ -391,7 +437,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     read.
     """
     texts = _texts(docs, text, lang)
-    counted, seed = words_counted(texts)
+    coded, counted, seed = words_counted(texts)
     n = materialize(counted.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
     frequent = counted.where(F.col("f") >= least)
     hashed = F.udf(lambda x: lang_hash(x, seed), "long")
@@ -400,13 +446,16 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         raise RuntimeError("languages share a hash")
     with_lang = lambda df: df.join(langs, "lang")
     words = bitmap(with_lang(frequent), ["lh", "h"])
-    twos = materialize(pair_candidates(texts, words, seed, least), "pairs")
+    twos = pair_candidates(coded, words, seed, least)
     pairs = bitmap(with_lang(twos), ["lh", "h1", "h2"])
-    threes = triple_candidates(texts, words, pairs, seed, least)
+    threes = triple_candidates(coded, words, pairs, seed, least)
     candidates = materialize(twos.withColumn("h3", F.lit(None).cast("long")).unionByName(threes), "candidates")
     words.destroy()
     pairs.destroy()
-    phrases = count_phrases(texts, candidates, seed)
+    drop_table(twos)
+    phrases = count_phrases(coded, candidates, seed)
+    drop_table(candidates)
+    drop_table(coded)
     two, three = phrases.where("h3 IS NULL").drop("h3"), phrases.where("h3 IS NOT NULL")
     longer = three.select("lang", "h1", "h2", "a").unionByName(three.select("lang", F.col("h2").alias("h1"), F.col("h3").alias("h2"), "a"))
     most = longer.groupBy("lang", "h1", "h2").agg(F.max("a").alias("most"))

@@ -56,7 +56,8 @@ def test_trie_leads_to_its_sequences_alone(seed):
         assert trie.accept[state[0]] == k
     flat = [r.choice(symbols) for _ in range(2000)]
     for start in symbols[:4]:
-        got = trie.counts(trie.codes(np.array(flat)), int(trie.codes(np.array([start]))[0]), len(two) + len(three), 2)
+        got = np.zeros(len(two) + len(three), np.int64)
+        trie.add_counts(trie.codes(np.array(flat)), int(trie.codes(np.array([start]))[0]), got, 2)
         want = Counter((start, a) for a in flat) + Counter((start, a, b) for a, b in zip(flat, flat[1:]))
         assert got.tolist() == [want[s] for s in [*two, *three]]
 
@@ -87,16 +88,17 @@ def test_score_is_exact(spark):
 def test_seed_that_clashes_is_left(spark, monkeypatch):
     docs = spark.createDataFrame([("en", "a b " * 20)], "lang string, text string")
     texts = phrases._texts(docs, "text", "lang")
-    clashing = phrases.count_words
-    seen = []
+    plain, seen = phrases.word_hash, []
+    count = phrases.count_words
 
-    def once(texts, seed):
-        seen.append(seed)
-        df = clashing(texts, seed)
-        return df.withColumn("h", phrases.F.lit(1).cast("long")) if seed == 0 else df
+    def once(coded):
+        seen.append(1)
+        df = count(coded)
+        return df.withColumn("h", phrases.F.lit(1).cast("long")) if len(seen) == 1 else df
 
     monkeypatch.setattr(phrases, "count_words", once)
-    assert phrases.words_counted(texts)[1] == 1 and seen == [0, 1]
+    coded, counted, seed = phrases.words_counted(texts)
+    assert seed == 1 and len(seen) == 2 and {(x.h, x.word) for x in counted.collect()} == {(plain(w.encode(), 1), w) for w in "ab"} and coded.count() == 1
 
 
 def test_query_equals_sql(spark):

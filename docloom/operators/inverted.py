@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.search import best, top_k
-from docloom.sources.stored import new_path, written
+from docloom.sources.stored import new_path, rows_at_once, written
 
 #: Documents and postings of a range (one document at least), and postings of the queries that are sent out at once.
 RANGE_DOCS, RANGE_POSTINGS = 16, 1 << 16
 QUERY_POSTINGS = 1 << 18
 #: Bytes of text that are indexed at once: bounds a task's memory.
 SLICE = 4 << 20
+#: Documents and ranges of a batch, and bytes of a stored group of ranges: a task holds no more than one of each, however large its file.
+DOCS_AT_ONCE, RANGES_AT_ONCE, GROUP = 2048, 32, 8 << 20
 #: Terms of a document, the most frequent ones, that its place among the others goes by.
 ALIKE = 24
 #: Ranges that each query scores first.
@@ -102,7 +104,8 @@ def build(docs: DataFrame, path: str | None = None) -> str:
                 number, a = number + 1, b
 
     path = path or new_path(docs.sparkSession, "inverted")
-    lowered.mapInArrow(run, RANGE).write.parquet(path)
+    with rows_at_once(docs.sparkSession, DOCS_AT_ONCE):
+        lowered.mapInArrow(run, RANGE).write.option("parquet.block.size", GROUP).parquet(path)
     return path
 
 
@@ -162,55 +165,76 @@ def _scored(batch: pa.RecordBatch, k: int, made: tuple, chosen: np.ndarray, ids:
 HIT = "qid long, cid long, score double, scored long"
 
 
-def _hits(parts: list[tuple], scored: int) -> pa.RecordBatch:
-    """Hits, and a row without a query that tells how many postings were scored, once for each query."""
-    q, c, s = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, t) for k, t in ((0, np.int64), (1, np.int64), (2, float)))
-    null = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(1, t)])
-    return pa.RecordBatch.from_arrays([null(q, pa.int64()), null(c, pa.int64()), null(s, pa.float64()), pa.array([0] * len(q) + [scored], pa.int64())], names=["qid", "cid", "score", "scored"])
+class Found:
+    """The ``n`` best (query, id, score) of each query so far, ties by smaller id."""
+
+    def __init__(self, n: int):
+        self.n, self.held = n, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+    def add(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        q, c, s = (np.concatenate(x) for x in zip(self.held, *parts, strict=True))
+        order = np.lexsort((c, -s, q))
+        q, c, s = q[order], c[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        stay = place < self.n
+        last = place == self.n - 1
+        self.held, self.kth = (q[stay], c[stay], s[stay]), (q[last], s[last])
+
+    def rows(self, scored: int) -> pa.RecordBatch:
+        """Hits, and a row without a query that tells how many postings were scored, once for each query."""
+        null = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(1, t)])
+        q, c, s = self.held
+        return pa.RecordBatch.from_arrays([null(q, pa.int64()), null(c, pa.int64()), null(s, pa.float64()), pa.array([0] * len(q) + [scored], pa.int64())], names=["qid", "cid", "score", "scored"])
 
 
 def _first(ranges: DataFrame, sent, k: int) -> DataFrame:
     """Hits in the ranges that promise each query most."""
 
     def promise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own, found = sent.value, Found(FIRST)
         for batch in batches:
             top = np.array([own.bounds(_values(batch.column("terms"), r), _values(batch.column("tops"), r).to_numpy())[0] for r in range(batch.num_rows)]).reshape(batch.num_rows, -1)
             q, r = best(top.T, FIRST)
             good = top[r, q] > 0
             q, r = q[good], r[good]
-            yield pa.RecordBatch.from_arrays([pa.array(own.ids[q], pa.int64()), batch.column("range").take(pa.array(r)), pa.array(top[r, q])], names=["qid", "cid", "score"])
+            found.add([(own.ids[q], batch.column("range").to_numpy()[r], top[r, q])])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.held], names=["qid", "cid", "score"])
 
     promised = top_k(ranges.select("range", "terms", "tops").mapInArrow(promise, "qid long, cid long, score double"), FIRST)
     chosen = written(promised.groupBy(F.col("cid").alias("r_")).agg(F.collect_list("qid").alias("qids")), "promised")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own, found, scored = sent.value, Found(k), 0
         for batch in batches:
-            parts, scored = [], 0
+            parts = []
             for r in range(batch.num_rows):
                 q = np.searchsorted(own.ids, np.sort(_values(batch.column("qids"), r).to_numpy()))
                 parts.append(_scored(batch, r, own.entries(_values(batch.column("terms"), r)), q, own.ids, k))
                 scored += len(q) * len(_values(batch.column("numbers"), r))
-            yield _hits(parts, scored)
+            found.add(parts)
+        yield found.rows(scored)
 
-    return ranges.join(chosen, F.col("range") == F.col("r_")).mapInArrow(score, HIT)
+    return ranges.join(F.broadcast(chosen), F.col("range") == F.col("r_")).mapInArrow(score, HIT)
 
 
 def _rest(ranges: DataFrame, sent, k: int) -> DataFrame:
     """Hits in all ranges that can reach a query's k-th score; the postings of others are not scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own, found, scored = sent.value, Found(k), 0
+        least = own.least.copy()
         for batch in batches:
-            parts, scored = [], 0
+            parts = []
             for r in range(batch.num_rows):
                 bound, made = own.bounds(_values(batch.column("terms"), r), _values(batch.column("tops"), r).to_numpy())
-                q = np.flatnonzero((bound >= own.least - SLACK) & (bound > 0))
+                q = np.flatnonzero((bound >= least - SLACK) & (bound > 0))
                 if len(q):
                     parts.append(_scored(batch, r, made, q, own.ids, k))
                     scored += len(q) * len(_values(batch.column("numbers"), r))
-            yield _hits(parts, scored)
+            found.add(parts)
+            at = np.searchsorted(own.ids, found.kth[0])
+            least[at] = np.maximum(least[at], found.kth[1])
+        yield found.rows(scored)
 
     return ranges.mapInArrow(run, HIT)
 
@@ -221,7 +245,7 @@ def search(queries: DataFrame, index: str, k: int) -> tuple[DataFrame, DataFrame
     ``queries`` is (qid, term, weight), weights over 0. Scores are rounded to
     six places, those of 0 are no hits, ties go to the lower id. Queries are
     sent to the ranges in groups of about ``QUERY_POSTINGS`` postings; ranges
-    stay where they lie. The second table counts, over all queries, the postings
+    stay where they lie, a few at once, and a task keeps k hits a query. The second table counts, over all queries, the postings
     that were scored once the k-th scores were known, and all of the index.
     """
     spark: SparkSession = queries.sparkSession
@@ -229,16 +253,17 @@ def search(queries: DataFrame, index: str, k: int) -> tuple[DataFrame, DataFrame
     asked = written(queries.where("qid IS NOT NULL AND term IS NOT NULL").select(F.col("qid").cast("long"), "term", F.col("weight").cast("double")), "asked")
     groups = max(1, -(-asked.count() // QUERY_POSTINGS))
     out = None
-    for g in range(groups):
-        own = Queries(asked.where(F.pmod(F.xxhash64("qid"), F.lit(groups)) == g).toArrow())
-        if not len(own.ids):
-            continue
-        near = written(_first(ranges, spark.sparkContext.broadcast(own), k), "near")
-        kth = top_k(near.where("qid IS NOT NULL").select("qid", "cid", "score").distinct(), k).where(F.col("rk") == k).select("qid", "score").toArrow()
-        own.least[np.searchsorted(own.ids, kth.column("qid").to_numpy())] = kth.column("score").to_numpy()
-        found = _rest(ranges, spark.sparkContext.broadcast(own), k)
-        out = found if out is None else out.unionByName(found)
-    out = written(out if out is not None else spark.createDataFrame([], HIT), "hits")
+    with rows_at_once(spark, RANGES_AT_ONCE):
+        for g in range(groups):
+            own = Queries(asked.where(F.pmod(F.xxhash64("qid"), F.lit(groups)) == g).toArrow())
+            if not len(own.ids):
+                continue
+            near = written(_first(ranges, spark.sparkContext.broadcast(own), k), "near")
+            kth = top_k(near.where("qid IS NOT NULL").select("qid", "cid", "score").distinct(), k).where(F.col("rk") == k).select("qid", "score").toArrow()
+            own.least[np.searchsorted(own.ids, kth.column("qid").to_numpy())] = kth.column("score").to_numpy()
+            found = _rest(ranges, spark.sparkContext.broadcast(own), k)
+            out = found if out is None else out.unionByName(found)
+        out = written(out if out is not None else spark.createDataFrame([], HIT), "hits")
     n = asked.select("qid").distinct().count()
     total = ranges.agg((n * F.coalesce(F.sum(F.size("numbers").cast("long")), F.lit(0).cast("long"))).alias("postings"))
     count = out.agg(F.coalesce(F.sum("scored"), F.lit(0).cast("long")).alias("scored"))

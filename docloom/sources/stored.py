@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,15 @@ def written(df: DataFrame, name: str, path: str | None = None, by: tuple[str, ..
     path = path or new_path(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def rows_at_once(spark: SparkSession, n: int) -> Iterator[None]:
+    """While it lasts, what is written passes to Python in batches of ``n`` rows at most: for rows of many values."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(n if before <= 0 else min(n, before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from docloom.operators import inverted, search, vector_index
+from docloom.sources.stored import rows_at_once
 
 
 def plain_knn(queries, passages, k):
@@ -122,3 +123,28 @@ def test_inverted_index_is_exact_and_skips_ranges(spark, monkeypatch):
     assert inverted.search(q.limit(0), inverted.build(d), 4)[0].count() == 0
     none, read = inverted.search(q, inverted.build(d.limit(0)), 4)
     assert none.count() == 0 and tuple(read.first()) == (0, 0)
+
+
+def test_inverted_index_holds_few_rows_at_once(spark, monkeypatch):
+    """However long a file is, a task gets some ranges at a time, keeps k hits a query, and finds the same."""
+    monkeypatch.setattr(inverted, "RANGE_DOCS", 2)
+    monkeypatch.setattr(inverted, "RANGES_AT_ONCE", 8)
+    plain = inverted._scored
+
+    def watched(batch, *rest):
+        assert batch.num_rows <= 8
+        return plain(batch, *rest)
+
+    monkeypatch.setattr(inverted, "_scored", watched)
+    docs = [(k, f"common w{k % 7} w{k % 5}") for k in range(600)]
+    queries = [(k, f"common w{k}") for k in range(7)]
+    d = spark.createDataFrame(docs, "cid long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    path = inverted.build(d)
+    q = search.postings(spark.createDataFrame(queries, "qid long, text string"), "qid")
+    close(rows(inverted.search(q, path, 3)[0]), plain_lexical(queries, docs, 3))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    own = inverted.Queries(q.toArrow())
+    with rows_at_once(spark, 8):
+        made = inverted._rest(spark.read.schema(inverted.RANGE).parquet(path).coalesce(1), spark.sparkContext.broadcast(own), 3)
+        assert made.where("qid IS NOT NULL").count() == 21

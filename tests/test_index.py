@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -148,3 +149,19 @@ def test_inverted_index_holds_few_rows_at_once(spark, monkeypatch):
     with rows_at_once(spark, 8):
         made = inverted._rest(spark.read.schema(inverted.RANGE).parquet(path).coalesce(1), spark.sparkContext.broadcast(own), 3)
         assert made.where("qid IS NOT NULL").count() == 21
+
+
+def test_blocks_are_scored_in_parts(monkeypatch):
+    """The scores of two whole blocks are never held at once, and the hits are those of one part."""
+    r = np.random.default_rng(8)
+    make = lambda n, **more: pd.DataFrame({"v": list(r.standard_normal((n, 4)))} | more)
+    q, c = make(400, qid=np.arange(400)), make(8000, cid=r.permutation(8000), flags=r.integers(1, 4, 8000))
+    tracemalloc.start()
+    got = search._top([5, 3])((), q, c), search.score_blocks(5)((), q, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all scores take 26 MB, and were held several times over
+    monkeypatch.setattr(search, "SCORES", 1 << 30)
+    for a, b in zip(got, (search._top([5, 3])((), q, c), search.score_blocks(5)((), q, c)), strict=True):
+        order = [x for x in ("branch", "qid", "cid") if x in a]
+        pd.testing.assert_frame_equal(a.sort_values(order).reset_index(drop=True), b.sort_values(order).reset_index(drop=True))

@@ -17,11 +17,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.search import PASSAGE_BLOCK, QUERY_BLOCK, score_blocks, top_k, usable
+from docloom.operators.search import PASSAGE_BLOCK, QUERY_BLOCK, SCORES, score_blocks, top_k, usable
 from docloom.sources.stored import new_path, written
 
 #: Most cells, and rows that the centres are fitted on.
 CELLS, SAMPLE = 4096, 65_536
+#: Pairs of a query and a cell that a task looks at and passes on at once.
+VISITS = 1 << 16
 #: Half a unit of the last place of a rounded score, and room for errors of the angles.
 SLACK = 5e-7 + 1e-9
 #: The cell of zero vectors, which score 0 with all.
@@ -64,7 +66,8 @@ def build(passages: DataFrame, dim: int, path: str | None = None, cells: int | N
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = centres.value
-        for rows in batches:
+        step = max(1, SCORES // max(1, len(c)))
+        for rows in (whole.iloc[a : a + step] for whole in batches for a in range(0, len(whole), step)):
             v = np.array(rows["v"].tolist(), float).reshape(len(rows), dim)
             cell, angle = np.full(len(rows), ZERO, np.int32), np.zeros(len(rows))
             some = np.flatnonzero(v.any(axis=1))
@@ -96,6 +99,23 @@ def bounds(queries: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> np.n
     return out
 
 
+def _visited(cells: pd.DataFrame, rows: pd.DataFrame, k: int, dim: int) -> Iterator[pd.DataFrame]:
+    """(qid, v, cell) of :func:`_visits` for some queries, about ``VISITS`` pairs at once."""
+    centres = np.array([np.zeros(dim) if c is None else c for c in cells["centre"]], float).reshape(len(cells), dim)
+    cell, later, step = cells["cell"].to_numpy(), "least" in rows.columns, max(1, VISITS // len(cells))
+    for own in (rows.iloc[a : a + step] for a in range(0, len(rows), step)):
+        v = np.array(own["v"].tolist(), float).reshape(len(own), dim)
+        top = bounds(v, centres, cells["radius"].to_numpy())
+        top[:, cell == ZERO] = 0
+        order = np.argsort(-top, axis=1, kind="stable")
+        n = cells["n"].to_numpy()[order]
+        first = np.zeros(top.shape, bool)
+        np.put_along_axis(first, order, n.cumsum(1) - n < k, 1)
+        wanted = ~first & (top >= own["least"].to_numpy()[:, None] - SLACK) if later else first
+        q, c = np.nonzero(wanted)
+        yield pd.DataFrame({"qid": own["qid"].to_numpy()[q], "v": own["v"].to_numpy()[q], "cell": cell[c]})
+
+
 def _visits(queries: DataFrame, cells: pd.DataFrame, k: int, dim: int) -> DataFrame:
     """(qid, v, cell) of every query and cell that may hold one of its hits.
 
@@ -104,22 +124,10 @@ def _visits(queries: DataFrame, cells: pd.DataFrame, k: int, dim: int) -> DataFr
     the best ones, up to k passages.
     """
     sent = queries.sparkSession.sparkContext.broadcast(cells)
-    later = "least" in queries.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = sent.value
-        centres = np.array([np.zeros(dim) if c is None else c for c in own["centre"]], float).reshape(len(own), dim)
         for rows in batches:
-            v = np.array(rows["v"].tolist(), float).reshape(len(rows), dim)
-            top = bounds(v, centres, own["radius"].to_numpy())
-            top[:, own["cell"].to_numpy() == ZERO] = 0
-            order = np.argsort(-top, axis=1, kind="stable")
-            n = own["n"].to_numpy()[order]
-            first = np.zeros(top.shape, bool)
-            np.put_along_axis(first, order, n.cumsum(1) - n < k, 1)
-            wanted = ~first & (top >= rows["least"].to_numpy()[:, None] - SLACK) if later else first
-            q, c = np.nonzero(wanted)
-            yield pd.DataFrame({"qid": rows["qid"].to_numpy()[q], "v": rows["v"].to_numpy()[q], "cell": own["cell"].to_numpy()[c]})
+            yield from _visited(sent.value, rows, k, dim)
 
     return queries.mapInPandas(run, "qid long, v array<double>, cell int")
 

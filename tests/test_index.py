@@ -165,3 +165,13 @@ def test_blocks_are_scored_in_parts(monkeypatch):
     for a, b in zip(got, (search._top([5, 3])((), q, c), search.score_blocks(5)((), q, c)), strict=True):
         order = [x for x in ("branch", "qid", "cid") if x in a]
         pd.testing.assert_frame_equal(a.sort_values(order).reset_index(drop=True), b.sort_values(order).reset_index(drop=True))
+
+
+def test_visits_leave_in_parts(monkeypatch):
+    monkeypatch.setattr(vector_index, "VISITS", 50)
+    r = np.random.default_rng(9)
+    cells = pd.DataFrame({"cell": range(20), "centre": list(r.standard_normal((20, 3))), "n": 4, "radius": 3.0})
+    q = pd.DataFrame({"qid": range(30), "v": list(r.standard_normal((30, 3))), "least": -2.0})
+    parts = list(vector_index._visited(cells, q, 4, 3))
+    assert max(map(len, parts)) <= 50 and sum(map(len, parts)) == 30 * 19
+    assert sum(map(len, vector_index._visited(cells, q.drop(columns="least"), 4, 3))) == 30

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom.operators import adapters, encoders, inverted, search
@@ -82,3 +83,33 @@ def test_learned_postings_through_the_inverted_search(spark):
     hits, _ = inverted.search(q, inverted.build(docs), 2)
     assert [(x.cid, x.rk) for x in hits.orderBy("rk").collect()] == [(1, 1), (2, 2)]
     assert search.postings(docs, "cid").count() == 5
+
+
+def test_texts_are_encoded_together(monkeypatch):
+    """Texts of a batch share one pass by parts; states don't cross texts, and forgotten tokens are made again."""
+    monkeypatch.setattr(encoders, "TOKENS", 7)
+    monkeypatch.setattr(encoders, "LOOKED_UP", 3)
+    monkeypatch.setattr(encoders, "REMEMBERED", 5)
+    r = random.Random(12)
+    texts = [[r.choice(["a", "court", "the", "section9", "of", "x1"]) for _ in range(n)] for n in (0, 3, 0, 9, 1, 2, 0, 4)]
+    encoder, got, parts = encoders.Encoder(), {}, []
+    for a, names, code, sizes in encoders._texts(pa.array(texts, pa.list_(pa.string()))):
+        states, ends = encoder.coded(names.to_pylist(), code, sizes), sizes.cumsum()
+        got |= {a + k: states[ends[k] - sizes[k] : ends[k]] for k in range(len(sizes))}
+        parts.append(len(states))
+    assert len(parts) > 2 and sum(parts) == sum(map(len, texts)) and len(encoder.known) <= 5
+    for k, own in enumerate(texts):
+        assert np.allclose(got[k], np.array(plain_states(own, encoder.table)).reshape(len(own), encoders.DIM), atol=1e-12)
+
+
+def test_buckets_of_many_tokens_equal_those_of_one():
+    r = random.Random(3)
+    tokens = ["", "a", "ab", "abc", "aaaaaaa", "0", "abababab", "<<>>"] + ["".join(r.choice("ab09z") for _ in range(r.randint(1, 14))) for _ in range(300)]
+    n, bucket = encoders._buckets([f"<{t}>".encode() for t in tokens if t])
+    want = []
+    for t in tokens[1:]:
+        m = f"<{t}>"
+        want.append([zlib.crc32(g.encode()) % encoders.BUCKETS for g in sorted({m, *(m[k : k + j] for j in (3, 4) for k in range(len(m) - j + 1))})])
+    assert n.tolist() == [len(g) for g in want] and bucket.tolist() == [x for g in want for x in g]
+    encoder = encoders.Encoder()
+    assert np.allclose(encoder.made(["café", "ab"])[1], encoder.made(["ab"])[0])

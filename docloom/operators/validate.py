@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.sources.stored import written
 
 # Headings on lines of their own.
 SECTION_LINE = r"(?dm)^([0-9]{1,3})\.[ \t]*$"
@@ -71,6 +72,8 @@ def unit_problems(units: DataFrame, rules: DataFrame, key: str = "doc") -> DataF
     the order in which they first occur). A null rule is not checked. A document
     without units breaks each count and number that is asked for.
     """
+    # Parsing comes before; written once, it isn't repeated for each of the three tables below.
+    units = written(units.select(key, "ordinal", "unit_type", "number", "path"), "units")
     first = units.groupBy(key, F.try_element_at("path", F.lit(1)).alias("part")).agg(F.min("ordinal").alias("at"))
     order = first.where("part is not null").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]).alias("parts"))
     kinds = units.groupBy(key, "unit_type").agg(F.count("*").cast("int").alias("n"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import text
 from docloom.operators import adapters, evaluate, grounding, validate
 from docloom.sources import io
 
@@ -182,3 +183,19 @@ def test_more_classes_than_are_broadcast_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "CLASSES", 2)
     with pytest.raises(Exception, match="more than 2 classes"):
         evaluate.classify_by_centroid(vectors, centroids, "b").collect()
+
+
+def test_units_are_parsed_once(spark):
+    """What the units come from is not run again for each rule, and ends are stripped by character."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    units = spark.createDataFrame([(1, 1, "section", "1", ["Part I"]), (1, 2, "section", "2", ["Part I"])], "doc int, ordinal int, unit_type string, number string, path array<string>")
+    rules = spark.createDataFrame([(1, {"section": 2}, ["1", "3"], [1], ["Part I"])], "doc int, counts map<string,int>, want_numbers array<string>, depths array<int>, part_order array<string>")
+    found = validate.unit_problems(units.mapInArrow(passed, units.schema), rules).collect()
+    assert [tuple(x) for x in found] == [(1, "missing number", "3")] and seen.value == 2
+    assert spark.createDataFrame([(" \t\x0b a b \f\r\n",)], "t string").select(text.strip(F.col("t"))).first()[0] == "a b"

@@ -22,7 +22,7 @@ POINT_NAMESPACE_NAME = "https://docloom.invalid/points"
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, line ends included."""
-    return F.regexp_replace(c, rf"^{BLANK}|{BLANK}$", "")
+    return F.btrim(c, F.lit(" \t\r\n\x0b\f"))
 
 
 def normalise_unicode(c: Column) -> Column:

@@ -3,8 +3,10 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
+from docloom.catalog import QUERIES
 from docloom.sources import io, pdf
 
 
@@ -102,3 +104,80 @@ def test_files_of_a_folder(spark, tmp_path):
     pages = pdf.read_pages(spark.read.format("binaryFile").load(str(tmp_path)))
     whole = io.pages_to_text(pages.where("error IS NULL"), "path", "page", "text").collect()
     assert [(x.text, x.pages) for x in whole] == [("\n--- PAGE 1 ---\n\none\n\n--- PAGE 2 ---\n\ntwo", 2)] and pages.where("error IS NOT NULL").count() == 1
+
+
+def tokens(data, monkeypatch):
+    """(pages, values read from the file and its streams)."""
+    n, own = [0], pdf.Values.next
+    with monkeypatch.context() as m:
+        m.setattr(pdf.Values, "next", lambda v: (n.__setitem__(0, n[0] + 1), own(v))[1])
+        return texts(data), n[0]
+
+
+def test_fonts_are_read_once_a_file(monkeypatch):
+    letters = "".join(map(chr, range(300, 700)))
+    few, many = (tokens(pdf.to_pdf([letters] + ["x"] * n), monkeypatch) for n in (20, 40))
+    assert len(many[0]) == 41 and many[0][0] == letters and many[1] - few[1] < 20 * 100
+
+
+def test_heads_of_packed_objects_are_read_once(monkeypatch):
+    def packed(n):
+        objects = [b"<< /Pages 2 0 R >>", b"<< /Kids [%s] >>" % b" ".join(b"%d 0 R" % (4 + k) for k in range(n)), b"null", *[b"<< /Resources << >> /Contents []>>"] * n]
+        head, at = b"", 0
+        for k, p in enumerate(objects):
+            head += b"%d %d " % (k + 1, at)
+            at += len(p) + 1
+        last = len(objects) + 1
+        out = b"%PDF-1.5\n" + b"%d 0 obj\n" % last + stream(head + b" ".join(objects), b"/Type /ObjStm /N %d /First %d " % (len(objects), len(head))) + b"\nendobj\n"
+        rows = [(0, 0, 0), *[(2, last, k) for k in range(len(objects))], (1, 9, 0)]
+        raw = b"".join(bytes([a]) + b.to_bytes(4, "big") + c.to_bytes(2, "big") for a, b, c in rows)
+        return out + b"%d 0 obj\n" % (last + 1) + stream(raw, b"/Type /XRef /W [1 4 2] /Size %d /Root 1 0 R " % len(rows)) + b"\nendobj\nstartxref\n%d\n%%%%EOF" % len(out)
+
+    few, many = (tokens(packed(n), monkeypatch) for n in (50, 100))
+    assert many[0] == [""] * 100 and many[1] - few[1] < 50 * 40
+
+
+def test_what_follows_a_string_is_not_copied():
+    copied = [0]
+
+    class Counted(bytes):
+        def __getitem__(self, k):
+            got = super().__getitem__(k)
+            copied[0] += len(got) if isinstance(k, slice) else 1
+            return got
+
+    assert pdf.shown(Counted(b"(a\\)b) Tj " * 500), {}) == "a)b" * 500 and copied[0] < 10_000
+
+
+def test_codes_at_once_and_one_by_one():
+    r = random.Random(5)
+    for size in (1, 2, 3):
+        code = lambda: bytes(r.randrange(4) for _ in range(size))  # noqa: E731, B023
+        for values in ("xé中😀", ["ab", "", "x"], ""):
+            known = {code(): r.choice(values) for _ in range(9 * bool(values))}
+            made = pdf.Codes(known)
+            for n in (0, 1, 30, 301):
+                raw = b"".join(code() for _ in range(n)) + b"\x01" * r.randrange(2)
+                assert made.text(raw) == "".join(known.get(raw[k : k + made.size], "�") for k in range(0, len(raw), made.size))
+
+
+def test_few_and_low_characters():
+    for pages in (["\t\n\t"], ["\x00", "\n", ""], [""], ["\n\n"], ["\t"], [], ["\U0010ffff\n\ufffe"], ["".join(map(chr, range(0x4E00, 0x9000)))]):
+        assert texts(pdf.to_pdf(pages)) == pages
+
+
+def test_pages_of_many_files_leave_together():
+    files = [(str(k), pdf.to_pdf([f"page {k}", "second"])) for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files, strict=True)], names=["path", "content"])
+    whole, parts = list(pdf.page_batches(iter([batch, batch]))), list(pdf.page_batches(iter([batch]), 3000))
+    assert len(whole) == 1 and whole[0].num_rows == 1200 and 1 < len(parts) < 60
+    rows = [x for p in parts for x in p.to_pylist()]
+    assert rows == [{"path": p, "page": k, "text": t, "error": None} for p, _ in files for k, t in ((1, f"page {p}"), (2, "second"))]
+    assert list(pdf.page_batches(iter([]))) == []
+
+
+def test_lines_are_split_once_a_document(spark):
+    for _ in range(2):
+        plan = QUERIES["pdf_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        written = plan[plan.index("ArrowEvalPython [pdf_of(") : plan.index("], [pythonUDF0")]
+        assert "split(" not in written and plan.count("split(") == 1
